@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from quillmill.llm import url_filters
+from quillmill.llm.decontaminate import op10_decontaminate
+from quillmill.llm.near_dups import op8_near_dups
 from quillmill.llm.packing import op6_packing
+from quillmill.llm.sketches import op3_fingerprints
 from quillmill.llm.token_counts import op2_token_counts
 from quillmill.llm.token_files import op4_token_files
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_fingerprints": op3_fingerprints,
     "op4_token_files": op4_token_files,
+    "op5_url_filters": url_filters.op5_url_filters,
     "op6_packing": op6_packing,
+    "op8_near_dups": op8_near_dups,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_filters": url_filters.ORACLE}
