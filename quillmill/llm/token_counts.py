@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm.common import annotate
-from quillmill.llm.vocab import BYTE_LETTERS, Generations, chunks, ragged, vocabulary
+from quillmill.llm.vocab import BYTE_LETTERS, CHUNK, Memo, ragged, vocabulary
 
 #: Fixed value: the pattern by which byte-level vocabularies cut a text into units.
 UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -47,8 +47,8 @@ class PrefixCounter:
         self.vocab, self.ranks, self.special, self.longest = merges(path)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.last: dict[str, tuple[str, int]] = {"": ("", 0)}
-        self.inner = Generations()
-        self.outer = Generations()
+        self.inner = Memo(lambda chunk: self.chunk(" " + chunk))
+        self.outer = Memo(self.chunk)
 
     def _merged(self, symbols: list[str]) -> list[str]:
         while len(symbols) > 1:
@@ -113,27 +113,15 @@ class PrefixCounter:
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Totals of whole texts: sums of the tables' last entries."""
-        out = []
-        inner, outer = self.inner, self.outer
-        for text in texts:
-            total = 0
-            for i, piece in enumerate(self._split(text)):
-                total += i > 0  # the special string between two pieces
-                if not piece:
-                    continue
-                parts = chunks(piece)
-                rough = ragged(piece)
-                if not rough:
-                    rest = parts[1:]
-                    for w in inner.missing(set(rest)):
-                        inner.young[w] = self.chunk(" " + w)
-                    total += sum(map(inner.young.__getitem__, rest))
-                    parts = parts[:1]
-                for w in outer.missing(set(parts)):
-                    outer.young[w] = self.chunk(w)
-                total += sum(map(outer.young.__getitem__, parts))
-            out.append(total)
-        return out
+        return [sum(map(self._piece, pieces)) + len(pieces) - 1 if (pieces := self._split(t)) else 0 for t in texts]
+
+    def _piece(self, text: str) -> int:
+        """Count of a text between special strings."""
+        if not text or ragged(text):
+            return sum(map(self.outer.__getitem__, CHUNK.findall(text)))
+        lines = [line.split(" ") for line in text.split("\n")]
+        first = sum(self.outer[words[0]] for words in lines)
+        return first + sum(sum(map(self.inner.__getitem__, words[1:])) for words in lines) + (len(lines) - 1) * self.outer["\n"]
 
     def _split(self, text: str | None) -> list[str]:
         if not text:
@@ -196,7 +184,7 @@ def token_counts(docs: DataFrame, vocab_path: str, text: str = "text", keep: tup
 
 def prefix_counts(docs: DataFrame, vocab_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns with unit_ends and unit_counts: the index that answers questions about any prefix."""
-    out = T.StructType().add("unit_ends", "array<int>").add("unit_counts", "array<int>")
+    out = T.StructType().add("unit_ends", T.ArrayType(T.IntegerType())).add("unit_counts", T.ArrayType(T.IntegerType()))
 
     def worker(texts: list[str | None]) -> list[list]:
         found = [counter(vocab_path).index(t) for t in texts]

@@ -8,6 +8,8 @@ distinct chunk goes through the tokenizers library once while it is in use.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +18,11 @@ import numpy as np
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: White space other than a blank or a line feed.
+#: Below these, normalising is lower-casing letter by letter.
+BEYOND = re.compile("[\u0130-\U0010ffff]")
+LETTERS = re.compile(r"[^\W\d_]+")
 ODD_WHITE = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-GENERATION = 300_000
+GENERATION = 500_000
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
@@ -31,32 +36,26 @@ def tokenizer(path: str):
 
 def ragged(text: str) -> bool:
     """Whether white space meets white space somewhere, so that a cut before single blanks would be wrong."""
-    return text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or ODD_WHITE.search(text) is not None
+    return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or ODD_WHITE.search(text) is not None
 
 
-def chunks(text: str) -> list[str]:
-    """Pieces that encode independently. All but the first have lost one leading blank if the text isn't ragged."""
-    return CHUNK.findall(text) if ragged(text) else text.split(" ")
 
+class Memo(dict):
+    """What ``make`` gives for each key, bounded by age: what wasn't used for a whole generation goes."""
 
-class Generations:
-    """A dict bounded by age: what wasn't used for a whole generation goes."""
+    def __init__(self, make: Callable, size: int = GENERATION):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
 
-    def __init__(self, size: int = GENERATION):
-        self.size, self.young, self.old = size, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Keys that have to be made; those still in the old generation are carried over."""
-        young, old = self.young, self.old
-        new = keys.difference(young)
-        if not new:
-            return []
-        if len(young) + len(new) > self.size:
-            self.old, self.young = young, {}
-            young, old, new = self.young, young, keys
-        kept = [k for k in new if k in old]
-        young.update(zip(kept, map(old.__getitem__, kept), strict=True))
-        return list(new.difference(kept))
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
@@ -68,83 +67,65 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.blank = "Ġ" if self.library.normalizer is None else ""
         self.lowers = self.library.normalizer is not None
-        self.marks = {c: self.whole([c])[0] for c in ",.;:!?"}
-        self.inner = Generations()
-        self.outer = Generations(GENERATION // 8)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in found]
-
-    def _learn(self, into: dict, new: list[str], blank: str) -> None:
-        """A word of letters, or one with a mark behind it, goes straight to the merge model; all else takes the library's full path."""
-        hard, plain, mark, tokens, dtype = [], self._plain, self.marks.get, self.model.tokenize, self.dtype
-        for w in new if blank else ():
-            if w.isalpha():
-                word, end = plain(w), b""
-            else:
-                end = mark(w[-1:])
-                word = plain(w[:-1]) if end and w[:-1].isalpha() else ""
-            if word:
-                into[w] = np.array([t.id for t in tokens(word)], dtype).tobytes() + end
-            else:
-                hard.append(w)
-        hard = hard if blank else new
-        for at in range(0, len(hard), 2048):
-            part = hard[at : at + 2048]
-            into.update(zip(part, self.whole([blank + w for w in part]), strict=True))
-
-    def _plain(self, letters: str) -> str:
-        """Letters behind a blank in the model's byte alphabet; empty where normalising takes more than lower-casing."""
-        if self.lowers:
-            if not letters.isascii() and max(letters) >= "\u0130":
-                return ""
-            letters = letters.lower()
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return self.blank + letters
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.line_end = self._whole("\n")
+        self.rests = Memo(self._whole, GENERATION // 8)
+        self.inner = Memo(self._behind_blank)
+        self.outer = Memo(self._alone, GENERATION // 8)
+
+    def _whole(self, text: str) -> bytes:
+        """By the library's full path."""
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str, blank: str) -> bytes | None:
+        """A run of letters is one unit of the merge model; None where normalising takes more than lower-casing."""
+        if not word.isascii():
+            if self.lowers and BEYOND.search(word):
+                return None
+            word = (word.lower() if self.lowers else word).encode().decode("latin-1").translate(BYTE_LETTERS)
+        elif self.lowers:
+            word = word.lower()
+        return array(self.code, [t.id for t in self.tokenize(blank + word)]).tobytes()
+
+    def _chunk(self, chunk: str, blank: str) -> bytes:
+        """Leading letters go straight to the merge model; what follows them is encoded alone."""
+        if chunk.isalpha():
+            found = self._letters(chunk, self.blank if blank else "")
+        else:
+            start = LETTERS.match(chunk)
+            found = self._letters(start[0], self.blank if blank else "") if start else None
+            if found is not None:
+                found += self.rests[chunk[start.end() :]]
+        return self._whole(blank + chunk) if found is None else found
+
+    def _behind_blank(self, chunk: str) -> bytes:
+        return self._chunk(chunk, " ")
+
+    def _alone(self, chunk: str) -> bytes:
+        return self._chunk(chunk, "")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        smooth: list[tuple[int, str, list[str]]] = []
-        rough: list[tuple[int, list[str]]] = []
-        seen: set[str] = set()
-        outer: set[str] = set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if any(s in text for s in self.special):
-                out[i] = self.whole([text])[0]
-            elif ragged(text):
-                parts = CHUNK.findall(text)
-                outer.update(parts)
-                rough.append((i, parts))
-            else:
-                first, *rest = text.split(" ")
-                outer.add(first)
-                seen.update(rest)
-                smooth.append((i, first, rest))
-            if len(seen) + len(outer) > GENERATION // 2 or i == len(texts) - 1:
-                self._join(out, smooth, rough, seen, outer)
-                smooth, rough, seen, outer = [], [], set(), set()
-        self._join(out, smooth, rough, seen, outer)
-        return out
-
-    def _join(self, out, smooth, rough, seen, outer) -> None:
-        for cache, keys, blank in ((self.inner, seen, " "), (self.outer, outer, "")):
-            new = cache.missing(keys)  # this may start a new generation
-            self._learn(cache.young, new, blank)
-        inner, first = self.inner.young.__getitem__, self.outer.young.__getitem__
-        for i, head, rest in smooth:
-            out[i] = first(head) + b"".join(map(inner, rest))
-        for i, parts in rough:
-            out[i] = b"".join(map(first, parts))
+        return [self.encode_one(t) if t else b"" for t in texts]
+
+    def encode_one(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._whole(text)
+        if self.lowers and not BEYOND.search(text):
+            text = text.lower()  # so that capitals aren't chunks of their own
+        outer, inner = self.outer.__getitem__, self.inner.__getitem__
+        if ragged(text):
+            return b"".join(map(outer, CHUNK.findall(text)))
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(outer(first) + b"".join(map(inner, rest)))
+        return self.line_end.join(lines)
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode([text])[0], self.dtype)
