@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from quillmill.llm import url_filters
 from quillmill.llm.decontaminate import op10_decontaminate
+from quillmill.llm.language_id import op9_language_id
+from quillmill.llm.lm import op1_lm_scores
 from quillmill.llm.near_dups import op8_near_dups
 from quillmill.llm.packing import op6_packing
 from quillmill.llm.sketches import op3_fingerprints
 from quillmill.llm.token_counts import op2_token_counts
 from quillmill.llm.token_files import op4_token_files
+from quillmill.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_token_counts": op2_token_counts,
     "op3_fingerprints": op3_fingerprints,
     "op4_token_files": op4_token_files,
     "op5_url_filters": url_filters.op5_url_filters,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_near_dups": op8_near_dups,
+    "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
 
