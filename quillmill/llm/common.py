@@ -89,3 +89,15 @@ def annotate(
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=names)
 
     return source.mapInArrow(run, schema)
+
+
+def kept(docs: DataFrame, text: str, judge: Callable[[DataFrame, str, tuple[str, ...]], DataFrame], condition: Column) -> DataFrame:
+    """The rows of ``docs`` for which ``condition`` holds after ``judge``, with their own columns.
+
+    Columns go under names of their own meanwhile, so none clashes with what
+    ``judge`` adds.
+    """
+    names = docs.columns
+    tags = tuple(f"__c{i}" for i in range(len(names)))
+    judged = judge(docs.toDF(*tags), tags[names.index(text)], tags)
+    return judged.where(condition).select(*tags).toDF(*names)

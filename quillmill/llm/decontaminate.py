@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import annotate
+from quillmill.llm.common import annotate, kept
 
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
@@ -141,11 +141,7 @@ def without_spans(text: str | None, hits: list[int]) -> str | None:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with their own columns."""
-    names = docs.columns
-    tag = [f"__c{i}" for i in range(len(names))]
-    renamed = docs.toDF(*tag)
-    found = contamination(renamed, benchmark, tag[names.index(text)], tuple(tag))
-    return found.where(~F.col("contaminated")).select(*tag).toDF(*names)
+    return kept(docs, text, lambda d, t, tags: contamination(d, benchmark, t, tags), ~F.col("contaminated"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import annotate, fold, steps
+from quillmill.llm.common import annotate, fold, kept, steps
 
 BITS = 13
 SIZE = 1 << BITS
@@ -191,6 +191,11 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text", keep: tuple[
     return annotate(docs, text, keep, out, lambda texts: shared.value.predict(texts))
 
 
+def identified(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with their own columns."""
+    return kept(docs, text, lambda d, t, tags: identify(d, model, t, tags), ~F.col("rejected"))
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull())
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.common import annotate, fold
+from quillmill.llm.common import annotate, fold, kept
 from quillmill.llm.vocab import Memo
 
 BITS = 18
@@ -82,8 +82,10 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         z = self.logits(text)
-        z = z[z >= np.log(LEAK / (1 - LEAK))]  # else very long clean texts would add up to toxic ones
-        return float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0
+        if not len(z):
+            return 0.0
+        some = z[z >= np.log(LEAK / (1 - LEAK))]  # else very long clean texts would add up to toxic ones
+        return float(-np.expm1(-np.logaddexp(0, some if len(some) else z.max()).sum()))
 
     def offending(self, text: str | None, least: float = THRESHOLD) -> list[dict]:
         """Spans, in code points, of the sentences that reach ``least``, with their probabilities."""
@@ -172,6 +174,11 @@ def toxicity(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[st
     return annotate(docs, text, keep, out, worker)
 
 
+def civil(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with their own columns."""
+    return kept(docs, text, lambda d, t, tags: toxicity(d, scorer, t, tags, locate=False), F.col("predicted") == 0)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(fold(F.col("doc_id"), 4) != 2)
 
