@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, one stage after another."""
+"""From raw documents to packed training sequences, one stage after another.
+
+Each stage works on all documents that the one before it kept: those of no
+known language go, then toxic ones, then all but one of each group of
+near-duplicates, then those that hold benchmark passages; what is left is
+packed into sequences. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +12,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm.packing import packed_digests
+from quillmill.llm import decontaminate, language_id, near_dups, packing, toxicity
+from quillmill.llm.common import stored
+from quillmill.session import ship
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.identified(docs, language_id.fit(language_id.training_rows(docs)))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scorer = toxicity.fit(toxicity.training_rows(docs), toxicity.training_rows(labels))
+    return toxicity.civil(docs, scorer)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.distinct_documents(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed_digests(docs)
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", packing)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("near_dups", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack),
+]
 
+#: Most stages have no SQL form; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents``. Between stages the documents are written out, as a stage may read them several times."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
