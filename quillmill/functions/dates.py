@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def parse_date(value: Column, fallback_year: Column | None = None) -> Column:
     """struct(month_bucket, date_precision, year): day, else month, else year, else the fallback year, else unknown."""
-    day = F.try_to_date(F.substring(value, 1, 10), "y-M-d") if hasattr(F, "try_to_date") else F.try_to_timestamp(F.substring(value, 1, 10), F.lit("y-M-d"))
+    day = F.try_to_timestamp(F.substring(value, 1, 10), F.lit("y-M-d"))
     month = F.try_to_timestamp(F.regexp_extract(value, r"^(\d{4}-\d{1,2})", 1), F.lit("y-M"))
     year = F.regexp_extract(value, r"^([0-9]{4})", 1)
     fallback = F.lit(None).cast("int") if fallback_year is None else F.nullif(fallback_year.cast("int"), F.lit(0))
@@ -43,4 +43,4 @@ def month_series(first: Column, last: Column) -> Column:
 def citation_per_year(citations: Column, published: Column, collected: Column) -> Column:
     """Citations by age in years, of at least half a year; null if either date can't be read."""
     days = F.datediff(F.to_date(F.try_to_timestamp(collected, F.lit("y-M-d"))), F.to_date(F.try_to_timestamp(published, F.lit("y-M-d"))))
-    return citations / F.greatest(days / F.lit(365.25), F.lit(0.5))
+    return F.when(days.isNotNull(), citations / F.greatest(days / F.lit(365.25), F.lit(0.5)))

@@ -15,6 +15,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 BLANKS = r"(?U)\s+"
@@ -31,12 +32,12 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, BLANKS, " "))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.casefold())
 
@@ -101,7 +102,7 @@ def scrub_url(c: Column) -> Column:
     return F.concat(head, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""), tail)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _similar(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)])
 
@@ -111,7 +112,7 @@ def title_similarity(primary: Column, other: Column) -> Column:
     return _similar(norm_title(primary), norm_title(other))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def exact_round(values: pd.Series, digits: pd.Series) -> pd.Series:
     """Rounds the binary value half to even, where ``F.round`` rounds its decimal rendering half up."""
     return pd.Series([None if pd.isna(v) else round(float(v), int(d)) for v, d in zip(values, digits, strict=True)], dtype=float)

@@ -62,10 +62,15 @@ def side_file(spark: SparkSession, path: str) -> dict:
     """A small JSON object; {} if it is missing or unreadable."""
     if not exists(spark, path):
         return {}
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)  # Spark's readers skip names with an underscore
     try:
-        found = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+        found = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     except ValueError:
         return {}
+    finally:
+        stream.close()
     return found if isinstance(found, dict) else {}
 
 
