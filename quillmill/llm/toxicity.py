@@ -31,12 +31,13 @@ from quillmill.llm.vocab import Memo
 
 BITS = 18
 SIZE = 1 << BITS
-SAMPLE = 5000
+SAMPLE = 2000
 THRESHOLD = 0.3
 STEMS = (4, 5)
 ROUNDS = 120
 LEAST_TEXTS = 3
-LASSO = 5e-5
+#: Pull of the weights towards zero, in texts: what this many texts say doesn't move a weight.
+LASSO = 0.75
 #: A sentence less likely than this counts as clean.
 LEAK = 0.01
 STOP = re.compile(r"[.!?\n]+")
@@ -98,26 +99,31 @@ class Scorer:
         return found
 
 
-def train(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS, lasso: float = LASSO) -> Scorer:
-    """Full-batch Adam on the log-likelihood of document labels under the noisy-or, less ``lasso`` times the weights' sizes."""
-    flat = [s for bag in bags for s in bag]
-    seen = np.bincount(np.concatenate([np.unique(np.concatenate(bag)) for bag in bags]), minlength=SIZE)
+def train(slots: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS, lasso: float = LASSO) -> Scorer:
+    """Full-batch Adam on the log-likelihood of document labels under the noisy-or, less the weights' sizes times ``lasso`` texts.
+
+    ``slots`` are the features of all sentences, ``lengths`` how many each
+    sentence has, ``counts`` how many sentences each document has.
+    """
+    sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    seen = np.zeros(SIZE, np.int32)
+    for part in np.split(slots, np.cumsum(np.bincount(doc, lengths, len(counts)).astype(np.int64))[:-1]):
+        seen[np.unique(part)] += 1
     used = seen >= LEAST_TEXTS
-    flat = [s[used[s]] for s in flat]
-    lengths = np.array([len(s) for s in flat])
-    slots = np.concatenate(flat)
-    sentence = np.repeat(np.arange(len(flat)), lengths)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    share = weights / weights.sum()
+    some = used[slots]
+    slots, sentence = slots[some].astype(np.int64), sentence[some].astype(np.int64)
+    del some
+    share, pull_back = weights / weights.sum(), lasso / weights.sum()
     w, bias = np.zeros(SIZE), -6.0
     m, v, mb, vb = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, w[slots], len(flat)) + bias
-        clean = np.bincount(doc, np.logaddexp(0, z), len(bags))  # -log of the probability that no sentence offends
+        z = np.bincount(sentence, w[slots], len(lengths)) + bias
+        clean = np.bincount(doc, np.logaddexp(0, z), len(counts))  # -log of the probability that no sentence offends
         p = 1 / (1 + np.exp(-z))
         pull = np.where(labels == 1, 1 / np.expm1(np.maximum(clean, 1e-9)), -1.0) * share
         g = pull[doc] * p
-        gw = np.bincount(slots, g[sentence], SIZE) - lasso * np.sign(w)
+        gw = np.bincount(slots, g[sentence], SIZE) - pull_back * np.sign(w)
         gb = g.sum()
         m += 0.1 * (gw - m)
         v += 0.01 * (gw * gw - v)
@@ -144,20 +150,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def bags(texts: list[str | None]) -> list[list]:
         found = [[np.array(sorted({f for w in s for f in features(w)}), "<u4") for s in sentences(t)] for t in texts]
-        return [[np.concatenate(b).tobytes() if b else b"" for b in found], [np.array([len(s) for s in b], "<u4").tobytes() for b in found]]
+        return [[np.concatenate(b).astype("<u4").tobytes() if b else b"" for b in found], [np.array([len(s) for s in b], "<u4").tobytes() for b in found]]
 
     made = annotate(rows, "t", ("d", "y"), out, bags).orderBy("d", "y").limit(3 * sample).collect()
-    kept, y = [], []
-    for r in made:
-        cuts = np.cumsum(np.frombuffer(r["lengths"], "<u4"))
-        if len(cuts):
-            kept.append(np.split(np.frombuffer(r["slots"], "<u4").astype(np.int64), cuts[:-1]))
-            y.append(r["y"])
+    made = [r for r in made if r["lengths"]]
+    y = [r["y"] for r in made]
     if len(set(y)) < 2:
         return Scorer(np.zeros(SIZE, np.float32), -50.0)
+    slots, lengths = (np.concatenate([np.frombuffer(r[c], "<u4") for r in made]) for c in ("slots", "lengths"))
+    counts = np.array([len(r["lengths"]) // 4 for r in made])
+    del made
     y = np.array(y)
     back = np.where(y == 1, 1 / share[1], 1 / share[0])
-    return train(kept, y, back)
+    return train(slots, lengths.astype(np.int64), counts, y, back)
 
 
 def toxicity(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ...] = ("doc_id",), locate: bool = True) -> DataFrame:
