@@ -29,7 +29,7 @@ from quillmill.llm.common import annotate, fold, kept, steps
 
 BITS = 13
 SIZE = 1 << BITS
-SAMPLE = 8000
+SAMPLE = 4000
 CLUSTERS = 3
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -39,6 +39,12 @@ PURITY = 0.95
 STEP_BYTES = 4_000_000
 
 
+def readable(text: str | None) -> bool:
+    """Whether there is a letter; the pattern also takes numbers such as ²."""
+    found = LETTER.search(text) if text else None
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def counts(texts: list[str | None]) -> np.ndarray:
     """A row of hashed trigram counts per text."""
     out = np.zeros((len(texts), SIZE), np.float32)
@@ -82,15 +88,15 @@ class Centroids:
 
     def predict(self, texts: list[str | None]) -> list[list]:
         """Language, score and whether the text is rejected."""
-        readable = [bool(t) and LETTER.search(t) is not None for t in texts]
+        legible = list(map(readable, texts))
         if not self.labels or not texts:
             return [[UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)]
         near = self.weigh(counts(texts)) @ self.vectors.T
         best = near.argmax(axis=1)
         cosine = np.clip(near.max(axis=1), 0, 1).astype(float).tolist()
-        langs = [self.labels[k] if ok else UNKNOWN for k, ok in zip(best, readable, strict=True)]
-        scores = [c if ok else 0.0 for c, ok in zip(cosine, readable, strict=True)]
-        return [langs, scores, [not ok or c < self.far for c, ok in zip(cosine, readable, strict=True)]]
+        langs = [self.labels[k] if ok else UNKNOWN for k, ok in zip(best, legible, strict=True)]
+        scores = [c if ok else 0.0 for c, ok in zip(cosine, legible, strict=True)]
+        return [langs, scores, [not ok or c < self.far for c, ok in zip(cosine, legible, strict=True)]]
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
