@@ -70,7 +70,7 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 def merged_by(parts: DataFrame, keys: list[str], column: str, k: int = K) -> DataFrame:
     """One fingerprint a group: the k smallest hashes of all its parts, cut to k before and after the shuffle."""
     each = parts.select(*keys, F.explode(column).alias("__h"))
-    each = each.groupBy(*keys, "__h").agg()
+    each = each.distinct()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__h"))
     best = each.withColumn("__r", rank).where(F.col("__r") <= k)
     return best.groupBy(*keys).agg(F.sort_array(F.collect_list("__h")).alias(column))

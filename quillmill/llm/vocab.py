@@ -83,11 +83,9 @@ class Encoder:
         """By the library's full path."""
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, word: str, blank: str) -> bytes | None:
-        """A run of letters is one unit of the merge model; None where normalising takes more than lower-casing."""
+    def _letters(self, word: str, blank: str) -> bytes:
+        """A run of letters is one unit of the merge model."""
         if not word.isascii():
-            if self.lowers and BEYOND.search(word):
-                return None
             word = (word.lower() if self.lowers else word).encode().decode("latin-1").translate(BYTE_LETTERS)
         elif self.lowers:
             word = word.lower()
@@ -95,14 +93,16 @@ class Encoder:
 
     def _chunk(self, chunk: str, blank: str) -> bytes:
         """Leading letters go straight to the merge model; what follows them is encoded alone."""
+        if self.lowers and not chunk.isascii() and BEYOND.search(chunk):
+            return self._whole(blank + chunk)  # marks may compose with letters
         if chunk.isalpha():
             found = self._letters(chunk, self.blank if blank else "")
         else:
             start = LETTERS.match(chunk)
-            found = self._letters(start[0], self.blank if blank else "") if start else None
-            if found is not None:
-                found += self.rests[chunk[start.end() :]]
-        return self._whole(blank + chunk) if found is None else found
+            if not start or not start[0].isalpha():  # the pattern also takes numbers such as ²
+                return self._whole(blank + chunk)
+            found = self._letters(start[0], self.blank if blank else "") + self.rests[chunk[start.end() :]]
+        return found
 
     def _behind_blank(self, chunk: str) -> bytes:
         return self._chunk(chunk, " ")
