@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,22 @@ def collect_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "id"
     return seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def collect_pages(stream: Callable[[], DataFrame], out: str, checkpoint: str, key: str = "id", most: int | None = None) -> int:
+    """Collects a source whose batches are single pages until it has no more, or for ``most`` pages; gives their number.
+
+    Each page is committed before the next is asked for, so what was paid for
+    is never lost, and a later run goes on behind it.
+    """
+    pages = 0
+    while most is None or pages < most:
+        run = collect_stream(stream(), out, checkpoint, key)
+        run.awaitTermination()
+        if not any(p["numInputRows"] for p in run.recentProgress):
+            break
+        pages += 1
+    return pages
+
+
 def read_files(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     """A stream over a growing folder of Parquet files; ``files_per_batch`` bounds what one batch takes."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
