@@ -159,7 +159,7 @@ def proj_unpaywall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select o_orderkey, 'Order ' || o_orderkey as title, cast(year(o_orderdate) as int) as year, strftime(o_orderdate, '%Y-%m') as updated from orders")
-def proj_crossref(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proj_crossref_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit('"Order '), F.col("o_orderkey"), F.lit('"'))
     listed = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("["), title, F.lit("]"))).otherwise(title)
     raw = F.concat(F.lit('{"title": '), listed, F.lit(', "issued": {"date-parts": [['), F.year("o_orderdate"), F.lit(']]}, "updated": {"date-parts": [['), F.year("o_orderdate"), F.lit(", "), F.month("o_orderdate"), F.lit("]]}}"))

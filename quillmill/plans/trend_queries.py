@@ -176,13 +176,18 @@ def win_unmatched_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"with {UNMATCHED} select rank, term, paper_count from unmatched where rank <= 10")
-def topk_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topk_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.unmatched(open_terms(spark, sf_dir), top=10).select("rank", "term", "paper_count")
 
 
-@query(f"with {UNMATCHED} select term, first_seen_month, last_seen_month from unmatched")
-def win_first_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.unmatched(open_terms(spark, sf_dir)).select("term", "first_seen_month", "last_seen_month")
+@query(f"with {UNMATCHED} select term, first_seen_month from unmatched")
+def win_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trend.unmatched(open_terms(spark, sf_dir)).select("term", "first_seen_month")
+
+
+@query(f"with {UNMATCHED} select term, last_seen_month from unmatched")
+def win_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trend.unmatched(open_terms(spark, sf_dir)).select("term", "last_seen_month")
 
 
 SUGGEST = f"""{UNMATCHED},
@@ -327,8 +332,8 @@ def norm_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1])
 
 
-@query("select distinct l_orderkey as pmid, lower(trim(p_type)) as mesh_term from lineitem join part on l_partkey = p_partkey")
-def norm_mesh_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("select distinct l_orderkey as pmid, lower(trim(p_type)) as mesh_term from lineitem join part on l_partkey = p_partkey", name="norm_mesh")
+def norm_mesh_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_parts(spark, sf_dir).select(F.col("id").alias("pmid"), norm_mesh(F.col("topic")).alias("mesh_term")).distinct()
 
 

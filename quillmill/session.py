@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,4 +23,7 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(top.rglob("*.py")):
             z.write(source, source.relative_to(top.parent))
     context.addPyFile(str(archive))
+    # stream readers run beside the driver, in processes that don't get Python files
+    known = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = f"{top.parent}{os.pathsep}{known}" if known else str(top.parent)
     _SHIPPED.add(context.applicationId)
