@@ -64,11 +64,13 @@ def annotate(
     out: T.StructType,
     worker: Callable[[list[str | None]], list[list]],
     rows: int = STEP_ROWS,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Adds columns computed from ``text`` to the kept columns, without a shuffle.
 
     ``worker`` gets a list of texts (nulls stay None) and returns one list per
     field of ``out``. A kept column whose name is also in ``out`` is replaced.
+    ``done`` is called when a task ends, to let go of what it has gathered.
     """
     made = set(out.fieldNames())
     kept = [k for k in keep if k not in made]
@@ -84,9 +86,11 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, rows):
-            done = worker(part.column(part.num_columns - 1).to_pylist())
-            added = [pa.array(v, kind) for v, kind in zip(done, kinds, strict=True)]
+            found = worker(part.column(part.num_columns - 1).to_pylist())
+            added = [pa.array(v, kind) for v, kind in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names=names)
+        if done:
+            done()
 
     return source.mapInArrow(run, schema)
 

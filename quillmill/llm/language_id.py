@@ -35,6 +35,8 @@ UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: Texts are rejected below this share of the smallest usual cosine of the training sample.
 FAR = 0.1
+#: Texts whose vectors are held at once.
+ROWS = 64
 PURITY = 0.95
 STEP_BYTES = 4_000_000
 
@@ -104,7 +106,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(SIZE, np.int64)
-        for part in steps(batches):
+        for part in steps(batches, ROWS):
             df += (counts(part.column(0).to_pylist()) > 0).sum(axis=0)
             total += part.num_rows
         slots = np.append(np.flatnonzero(df), SIZE)
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
         found = [np.flatnonzero(r) for r in rows]
         return [[f.astype("<u2").tobytes() for f in found], [r[f].astype("<f4").tobytes() for r, f in zip(rows, found, strict=True)]]
 
-    drawn = annotate(source.where(chosen), "t", ("l",), tallied, sparse).orderBy("l", F.xxhash64("slots", "tally")).limit(2 * sample).collect()
+    drawn = annotate(source.where(chosen), "t", ("l",), tallied, sparse, ROWS).orderBy("l", F.xxhash64("slots", "tally")).limit(2 * sample).collect()
     blank = Centroids(idf, np.zeros((0, SIZE), np.float32), [], 0.0)
     vectors, centroids, labels = [], [], []
     for name in sorted(sizes):
@@ -194,7 +196,7 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text", keep: tuple[
     """Kept columns with lang_pred, score and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return annotate(docs, text, keep, out, lambda texts: shared.value.predict(texts))
+    return annotate(docs, text, keep, out, lambda texts: shared.value.predict(texts), ROWS)
 
 
 def identified(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:

@@ -42,6 +42,8 @@ LASSO = 0.75
 LEAK = 0.01
 STOP = re.compile(r"[.!?\n]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
+#: Word weights that a task keeps at hand.
+WORDS = 150_000
 EDGE = "\t\r\x0b\x0c ,;:\"'()[]{}<>*#&$%|-_"
 
 
@@ -65,7 +67,7 @@ class Scorer:
     bias: float
 
     def __post_init__(self):
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, WORDS)
 
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias}
@@ -77,6 +79,10 @@ class Scorer:
     def _word(self, word: str) -> float:
         return float(sum(self.weights[f] for f in set(features(word))))
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.words.old = {}
+
     def logits(self, text: str | None) -> np.ndarray:
         word = self.words.__getitem__
         return np.array([sum(map(word, s)) for s in sentences(text)], float) + self.bias
@@ -176,7 +182,7 @@ def toxicity(docs: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[st
         scores = [s.score(t) for t in texts]
         return [scores, [int(x >= THRESHOLD) for x in scores], [s.offending(t) if locate and x >= THRESHOLD else [] for t, x in zip(texts, scores, strict=True)]]
 
-    return annotate(docs, text, keep, out, worker)
+    return annotate(docs, text, keep, out, worker, done=lambda: shared.value.forget())
 
 
 def civil(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
