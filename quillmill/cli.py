@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import records
 from quillmill.functions.text import cas_number, exact_round, name_key, record_key
-from quillmill.operators import evidence, lexicon, merge, suggest, trend
+from quillmill.operators import evidence, lexicon, merge, suggest, trend, vocabulary
 from quillmill.session import ship
 from quillmill.sources import files, paged, rest, schema
 
@@ -41,8 +41,8 @@ def report(args, name: str, rows: DataFrame, fields: list[str]) -> None:
 
 
 def dimensions(spark: SparkSession, args) -> tuple[DataFrame, DataFrame, dict]:
-    words = json.loads(Path(args.lexicon).read_text(encoding="utf-8")) if args.lexicon else {}
-    stops = json.loads(Path(args.stopwords).read_text(encoding="utf-8")).get("field_labels", []) if args.stopwords else []
+    words = json.loads(Path(args.lexicon).read_text(encoding="utf-8")) if args.lexicon else vocabulary.lexicon()
+    stops = json.loads(Path(args.stopwords).read_text(encoding="utf-8")).get("field_labels", []) if args.stopwords else vocabulary.stopwords()
     return lexicon.alias_table(spark, words), lexicon.stopword_table(spark, stops), words
 
 

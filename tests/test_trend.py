@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import dates, text
-from quillmill.operators import lexicon, suggest, trend
+from quillmill.operators import lexicon, suggest, trend, vocabulary
 
 
 def records(spark, months):
@@ -93,6 +93,17 @@ def test_norm_term_agrees_with_plain_python(spark):
     assert [r["n"] for r in rows] == [lexicon.plain_norm_term(t) for t in terms]
 
 
+@pytest.mark.parametrize(
+    ("term", "key"),
+    [("TiO₂", "TITANIUM_DIOXIDE"), ("Cu/Zn-SOD", "SUPEROXIDE_DISMUTASE"), ("nicotinamide", "NICOTINAMIDE"), ("Niacinamide", "NIACINAMIDE"), ("UV-B", "UVB"), ("Reef-Safe", "CORAL_TOXICITY"), ("Chemistry", None), ("snail mucin", "snail mucin")],
+)
+def test_default_vocabulary(spark, term, key):
+    rows = spark.createDataFrame([(1, [term])], "id int, keywords array<string>")
+    got = lexicon.record_terms(rows, "keywords", lexicon.alias_table(spark, vocabulary.lexicon()), lexicon.stopword_table(spark, vocabulary.stopwords()), keep=["id"]).collect()
+    assert [r["keyword_key"] for r in got] == ([key] if key else [])
+    assert len(vocabulary.lexicon()) == 32 and len(vocabulary.stopwords()) == 52
+
+
 def months(first, n):
     y, m = map(int, first.split("-"))
     return [f"{(y * 12 + m - 1 + i) // 12:04d}-{(y * 12 + m - 1 + i) % 12 + 1:02d}" for i in range(n)]
