@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 from quillmill.plans.catalog import query
 from quillmill.plans.relations import table
+from quillmill.session import shared_dir
 from quillmill.streaming import ingest, windows
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(where or '/tmp/checkpoints/quillmill').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:

@@ -1,10 +1,14 @@
-"""Session set-up: making the package importable where Python workers run."""
+"""Session set-up: the package where Python workers run, and a folder that all of them share."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,3 +31,21 @@ def ship(spark: SparkSession) -> None:
     known = context.environment.get("PYTHONPATH")
     context.environment["PYTHONPATH"] = f"{top.parent}{os.pathsep}{known}" if known else str(top.parent)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local master may lack it, and gets one that goes when the process ends."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    path = f"/tmp/checkpoints/quillmill-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
