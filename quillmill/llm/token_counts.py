@@ -24,11 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm.common import annotate
-from quillmill.llm.vocab import BYTE_LETTERS, CHUNK, Memo, ragged, vocabulary
+from quillmill.llm.vocab import BYTE_LETTERS, CHUNK, GENERATION, LETTERS, Memo, ragged, vocabulary
 
 #: Fixed value: the pattern by which byte-level vocabularies cut a text into units.
 UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PREFIXES = 400_000
+PREFIXES = 800_000
+NEVER = 1 << 60
+LONG = 100
+#: More than the longest vocabulary entry; and numbers that many prefixes share, made once.
+WIDE = 1024
+CODES = list(range(16 * WIDE))
 
 
 @lru_cache(maxsize=2)
@@ -46,16 +51,21 @@ class PrefixCounter:
     def __init__(self, path: str):
         self.vocab, self.ranks, self.special, self.longest = merges(path)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.last: dict[str, tuple[str, int]] = {"": ("", 0)}
-        self.inner = Memo(lambda chunk: self.chunk(" " + chunk))
+        self.last: dict[str, int] = {"": 0}  # prefix -> its count times WIDE, and the length of its last token
+        self.inner = Memo(self._behind_blank)
+        self.rests = Memo(self.chunk, GENERATION // 8)
         self.outer = Memo(self.chunk)
 
     def _merged(self, symbols: list[str]) -> list[str]:
+        """What the merge rules make of some symbols, lowest rank first."""
+        rank = self.ranks.get
         while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: self.ranks.get((symbols[i], symbols[i + 1]), 1 << 60))
-            if (symbols[best], symbols[best + 1]) not in self.ranks:
+            ranks = [rank(pair, NEVER) for pair in zip(symbols, symbols[1:], strict=False)]
+            least = min(ranks)
+            if least == NEVER:
                 break
-            symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
+            at = ranks.index(least)
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
     def _stable(self, a: str, b: str) -> bool:
@@ -69,36 +79,49 @@ class PrefixCounter:
 
     def table(self, unit: str) -> list[int]:
         """Token counts of all byte prefixes of one unit, the empty one first. ``unit`` is in the byte alphabet."""
+        if len(unit) > LONG:
+            return self._long(unit)
         self.total(unit)
-        return [self._at(unit, end)[1] for end in range(len(unit) + 1)]
+        return [self.last[unit[:end]] // WIDE for end in range(len(unit) + 1)]
 
     def _extend(self, unit: str, known: int) -> int:
         """Fills the table from the longest known prefix on; gives the whole unit's count."""
         last, vocab, stable, longest = self.last, self.vocab, self._stable, self.longest
         if len(last) > PREFIXES:
             last.clear()
-            last[""] = ("", 0)
+            last[""] = 0
             known = 0
         for end in range(known + 1, len(unit) + 1):
             for start in range(max(0, end - longest), end):
                 token = unit[start:end]
                 if token in vocab:
                     before = last[unit[:start]]
-                    if stable(before[0], token):
+                    if stable(unit[start - before % WIDE : start], token):
                         break
-            last[unit[:end]] = (token, before[1] + 1)
-        return before[1] + 1
-
-    def _at(self, unit: str, end: int) -> tuple[str, int]:
-        self.total(unit[:end])
-        return self.last[unit[:end]]
+            code = before - before % WIDE + WIDE + end - start
+            last[unit[:end]] = CODES[code] if code < len(CODES) else code
+        return code // WIDE
+
+    def _long(self, unit: str) -> list[int]:
+        """The table of a unit too long to keep by its prefixes."""
+        sizes, counts, vocab, stable, longest = [0], [0], self.vocab, self._stable, self.longest
+        for end in range(1, len(unit) + 1):
+            for start in range(max(0, end - longest), end):
+                token = unit[start:end]
+                if token in vocab and stable(unit[start - sizes[start] : start], token):
+                    break
+            sizes.append(end - start)
+            counts.append(counts[start] + 1)
+        return counts
 
     def total(self, unit: str) -> int:
         """Count of a whole unit; only prefixes that aren't known yet are worked out."""
+        if len(unit) > LONG:
+            return self._long(unit)[-1]
         last = self.last
         found = last.get(unit)
-        if found:
-            return found[1]
+        if found is not None:
+            return found // WIDE
         known = len(unit) - 1
         while unit[:known] not in last:
             known -= 1
@@ -111,6 +134,15 @@ class PrefixCounter:
     def chunk(self, chunk: str) -> int:
         return sum(self.total(self.letters(u)) for u in UNIT.findall(chunk))
 
+    def _behind_blank(self, chunk: str) -> int:
+        """A blank and letters are one unit; what follows letters is counted alone."""
+        if chunk.isalpha():
+            return self.total(self.letters(" " + chunk) if not chunk.isascii() else "Ġ" + chunk)
+        start = LETTERS.match(chunk)
+        if not start or not start[0].isalpha():
+            return self.chunk(" " + chunk)
+        return self._behind_blank(start[0]) + self.rests[chunk[start.end() :]]
+
     def count(self, texts: list[str | None]) -> list[int]:
         """Totals of whole texts: sums of the tables' last entries."""
         return [sum(map(self._piece, pieces)) + len(pieces) - 1 if (pieces := self._split(t)) else 0 for t in texts]

@@ -44,6 +44,9 @@ def test_counts_at_every_prefix(text):
 def test_unit_tables_and_budgets():
     table = _COUNT.table("international")
     assert table == [len(tokenizer(BYTE).encode("international"[:i], add_special_tokens=False).ids) for i in range(14)]
+    long = "abcdefgh" * 9000 + "a" * 5000
+    assert _COUNT.count([long, "!" * 3000]) == [len(tokenizer(BYTE).encode(t, add_special_tokens=False).ids) for t in (long, "!" * 3000)]
+    assert _COUNT.table("ab" * 60)[:101] == _COUNT.table("ab" * 50)
     text = "one two three four"
     index = _COUNT.index(text)
     assert text[: _COUNT.longest_within(text, index, 2)] == "one two" and _COUNT.longest_within(text, index, 0) == 0
