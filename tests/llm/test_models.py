@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmill.llm import language_id, lm, near_dups, packing, toxicity
-from quillmill.llm.common import fold, shared_dir
+from quillmill.llm.common import fold
 from quillmill.llm.vocab import tokenizer, vocabulary
+from quillmill.session import shared_dir
 
 
 def test_folds(spark):
