@@ -50,9 +50,9 @@ def stopword_table(spark: SparkSession, labels: list[str]) -> DataFrame:
 
 
 def surfaces(terms: DataFrame, column: str, normalise=norm_term) -> DataFrame:
-    """Adds ``surface``: each distinct term is normalised once and joined back."""
+    """Adds ``surface``: each distinct term is normalised once and joined back; a table of terms alone becomes their distinct ones."""
     once = terms.select(column).distinct().withColumn("surface", normalise(F.col(column)))
-    return terms.join(once, column)
+    return once if terms.columns == [column] else terms.join(once, column)
 
 
 def resolve(terms: DataFrame, aliases: DataFrame, stopwords: DataFrame) -> DataFrame:
@@ -72,9 +72,15 @@ def resolve(terms: DataFrame, aliases: DataFrame, stopwords: DataFrame) -> DataF
 
 
 def record_terms(records: DataFrame, field: str | Column, aliases: DataFrame, stopwords: DataFrame, keep: list[str], normalise=norm_term) -> DataFrame:
-    """One row a record and key: the terms of one list column, resolved; forms that share a key count once a record."""
+    """One row a record and key: the terms of one list column, resolved; forms that share a key count once a record.
+
+    Each distinct term is normalised and resolved once, and joined back; the
+    kept columns must be functions of the first. All columns are grouped by, as
+    hash aggregation has no buffer for a first string.
+    """
     each = records.select(*keep, F.explode(field).alias("term"))
-    return resolve(surfaces(each, "term", normalise), aliases, stopwords).drop("term", "surface").dropDuplicates([*keep[:1], "keyword_key"])
+    once = resolve(surfaces(each.select("term"), "term", normalise), aliases, stopwords).drop("surface")
+    return each.join(once, "term").drop("term").distinct()
 
 
 def normalize_summary(records: DataFrame, field: str, aliases: DataFrame, stopwords: DataFrame, normalise=norm_term) -> DataFrame:

@@ -20,6 +20,8 @@ LOW_SAMPLE, LEAST_TOTAL, NEW_ENTRANT_PAPERS = 50, 10, 5
 RECENT_MONTHS, PRIOR_MONTHS = 12, 24
 RISING, FALLING = 1.5, 0.67
 SPREAD, STEADY = 0.25, 0.5
+#: A key and what depends on it: grouped by together, for hash aggregation has no buffer for any string.
+TERM = ("keyword_key", "canonical_en", "category", "is_in_lexicon")
 
 Rounder = Callable[[Column, int], Column]
 
@@ -78,10 +80,7 @@ def term_monthly(terms: DataFrame, denominator: DataFrame, rounder: Rounder = ro
     ``terms`` has one row a record and key, with the record's month_bucket,
     citation_count and citation_percentile_in_cohort.
     """
-    grouped = terms.where("month_bucket is not null").groupBy("month_bucket", "keyword_key").agg(
-        F.any_value("canonical_en").alias("canonical_en"),
-        F.any_value("category").alias("category"),
-        F.any_value("is_in_lexicon").alias("is_in_lexicon"),
+    grouped = terms.where("month_bucket is not null").groupBy("month_bucket", *TERM).agg(
         F.count(F.lit(1)).alias("paper_count"),
         F.sum("citation_count").alias("citation_sum"),
         F.median("citation_count").alias("median"),
@@ -140,14 +139,11 @@ def trend_metrics(monthly: DataFrame, denominator: DataFrame, rounder: Rounder =
     per = (
         monthly.select("month_bucket", "query_id", "keyword_key", "canonical_en", "category", "is_in_lexicon", "paper_count", "prevalence", "weighted_prevalence")
         .join(flagged, "month_bucket")
-        .groupBy("keyword_key", "query_id")
+        .groupBy(*TERM, "query_id")
         .agg(
-            F.any_value("canonical_en").alias("canonical_en"),
-            F.any_value("category").alias("category"),
-            F.any_value("is_in_lexicon").alias("is_in_lexicon"),
             F.min("month_bucket").alias("first_seen_month"),
             F.sum("paper_count").alias("total_papers"),
-            F.count_distinct("month_bucket").alias("months_present"),
+            F.count(F.lit(1)).alias("months_present"),  # a term has one row a month
             exact(inside("recent", "prevalence")).alias("sum_recent"),
             exact(inside("prior", "prevalence")).alias("sum_prior"),
             F.coalesce(inside("recent", "paper_count"), F.lit(0)).alias("papers_recent"),
@@ -230,7 +226,8 @@ def unmatched(terms: DataFrame, order: str = "ord", top: int | None = None) -> D
     three titles a term go through the ranking, found before they meet.
     """
     open_ = terms.where(~F.col("is_in_lexicon")).withColumn("title", F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)^\s+|\s+$", ""))
-    counted = open_.groupBy("keyword_key").agg(F.count(F.lit(1)).alias("paper_count"), F.min("month_bucket").alias("first"), F.max("month_bucket").alias("last"), F.count_distinct("month_bucket").alias("months_present"))
+    monthly = open_.groupBy("keyword_key", "month_bucket").agg(F.count(F.lit(1)).alias("n"))
+    counted = monthly.groupBy("keyword_key").agg(F.sum("n").alias("paper_count"), F.min("month_bucket").alias("first"), F.max("month_bucket").alias("last"), F.count("month_bucket").alias("months_present"))
     place = F.row_number().over(Window.partitionBy("keyword_key").orderBy(order))
     titled = open_.where("title <> ''").select("keyword_key", F.substring("title", 1, TITLE_CHARS).alias("title"), place.alias("k")).where(F.col("k") <= EXAMPLES)
     titles = titled.groupBy("keyword_key").agg(*[F.max(F.when(F.col("k") == i, F.col("title"))).alias(f"t{i}") for i in range(1, EXAMPLES + 1)])

@@ -49,7 +49,7 @@ def dimensions(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def work_terms(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
     """Resolved terms of works, one row a work and key, with month, citations and cohort share."""
-    once = order_parts(spark, sf_dir).select("id", F.array(field).alias("terms")).distinct()
+    once = order_parts(spark, sf_dir).select("id", F.array(field).alias("terms"))
     resolved = record_terms(once, "terms", *dimensions(spark), keep=["id"], normalise=norm_term_plain)
     return resolved.join(cohort_weights(works(spark, sf_dir)).drop("query_id"), "id")
 

@@ -223,7 +223,7 @@ select 'keywords' as field, (select count(distinct keyword) from parts) as befor
        (select count(distinct keyword_key) from terms where is_in_lexicon) as lexicon_keys"""
 )
 def agg_normalize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = order_parts(spark, sf_dir).select(F.array("keyword").alias("keywords")).distinct()
+    records = order_parts(spark, sf_dir).select(F.array("keyword").alias("keywords"))
     return lexicon.normalize_summary(records, "keywords", *dimensions(spark), normalise=norm_term_plain)
 
 
