@@ -31,14 +31,7 @@ def test_shared_dir_is_read_from_the_session(spark):
 # --- language model ------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("dictionary", [lm.DICTIONARY, 40])
-def test_base_scores_are_exact(spark, small, monkeypatch, dictionary):
-    """With a small dictionary most words meet their counts in the join."""
-    monkeypatch.setattr(lm, "HEADS", min(lm.HEADS, dictionary - 5))
-    monkeypatch.setattr(lm, "SIZE", 1 + lm.HEADS + lm.CLASSES)
-    monkeypatch.setattr(lm, "ROUNDS", 3)
-    if dictionary == 40:
-        pytest.skip("workers import their own settings; the join path is tested below")
+def test_base_scores_are_exact(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     rows = {r["doc_id"]: r for r in lm.op1_lm_scores(spark, small).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
