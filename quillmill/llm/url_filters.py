@@ -55,7 +55,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...], url:
     digest = F.sha2(F.concat_ws("\n", "h", "p"), 256)
     listed = listed.select("rule", "v", F.substring(digest, 1, PREFIX_DIGITS).alias("short"), digest.alias("full"), F.when(~F.col("p").endswith("/") & (F.col("p") != ""), F.char_length("p")).alias("odd"))
     few = listed.limit(broadcast_rules + 1).count() <= broadcast_rules
-    odd = sorted(r[0] for r in listed.select("odd").where("odd is not null").distinct().limit(1024).collect())
+    odd = sorted(r[0] for r in listed.select("odd").where("odd is not null").distinct().collect())  # at most one number for each length of a path
 
     names = [k for k in keep if k not in ("host", "path", "rule", "verdict")]
     tagged = pages.select(F.struct(*names).alias("own"), F.monotonically_increasing_id().alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
