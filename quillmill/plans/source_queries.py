@@ -324,7 +324,7 @@ def ing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(scripted(), KINDS).select("name", F.col("left").alias("remaining"))
 
 
-@query("select * from (values (1, 0.0), (2, 4.0), (3, 4.0)) t(request, wait)")
+@query("select request, cast(wait as double) as wait from (values (1, 0), (2, 4), (3, 4)) t(request, wait)")
 def ing_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A host is asked again only after its interval."""
     now, slept = [0.0], []

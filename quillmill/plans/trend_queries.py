@@ -158,7 +158,7 @@ open as (
          row_number() over (partition by keyword_key order by id) as k
   from terms join works using (id) join orders on id = o_orderkey where not is_in_lexicon),
 unmatched as (
-  select row_number() over (order by count(*) desc, keyword_key) as rank, keyword_key as term, count(*) as paper_count, min(month_bucket) as first_seen_month,
+  select cast(row_number() over (order by count(*) desc, keyword_key) as int) as rank, keyword_key as term, count(*) as paper_count, min(month_bucket) as first_seen_month,
          max(month_bucket) as last_seen_month, count(distinct month_bucket) as months_present,
          coalesce(max(title) filter (k = 1), '') as example_title_1, coalesce(max(title) filter (k = 2), '') as example_title_2, coalesce(max(title) filter (k = 3), '') as example_title_3,
          '' as verdict
@@ -239,9 +239,9 @@ def agg_top_terms_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with r as (select *, case when o_orderpriority like '1%' then null else o_orderdate end as d from orders)
-select count(*) as total, count(d) as precision_day, 0 as precision_month, count(*) filter (d is null) as precision_year_only, 0 as precision_unknown,
+select count(*) as total, count(d) as precision_day, cast(0 as bigint) as precision_month, count(*) filter (d is null) as precision_year_only, cast(0 as bigint) as precision_unknown,
        count(distinct strftime(d, '%Y-%m')) as months, count(*) filter (o_orderstatus <> 'F') as with_doi, count(*) filter (d is null) as excluded,
-       count(distinct o_orderpriority) as distinct_keywords, count(distinct o_orderstatus) as distinct_topics, 0 as distinct_concepts
+       count(distinct o_orderpriority) as distinct_keywords, count(distinct o_orderstatus) as distinct_topics, cast(0 as bigint) as distinct_concepts
 from r"""
 )
 def agg_records_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
