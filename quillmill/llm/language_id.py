@@ -3,7 +3,9 @@
 A text is its vector of hashed byte-trigram weights: damped counts times
 inverse document frequency, scaled to length one. Each language has several
 centroids, found by spherical k-means; the nearest by cosine names the
-language, and a text too far from all of them is rejected.
+language, and a text too far from all of them is rejected: one whose cosine is
+below half of what is usual for that language, or no higher than the same
+weights would reach in slots drawn at random.
 
 Document frequencies cover all training texts. Centroids are fitted on a
 bounded sample of labelled texts (``SAMPLE``, shared evenly by the languages).
@@ -33,8 +35,10 @@ SAMPLE = 4000
 CLUSTERS = 3
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: Texts are rejected below this share of the smallest usual cosine of the training sample.
-FAR = 0.1
+#: Texts are rejected below this share of the smallest usual cosine of their language in the training sample.
+FAR = 0.5
+#: And below this many standard deviations above the mean cosine of random slots.
+CHANCE = 3.0
 #: Texts whose vectors are held at once.
 ROWS = 64
 PURITY = 0.95
@@ -83,7 +87,8 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray
     labels: list[str]
-    far: float
+    #: Per centroid, the smallest cosine that isn't rejected.
+    far: np.ndarray
 
     def weigh(self, tally: np.ndarray) -> np.ndarray:
         return unit(np.log1p(tally) * self.idf)
@@ -93,12 +98,22 @@ class Centroids:
         legible = list(map(readable, texts))
         if not self.labels or not texts:
             return [[UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)]
-        near = self.weigh(counts(texts)) @ self.vectors.T
+        damped = counts(texts)
+        np.log1p(damped, out=damped)
+        near = unit(damped * self.idf) @ self.vectors.T
         best = near.argmax(axis=1)
+        least = np.maximum(self.far[best], self.chance(damped, best)).tolist()
         cosine = np.clip(near.max(axis=1), 0, 1).astype(float).tolist()
         langs = [self.labels[k] if ok else UNKNOWN for k, ok in zip(best, legible, strict=True)]
         scores = [c if ok else 0.0 for c, ok in zip(cosine, legible, strict=True)]
-        return [langs, scores, [not ok or c < self.far for c, ok in zip(cosine, legible, strict=True)]]
+        return [langs, scores, [not ok or c < f for c, f, ok in zip(cosine, least, legible, strict=True)]]
+
+    def chance(self, damped: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The cosine to its centroid that a row's damped counts hardly exceed in slots drawn at random."""
+        spread = damped.sum(axis=1) / np.maximum(np.sqrt(np.einsum("ij,ij->i", damped, damped)), 1e-12)
+        each = self.idf * self.vectors
+        scale = np.sqrt((self.idf * self.idf).mean())
+        return (spread * each.mean(axis=1)[owner] + CHANCE * each.std(axis=1)[owner]) / scale
 
 
 def document_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
@@ -135,7 +150,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     total, df = document_frequencies(source, "t")
     idf = (np.log((1 + total) / (1 + df)) + 0.05).astype(np.float32)
     sizes = {r["l"]: r["count"] for r in source.groupBy("l").count().collect()}
-    empty = Centroids(idf, np.zeros((0, SIZE), np.float32), [], 0.0)
+    empty = Centroids(idf, np.zeros((0, SIZE), np.float32), [], np.zeros(0))
     if not sizes:
         return empty
     share = max(1, sample // len(sizes))
@@ -151,7 +166,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
         return [[f.astype("<u2").tobytes() for f in found], [r[f].astype("<f4").tobytes() for r, f in zip(rows, found, strict=True)]]
 
     drawn = annotate(source.where(chosen), "t", ("l",), tallied, sparse, ROWS).orderBy("l", F.xxhash64("slots", "tally")).limit(2 * sample).collect()
-    blank = Centroids(idf, np.zeros((0, SIZE), np.float32), [], 0.0)
+    blank = Centroids(idf, np.zeros((0, SIZE), np.float32), [], np.zeros(0))
     vectors, centroids, labels = [], [], []
     for name in sorted(sizes):
         mine = [r for r in drawn if r["l"] == name]
@@ -170,11 +185,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     found, far = pruned(vectors, centroids)
     flat = np.repeat(np.arange(len(found)), [len(f) for f in found])
     names = list(dict.fromkeys(labels))
-    return Centroids(idf, np.vstack(found).astype(np.float32), [names[i] for i in flat], FAR * far)
+    return Centroids(idf, np.vstack(found).astype(np.float32), [names[i] for i in flat], FAR * far[flat])
 
 
-def pruned(rows: list[np.ndarray], centroids: list[np.ndarray], purity: float = PURITY) -> tuple[list[np.ndarray], float]:
-    """Per language: its centroids, less those whose neighbours in the sample are mostly of other languages; and the smallest usual cosine."""
+def pruned(rows: list[np.ndarray], centroids: list[np.ndarray], purity: float = PURITY) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per language: its centroids, less those whose neighbours in the sample are mostly of other languages; and its smallest usual cosine."""
     owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(centroids)])
     truth = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
     near = np.vstack(rows) @ np.vstack(centroids).T
@@ -189,7 +204,7 @@ def pruned(rows: list[np.ndarray], centroids: list[np.ndarray], purity: float =
         alive[worst] = False
     at = np.split(alive, np.cumsum([len(c) for c in centroids])[:-1])
     kept = [c[a] for c, a in zip(centroids, at, strict=True)]
-    return kept, float(min(np.quantile((r @ c.T).max(axis=1), 0.01) for r, c in zip(rows, kept, strict=True)))
+    return kept, np.array([np.quantile((r @ c.T).max(axis=1), 0.01) for r, c in zip(rows, kept, strict=True)])
 
 
 def identify(docs: DataFrame, model: Centroids, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -129,6 +129,19 @@ def test_op9_on_held_out_texts(spark, small):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.9
 
 
+def test_far_texts_are_rejected(spark, small):
+    """Letters at random and scripts never learned go, at any length; held-out texts stay."""
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    latin, cyrillic, han = "abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(0x430, 0x450)], [chr(c) for c in range(0x4E00, 0x9FFF)]
+    far = [" ".join(word(letters) for _ in range(n)) for letters in (latin, cyrillic, han) for n in (10, 50, 200, 1000) for _ in range(5)]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fit(language_id.training_rows(docs))
+    assert all(model.predict(far)[2])
+    held = [r["text"] for r in docs.where("lang is not null").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert np.mean(model.predict([t for t in held if language_id.readable(t)])[2]) < 0.03
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------
 
 
