@@ -126,16 +126,25 @@ def proj_record_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.record_key(F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.col("p_brand")).alias("record_key"))
 
 
-@query("select doc_id, array_to_string(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> ''), ' ') as abstract from documents where length(text) < 3000")
-def proj_restore_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstracts written as inverted indexes, then restored. Only papers with an abstract of usual length have an index."""
-    docs = table(spark, sf_dir, "documents").where(F.char_length("text") < 3000)
+def restored(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    placed = docs.select("doc_id", F.posexplode(words).alias("at", "w")).groupBy("doc_id", "w").agg(F.collect_list("at").alias("ats"))
-    index = placed.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "ats")))).alias("index"))
+    placed = docs.select("doc_id", F.posexplode_outer(words).alias("at", "w")).groupBy("doc_id", "w").agg(F.collect_list("at").alias("ats"))
+    index = placed.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "ats"))))).alias("index"))
     return index.select("doc_id", records.restore_abstract(F.col("index")).alias("abstract"))
 
 
+@query("select doc_id, array_to_string(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> ''), ' ') as abstract from documents where length(text) < 3000")
+def proj_restore_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts written as inverted indexes, then restored; those of usual length, as in the SQL."""
+    return restored(table(spark, sf_dir, "documents").where(F.char_length("text") < 3000))
+
+
+@query()
+def proj_restore_abstract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all documents, at any length; a text without words has an empty index and no abstract."""
+    return restored(table(spark, sf_dir, "documents"))
+
+
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def proj_json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", records.at(records.raw_json(F.col("props")), "$.k", "bigint").alias("k"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,16 @@ def test_export_round_trip(spark, tmp_path):
     assert [(r["s"], r["n"]) for r in back] == [("a", ""), ('q"x', "2")]
     with pytest.raises(ValueError):
         files.export_csv(rows, ["s"], limit=1)
+
+
+def test_restore_whole_abstracts(spark, small, tmp_path):
+    """Long, empty and null texts as well as those of the table."""
+    from quillmill.plans.record_queries import proj_restore_abstract_whole
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, " \n "), (-4, 'say "x" \\ y ' * 9_000)]
+    docs.union(spark.createDataFrame(odd, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | dict(odd)
+    assert sum(len(t or "") >= 3000 for t in texts.values()) > 10
+    got = {r["doc_id"]: r["abstract"] for r in proj_restore_abstract_whole(spark, str(tmp_path)).collect()}
+    assert got == {k: " ".join(w for w in re.split("[ \n]+", t or "") if w) or None for k, t in texts.items()}
