@@ -123,9 +123,10 @@ def evd_retracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evd_title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, so that most are of a length at which frequent characters no longer count."""
     d = table(spark, sf_dir, "documents")
-    other = F.regexp_replace(F.substring("text", 1, 120), "a", "e")
-    return d.select("doc_id", evidence.title_similarity(F.substring("text", 1, 120), other).alias("similarity"))
+    other = F.regexp_replace("text", "a", "e")
+    return d.select("doc_id", evidence.title_similarity(F.col("text"), other).alias("similarity"))
 
 
 @query(f"with {SCORED} select cast(doc_id as varchar) as key, score as confidence_score, cast(year as int) as year from final where not gone and score >= 30 and (contains(lower(title), '1') or contains(lower(abstract), '1') or contains(keywords, '1')) order by score desc, year desc, key limit 40")

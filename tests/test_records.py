@@ -123,3 +123,21 @@ def test_restore_whole_abstracts(spark, small, tmp_path):
     assert sum(len(t or "") >= 3000 for t in texts.values()) > 10
     got = {r["doc_id"]: r["abstract"] for r in proj_restore_abstract_whole(spark, str(tmp_path)).collect()}
     assert got == {k: " ".join(w for w in re.split("[ \n]+", t or "") if w) or None for k, t in texts.items()}
+
+
+def plain_title(v):
+    return " ".join(re.sub(r"[^\w\s]", " ", (v or "").lower()).split())
+
+
+def test_title_similarity_of_whole_texts(spark, small):
+    """Most texts exceed the 200 characters from which on difflib leaves out frequent ones."""
+    from difflib import SequenceMatcher
+
+    from quillmill.plans.evidence_queries import evd_title_similarity
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert sum(len(t) > 200 for t in texts.values()) > 100
+    got = {r["doc_id"]: r["similarity"] for r in evd_title_similarity(spark, small).collect()}
+    for k, t in texts.items():
+        a, b = plain_title(t), plain_title(t.replace("a", "e"))
+        assert got[k] == pytest.approx(SequenceMatcher(None, a, b).ratio() if a and b else 0.0), k
