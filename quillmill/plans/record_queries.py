@@ -233,9 +233,15 @@ def norm_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.norm_title(F.substring("text", 1, 60)).alias("title"))
 
 
+@query()
+def norm_title_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``norm_title`` takes the first 60 characters, as its SQL does; this takes whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.norm_title(F.col("text")).alias("title"))
+
+
 @query()
 def norm_name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.name_key(F.substring("text", 1, 60)).alias("name_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.name_key(F.col("text")).alias("name_key"))
 
 
 @query("select p_partkey, case when p_size % 3 = 0 then null else p_name end as name, case when p_size % 2 = 0 then p_brand end as brands from part")

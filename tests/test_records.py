@@ -141,3 +141,12 @@ def test_title_similarity_of_whole_texts(spark, small):
     for k, t in texts.items():
         a, b = plain_title(t), plain_title(t.replace("a", "e"))
         assert got[k] == pytest.approx(SequenceMatcher(None, a, b).ratio() if a and b else 0.0), k
+
+
+def test_whole_texts_are_normalised(spark, small):
+    from quillmill.plans.record_queries import norm_name_key, norm_title_whole
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert sum(len(t or "") > 60 for t in texts.values()) > 100
+    assert {r["doc_id"]: r["title"] for r in norm_title_whole(spark, small).collect()} == {k: plain_title(t) for k, t in texts.items()}
+    assert {r["doc_id"]: r["name_key"] for r in norm_name_key(spark, small).collect()} == {k: " ".join((t or "").split()).casefold() for k, t in texts.items()}
