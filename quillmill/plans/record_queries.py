@@ -127,6 +127,8 @@ def proj_record_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restored(docs: DataFrame) -> DataFrame:
+    """Texts are dealt out by id first, so that no word is shuffled."""
+    docs = docs.select("doc_id", "text").repartition("doc_id")
     words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
     placed = docs.select("doc_id", F.posexplode_outer(words).alias("at", "w")).groupBy("doc_id", "w").agg(F.collect_list("at").alias("ats"))
     index = placed.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "ats"))))).alias("index"))
