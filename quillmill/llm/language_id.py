@@ -1,18 +1,24 @@
 """Language identification by the nearest centroid.
 
-A text is its vector of hashed byte-trigram weights: damped counts times
-inverse document frequency, scaled to length one. Each language has several
-centroids, found by spherical k-means; the nearest by cosine names the
-language, and a text too far from all of them is rejected: one whose cosine is
-below half of what is usual for that language, or no higher than the same
-weights would reach in slots drawn at random.
-
-Document frequencies cover all training texts. Centroids are fitted on a
-bounded sample of labelled texts (``SAMPLE``, shared evenly by the languages).
+A text is its vector of hashed byte-trigram weights over its letters (whatever
+lies between letters counts as one blank): damped counts times inverse document
+frequency, scaled to length one. Each language has several centroids, found by
+spherical k-means among the sampled texts that lie nearest to the mean of their
+own language; the nearest by cosine names the language. A text too far from all
+of them is rejected: one whose cosine is below what nearly all sampled texts of
+that language and length reach, or no higher than the same weights would reach
+in slots drawn at random.
+
+Document frequencies cover all training texts. Centroids and limits are fitted
+on a bounded sample of labelled rows (``SAMPLE``, shared evenly by the
+languages; rows are drawn one by one, so copies of a text count by their share
+of the language, and no language's draw depends on another's).
 
 Defined cases: a null text and one without a letter are ``und``, with score 0
 and rejected; repeated rows are judged alike; if nothing can be learned all
-texts are ``und``. Other columns pass through when they are kept.
+texts are ``und``; of equally near centroids the first by language name wins;
+of more than ``SAMPLE`` languages the most frequent are learned. Other columns
+pass through when they are kept.
 """
 
 from __future__ import annotations
@@ -35,14 +41,19 @@ SAMPLE = 4000
 CLUSTERS = 3
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: Texts are rejected below this share of the smallest usual cosine of their language in the training sample.
-FAR = 0.5
+#: Texts are rejected below this share of the cosine, scaled by length, that all but RARE of their language's sample reach.
+FAR = 0.8
+RARE = 0.005
+#: Trigrams at which the cosine of a text is 1 / sqrt(2) of what a very long one reaches; texts that settle half a limit.
+SHORT = 100
+FEW = 10
 #: And below this many standard deviations above the mean cosine of random slots.
 CHANCE = 3.0
 #: Texts whose vectors are held at once.
 ROWS = 64
-PURITY = 0.95
 STEP_BYTES = 4_000_000
+#: ASCII bytes other than small letters read as blanks.
+SPACED = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def readable(text: str | None) -> bool:
@@ -66,11 +77,13 @@ def counts(texts: list[str | None]) -> np.ndarray:
 
 
 def _count(raws: list[bytes], out: np.ndarray, first: int) -> None:
-    joined = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint32)
+    joined = np.frombuffer(b"".join(raws).translate(SPACED), np.uint8)
+    owner = np.repeat(np.arange(len(raws)), [len(r) for r in raws])
     if len(joined) < 3:
         return
-    lengths = np.array([len(r) for r in raws])
-    owner = np.repeat(np.arange(len(raws)), lengths)
+    said = np.ones(len(joined), bool)
+    said[1:] = (joined[1:] != 32) | (joined[:-1] != 32) | (owner[1:] != owner[:-1])
+    joined, owner = joined[said].astype(np.uint32), owner[said]
     code = (joined[:-2] << np.uint32(16)) | (joined[1:-1] << np.uint32(8)) | joined[2:]
     slot = (code * np.uint32(2654435761)) >> np.uint32(32 - BITS)
     same = owner[:-2] == owner[2:]
@@ -78,6 +91,11 @@ def _count(raws: list[bytes], out: np.ndarray, first: int) -> None:
     out[first : first + len(raws)] = np.bincount(where, minlength=len(raws) * SIZE).reshape(len(raws), SIZE)
 
 
+def reach(trigrams: np.ndarray) -> np.ndarray:
+    """How much of a long text's cosine one of so many trigrams has."""
+    return np.sqrt(trigrams / (trigrams + SHORT))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
 
@@ -87,7 +105,7 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray
     labels: list[str]
-    #: Per centroid, the smallest cosine that isn't rejected.
+    #: Per centroid, the smallest cosine of a very long text that isn't rejected.
     far: np.ndarray
 
     def weigh(self, tally: np.ndarray) -> np.ndarray:
@@ -99,10 +117,11 @@ class Centroids:
         if not self.labels or not texts:
             return [[UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)]
         damped = counts(texts)
+        long = reach(damped.sum(axis=1))
         np.log1p(damped, out=damped)
         near = unit(damped * self.idf) @ self.vectors.T
         best = near.argmax(axis=1)
-        least = np.maximum(self.far[best], self.chance(damped, best)).tolist()
+        least = np.maximum(self.far[best] * long, self.chance(damped, best)).tolist()
         cosine = np.clip(near.max(axis=1), 0, 1).astype(float).tolist()
         langs = [self.labels[k] if ok else UNKNOWN for k, ok in zip(best, legible, strict=True)]
         scores = [c if ok else 0.0 for c, ok in zip(cosine, legible, strict=True)]
@@ -149,15 +168,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     source = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where("t is not null and l is not null")
     total, df = document_frequencies(source, "t")
     idf = (np.log((1 + total) / (1 + df)) + 0.05).astype(np.float32)
-    sizes = {r["l"]: r["count"] for r in source.groupBy("l").count().collect()}
     empty = Centroids(idf, np.zeros((0, SIZE), np.float32), [], np.zeros(0))
+    sizes = {r["l"]: r["count"] for r in source.groupBy("l").count().orderBy(F.desc("count"), "l").limit(sample).collect()}
     if not sizes:
         return empty
     share = max(1, sample // len(sizes))
-    lot = F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for name, n in sizes.items():
-        chosen = chosen | ((F.col("l") == name) & (lot < int(1e6 * min(1.0, share / n)) + 1))
+    odds = docs.sparkSession.createDataFrame([(name, min(1.0, share / n)) for name, n in sizes.items()], "l string, odds double")
+    drawn = source.join(F.broadcast(odds), "l").where(F.rand(3) < F.col("odds"))
     tallied = T.StructType().add("slots", T.BinaryType()).add("tally", T.BinaryType())
 
     def sparse(texts: list[str | None]) -> list[list]:
@@ -165,46 +182,36 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
         found = [np.flatnonzero(r) for r in rows]
         return [[f.astype("<u2").tobytes() for f in found], [r[f].astype("<f4").tobytes() for r, f in zip(rows, found, strict=True)]]
 
-    drawn = annotate(source.where(chosen), "t", ("l",), tallied, sparse, ROWS).orderBy("l", F.xxhash64("slots", "tally")).limit(2 * sample).collect()
-    blank = Centroids(idf, np.zeros((0, SIZE), np.float32), [], np.zeros(0))
-    vectors, centroids, labels = [], [], []
-    for name in sorted(sizes):
-        mine = [r for r in drawn if r["l"] == name]
-        rows = np.zeros((len(mine), SIZE), np.float32)
-        for i, r in enumerate(mine):
-            rows[i, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["tally"], "<f4")
-        rows = rows[rows.any(axis=1)]
-        if len(rows):
-            rows = blank.weigh(rows)
-            centres = clusters(rows, k)
-            vectors.append(rows)
-            centroids.append(centres)
-            labels += [name] * len(centres)
-    if not labels:
+    tallies: dict[str, list[tuple[bytes, bytes]]] = {}
+    for r in annotate(drawn, "t", ("l",), tallied, sparse, ROWS).collect():
+        if r["slots"]:
+            tallies.setdefault(r["l"], []).append((bytes(r["slots"]), bytes(r["tally"])))
+    names = sorted(tallies)
+    if not names:
         return empty
-    found, far = pruned(vectors, centroids)
-    flat = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    names = list(dict.fromkeys(labels))
-    return Centroids(idf, np.vstack(found).astype(np.float32), [names[i] for i in flat], FAR * far[flat])
-
-
-def pruned(rows: list[np.ndarray], centroids: list[np.ndarray], purity: float = PURITY) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per language: its centroids, less those whose neighbours in the sample are mostly of other languages; and its smallest usual cosine."""
-    owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(centroids)])
-    truth = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)])
-    near = np.vstack(rows) @ np.vstack(centroids).T
-    alive = np.ones(len(owner), bool)
-    while True:
-        best = np.where(alive, near, -1).argmax(axis=1)
-        right = np.array([(truth[best == k] == owner[k]).mean() if (best == k).any() else 0.0 for k in range(len(owner))])
-        others = np.array([alive[owner == o].sum() for o in owner])
-        worst = np.where(alive & (others > 1), right, 2.0).argmin()
-        if not (alive[worst] and others[worst] > 1 and right[worst] < purity):
-            break
-        alive[worst] = False
-    at = np.split(alive, np.cumsum([len(c) for c in centroids])[:-1])
-    kept = [c[a] for c, a in zip(centroids, at, strict=True)]
-    return kept, np.array([np.quantile((r @ c.T).max(axis=1), 0.01) for r, c in zip(rows, kept, strict=True)])
+    vectors, trigrams, distinct = [], [], []
+    for name in names:
+        mine = sorted(tallies.pop(name))
+        rows = np.zeros((len(mine), SIZE), np.float32)
+        for row, (slots, tally) in zip(rows, mine, strict=True):
+            row[np.frombuffer(slots, "<u2")] = np.frombuffer(tally, "<f4")
+        trigrams.append(rows.sum(axis=1))
+        vectors.append(empty.weigh(rows))
+        distinct.append(len(set(mine)))
+    centroids = [clusters(rows[own], k) for rows, own in zip(vectors, typical(vectors), strict=True)]
+    usual = [np.quantile((r @ c.T).max(axis=1) / reach(n), RARE) * m / (m + FEW) for r, c, n, m in zip(vectors, centroids, trigrams, distinct, strict=True)]
+    owner = np.repeat(np.arange(len(names)), [len(c) for c in centroids])
+    return Centroids(idf, np.vstack(centroids).astype(np.float32), [names[i] for i in owner], FAR * np.array(usual)[owner])
+
+
+def typical(vectors: list[np.ndarray], rounds: int = 5) -> list[np.ndarray]:
+    """Per language, which rows lie nearest to the mean of such rows of their own language; all, where none would be left."""
+    own = [np.ones(len(rows), bool) for rows in vectors]
+    for _ in range(rounds):
+        means = np.vstack([unit(rows[mine].mean(axis=0, keepdims=True)) for rows, mine in zip(vectors, own, strict=True)])
+        near = [(rows @ means.T).argmax(axis=1) == i for i, rows in enumerate(vectors)]
+        own = [mine if mine.any() else np.ones(len(mine), bool) for mine in near]
+    return own
 
 
 def identify(docs: DataFrame, model: Centroids, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

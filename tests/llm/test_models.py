@@ -142,6 +142,48 @@ def test_far_texts_are_rejected(spark, small):
     assert np.mean(model.predict([t for t in held if language_id.readable(t)])[2]) < 0.03
 
 
+def test_copies_of_one_text_leave_other_languages_alone(spark):
+    """12,000 copies of a text of the first language beside 500 texts of another."""
+    rng = random.Random(4)
+    one = spoken(rng, "aa")
+    rows = [(one, "aa")] * 12_000 + [(spoken(rng, "aa"), "aa") for _ in range(300)] + [(spoken(rng, "bb"), "bb") for _ in range(500)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), sample=800)
+    assert set(model.labels) == {"aa", "bb"}
+    probe = [spoken(rng, lang) for lang in ("aa", "bb") for _ in range(20)]
+    langs, scores, rejected = model.predict(probe)
+    assert langs == ["aa"] * 20 + ["bb"] * 20 and not any(rejected)
+    assert model.predict([probe[0], probe[0]])[1] == pytest.approx([scores[0]] * 2, rel=1e-5)
+
+
+def test_every_language_keeps_several_live_centroids(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.fit(language_id.training_rows(docs))
+    texts = [r["text"] for r in docs.collect() if language_id.readable(r["text"])]
+    nearest = (model.weigh(language_id.counts(texts)) @ model.vectors.T).argmax(axis=1)
+    live = Counter(model.labels[k] for k in set(nearest.tolist()))
+    assert set(live) == set(model.labels) and min(live.values()) >= 2
+
+
+def test_unlearned_languages_are_rejected(spark, small):
+    """Each language in turn is left out of training: its texts go, those of the others stay."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("lang is not null")
+    held = [(r["text"], r["lang"]) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and language_id.readable(r["text"])]
+    gone, lost = [], []
+    for lang in sorted({lang for _, lang in held}):
+        model = language_id.fit(language_id.training_rows(docs).where(F.col("lang") != lang))
+        rejected = model.predict([t for t, _ in held])[2]
+        gone += [x for x, (_, at) in zip(rejected, held, strict=True) if at == lang]
+        lost += [x for x, (_, at) in zip(rejected, held, strict=True) if at != lang]
+    assert np.mean(gone) >= 0.9
+    assert np.mean(lost) <= 0.01
+
+
+def test_what_lies_between_letters_does_not_count():
+    a, b = language_id.counts(["the cat*** sat", "The 12 cat & sat!"])
+    assert (a == b).all() and a.sum() == 14  # " the cat sat "
+    assert language_id.counts(["", "日本"])[0].sum() == 0
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------
 
 
