@@ -1,18 +1,24 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences, and only documents are labelled. A sentence's
-probability is logistic in its words and word beginnings; a document's is the
-noisy-or of its sentences. The weights are trained through the noisy-or from
-document labels, which leaves the blame with the sentences that carry it, so
-the same weights locate them.
+A document is a bag of distinct sentences, and only documents are labelled. A
+sentence's probability is logistic in its words and word beginnings; a
+document's is the noisy-or of its sentences and of a leak that all documents
+share: the chance of a label that no sentence explains, learned as well, so
+that it isn't laid upon the sentences, of which long clean texts have many. The
+weights are trained through the same noisy-or from document labels, which
+leaves the blame with the sentences that carry it, so they locate them.
 
 The classifier is fitted on a bounded sample of labelled texts (``SAMPLE`` of
-each label, drawn by text hash); clean texts are weighted back to their share.
-
-Defined cases: a null or empty text has no sentence and score 0; repeated rows
-are scored alike; labels other than 0 and 1 and null labels teach nothing; a
-document with several labels counts once for each; without both labels all
-scores are 0. Other columns pass through when they are kept.
+each label, drawn by id, and row by row where ids repeat), weighted back to
+the share of their label; words of fewer than ``LEAST_TEXTS`` sampled texts
+have no weight.
+
+Defined cases: a null or empty text has no sentence and the leak's score;
+repeated rows are scored alike, and a sentence that a text repeats counts once;
+labels other than 0 and 1 and null labels teach nothing; a document with
+several labels counts once for each; without both labels all scores are 0;
+sentences of a text are counted however many they are. Other columns pass
+through when they are kept.
 """
 
 from __future__ import annotations
@@ -37,9 +43,12 @@ STEMS = (4, 5)
 ROUNDS = 120
 LEAST_TEXTS = 3
 #: Pull of the weights towards zero, in texts: what this many texts say doesn't move a weight.
-LASSO = 0.75
-#: A sentence less likely than this counts as clean.
-LEAK = 0.01
+LASSO = 0.5
+#: Belief before training: this share of texts, each of so many sentences without weights, would be clean.
+PLAIN = (0.02, 5000)
+#: Logits of a sentence without weights and of the leak before training, and after it where nothing can be learned.
+START = (-9.0, -9.0)
+NEVER = (-50.0, -50.0)
 STOP = re.compile(r"[.!?\n]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Word weights that a task keeps at hand.
@@ -57,27 +66,28 @@ def features(word: str) -> list[int]:
 
 
 def sentences(text: str | None) -> list[set[str]]:
-    """Distinct words of each sentence, lower-cased."""
-    return [set(s.split()) for s in STOP.split(text.lower()) if s and not s.isspace()] if text else []
+    """Distinct words of each distinct sentence, lower-cased."""
+    return [set(s.split()) for s in dict.fromkeys(STOP.split(text.lower())) if s and not s.isspace()] if text else []
 
 
 @dataclass
 class Scorer:
     weights: np.ndarray
     bias: float
+    leak: float
 
     def __post_init__(self):
         self.words = Memo(self._word, WORDS)
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias}
+        return {"weights": self.weights, "bias": self.bias, "leak": self.leak}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.__post_init__()
 
     def _word(self, word: str) -> float:
-        return float(sum(self.weights[f] for f in set(features(word))))
+        return sum(float(self.weights[f]) for f in set(features(word)))
 
     def forget(self) -> None:
         self.words.clear()
@@ -88,11 +98,7 @@ class Scorer:
         return np.array([sum(map(word, s)) for s in sentences(text)], float) + self.bias
 
     def score(self, text: str | None) -> float:
-        z = self.logits(text)
-        if not len(z):
-            return 0.0
-        some = z[z >= np.log(LEAK / (1 - LEAK))]  # else very long clean texts would add up to toxic ones
-        return float(-np.expm1(-np.logaddexp(0, some if len(some) else z.max()).sum()))
+        return float(-np.expm1(-np.logaddexp(0, self.logits(text)).sum() - np.logaddexp(0, self.leak)))
 
     def offending(self, text: str | None, least: float = THRESHOLD) -> list[dict]:
         """Spans, in code points, of the sentences that reach ``least``, with their probabilities."""
@@ -105,41 +111,53 @@ class Scorer:
         return found
 
 
-def train(slots: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS, lasso: float = LASSO) -> Scorer:
-    """Full-batch Adam on the log-likelihood of document labels under the noisy-or, less the weights' sizes times ``lasso`` texts.
+class Adam:
+    """Steps upwards along a gradient."""
+
+    def __init__(self, shape: tuple[int, ...] = ()):
+        self.first, self.second, self.rounds = np.zeros(shape), np.zeros(shape), 0
+
+    def step(self, gradient: np.ndarray, rate: float) -> np.ndarray:
+        self.rounds += 1
+        self.first += 0.1 * (gradient - self.first)
+        self.second += 0.01 * (gradient * gradient - self.second)
+        return rate * (self.first / (1 - 0.9**self.rounds)) / (np.sqrt(self.second / (1 - 0.99**self.rounds)) + 1e-8)
+
+
+def train(slots: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS, lasso: float = LASSO, least: int = LEAST_TEXTS) -> Scorer:
+    """Full-batch Adam on the log-likelihood of document labels under the noisy-or, less the weights' sizes times ``lasso`` texts, beside the belief ``PLAIN``.
 
     ``slots`` are the features of all sentences, ``lengths`` how many each
-    sentence has, ``counts`` how many sentences each document has.
+    sentence has, ``counts`` how many sentences each document has. A weight
+    that would change its sign stops at zero, and leaves it only if its pull
+    exceeds the lasso's.
     """
     sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     doc = np.repeat(np.arange(len(counts)), counts)
     seen = np.zeros(SIZE, np.int32)
     for part in np.split(slots, np.cumsum(np.bincount(doc, lengths, len(counts)).astype(np.int64))[:-1]):
         seen[np.unique(part)] += 1
-    used = seen >= LEAST_TEXTS
-    some = used[slots]
+    some = (seen >= least)[slots]
     slots, sentence = slots[some].astype(np.int64), sentence[some].astype(np.int64)
     del some
     share, pull_back = weights / weights.sum(), lasso / weights.sum()
-    w, bias = np.zeros(SIZE), -6.0
-    m, v, mb, vb = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
+    w, (bias, leak) = np.zeros(SIZE), START
+    by_weight, by_bias, by_leak = Adam((SIZE,)), Adam(), Adam()
     for t in range(1, rounds + 1):
         z = np.bincount(sentence, w[slots], len(lengths)) + bias
-        clean = np.bincount(doc, np.logaddexp(0, z), len(counts))  # -log of the probability that no sentence offends
-        p = 1 / (1 + np.exp(-z))
+        clean = np.bincount(doc, np.logaddexp(0, z), len(counts)) + np.logaddexp(0, leak)  # -log of the probability that nothing offends
         pull = np.where(labels == 1, 1 / np.expm1(np.maximum(clean, 1e-9)), -1.0) * share
-        g = pull[doc] * p
-        gw = np.bincount(slots, g[sentence], SIZE) - pull_back * np.sign(w)
-        gb = g.sum()
-        m += 0.1 * (gw - m)
-        v += 0.01 * (gw * gw - v)
-        mb += 0.1 * (gb - mb)
-        vb += 0.01 * (gb * gb - vb)
+        g = pull[doc] / (1 + np.exp(-z))
+        gw = np.bincount(slots, g[sentence], SIZE)
+        gw = np.where(w != 0, gw - pull_back * np.sign(w), np.sign(gw) * np.maximum(np.abs(gw) - pull_back, 0))
         rate = 0.15 * (1 - 0.8 * t / rounds)
-        w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        bias += rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    w[~used] = 0
-    return Scorer(w.astype(np.float32), float(bias))
+        moved = w + by_weight.step(gw, rate)
+        crossed = moved * w < 0
+        moved[crossed] = by_weight.first[crossed] = 0
+        w = moved
+        bias += by_bias.step(g.sum() - PLAIN[0] * PLAIN[1] / (1 + np.exp(-bias)), rate)
+        leak += by_leak.step(pull.sum() / (1 + np.exp(-leak)), rate)
+    return Scorer(w.astype(np.float32), float(bias), float(leak))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Scorer:
@@ -147,27 +165,33 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marks = labels.select(F.col(doc_id).alias("d"), F.col(label).cast("integer").alias("y")).where("y in (0, 1)").distinct()
     sizes = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(sizes) < 2:
-        return Scorer(np.zeros(SIZE, np.float32), -50.0)
+        return Scorer(np.zeros(SIZE, np.float32), *NEVER)
     lot = F.pmod(F.xxhash64("d", F.lit(11)), F.lit(1_000_000))
     share = {y: min(1.0, sample / n) for y, n in sizes.items()}
     drawn = marks.where(F.when(F.col("y") == 1, lot < int(1e6 * share[1]) + 1).otherwise(lot < int(1e6 * share[0]) + 1))
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).join(F.broadcast(drawn), "d")
+    for r in rows.groupBy("y").count().collect():
+        if r["count"] > 1.5 * sample:  # ids that repeat
+            odds = sample / r["count"]
+            rows = rows.where((F.col("y") != r["y"]) | (F.rand(11) < odds))
+            share[r["y"]] *= odds
     out = T.StructType().add("slots", T.BinaryType()).add("lengths", T.BinaryType())
 
     def bags(texts: list[str | None]) -> list[list]:
         found = [[np.array(sorted({f for w in s for f in features(w)}), "<u4") for s in sentences(t)] for t in texts]
         return [[np.concatenate(b).astype("<u4").tobytes() if b else b"" for b in found], [np.array([len(s) for s in b], "<u4").tobytes() for b in found]]
 
-    made = annotate(rows, "t", ("d", "y"), out, bags).orderBy("d", "y").limit(3 * sample).collect()
-    made = [r for r in made if r["lengths"]]
+    made = sorted(annotate(rows, "t", ("y",), out, bags).collect(), key=lambda r: (r["y"], bytes(r["slots"]), bytes(r["lengths"])))
     y = [r["y"] for r in made]
     if len(set(y)) < 2:
-        return Scorer(np.zeros(SIZE, np.float32), -50.0)
+        return Scorer(np.zeros(SIZE, np.float32), *NEVER)
     slots, lengths = (np.concatenate([np.frombuffer(r[c], "<u4") for r in made]) for c in ("slots", "lengths"))
     counts = np.array([len(r["lengths"]) // 4 for r in made])
     del made
     y = np.array(y)
     back = np.where(y == 1, 1 / share[1], 1 / share[0])
+    if not len(lengths):
+        return Scorer(np.zeros(SIZE, np.float32), *NEVER)
     return train(slots, lengths.astype(np.int64), counts, y, back)
 
 

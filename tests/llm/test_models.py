@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -180,7 +181,7 @@ def test_unlearned_languages_are_rejected(spark, small):
 
 def test_what_lies_between_letters_does_not_count():
     a, b = language_id.counts(["the cat*** sat", "The 12 cat & sat!"])
-    assert (a == b).all() and a.sum() == 14  # " the cat sat "
+    assert (a == b).all() and a.sum() == 11  # " the cat sat "
     assert language_id.counts(["", "日本"])[0].sum() == 0
 
 
@@ -203,7 +204,8 @@ def test_toxicity_finds_documents_and_sentences(spark):
         for s in r["offending"]:
             assert "grub" in r["text"][s["start"] : s["end"]]
     odd = {r["doc_id"]: r for r in toxicity.toxicity(awkward(spark), scorer).collect()}
-    assert odd[3]["score"] == odd[4]["score"] == odd[5]["score"] == 0.0 and odd[6]["predicted"] == 0
+    assert odd[3]["score"] == odd[4]["score"] == odd[5]["score"] == pytest.approx(1 / (1 + math.exp(-scorer.leak))) and odd[3]["score"] < 0.1
+    assert odd[6]["predicted"] == 0
     assert toxicity.toxicity(empty(spark), scorer).count() == 0
 
 
@@ -213,6 +215,53 @@ def test_toxicity_without_both_labels(spark):
     assert toxicity.toxicity(docs, scorer).first()["score"] < 1e-9
 
 
+def plain_toxicity(scorer, text):
+    """The noisy-or, sentence by sentence and feature by feature."""
+    clean = 1 - 1 / (1 + math.exp(-scorer.leak))
+    for s in {s for s in re.split(r"[.!?\n]+", (text or "").lower()) if s.strip()}:
+        z = scorer.bias
+        for w in set(s.split()):
+            word = w.strip(toxicity.EDGE)
+            names = [word] + [f"{n}:{word[:n]}" for n in toxicity.STEMS if len(word) > n] if word else []
+            z += sum(float(scorer.weights[k]) for k in {zlib.crc32(x.encode()) % toxicity.SIZE for x in names})
+        clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_scores_are_the_noisy_or_of_all_sentences(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    scorer = toxicity.fit(toxicity.training_rows(docs), toxicity.training_rows(labels))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = toxicity.op7_toxicity(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        assert r["score"] == pytest.approx(plain_toxicity(scorer, texts[r["doc_id"]]), abs=1e-9)
+    long = next(t for t in texts.values() if t and scorer.score(t) < toxicity.THRESHOLD and len(toxicity.sentences(t)) > 20)
+    assert scorer.score(f"{long}\n{long}\n{long}") == pytest.approx(scorer.score(long))
+
+
+def test_long_clean_texts_stay_clean(spark, small):
+    medium = f"{small}/../sf0.01"
+    docs, labels = (spark.read.parquet(f"{medium}/{n}.parquet") for n in ("documents", "labels"))
+    scorer = toxicity.fit(toxicity.training_rows(docs), toxicity.training_rows(labels))
+    long = [r["text"] for r in docs.join(labels.where("toxic = 0"), "doc_id").collect() if len(toxicity.sentences(r["text"])) > 100]
+    assert len(long) >= 10 and np.mean([scorer.score(t) < toxicity.THRESHOLD for t in long]) >= 0.9
+    rng = random.Random(2)
+    unseen = ". ".join(" ".join(f"zq{rng.randrange(10**6)}" for _ in range(8)) for _ in range(2000))
+    assert scorer.score(unseen) < toxicity.THRESHOLD
+
+
+def test_hot_ids_are_thinned_by_rows(spark):
+    """One id holds 3,000 rows; the sample is bounded, and other ids teach as well."""
+    rows = [(0, "fine words here. nothing else.")] * 3000 + [(i, f"word{i} and grubby things. more." if i % 2 else f"word{i} and good things. more.") for i in range(1, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    scorer = toxicity.fit(docs, labels, sample=200)
+    assert scorer.score("some grubby things.") > 0.3 > scorer.score("some good things.")
+    tied = toxicity.toxicity(docs.where("doc_id = 0"), scorer).select("score").distinct()
+    assert tied.count() == 1
+
+
 def test_op7_rows(spark, small):
     rows = toxicity.op7_toxicity(spark, small).collect()
     assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
