@@ -6,15 +6,24 @@ it. So the count at a prefix follows from the counts at shorter ones, and no
 prefix is encoded anew. The table of a unit (what the pattern cuts before any
 merge) is kept by its letters, since units share most prefixes.
 
-``prefix_counts`` gives, per text, the ends and running counts of its units;
-``PrefixCounter.count_at`` and ``longest_within`` answer truncation and budget
-questions from them. A null text counts as empty, and has no tokens.
+A text's table says for each of its code points by how much the count of the
+text up to there exceeds the count before it: one byte each, and four where a
+step doesn't fit. It is put together from the tables of white-space separated
+chunks. Its sum is the text's count; ``count_at`` and ``longest_within`` answer
+any truncation and budget question from it, without the text.
+
+Defined cases: a null text counts as empty, and has no tokens and an empty
+table; an empty table of documents gives no rows; repeated rows are counted one
+by one; a special string within a text is one token, and its beginnings are
+counted as the ordinary text that they are; units of more than ``LONG`` letters
+have the same counts as others, but their tables aren't kept for later texts;
+what is kept is bounded by number of entries (``PREFIXES``, ``GENERATION``).
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,16 +33,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm.common import annotate
-from quillmill.llm.vocab import BYTE_LETTERS, CHUNK, GENERATION, LETTERS, Memo, ragged, vocabulary
+from quillmill.llm.vocab import BYTE_LETTERS, CHUNK, GENERATION, LETTERS, WHITE, Memo, ragged, vocabulary
 
 #: Fixed value: the pattern by which byte-level vocabularies cut a text into units.
 UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LEADING = regex.compile(f"[{WHITE}]*")
 PREFIXES = 800_000
 NEVER = 1 << 60
 LONG = 100
 #: More than the longest vocabulary entry; and numbers that many prefixes share, made once.
 WIDE = 1024
 CODES = list(range(16 * WIDE))
+#: Units whose beginnings fall into two units, an apostrophe and a letter.
+SHORTENED = ("'re", "'ve", "'ll")
+LIMIT = 512
 
 
 @lru_cache(maxsize=2)
@@ -46,9 +59,13 @@ def merges(path: str) -> tuple[dict[str, int], dict[tuple[str, str], int], list[
 
 
 class PrefixCounter:
-    """Token counts of a byte-level vocabulary file, without its library."""
+    """Token counts of a byte-level vocabulary file, without its library.
 
-    def __init__(self, path: str):
+    ``kind`` is the type of a step in tables: ``b``, or ``i`` where bytes don't suffice.
+    """
+
+    def __init__(self, path: str, kind: str = "b"):
+        self.path, self.kind = path, kind
         self.vocab, self.ranks, self.special, self.longest = merges(path)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.last: dict[str, int] = {"": 0}  # prefix -> its count times WIDE, and the length of its last token
@@ -131,100 +148,135 @@ class PrefixCounter:
     def letters(unit: str) -> str:
         return (unit if unit.isascii() and unit.isalpha() else unit.encode().decode("latin-1").translate(BYTE_LETTERS))
 
-    def chunk(self, chunk: str) -> int:
-        return sum(self.total(self.letters(u)) for u in UNIT.findall(chunk))
-
-    def _behind_blank(self, chunk: str) -> int:
+    def counts(self, unit: str) -> list[int]:
+        """Counts up to each code point of a unit, zero first."""
+        if unit in SHORTENED:
+            return [0, 1, 2, self.total(unit)]
+        letters = self.letters(unit)
+        found = self.table(letters)
+        if len(letters) == len(unit):
+            return found
+        at, out = 0, [0]
+        for c in unit:
+            at += len(c.encode())
+            out.append(found[at])
+        return out
+
+    def _steps(self, counts: list[int]) -> bytes:
+        return array(self.kind, [b - a for a, b in zip(counts, counts[1:], strict=False)]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        """Steps of white space, what follows it up to the next, or both."""
+        blanks = LEADING.match(chunk).end()
+        whole = [0]
+        for unit in UNIT.findall(chunk):
+            before = whole.pop()
+            whole += [before + n for n in self.counts(unit)]
+        if 1 < blanks < len(chunk):  # white space at the end of a prefix is one unit, else its last letter is cut off
+            whole[: blanks + 1] = self.counts(chunk[:blanks])
+        return self._steps(whole)
+
+    def _alone(self, chunk: str) -> bytes:
+        return self.outer[chunk] if len(chunk) <= LONG else self.chunk(chunk)
+
+    def _behind_blank(self, chunk: str) -> bytes:
         """A blank and letters are one unit; what follows letters is counted alone."""
         if chunk.isalpha():
-            return self.total(self.letters(" " + chunk) if not chunk.isascii() else "Ġ" + chunk)
+            return self._steps(self.counts(" " + chunk))
         start = LETTERS.match(chunk)
         if not start or not start[0].isalpha():
             return self.chunk(" " + chunk)
-        return self._behind_blank(start[0]) + self.rests[chunk[start.end() :]]
-
-    def count(self, texts: list[str | None]) -> list[int]:
-        """Totals of whole texts: sums of the tables' last entries."""
-        return [sum(map(self._piece, pieces)) + len(pieces) - 1 if (pieces := self._split(t)) else 0 for t in texts]
+        rest = chunk[start.end() :]
+        return self._behind_blank(start[0]) + (self.rests[rest] if len(rest) <= LONG else self.chunk(rest))
 
-    def _piece(self, text: str) -> int:
-        """Count of a text between special strings."""
+    def _piece(self, text: str) -> bytes:
+        """Steps of a text without special strings."""
         if not text or ragged(text):
-            return sum(map(self.outer.__getitem__, CHUNK.findall(text)))
-        lines = [line.split(" ") for line in text.split("\n")]
-        first = sum(self.outer[words[0]] for words in lines)
-        return first + sum(sum(map(self.inner.__getitem__, words[1:])) for words in lines) + (len(lines) - 1) * self.outer["\n"]
-
-    def _split(self, text: str | None) -> list[str]:
+            return b"".join(map(self._alone, CHUNK.findall(text)))
+        inner, alone = self.inner.__getitem__, self._alone
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(alone(first) + b"".join(map(inner, rest)))
+        return alone("\n").join(lines)
+
+    def sum(self, steps: bytes) -> int:
+        return int(np.frombuffer(steps, self.kind).sum(dtype=np.int64))
+
+    def steps(self, text: str | None) -> bytes:
+        """The table of a text: a step for each code point, of type ``kind``."""
         if not text:
-            return []
-        for s in self.special:
-            if s in text:
-                return regex.split("|".join(map(regex.escape, self.special)), text)
-        return [text]
-
-    def index(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ends of the text's units in code points, and token counts up to them."""
-        ends, counts, at, n = [], [], 0, 0
-        for i, piece in enumerate(self._split(text)):
-            if i:
-                found = next(s for s in self.special if text.startswith(s, at))
-                at, n = at + len(found), n + 1
-                ends.append(at)
-                counts.append(n)
-            for unit in UNIT.findall(piece):
-                at, n = at + len(unit), n + self.total(self.letters(unit))
-                ends.append(at)
-                counts.append(n)
-        return ends, counts
-
-    def count_at(self, text: str, index: tuple[list[int], list[int]], end: int) -> int:
-        """Exact number of tokens of ``text[:end]``, from the index and the last unit's table."""
-        ends, counts = index
-        k = bisect_right(ends, end)
-        begin, n = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        while k and text[begin - 1].isspace():  # white space before a cut may regroup
-            k -= 1
-            begin, n = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        return n + sum(self.total(self.letters(u)) for u in UNIT.findall(text[begin:end]))
-
-    def longest_within(self, text: str, index: tuple[list[int], list[int]], budget: int) -> int:
-        """End of the longest run of whole units, from the start, of at most ``budget`` tokens."""
-        ends, counts = index
-        k = bisect_right(counts, budget)
-        return ends[k - 1] if k else 0
-
-
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
-def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
-
-
-def token_counts(docs: DataFrame, vocab_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Kept columns with n_bytes and n_tokens of each whole text. Rows stay as they are, nulls and repeats included."""
-    out = T.StructType().add("n_bytes", "long").add("n_tokens", "long")
+            return b""
+        if not any(s in text for s in self.special):
+            return self._piece(text)
+        parts, at = [], 0
+        for found in regex.finditer("|".join(map(regex.escape, self.special)), text):
+            piece, special = text[at : found.start()], found[0]
+            before = self._piece(piece + special[:-1])  # up to its last letter a special string is ordinary text
+            parts += [before, array(self.kind, [self.sum(self._piece(piece)) + 1 - self.sum(before)]).tobytes()]
+            at = found.end()
+        return b"".join([*parts, self._piece(text[at:])])
 
-    def worker(texts: list[str | None]) -> list[list]:
-        return [[len(t.encode()) if t else 0 for t in texts], counter(vocab_path).count(texts)]
+    def index(self, text: str | None) -> bytes:
+        """The table of a text behind a byte that gives the bytes of a step."""
+        try:
+            return bytes([array(self.kind).itemsize]) + self.steps(text)
+        except OverflowError:
+            return counter(self.path, "i").index(text)
 
-    return annotate(docs, text, keep, out, worker)
 
+def counts_of(index: bytes) -> np.ndarray:
+    """Token counts of all prefixes of the text whose table this is, the empty one first."""
+    steps = np.frombuffer(index, f"<i{index[0]}", offset=1)
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
 
-def prefix_counts(docs: DataFrame, vocab_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Kept columns with unit_ends and unit_counts: the index that answers questions about any prefix."""
-    out = T.StructType().add("unit_ends", T.ArrayType(T.IntegerType())).add("unit_counts", T.ArrayType(T.IntegerType()))
+
+def count_at(index: bytes, end: int) -> int:
+    """Number of tokens of the text's first ``end`` code points."""
+    return int(np.frombuffer(index, f"<i{index[0]}", offset=1)[:end].sum(dtype=np.int64))
+
+
+def longest_within(index: bytes, budget: int) -> int:
+    """Code points of the longest prefix of at most ``budget`` tokens. Counts may fall as a text grows, so all prefixes count."""
+    fits = np.flatnonzero(counts_of(index) <= budget)
+    return int(fits[-1]) if len(fits) else 0
+
+
+_COUNTERS: dict[tuple[str, str], PrefixCounter] = {}
+
+
+def counter(path: str, kind: str = "b") -> PrefixCounter:
+    if (path, kind) not in _COUNTERS:
+        _COUNTERS[path, kind] = PrefixCounter(path, kind)
+    return _COUNTERS[path, kind]
+
+
+def token_counts(docs: DataFrame, vocab_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), budget: int = LIMIT) -> DataFrame:
+    """Kept columns with n_bytes and n_tokens of each whole text, and fits: the code points of its longest prefix within ``budget``.
+
+    Rows stay as they are, nulls and repeats included.
+    """
+    out = T.StructType().add("n_bytes", "long").add("n_tokens", "long").add("fits", "long")
 
     def worker(texts: list[str | None]) -> list[list]:
-        found = [counter(vocab_path).index(t) for t in texts]
-        return [[np.array(e, np.int32) for e, _ in found], [np.array(c, np.int32) for _, c in found]]
+        find = counter(vocab_path).index
+        rows = [[], [], []]
+        for t in texts:
+            index = find(t)
+            n = count_at(index, len(index))
+            for row, value in zip(rows, (len(t.encode()) if t else 0, n, longest_within(index, budget) if n > budget else len(t or "")), strict=True):
+                row.append(value)
+        return rows
 
     return annotate(docs, text, keep, out, worker)
 
 
+def prefix_counts(docs: DataFrame, vocab_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Kept columns with prefix_table: what ``count_at`` and ``longest_within`` need to answer questions about any prefix."""
+    out = T.StructType().add("prefix_table", T.BinaryType())
+    return annotate(docs, text, keep, out, lambda texts: [list(map(counter(vocab_path).index, texts))])
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
-    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    found = token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"), budget=LIMIT)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fits")

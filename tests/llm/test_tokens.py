@@ -33,23 +33,38 @@ _COUNT = token_counts.PrefixCounter(BYTE)
 
 @settings(max_examples=150, deadline=None)
 @given(text=TEXTS)
-def test_counts_at_every_prefix(text):
-    index = _COUNT.index(text)
+def test_counts_and_budgets_at_every_prefix(text):
     library = tokenizer(BYTE)
-    for end in range(len(text) + 1):
-        assert _COUNT.count_at(text, index, end) == len(library.encode(text[:end], add_special_tokens=False).ids), text[:end]
-    assert _COUNT.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    exact = [len(library.encode(text[:end], add_special_tokens=False).ids) for end in range(len(text) + 1)]
+    for index in (_COUNT.index(text), token_counts.counter(BYTE, "i").index(text)):
+        assert token_counts.counts_of(index).tolist() == exact
+        assert [token_counts.count_at(index, end) for end in range(len(text) + 1)] == exact
+        for budget in range(max(exact) + 2):
+            assert token_counts.longest_within(index, budget) == max(k for k, n in enumerate(exact) if n <= budget)
 
 
 def test_unit_tables_and_budgets():
-    table = _COUNT.table("international")
-    assert table == [len(tokenizer(BYTE).encode("international"[:i], add_special_tokens=False).ids) for i in range(14)]
+    library = tokenizer(BYTE)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    assert _COUNT.table("international") == [size("international"[:i]) for i in range(14)]
+    word = "internationalizationabilityness"
+    assert token_counts.longest_within(_COUNT.index(word), 3) == 27
     long = "abcdefgh" * 9000 + "a" * 5000
-    assert _COUNT.count([long, "!" * 3000]) == [len(tokenizer(BYTE).encode(t, add_special_tokens=False).ids) for t in (long, "!" * 3000)]
+    for t in (long, "!" * 3000, "  " * 700 + "x", "-" * 999 + "\n" * 400):
+        assert token_counts.count_at(_COUNT.index(t), len(t)) == size(t)
     assert _COUNT.table("ab" * 60)[:101] == _COUNT.table("ab" * 50)
-    text = "one two three four"
-    index = _COUNT.index(text)
-    assert text[: _COUNT.longest_within(text, index, 2)] == "one two" and _COUNT.longest_within(text, index, 0) == 0
+    for t in ("they'll we've 'r 'l 'v", "a<|endoftext|>b  <|endoftext|", " <|endoftext|><|endoftext|> x", "x \n  y\n\n z", "=" * 200):
+        assert token_counts.counts_of(_COUNT.index(t)).tolist() == [size(t[:end]) for end in range(len(t) + 1)]
+    assert token_counts.longest_within(_COUNT.index("one two three four"), 0) == 0 and token_counts.counts_of(_COUNT.index(None)).tolist() == [0]
+
+
+def test_steps_that_a_byte_cannot_hold(monkeypatch):
+    """A unit whose count falls by more than 128 at once goes to four bytes a step."""
+    odd = token_counts.PrefixCounter(BYTE)
+    monkeypatch.setattr(odd, "counts", lambda unit: [0, 300, 1])
+    monkeypatch.setattr(token_counts.counter(BYTE, "i"), "counts", lambda unit: [0, 300, 1])
+    assert token_counts.counts_of(odd.index("zz")).tolist() == [0, 300, 1]
+    token_counts._COUNTERS.clear()
 
 
 def test_memo_is_bounded_and_keeps_what_is_used():
@@ -63,13 +78,18 @@ def test_memo_is_bounded_and_keeps_what_is_used():
 
 def test_token_counts_table(spark):
     rows = token_counts.token_counts(clashing(awkward(spark), "n_tokens", "n_bytes"), BYTE).collect()
-    assert len(rows) == 11 and set(rows[0].asDict()) == {"doc_id", "n_bytes", "n_tokens"}
+    assert len(rows) == 11 and set(rows[0].asDict()) == {"doc_id", "n_bytes", "n_tokens", "fits"}
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in rows)
     want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()), len(tokenizer(BYTE).encode(r["text"] or "", add_special_tokens=False).ids)) for r in awkward(spark).collect())
     assert got == want
     assert token_counts.token_counts(empty(spark), BYTE).count() == 0
-    index = {r["doc_id"]: r for r in token_counts.prefix_counts(awkward(spark), BYTE).collect()}
-    assert index[3]["unit_ends"] == [] and index[6]["unit_counts"][-1] == max(n for d, _, n in got if d == "6")
+    texts = {r["doc_id"]: r["text"] or "" for r in awkward(spark).collect()}
+    for r in token_counts.prefix_counts(awkward(spark), BYTE).collect():
+        counts = token_counts.counts_of(bytes(r["prefix_table"]))
+        assert len(counts) == len(texts[r["doc_id"]]) + 1 and counts[-1] == max(n for d, _, n in got if d == str(r["doc_id"]))
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert r["fits"] == len(text) if r["n_tokens"] <= 512 else len(tokenizer(BYTE).encode(text[: r["fits"]], add_special_tokens=False).ids) <= 512 < len(tokenizer(BYTE).encode(text[: r["fits"] + 1], add_special_tokens=False).ids)
 
 
 @given(st.integers(1, 20), st.lists(st.integers(0, (1 << 20) - 1), max_size=50), st.integers(0, 50), st.integers(0, 50))
