@@ -25,6 +25,8 @@ from __future__ import annotations
 import json
 from array import array
 from functools import lru_cache
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import regex
@@ -44,6 +46,7 @@ LONG = 100
 #: More than the longest vocabulary entry; and numbers that many prefixes share, made once.
 WIDE = 1024
 CODES = list(range(16 * WIDE))
+STEPS = {n: n.to_bytes(1, "little", signed=True) for n in range(-128, 128)}
 #: Units whose beginnings fall into two units, an apostrophe and a letter.
 SHORTENED = ("'re", "'ve", "'ll")
 LIMIT = 512
@@ -68,6 +71,7 @@ class PrefixCounter:
         self.path, self.kind = path, kind
         self.vocab, self.ranks, self.special, self.longest = merges(path)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.tables: dict[str, bytes] = {"": b""}  # prefix -> steps up to it
         self.last: dict[str, int] = {"": 0}  # prefix -> its count times WIDE, and the length of its last token
         self.inner = Memo(self._behind_blank)
         self.rests = Memo(self.chunk, GENERATION // 8)
@@ -94,20 +98,24 @@ class PrefixCounter:
             known = self.pairs[a, b] = self._merged(list(a + b)) == ([a, b] if a else [b])
         return known
 
-    def table(self, unit: str) -> list[int]:
-        """Token counts of all byte prefixes of one unit, the empty one first. ``unit`` is in the byte alphabet."""
-        if len(unit) > LONG:
-            return self._long(unit)
-        self.total(unit)
-        return [self.last[unit[:end]] // WIDE for end in range(len(unit) + 1)]
-
-    def _extend(self, unit: str, known: int) -> int:
-        """Fills the table from the longest known prefix on; gives the whole unit's count."""
+    def _table(self, unit: str) -> bytes:
+        """By how much the token count of each byte prefix of a unit exceeds that of the one before. ``unit`` is in the byte alphabet.
+
+        Only prefixes that aren't known yet are worked out.
+        """
+        tables = self.tables
+        steps = tables.get(unit)
+        if steps is not None:
+            return steps
         last, vocab, stable, longest = self.last, self.vocab, self._stable, self.longest
         if len(last) > PREFIXES:
             last.clear()
-            last[""] = 0
-            known = 0
+            tables.clear()
+            last[""], tables[""] = 0, b""
+        known = len(unit) - 1
+        while unit[:known] not in tables:
+            known -= 1
+        steps, count = tables[unit[:known]], last[unit[:known]] // WIDE
         for end in range(known + 1, len(unit) + 1):
             for start in range(max(0, end - longest), end):
                 token = unit[start:end]
@@ -116,8 +124,16 @@ class PrefixCounter:
                     if stable(unit[start - before % WIDE : start], token):
                         break
             code = before - before % WIDE + WIDE + end - start
-            last[unit[:end]] = CODES[code] if code < len(CODES) else code
-        return code // WIDE
+            prefix = unit[:end]
+            last[prefix] = CODES[code] if code < len(CODES) else code
+            steps += STEPS[code // WIDE - count]
+            tables[prefix] = steps
+            count = code // WIDE
+        return steps
+
+    def table(self, unit: str) -> list[int]:
+        """Token counts of all byte prefixes of one unit, the empty one first."""
+        return [0, *accumulate(array("b", self._table(unit)))] if len(unit) <= LONG else self._long(unit)
 
     def _long(self, unit: str) -> list[int]:
         """The table of a unit too long to keep by its prefixes."""
@@ -132,17 +148,8 @@ class PrefixCounter:
         return counts
 
     def total(self, unit: str) -> int:
-        """Count of a whole unit; only prefixes that aren't known yet are worked out."""
-        if len(unit) > LONG:
-            return self._long(unit)[-1]
-        last = self.last
-        found = last.get(unit)
-        if found is not None:
-            return found // WIDE
-        known = len(unit) - 1
-        while unit[:known] not in last:
-            known -= 1
-        return self._extend(unit, known)
+        """Count of a whole unit."""
+        return self.table(unit)[-1]
 
     @staticmethod
     def letters(unit: str) -> str:
@@ -163,7 +170,7 @@ class PrefixCounter:
         return out
 
     def _steps(self, counts: list[int]) -> bytes:
-        return array(self.kind, [b - a for a, b in zip(counts, counts[1:], strict=False)]).tobytes()
+        return array(self.kind, map(sub, counts[1:], counts)).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
         """Steps of white space, what follows it up to the next, or both."""
@@ -182,6 +189,8 @@ class PrefixCounter:
     def _behind_blank(self, chunk: str) -> bytes:
         """A blank and letters are one unit; what follows letters is counted alone."""
         if chunk.isalpha():
+            if self.kind == "b" and chunk.isascii() and len(chunk) < LONG:
+                return self._table("Ġ" + chunk)
             return self._steps(self.counts(" " + chunk))
         start = LETTERS.match(chunk)
         if not start or not start[0].isalpha():
