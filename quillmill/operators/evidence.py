@@ -46,10 +46,12 @@ def enrich(papers: DataFrame, responses: dict[str, DataFrame]) -> DataFrame:
     come with every PubMed hit, even an empty list.
     """
     joined = papers
+    apart = F.concat(F.lit("\0"), F.xxhash64(*papers.columns))  # no source has such a key; papers without one are spread by it
     for source in FILLS:
         if source in responses:
-            table = responses[source].select(F.col("lookup").alias("__l"), F.col("response").alias(f"evidence_{source}"))
-            joined = joined.join(table, (lookup_key(source) == F.col("__l")) & (F.col("__l") != ""), "left").drop("__l")
+            table = responses[source].where("lookup <> ''").select(F.col("lookup").alias("__l"), F.col("response").alias(f"evidence_{source}"))
+            own = lookup_key(source)
+            joined = joined.join(table, F.when(F.coalesce(own, F.lit("")) == "", apart).otherwise(own) == F.col("__l"), "left").drop("__l")
     asked = [s for s in FILLS if s in responses]
     hit = {s: F.col(f"evidence_{s}") for s in asked}
     named = {f: [hit[s][f] for s in asked if f in FILLS[s]] for f in ("tldr", "abstract", "journal", "keywords", "citation_count")}

@@ -169,10 +169,10 @@ def join_oa_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.oa_pdf_urls(rows, at).select("o_orderkey", "pdf_url")
 
 
-@query(f"with {SCORED}, oa as (select doc_id % 3 as r, 'pdf' || doc_id as pdf from documents where doc_id < 3) select cast(doc_id as varchar) as key, score as confidence_score, case when doi in ('d1', 'd2') then 'pdf' || doc_id end as pdf_url from final")
+@query(f"with {SCORED} select cast(f.doc_id as varchar) as key, score as confidence_score, case when doi is not null and d.lang = 'en' then 'pdf' || f.doc_id end as pdf_url from final f join documents d on f.doc_id = d.doc_id")
 def evd_oa_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open-access places are looked up after scoring, and change no score."""
-    at = table(spark, sf_dir, "documents").where("doc_id < 3").select(F.concat(F.lit("d"), "doc_id").alias("doi"), F.concat(F.lit("pdf"), "doc_id").alias("pdf_url"))
+    """Open-access places are looked up after scoring, and change no score; some papers are known, but have no file."""
+    at = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doi"), F.when(F.col("lang") == "en", F.concat(F.lit("pdf"), "doc_id")).alias("pdf_url"))
     return evidence.oa_pdf_urls(verified(spark, sf_dir), at).select("key", "confidence_score", "pdf_url")
 
 

@@ -135,15 +135,9 @@ def restored(docs: DataFrame) -> DataFrame:
     return index.select("doc_id", records.restore_abstract(F.col("index")).alias("abstract"))
 
 
-@query("select doc_id, array_to_string(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> ''), ' ') as abstract from documents where length(text) < 3000")
+@query("select doc_id, nullif(array_to_string(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> ''), ' '), '') as abstract from documents")
 def proj_restore_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Abstracts written as inverted indexes, then restored; those of usual length, as in the SQL."""
-    return restored(table(spark, sf_dir, "documents").where(F.char_length("text") < 3000))
-
-
-@query()
-def proj_restore_abstract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all documents, at any length; a text without words has an empty index and no abstract."""
+    """Whole texts written as inverted indexes, then restored; one without words has an empty index and no abstract."""
     return restored(table(spark, sf_dir, "documents"))
 
 
@@ -218,10 +212,10 @@ def proj_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", records.page_text(F.col("html")).alias("text"))
 
 
-@query("select p_partkey, case when p_size % 2 = 0 then p_size || '00-12-3' end as cas from part where p_size > 9")
+@query("select p_partkey, case when p_size % 2 = 0 then p_size || '00-12-3' end as cas from part")
 def proj_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit("00-12-3"))).otherwise("12-345")
-    return table(spark, sf_dir, "part").where("p_size > 9").select("p_partkey", text.cas_number(F.array("p_name", number, F.lit("50-00-0x"))).alias("cas"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.cas_number(F.array("p_name", number, F.lit("50-00-0x"))).alias("cas"))
 
 
 @query("select p_partkey, p_name as title, '' as authors, p_size > 25 as is_retracted from part")
@@ -230,14 +224,8 @@ def proj_public_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists_as_text(papers.select(*records.public_record(["p_partkey", "title", "authors", "is_retracted"])), "authors")
 
 
-@query("select doc_id, trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as title from documents")
+@query("select doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as title from documents")
 def norm_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.norm_title(F.substring("text", 1, 60)).alias("title"))
-
-
-@query()
-def norm_title_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``norm_title`` takes the first 60 characters, as its SQL does; this takes whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", text.norm_title(F.col("text")).alias("title"))
 
 

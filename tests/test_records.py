@@ -114,14 +114,14 @@ def test_export_round_trip(spark, tmp_path):
 
 def test_restore_whole_abstracts(spark, small, tmp_path):
     """Long, empty and null texts as well as those of the table."""
-    from quillmill.plans.record_queries import proj_restore_abstract_whole
+    from quillmill.plans.record_queries import proj_restore_abstract
 
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     odd = [(-1, None), (-2, ""), (-3, " \n "), (-4, 'say "x" \\ y ' * 9_000)]
     docs.union(spark.createDataFrame(odd, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()} | dict(odd)
     assert sum(len(t or "") >= 3000 for t in texts.values()) > 10
-    got = {r["doc_id"]: r["abstract"] for r in proj_restore_abstract_whole(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["abstract"] for r in proj_restore_abstract(spark, str(tmp_path)).collect()}
     assert got == {k: " ".join(w for w in re.split("[ \n]+", t or "") if w) or None for k, t in texts.items()}
 
 
@@ -144,9 +144,9 @@ def test_title_similarity_of_whole_texts(spark, small):
 
 
 def test_whole_texts_are_normalised(spark, small):
-    from quillmill.plans.record_queries import norm_name_key, norm_title_whole
+    from quillmill.plans.record_queries import norm_name_key, norm_title
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     assert sum(len(t or "") > 60 for t in texts.values()) > 100
-    assert {r["doc_id"]: r["title"] for r in norm_title_whole(spark, small).collect()} == {k: plain_title(t) for k, t in texts.items()}
+    assert {r["doc_id"]: r["title"] for r in norm_title(spark, small).collect()} == {k: plain_title(t) for k, t in texts.items()}
     assert {r["doc_id"]: r["name_key"] for r in norm_name_key(spark, small).collect()} == {k: " ".join((t or "").split()).casefold() for k, t in texts.items()}
