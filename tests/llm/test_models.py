@@ -14,7 +14,7 @@ from helpers import awkward, clashing, empty, split
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmill.llm import language_id, lm, near_dups, packing, toxicity
+from quillmill.llm import language_id, lbl, lm, near_dups, packing, toxicity
 from quillmill.llm.common import fold
 from quillmill.llm.vocab import tokenizer, vocabulary
 from quillmill.session import shared_dir
@@ -66,12 +66,71 @@ def test_probabilities_are_normalised(spark):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, " ".join(rng.choice("abc") + str(rng.randrange(9)) for _ in range(30))) for i in range(200)], "doc_id long, text string")
     model, _ = lm.fit(docs)
-    assert (10 ** model.table().astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    for before in ([], [3], [3, 9], [1, 5, 7], [20, 20, 1, 2]):
+        ids = np.array([[*before, k] for k in range(lbl.LEAVES)], np.uint16)
+        found = model.net.log10(ids.reshape(-1), np.arange(lbl.LEAVES) * ids.shape[1]).reshape(ids.shape)[:, -1]
+        assert (10**found).sum() == pytest.approx(1, abs=1e-3)
     known = [w for w in model.frequent if w != b" "]
     ids = {w: int(model.ids[i]) for i, w in enumerate(model.frequent)}
     assert len(known) == 27 and all(0 < ids[w] <= lm.HEADS for w in known)
 
 
+def plain_scores(model, text, counts):
+    """Token by token: the prediction of the last three leaves, a softmax over classes, and one over the leaves of the class."""
+    w = {k: v.astype(float) for k, v in model.net.weights.items()}
+    places = {v: i for i, v in enumerate(model.frequent)}
+    leaf = lambda t: int(model.ids[places[t]]) if t in places else lm.group(t)
+    shares = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    tokens, before, total = [*lm.words(text), b" "], [0, 0, 0], 0.0
+    for t in tokens:
+        guess = sum(w["context"][before[-1 - i]] @ w["mix"][i] for i in range(3))
+        at = leaf(t)
+        k = at // lbl.MEMBERS
+        members = slice(k * lbl.MEMBERS, (k + 1) * lbl.MEMBERS)
+        total += math.log10(shares(w["group"] @ guess + w["group_bias"])[k])
+        total += math.log10(shares(w["leaf"][members] @ guess + w["bias"][members])[at % lbl.MEMBERS])
+        if at > lm.HEADS:
+            total += math.log10(counts[t] + 1) - model.group_mass[at]
+        before.append(at)
+    return total
+
+
+def test_scores_against_a_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    model, counts = lm.fit(docs.where(fold(F.col("doc_id"), 7) != 2), dictionary=9000)
+    tally = Counter({r["token"].encode(): r["c"] for r in counts.collect()})
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = lm.score(docs, model, counts).collect()
+    assert len(rows) == len(texts)
+    for r in rows[:60]:
+        assert r["score"] == pytest.approx(plain_scores(model, texts[r["doc_id"]], tally), rel=1e-4)
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_what_tasks_learn_merges_in_any_order():
+    rng = np.random.default_rng(0)
+    start = lbl.Net.new(rng.integers(1, 50, lbl.LEAVES).astype(float))
+    parts = []
+    for seed in range(4):
+        net, ids = start.copy(), rng.integers(0, 300, 3000).astype(np.uint16)
+        net.train(ids, np.arange(0, 3000, 30), np.random.default_rng(seed))
+        parts.append((net, np.bincount(ids, minlength=lbl.LEAVES)))
+    whole, left, right = lbl.Total(), lbl.Total(), lbl.Total()
+    for i, (net, tally) in enumerate(parts):
+        for row in lbl.learned(start, net, tally):
+            whole.add(*row)
+            (left if i < 2 else right).add(*row)
+    again = lbl.Total()
+    for row in [*right.means(), *left.means()]:
+        again.add(*row)
+    a, b = whole.applied(start), again.applied(start)
+    n = np.stack([t for _, t in parts])[:, :300, None]
+    mean = (n * np.stack([net.weights["leaf"][:300] for net, _ in parts])).sum(axis=0) / n.sum(axis=0)
+    assert np.allclose(a.weights["leaf"][:300], mean, atol=2e-3) and (a.weights["leaf"][300:] == start.weights["leaf"][300:]).all()
+    assert all(np.allclose(a.weights[k], b.weights[k], atol=2e-3) for k in a.weights)
+
+
 def test_the_model_learns_order(spark):
     """Words that follow each other strictly: far better than counts alone, on unseen texts too."""
     ring = [f"w{i}" for i in range(20)]
