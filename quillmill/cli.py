@@ -228,15 +228,24 @@ def evidence_cite(spark, args) -> None:
         print(json.dumps(r.asDict(), ensure_ascii=False, default=str))
 
 
-def trials_collect(spark, args) -> None:
-    t, token, rows = rest.made(args.transport), "*", []
+def trials_collect(spark, args) -> int:
+    """What was received before a request fails, or the budget is spent, is saved; the command then ends with 1."""
+    t, token, rows, failed = rest.made(args.transport), "*", [], None
     while token and len(rows) < args.limit:
-        page = rest.trials_page(t, args.query, token)
+        try:
+            page = rest.trials_page(t, args.query, token)
+        except rest.TransportError as error:
+            failed = error
+            break
         rows += [(json.dumps(s, ensure_ascii=False),) for s in page["results"]][: args.limit - len(rows)]
         token = page["next_cursor"]
-    made = spark.createDataFrame(rows, "raw string").select(records.raw_json(F.col("raw")).alias("v")).select(*records.trial_record(F.col("v"), args.query, "")).where("nct_id <> ''")
-    save(spark, args, "trial", made.withColumn("seq", F.monotonically_increasing_id()))
+    if rows or not failed:
+        made = spark.createDataFrame(rows, "raw string").select(records.raw_json(F.col("raw")).alias("v")).select(*records.trial_record(F.col("v"), args.query, "")).where("nct_id <> ''")
+        save(spark, args, "trial", made.withColumn("seq", F.monotonically_increasing_id()))
     print(len(rows))
+    if failed:
+        print(failed, file=sys.stderr)
+    return 1 if failed else 0
 
 
 def trials_list(spark, args) -> None:

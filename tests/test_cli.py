@@ -125,7 +125,7 @@ def test_ingredients_and_suggestions(at, capsys):
     assert [(r["matched_via"], r["suggested_key"], r["sources"]) for r in rows(at, "lexicon_suggestions.csv")] == [("synonym:Novel-Blend", "NOVEL_BLEND_X", "pubchem, cosing")]
 
 
-def test_network_commands(at, capsys):
+def test_network_commands(at, capsys, monkeypatch):
     at("evidence", "trend", "--query", "q", "--from", "2024", "--to", "2025")
     assert capsys.readouterr().out.split() == ["2024", "5", "2025", "2"]
     at("evidence", "collect", "--query", "q", "--from", "2024", "--to", "2025", "--limit", "4")
@@ -136,6 +136,17 @@ def test_network_commands(at, capsys):
     at("trials", "collect", "--query", "zinc")
     at("trials", "list", "--keyword", "ZINC")
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["nct_id"] == "N1"
+    from quillmill import cli
+
+    def spent(t, query, token):
+        if token != "*":
+            raise cli.rest.TransportError("budget is spent")
+        return {"results": [{"protocolSection": {"identificationModule": {"nctId": "N7", "briefTitle": "Copper"}}}], "next_cursor": "next"}
+
+    monkeypatch.setattr(cli.rest, "trials_page", spent)
+    at("trials", "collect", "--query", "copper", code=1)
+    at("trials", "list", "--keyword", "copper")
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["nct_id"] == "N7"
     for provider, n in (("openalex", "4"), ("pubmed", "1"), ("openalex", "4")):
         window = "2024-01..2024-02" if provider == "pubmed" else "2024-01-01..2024-12-31"
         at("trend", "collect", "--profile", "p", "--query", "q", "--window", window, "--provider", provider)
