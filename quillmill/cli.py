@@ -8,6 +8,11 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import uuid
+import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +22,8 @@ from quillmill.functions import records
 from quillmill.functions.text import cas_number, exact_round, name_key, record_key
 from quillmill.operators import evidence, lexicon, merge, suggest, trend, vocabulary
 from quillmill.session import ship
-from quillmill.sources import files, paged, rest, schema
+from quillmill.sources import download, files, paged, rest, runlog, schema
+from quillmill.streaming import ingest
 
 MONTHLY = ["month_bucket", "query_id", "keyword_key", "canonical_en", "category", "is_in_lexicon", "paper_count", "total_papers", "prevalence", "citation_sum", "citation_median", "weighted_prevalence", "is_low_sample", "is_provisional"]
 METRICS = ["keyword_key", "canonical_en", "category", "is_in_lexicon", "query_id", "first_seen_month", "total_papers", "months_present", "months_observed", "prevalence_recent", "prevalence_prior", "growth_ratio", "is_new_entrant", "weighted_prevalence_recent", "trend_class"]
@@ -131,21 +137,121 @@ def trend_overlap(spark, args) -> None:
     print(json.dumps(trend.overlap_totals(found).first().asDict()))
 
 
-def trend_collect(spark, args) -> None:
-    """Pages as they come, resumable: the checkpoint lies beside the collection."""
-    from quillmill.streaming.ingest import collect_pages
+@dataclass
+class Tally:
+    """What a command asked of a source and got; ``reason`` tells why it stopped early."""
 
-    paged.register_all(spark)
-    first, last = args.window.split("..")
-    at = f"{args.data}/collected/{args.provider}/{args.profile}"
-    options = {"query": args.query, "from": first, "to": last, "transport": args.transport}
+    requests: int = 0
+    records: int = 0
+    errors: int = 0
+    status: str = "ok"
+    reason: str | None = None
+    notes: list[dict] = field(default_factory=list)
+
+    def stop(self, error: str | None, reached_limit: bool = False) -> None:
+        """``error`` is the kind of a request's error."""
+        spent = error == "BudgetExhausted"
+        self.errors += bool(error)
+        self.status, self.reason = runlog.outcome(spent, bool(error) and not spent, reached_limit)
+
+
+@contextmanager
+def logged(spark, args, source: str) -> Iterator[Tally]:
+    """Notes the run, its source and its requests in the log tables, however the command ends."""
+    log, name, run, tally = runlog.RunLog(spark, f"{args.store}/log"), f"{args.group} {args.command}", uuid.uuid4().hex, Tally(status="failed")
+    log.start(run, name)
+    try:
+        yield tally
+        tally.status = "ok" if tally.status == "failed" else tally.status
+    finally:
+        log.source(run, source, tally.requests, tally.records, tally.errors, 0)
+        if tally.notes:
+            log.fetches(tally.notes, run)
+        log.finish(run, name, tally.status)
+
+
+#: Of each provider: its paged source, key, and where its pages come from.
+PROVIDERS = {
+    "openalex": ("works_pages", "id", "quillmill.sources.rest:openalex_pages"),
+    "pubmed": ("monthly_records", "pmid", "quillmill.sources.rest:pubmed_pages"),
+}
+
+
+def expected(args, first: str, last: str) -> int | None:
+    """How many records a query has, in one request."""
+    t = rest.made(args.transport)
     if args.provider == "openalex":
-        stream = lambda: spark.readStream.format("works_pages").options(pages="quillmill.sources.rest:openalex_pages", **options).load()
-        collect_pages(stream, at, f"{at}.state", most=args.max_pages)
-    else:
-        rows = spark.read.format("monthly_records").options(pages="quillmill.sources.rest:pubmed_pages", **options).load()
-        rows.dropDuplicates(["pmid"]).write.mode("overwrite").parquet(at)
-    print(spark.read.parquet(at).count())
+        return rest.works_page(t, args.query, first, last, "*")["total"]
+    return rest.pmids(t, args.query, 0, 0, first.replace("-", "/"), last.replace("-", "/"))[1]
+
+
+def count_keys(spark, path: str, key: str) -> int:
+    return files.json_lines(spark, path, key).count() if files.exists(spark, path) else 0
+
+
+def month_table(spark, path: str, months: dict) -> DataFrame:
+    """(month, expected, collected, duplicates, complete) of months of a crawl; ``collected`` counts what is stored."""
+    kinds = "month string, expected long, received long, complete boolean"
+    asked = spark.createDataFrame([(m, v["expected"], v["received"], v["complete"]) for m, v in months.items()], kinds)
+    held = files.json_lines(spark, path, "pmid").groupBy(records.at(F.col("v"), "$.month_bucket").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    collected = F.coalesce("n", F.lit(0))
+    return asked.join(held, "month", "left").select("month", "expected", collected.alias("collected"), F.greatest(F.col("received") - collected, F.lit(0)).alias("duplicates"), "complete")
+
+
+def trend_collect(spark, args) -> int:
+    """Raw lines and their meta, where the reports read them; goes on behind the last page of an earlier run.
+
+    A search of works has a state for each query and window; monthly records
+    have one for each query, so that a longer window adds months. Ends with 1 if
+    requests failed or the budget is spent; what was received by then is kept.
+    """
+    first, last = args.window.split("..")
+    if args.dry_run:
+        n = expected(args, first, last)
+        print(json.dumps({"dry_run": True, "count": n, "estimated_requests": None if n is None else n // (rest.SEARCH_PAGE if args.provider == "openalex" else rest.ID_PAGE) + 1}))
+        return 0
+    paged.register_all(spark)
+    kind, key, pages = PROVIDERS[args.provider]
+    out = f"{args.data}/raw/{args.provider}/{args.profile}"
+    tag = f"{zlib.crc32(repr((args.query, args.window if args.provider == 'openalex' else '')).encode()):08x}"
+    stream = spark.readStream.format(kind).options(pages=pages, query=args.query, transport=args.transport, **{"from": first, "to": last})
+    with logged(spark, args, args.provider) as tally:
+        before = count_keys(spark, out, key)
+        crawl = ingest.collect_pages(spark, stream, out, f"{args.data}/state/{args.provider}/{args.profile}/{tag}", key, args.max_pages, tag)
+        at, collected = crawl.offset, count_keys(spark, out, key)
+        if args.provider == "openalex":
+            finished, extra = at.get("cursor") == "", {"expected_from_api": at.get("total"), "duplicates_skipped": max(0, at.get("received", 0) - collected)}
+        else:
+            wanted = paged.months(first, last)
+            asked = {m: v for m, v in at.get("months", {}).items() if m in wanted}
+            finished, even = len(asked) == len(wanted) and all(v["complete"] for v in asked.values()), False
+            extra = {"months": asked, "expected_from_api": None, "duplicates_skipped": 0}
+            if asked:
+                sums = ingest.census(month_table(spark, out, asked)).first()
+                extra |= {"expected_from_api": sums["expected"], "duplicates_skipped": sums["duplicates"]}
+                even = sums["is_census"]
+        tally.requests, tally.records = crawl.pages, collected - before
+        tally.stop(crawl.error, not finished)
+        meta = {
+            "query_id": args.profile,
+            "provider": args.provider,
+            "query": args.query,
+            "window": args.window,
+            "collected": collected,
+            "new_this_run": collected - before,
+            "pages": at.get("pages", 0),
+            "pages_this_run": crawl.pages,
+            "stopped_early": bool(tally.reason),
+            "stopped_reason": tally.reason,
+            "remaining_estimate": max(0, (extra["expected_from_api"] or 0) - collected),
+            "is_census": ingest.cursor_census(None, finished, bool(tally.reason)) and (args.provider == "openalex" or even),
+            "collected_at": runlog.now(),
+        }
+        files.write_text(spark, f"{out}/_meta.json", json.dumps(meta | extra, ensure_ascii=False, indent=1))
+        print(collected)
+    if crawl.error:
+        print(crawl.error, file=sys.stderr)
+    return 1 if crawl.error else 0
 
 
 def stored(spark, args, name: str) -> DataFrame | None:
@@ -159,6 +265,31 @@ def save(spark, args, name: str, new: DataFrame) -> None:
     schema.swap_in(merge.merge_table(name, old, new), f"{args.store}/{name}")
 
 
+CACHE = "source string, key string, status string, response string"
+
+
+def answered(spark, args, keys: DataFrame, source: str, tally: Tally) -> DataFrame:
+    """(source, key, status, response) of the keys that the source knows. Only what the cache table lacks is asked for; finds and absences go into it, failures don't. Each source has its own table, so that none is replaced while plans still read it."""
+    name = f"lookup_cache/{source}"
+    path = f"{args.store}/{name}"
+    wanted = keys.select(F.lit(source).alias("source"), "key").where("coalesce(key, '') <> ''").distinct()
+    cache = stored(spark, args, name)
+    asked = wanted if cache is None else merge.cache_misses(wanted, cache)
+    fresh = rest.lookup_table(asked, source, args.transport).cache()
+    cost = fresh.agg(F.count(F.lit(1)).alias("n"), F.count_if(~evidence.cacheable(F.col("status"))).alias("failed")).first()
+    tally.requests, tally.errors = tally.requests + cost["n"], tally.errors + cost["failed"]
+    if fresh.where("status = 'budget'").take(1):
+        tally.status, tally.reason = runlog.outcome(True, False, False)
+    empty = spark.createDataFrame([], CACHE)
+    schema.swap_in(merge.cache_put(empty if cache is None else cache, fresh.where(evidence.cacheable(F.col("status"))).withColumn("seq", F.lit(0))), path)
+    fresh.unpersist()
+    return spark.read.schema(CACHE).parquet(path).join(wanted, ["source", "key"], "left_semi").where("response is not null")
+
+
+def ingredient_fetch_cosing(spark, args) -> None:
+    print(json.dumps(download.fetch_file(args.url, str(Path(args.dir) / "cosing.csv")), ensure_ascii=False))
+
+
 def ingredient_resolve(spark, args) -> int:
     key = spark.createDataFrame([(args.name.strip(),)], "key string")
     row = rest.lookup_table(key, "pubchem", args.transport).first()
@@ -180,7 +311,7 @@ def ingredient_show(spark, args) -> int:
 
 
 def ingredient_import_cosing(spark, args) -> None:
-    found = files.side_file(spark, str(Path(args.csv).parent / "_meta.json")).get("fetched_at") or ""
+    found = files.side_file(spark, str(Path(args.csv).parent / "_meta.json")).get("fetched_at") or runlog.now()
     rows = files.ingredients_csv(spark, args.csv, found).withColumn("seq", F.monotonically_increasing_id())
     save(spark, args, "ingredient", rows)
     read = spark.read.option("header", True).option("multiLine", True).csv(args.csv).count()
@@ -195,19 +326,24 @@ def evidence_collect(spark, args) -> None:
     papers = works.limit(args.limit).select(records.raw_json(F.col("raw")).alias("v")).select(*records.paper_record(F.col("v")))
     papers = papers.withColumn("key", record_key(F.col("doi"), F.col("openalex_id"))).where("key <> ''").cache()
     kinds = {"semantic_scholar": "tldr string, abstract string, journal string, citation_count bigint", "europepmc": "abstract string, journal string, keywords array<string>", "pubmed": "abstract string, journal string, mesh_terms array<string>"}
-    answers = {}
-    for source, kind in kinds.items():
-        table = rest.lookup_table(papers.select(evidence.lookup_key(source).alias("key")), source, args.transport).cache()
-        answers[source] = table.where("response is not null").select(F.col("key").alias("lookup"), F.from_json("response", kind).alias("response"))
-    crossref = rest.lookup_table(papers.select(evidence.lookup_key("crossref").alias("key")), "crossref", args.transport).where("response is not null").cache()
-    v = records.raw_json(F.col("response"))
-    answers["crossref"] = crossref.select(F.col("key").alias("lookup"), F.struct(records.first_text(v, "$.title").alias("title"), records.first_text(v, "$['container-title']").alias("journal"), records.retractions(v, F.col("key")).alias("retractions")).alias("response"))
-    scored = evidence.verify(evidence.enrich(papers, answers))
-    kept = scored.drop(*[f"evidence_{s}" for s in evidence.FILLS]).withColumn("collected_at", F.lit(""))
-    columns = ["crossref_verified", "title_match", "found_in_sources", "is_retracted", "has_doi", "confidence_score"]
-    old = stored(spark, args, "papers")
-    schema.swap_in(merge.merge_papers(old if old is not None else kept.limit(0), kept, columns), f"{args.store}/papers")
-    print(json.dumps(evidence.headline(kept).first().asDict()))
+    with logged(spark, args, "evidence") as tally:
+        known = {source: answered(spark, args, papers.select(evidence.lookup_key(source).alias("key")), source, tally) for source in (*kinds, "crossref")}
+        answers = {s: known[s].select(F.col("key").alias("lookup"), F.from_json("response", kind).alias("response")) for s, kind in kinds.items()}
+        v = records.raw_json(F.col("response"))
+        answers["crossref"] = known["crossref"].select(F.col("key").alias("lookup"), F.struct(records.first_text(v, "$.title").alias("title"), records.first_text(v, "$['container-title']").alias("journal"), records.retractions(v, F.col("key")).alias("retractions")).alias("response"))
+        scored = evidence.verify(evidence.enrich(papers, answers)).cache()
+        kept = scored.drop(*[f"evidence_{s}" for s in evidence.FILLS]).withColumn("collected_at", F.lit(runlog.now()))
+        columns = ["crossref_verified", "title_match", "found_in_sources", "is_retracted", "has_doi", "confidence_score"]
+        old = stored(spark, args, "papers")
+        schema.swap_in(merge.merge_papers(old if old is not None else kept.limit(0), kept, columns), f"{args.store}/papers")
+        notices = evidence.retraction_rows(scored.select("doi", F.col("evidence_crossref.retractions").alias("retractions")))
+        save(spark, args, "retraction", notices.withColumn("seq", F.monotonically_increasing_id()))
+        # after scoring: where a paper can be read changes no score
+        places = answered(spark, args, papers.select("doi").withColumnRenamed("doi", "key"), "unpaywall", tally)
+        found = places.select(F.col("key"), records.raw_json(F.col("response")).alias("v")).select("key", *records.oa_location(F.col("v"), runlog.now()))
+        save(spark, args, "oa_location", found.withColumn("doi", F.when(F.col("doi") != "", F.col("doi")).otherwise(F.col("key"))).drop("key").withColumn("seq", F.monotonically_increasing_id()))
+        tally.records = kept.count()
+        print(json.dumps(evidence.headline(kept).first().asDict()))
 
 
 def evidence_trend(spark, args) -> None:
@@ -231,18 +367,22 @@ def evidence_cite(spark, args) -> None:
 def trials_collect(spark, args) -> int:
     """What was received before a request fails, or the budget is spent, is saved; the command then ends with 1."""
     t, token, rows, failed = rest.made(args.transport), "*", [], None
-    while token and len(rows) < args.limit:
-        try:
-            page = rest.trials_page(t, args.query, token)
-        except rest.TransportError as error:
-            failed = error
-            break
-        rows += [(json.dumps(s, ensure_ascii=False),) for s in page["results"]][: args.limit - len(rows)]
-        token = page["next_cursor"]
-    if rows or not failed:
-        made = spark.createDataFrame(rows, "raw string").select(records.raw_json(F.col("raw")).alias("v")).select(*records.trial_record(F.col("v"), args.query, "")).where("nct_id <> ''")
-        save(spark, args, "trial", made.withColumn("seq", F.monotonically_increasing_id()))
-    print(len(rows))
+    with logged(spark, args, "clinicaltrials") as tally:
+        t.observer = tally.notes.append
+        while token and len(rows) < args.limit:
+            try:
+                page = rest.trials_page(t, args.query, token)
+            except rest.TransportError as error:
+                failed = error
+                break
+            rows += [(json.dumps(s, ensure_ascii=False),) for s in page["results"]][: args.limit - len(rows)]
+            token = page["next_cursor"]
+        if rows or not failed:
+            made = spark.createDataFrame(rows, "raw string").select(records.raw_json(F.col("raw")).alias("v")).select(*records.trial_record(F.col("v"), args.query, runlog.now())).where("nct_id <> ''")
+            save(spark, args, "trial", made.withColumn("seq", F.monotonically_increasing_id()))
+        tally.requests, tally.records = len(tally.notes), len(rows)
+        tally.stop(type(failed).__name__ if failed else None)
+        print(len(rows))
     if failed:
         print(failed, file=sys.stderr)
     return 1 if failed else 0
@@ -277,7 +417,7 @@ def parser() -> argparse.ArgumentParser:
     command("evidence", "collect", evidence_collect, *span, ("--limit", number(100)))
     command("evidence", "trend", evidence_trend, *span)
     command("evidence", "cite", evidence_cite, ("--keyword", need), ("--min-confidence", number(0)), ("--limit", number(20)), ("--include-retracted", flag))
-    command("trend", "collect", trend_collect, *profile[:2], ("--query", need), ("--window", need), ("--provider", text("openalex")), ("--max-pages", number()))
+    command("trend", "collect", trend_collect, *profile[:2], ("--query", need), ("--window", need), ("--provider", {"default": "openalex", "choices": sorted(PROVIDERS)}), ("--max-pages", number()), ("--dry-run", flag))
     command("trend", "records", trend_records, *profile)
     command("trend", "normalize", trend_normalize, *profile, ("--top", number(20)))
     command("trend", "aggregate", trend_aggregate, *profile, ("--provider", text("openalex")), ("--threshold", number(trend.LOW_SAMPLE)), ("--provisional", number(1)), ("--allow-sample", flag))
@@ -286,6 +426,7 @@ def parser() -> argparse.ArgumentParser:
     command("trend", "overlap", trend_overlap, *profile)
     command("trials", "collect", trials_collect, ("--query", need), ("--limit", number(100)))
     command("trials", "list", trials_list, ("--keyword", need), ("--limit", number(20)))
+    command("ingredient", "fetch-cosing", ingredient_fetch_cosing, ("--url", need), ("--dir", text("data/cosing")))
     command("ingredient", "resolve", ingredient_resolve, ("--name", need))
     command("ingredient", "show", ingredient_show, ("--name", need))
     command("ingredient", "import-cosing", ingredient_import_cosing, ("--csv", need))

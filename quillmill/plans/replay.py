@@ -71,3 +71,14 @@ class Service:
 
 def transport() -> Transport:
     return Transport(Service(), rest.POLICIES, sleep=lambda s: None)
+
+
+class Failing(Service):
+    """Refuses the articles of 2020-02."""
+
+    def get(self, url: str, headers: dict) -> Answer:
+        return Answer("{}", 400) if "efetch" in url and "2020-02" in url else super().get(url, headers)
+
+
+def failing() -> Transport:
+    return Transport(Failing(), rest.POLICIES, sleep=lambda s: None)

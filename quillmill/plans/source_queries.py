@@ -8,6 +8,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from quillmill.functions import records
 from quillmill.functions.text import cas_number
@@ -34,43 +35,54 @@ def src_openalex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("works_pages").options(**works_options()).load().select("id")
 
 
-def works_stream(spark: SparkSession):
+def works_stream(spark: SparkSession) -> DataStreamReader:
     paged.register_all(spark)
-    return lambda: spark.readStream.format("works_pages").options(**works_options()).load()
+    return spark.readStream.format("works_pages").options(**works_options())
+
+
+def line_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    return files.json_lines(spark, path, key).select(F.col("id").alias(key))
 
 
 @query(IDS)
 def src_openalex_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lines, page by page, read back as the reports read them."""
     at = work_dir(spark)
-    ingest.collect_pages(works_stream(spark), f"{at}/out", f"{at}/state")
-    return spark.read.parquet(f"{at}/out").select("id")
+    ingest.collect_pages(spark, works_stream(spark), f"{at}/out", f"{at}/state")
+    return line_ids(spark, f"{at}/out")
 
 
 @query(IDS)
 def stm_cursor_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stopped after a page, then continued behind it."""
     at = work_dir(spark)
-    ingest.collect_pages(works_stream(spark), f"{at}/out", f"{at}/state", most=1)
-    ingest.collect_pages(works_stream(spark), f"{at}/out", f"{at}/state")
-    return spark.read.parquet(f"{at}/out").select("id")
+    ingest.collect_pages(spark, works_stream(spark), f"{at}/out", f"{at}/state", most=1)
+    ingest.collect_pages(spark, works_stream(spark), f"{at}/out", f"{at}/state")
+    return line_ids(spark, f"{at}/out")
 
 
 @query("select 'W' || i as id from range(400) t(i)")
 def stm_bounded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = work_dir(spark)
-    ingest.collect_pages(works_stream(spark), f"{at}/out", f"{at}/state", most=2)
-    return spark.read.parquet(f"{at}/out").select("id")
+    ingest.collect_pages(spark, works_stream(spark), f"{at}/out", f"{at}/state", most=2)
+    return line_ids(spark, f"{at}/out")
 
 
 MONTH_IDS = "select '2020-0' || m || '-' || s as pmid, '2020-0' || m as month_bucket from (values (1), (2), (3)) a(m), (values ('a'), ('b')) b(s)"
 
 
+def months_stream(spark: SparkSession, first: str, last: str) -> DataStreamReader:
+    paged.register_all(spark)
+    return spark.readStream.format("monthly_records").options(pages="quillmill.sources.rest:pubmed_pages", transport=REPLAY, query="q", **{"from": first, "to": last})
+
+
 @query(MONTH_IDS)
 def src_pubmed_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A partition a month; in each, ids first and then their articles in batches."""
-    paged.register_all(spark)
-    options = {"pages": "quillmill.sources.rest:pubmed_pages", "transport": REPLAY, "query": "q", "from": "2020-01", "to": "2020-03"}
-    return spark.read.format("monthly_records").options(**options).load().select("pmid", "month_bucket")
+    """Month by month, ids first and then their articles in batches; stopped after a page, then taken up with a longer window."""
+    at = work_dir(spark)
+    for last, most in (("2020-02", 1), ("2020-02", None), ("2020-03", None)):
+        ingest.collect_pages(spark, months_stream(spark, "2020-01", last), f"{at}/out", f"{at}/state", "pmid", most)
+    return files.json_lines(spark, f"{at}/out", "pmid").select(F.col("id").alias("pmid"), records.at(F.col("v"), "$.month_bucket").alias("month_bucket"))
 
 
 @query("select * from (values ('2020-01-a', 'P 2020-01-a'), ('2020-01-b', 'P 2020-01-b')) t(pmid, title)")
@@ -233,9 +245,10 @@ def src_csv_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select r_regionkey, r_name from region")
 def snk_json_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{work_dir(spark)}/json"
-    files.write_json_table(table(spark, sf_dir, "region"), at)
-    return spark.read.schema("r_regionkey int, r_name string").json(at)
+    """One JSON array, read back as one."""
+    at = f"{work_dir(spark)}.json"
+    files.write_json_array(table(spark, sf_dir, "region"), at)
+    return spark.read.schema("r_regionkey int, r_name string").json(at, multiLine=True, mode="FAILFAST")
 
 
 @query("select p_partkey, p_name from part")
@@ -250,8 +263,8 @@ def snk_raw_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines appended by a stream, exactly once."""
     at = work_dir(spark)
     stream = spark.readStream.schema("event_id long, props string").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    ingest.collect_stream(stream, f"{at}/out", f"{at}/state", key="event_id").awaitTermination()
-    return spark.read.schema("event_id long, props string").parquet(f"{at}/out")
+    ingest.collect_lines(stream.withColumn("raw", F.to_json(F.struct("event_id", "props"))), f"{at}/out", f"{at}/state", key="event_id").awaitTermination()
+    return spark.read.schema("event_id long, props string").json(f"{at}/out", pathGlobFilter="*.jsonl")
 
 
 @query("select 'r1' as run_id, 'collect' as command, 'partial' as status, 9 as records")
@@ -372,25 +385,16 @@ def stm_month_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, *ingest.next_position(s, months)) for n, s in states.items()], "name string, month string, start int")
 
 
-@query("select distinct user_id as id from events")
+@query(MONTH_IDS)
 def stm_no_advance_on_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch that fails half-way is taken again as a whole; its rows count once."""
-    at, tries = work_dir(spark), []
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.where("id % 2 = 0").write.mode("append").parquet(f"{at}/out") if not tries else batch.write.mode("append").parquet(f"{at}/out")
-        tries.append(number)
-        if len(tries) == 1:
-            raise RuntimeError("half-way")
-
-    stream = spark.readStream.schema("user_id long").option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("user_id").alias("id"))
-    for _ in range(2):
-        run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-        try:
-            run.awaitTermination()
-        except Exception:  # noqa: BLE001  the first try fails on purpose
-            continue
-    return spark.read.parquet(f"{at}/out").distinct()
+    """A page whose articles fail moves nothing: the next run asks for it again, and its rows are there once."""
+    at = work_dir(spark)
+    failing = months_stream(spark, "2020-01", "2020-03").option("transport", "quillmill.plans.replay:failing")
+    first = ingest.collect_pages(spark, failing, f"{at}/out", f"{at}/state", "pmid")
+    if (first.error, first.pages, first.offset["month_cursor"]) != ("PermanentError", 1, "2020-02"):
+        raise AssertionError(first)
+    ingest.collect_pages(spark, months_stream(spark, "2020-01", "2020-03"), f"{at}/out", f"{at}/state", "pmid")
+    return files.json_lines(spark, f"{at}/out", "pmid").select(F.col("id").alias("pmid"), records.at(F.col("v"), "$.month_bucket").alias("month_bucket"))
 
 
 @query("select strftime(o_orderdate, '%Y-%m') as month_bucket, count(*) as paper_count, strftime(o_orderdate, '%Y-%m') in ('2001-07', '2001-08') as is_provisional from orders group by 1, 3")

@@ -20,6 +20,54 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop objects."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder, sorted; nothing if there is no such folder."""
+    system, at = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, at = file_system(spark, path)
+    stream = system.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    system, at = file_system(spark, path)
+    stream = system.create(at, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def write_lines(rows: DataFrame, folder: str, name: str) -> None:
+    """Writes a text column as ``{name}-{part}.jsonl`` beside what is there. The same name again replaces its files.
+
+    Parts are written aside and then renamed, so that nobody reads half a file.
+    """
+    spark, aside = rows.sparkSession, f"{folder}/_{name}"
+    system, at = file_system(spark, aside)
+    rows.write.mode("overwrite").text(aside)
+    for old in names(spark, folder):
+        if old.startswith(f"{name}-") and old.endswith(".jsonl"):
+            system.delete(file_system(spark, f"{folder}/{old}")[1], False)
+    parts = sorted((f.getPath() for f in system.listStatus(at) if f.getLen() and f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    for i, part in enumerate(parts):
+        if not system.rename(part, file_system(spark, f"{folder}/{name}-{i:05d}.jsonl")[1]):
+            raise OSError(f"{part} can't be renamed")
+    system.delete(at, True)
+
+
 def raw_dir(spark: SparkSession, root: str, provider: str, query_id: str) -> str:
     """raw/{provider}/{query_id}; works of the first provider may lie in the older raw/{query_id}."""
     new, old = f"{root}/raw/{provider}/{query_id}", f"{root}/raw/{query_id}"
@@ -62,15 +110,10 @@ def side_file(spark: SparkSession, path: str) -> dict:
     """A small JSON object; {} if it is missing or unreadable."""
     if not exists(spark, path):
         return {}
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)  # Spark's readers skip names with an underscore
     try:
-        found = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        found = json.loads(read_text(spark, path))  # Spark's readers skip names with an underscore
     except ValueError:
         return {}
-    finally:
-        stream.close()
     return found if isinstance(found, dict) else {}
 
 
@@ -124,6 +167,22 @@ def export_csv(rows: DataFrame, fields: list[str], limit: int = 1_000_000) -> tu
     return text.getvalue().encode("utf-8-sig"), len(found)
 
 
+def write_json_array(rows: DataFrame, path: str) -> int:
+    """A whole table as one JSON array, a row a line, nulls kept; gives the number of rows. One file, in the order of ``rows``, a partition at a time."""
+    system, at = file_system(rows.sparkSession, path)
+    stream, n = system.create(at, True), 0
+    put = lambda text: stream.write(bytearray(text.encode("utf-8")))
+    try:
+        put("[")
+        for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
+            put(("," if n else "") + "\n" + r[0])
+            n += 1
+        put("\n]\n")
+    finally:
+        stream.close()
+    return n
+
+
 def write_json_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

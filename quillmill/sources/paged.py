@@ -2,7 +2,10 @@
 
 ``works_pages`` follows a cursor: its stream offset is the cursor, so a restart
 goes on at the page after the last committed one. ``monthly_records`` reads one
-partition per month. Both get their pages from a ``fetch`` object named by the
+partition per month; as a stream it goes month by month, a page a batch, and its
+offset is the month, the start within it and what each month has given so far.
+``place`` is a row's position in its collection. A stream takes at most
+``maxPages`` pages a run. Both get their pages from a ``fetch`` object named by the
 ``pages`` option: ``module:attribute``, called with a cursor or a month. The
 package has ``saved_pages``, which reads pages saved as JSON files, so that
 collections can be replayed and tested without a network.
@@ -19,6 +22,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from quillmill.streaming.ingest import next_position
+
 SOURCES: dict[str, type[DataSource]] = {}
 
 
@@ -52,10 +57,14 @@ def fetcher(options: dict) -> Callable[[str], dict]:
     return getattr(import_module(module), name)(options)
 
 
+#: Places left for the rows of a page of works.
+PAGE_ROWS = 10_000
+
+
 class WorksReader(DataSourceReader, SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         self.options = dict(options)
-        self.most_pages = int(options.get("maxPages", 0))
+        self.most_pages, self.taken = int(options.get("maxPages", 0)), 0
 
     def pages(self, cursor: str) -> Iterator[tuple[dict, str | None]]:
         fetch, n = fetcher(self.options), 0
@@ -64,28 +73,35 @@ class WorksReader(DataSourceReader, SimpleDataSourceStreamReader):
             cursor, n = page.get("next_cursor"), n + 1
             yield page, cursor
 
-    def rows(self, page: dict) -> Iterator[tuple[str, str]]:
-        for work in page.get("results", []):
+    def rows(self, page: dict, number: int = 0) -> Iterator[tuple[str, str, int]]:
+        for i, work in enumerate(page.get("results", [])):
             if work.get("id"):
-                yield work["id"], json.dumps(work, ensure_ascii=False)
+                yield work["id"], json.dumps(work, ensure_ascii=False), number * PAGE_ROWS + i
+
+    def behind(self, at: dict) -> tuple[list[tuple], dict]:
+        """The rows of the page at an offset, and the offset behind it."""
+        page = fetcher(self.options)(at["cursor"])
+        rows = list(self.rows(page, at["pages"]))
+        total = at.get("total") if page.get("total") is None else page["total"]
+        return rows, {"cursor": page.get("next_cursor") or "", "pages": at["pages"] + 1, "received": at.get("received", 0) + len(rows), "total": total}
 
     def read(self, given):
-        if isinstance(given, dict):  # streaming: one page a batch
-            if not given.get("cursor"):
-                return iter(()), given
-            page = fetcher(self.options)(given["cursor"])
-            return iter(list(self.rows(page))), {"cursor": page.get("next_cursor") or "", "pages": given["pages"] + 1}
-        return (row for page, _ in self.pages("*") for row in self.rows(page))
+        if not isinstance(given, dict):
+            return (row for n, (page, _) in enumerate(self.pages("*")) for row in self.rows(page, n))
+        if not given.get("cursor") or (self.most_pages and self.taken >= self.most_pages):
+            return iter(()), given
+        self.taken += 1
+        rows, end = self.behind(given)
+        return iter(rows), end
 
     def initialOffset(self) -> dict:
         return {"cursor": "*", "pages": 0}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        cursor, n = start["cursor"], start["pages"]
-        while cursor and n < end["pages"]:
-            page = fetcher(self.options)(cursor)
-            yield from self.rows(page)
-            cursor, n = page.get("next_cursor") or "", n + 1
+        at = start
+        while at["cursor"] and at["pages"] < end["pages"]:
+            rows, at = self.behind(at)
+            yield from rows
 
     def commit(self, end: dict) -> None:
         pass
@@ -93,14 +109,14 @@ class WorksReader(DataSourceReader, SimpleDataSourceStreamReader):
 
 @register
 class WorksPages(DataSource):
-    """(id, raw): works of a search, page by page."""
+    """(id, raw, place): works of a search, page by page."""
 
     @classmethod
     def name(cls) -> str:
         return "works_pages"
 
     def schema(self) -> str:
-        return "id string, raw string"
+        return "id string, raw string, place bigint"
 
     def reader(self, schema) -> WorksReader:
         return WorksReader(self.options)
@@ -122,14 +138,64 @@ class MonthReader(DataSourceReader):
     def partitions(self) -> list[Month]:
         return [Month(m) for m in months(self.options["from"], self.options["to"])]
 
-    def read(self, partition: Month) -> Iterator[tuple[str, str, str]]:
-        fetch, cursor = fetcher(self.options), partition.month
+    def read(self, partition: Month) -> Iterator[tuple[str, str, str, int]]:
+        fetch, cursor, n = fetcher(self.options), partition.month, 0
         while cursor:
             page = fetch(cursor)
-            for record in page.get("results", []):
-                if record.get("pmid"):
-                    yield record["pmid"], partition.month, json.dumps(record, ensure_ascii=False)
-            cursor = page.get("next_cursor")
+            yield from month_rows(page, partition.month, n)
+            cursor, n = page.get("next_cursor"), n + len(page.get("results", []))
+
+
+def month_rows(page: dict, month: str, start: int) -> Iterator[tuple[str, str, str, int]]:
+    for i, record in enumerate(page.get("results", [])):
+        if record.get("pmid"):
+            yield record["pmid"], month, json.dumps(record, ensure_ascii=False), start + i
+
+
+class MonthStream(SimpleDataSourceStreamReader):
+    """A page a batch. Cursors within a month are ``YYYY-MM@start``; a page that fails moves no offset."""
+
+    def __init__(self, options: dict):
+        self.options = dict(options)
+        self.months = months(options["from"], options["to"])
+        self.most_pages, self.taken = int(options.get("maxPages", 0)), 0
+
+    def initialOffset(self) -> dict:
+        return {"pages": 0, "months": {}}
+
+    def behind(self, at: dict) -> tuple[list[tuple], dict] | None:
+        """The rows of the page at an offset, and the offset behind it; None if no month is left."""
+        month, start = next_position(at, self.months)
+        if month is None:
+            return None
+        page = fetcher(self.options)(f"{month}@{start}" if start else month)
+        rows = list(month_rows(page, month, start))
+        received = (at["months"].get(month) or {}).get("received", 0) if start else 0
+        known = at["months"] | {month: {"expected": page.get("total"), "received": received + len(rows), "complete": not page.get("next_cursor")}}
+        later = [m for m in self.months if m > month]
+        if page.get("next_cursor"):
+            place = {"month_cursor": month, "retstart": int(page["next_cursor"].partition("@")[2])}
+        elif later:
+            place = {"month_cursor": later[0], "retstart": 0}
+        else:
+            place = {"complete": True, "complete_through_month": month}
+        return rows, {"pages": at["pages"] + 1, "months": known} | place
+
+    def read(self, start: dict):
+        found = None if self.most_pages and self.taken >= self.most_pages else self.behind(start)
+        if found is None:
+            return iter(()), start
+        self.taken += 1
+        return iter(found[0]), found[1]
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        at = start
+        while at["pages"] < end["pages"]:
+            rows, at = self.behind(at)
+            yield from rows
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 def months(first: str, last: str) -> list[str]:
@@ -140,14 +206,17 @@ def months(first: str, last: str) -> list[str]:
 
 @register
 class MonthlyRecords(DataSource):
-    """(pmid, month_bucket, raw): records by month of publication, a partition a month."""
+    """(pmid, month_bucket, raw, place): records by month of publication; in a batch, a partition a month."""
 
     @classmethod
     def name(cls) -> str:
         return "monthly_records"
 
     def schema(self) -> str:
-        return "pmid string, month_bucket string, raw string"
+        return "pmid string, month_bucket string, raw string, place bigint"
 
     def reader(self, schema) -> MonthReader:
         return MonthReader(self.options)
+
+    def simpleStreamReader(self, schema) -> MonthStream:
+        return MonthStream(self.options)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+from dataclasses import dataclass
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
+
+from quillmill.sources import files
 
 
 def collect_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "id", late: tuple[str, str] | None = None) -> StreamingQuery:
@@ -19,20 +24,56 @@ def collect_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "id"
     return seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def collect_pages(stream: Callable[[], DataFrame], out: str, checkpoint: str, key: str = "id", most: int | None = None) -> int:
-    """Collects a source whose batches are single pages until it has no more, or for ``most`` pages; gives their number.
+def collect_lines(stream: DataFrame, out: str, checkpoint: str, key: str = "id", raw: str = "raw", place: str | None = None, tag: str = "lines", once: bool = True) -> StreamingQuery:
+    """Appends the column ``raw`` of rows of unseen keys as lines, in files named after their batch.
+
+    A batch that is taken again replaces its own files, so each line is there once.
+    Rows ordered by ``place`` are of one page, hence few, and go into one file.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.repartition(1).sortWithinPartitions(place) if place else batch
+        files.write_lines(rows.select(raw), out, f"{tag}-{number:08d}")
+
+    made = stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (made.trigger(availableNow=True) if once else made).start()
+
+
+@dataclass
+class Crawl:
+    """How far a crawl has come: the committed offset, the pages of this run, and the kind of error that ended it."""
+
+    offset: dict
+    pages: int
+    error: str | None = None
+
+
+def committed(spark: SparkSession, checkpoint: str) -> dict:
+    """The offset behind the last finished batch of a stream with one source; {} if there is none."""
+    done = [int(n) for n in files.names(spark, f"{checkpoint}/commits") if n.isdigit()]
+    return json.loads(files.read_text(spark, f"{checkpoint}/offsets/{max(done)}").splitlines()[-1]) if done else {}
+
+
+def collect_pages(spark: SparkSession, stream: DataStreamReader, out: str, checkpoint: str, key: str = "id", most: int | None = None, tag: str = "pages") -> Crawl:
+    """Collects a source whose batches are single pages, as raw lines, until it has no more or for ``most`` pages.
 
     Each page is committed before the next is asked for, so what was paid for
-    is never lost, and a later run goes on behind it.
+    is never lost, and a later run goes on behind it. A request that fails ends
+    the run, and its kind is told; other errors are raised.
     """
-    pages = 0
-    while most is None or pages < most:
-        run = collect_stream(stream(), out, checkpoint, key)
-        run.awaitTermination()
-        if not any(p["numInputRows"] for p in run.recentProgress):
-            break
-        pages += 1
-    return pages
+    before, error = committed(spark, checkpoint).get("pages", 0), None
+    run = collect_lines(stream.option("maxPages", most or 0).load(), out, checkpoint, key, place="place", tag=tag, once=False)
+    try:
+        run.processAllAvailable()
+    except StreamingQueryException as failed:
+        kind = re.search(r"quillmill\.sources\.transport\.(\w+)", str(failed))
+        if not kind:
+            raise
+        error = kind[1]
+    finally:
+        run.stop()
+    offset = committed(spark, checkpoint)
+    return Crawl(offset, offset.get("pages", 0) - before, error)
 
 
 def read_files(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:

@@ -58,6 +58,49 @@ class Saved:
         return Answer("{}", 404)
 
 
+class Broken(Saved):
+    """Refuses the second page of works, and articles asked for a second month."""
+
+    def get(self, url, headers):
+        return Answer("{}", self.status) if "cursor=two" in url or "2024%2F02" in url else super().get(url, headers)
+
+
+def broken() -> Transport:
+    Broken.status = 400
+    return Transport(Broken(), rest.POLICIES, sleep=lambda s: None)
+
+
+def spent() -> Transport:
+    Broken.status = 402
+    return Transport(Broken(), rest.POLICIES, sleep=lambda s: None)
+
+
+class Months(Saved):
+    """One article a month."""
+
+    def get(self, url, headers):
+        q = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
+        if "mindate" in q:
+            return Answer(json.dumps({"esearchresult": {"idlist": [q["mindate"][5:7]], "count": "1"}}))
+        if "efetch" in url:
+            heading = "<MeshHeadingList><MeshHeading><DescriptorName>Skin</DescriptorName></MeshHeading></MeshHeadingList>"
+            return Answer(f"<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>{q['id']}</PMID>{heading}</MedlineCitation></PubmedArticle></PubmedArticleSet>")
+        return super().get(url, headers)
+
+
+class MonthsBroken(Months):
+    def get(self, url, headers):
+        return Answer("{}", 402) if "2024%2F02" in url or "2024/02" in url else super().get(url, headers)
+
+
+def monthly() -> Transport:
+    return Transport(Months(), rest.POLICIES, sleep=lambda s: None)
+
+
+def monthly_spent() -> Transport:
+    return Transport(MonthsBroken(), rest.POLICIES, sleep=lambda s: None)
+
+
 def offline() -> Transport:
     return Transport(Saved(), rest.POLICIES, sleep=lambda s: None)
 
@@ -77,7 +120,7 @@ def at(tmp_path, spark):
 
     def run(*args, code=0):
         group, command, *others = args
-        more = ["--store", str(tmp_path / "store"), "--transport", "test_cli:offline"]
+        more = ["--store", str(tmp_path / "store")] + ([] if "--transport" in others else ["--transport", "test_cli:offline"])
         if "--profile" in others:
             more += ["--data", str(tmp_path / "data")]
             if command != "collect":
@@ -151,3 +194,63 @@ def test_network_commands(at, capsys, monkeypatch):
         window = "2024-01..2024-02" if provider == "pubmed" else "2024-01-01..2024-12-31"
         at("trend", "collect", "--profile", "p", "--query", "q", "--window", window, "--provider", provider)
         assert capsys.readouterr().out.split()[-1] == n
+
+
+def note(at, provider):
+    return json.loads((at.path / "data" / "raw" / provider / "new" / "_meta.json").read_text())
+
+
+def test_works_from_collection_to_report(at, capsys, spark):
+    collect = ("trend", "collect", "--profile", "new", "--query", "q", "--window", "2024-01-01..2024-12-31")
+    at(*collect, "--dry-run")
+    assert json.loads(capsys.readouterr().out) == {"dry_run": True, "count": 4, "estimated_requests": 1}
+    assert not (at.path / "data" / "raw" / "openalex" / "new").exists()
+    for service, reason in (("broken", "transport"), ("spent", "budget")):
+        at(*collect, "--transport", f"test_cli:{service}", code=1)
+        meta = note(at, "openalex")
+        assert (meta["collected"], meta["is_census"], meta["stopped_reason"], meta["remaining_estimate"]) == (2, False, reason, 2)
+    at("trend", "aggregate", "--profile", "new", code=1)
+    at(*collect)
+    meta = note(at, "openalex")
+    assert (meta["collected"], meta["new_this_run"], meta["pages_this_run"], meta["is_census"], meta["stopped_reason"], meta["expected_from_api"]) == (4, 2, 1, True, None, 4)
+    at("trend", "aggregate", "--profile", "new", "--threshold", "2")
+    made = list(csv.DictReader(io.StringIO((at.path / "out" / "new" / "monthly_denominator.csv").read_bytes().decode("utf-8-sig"))))
+    assert [(r["month_bucket"], r["paper_count"]) for r in made] == [("2024-01", "2"), ("2024-02", "1")]
+    at(*collect)
+    assert note(at, "openalex")["new_this_run"] == 0 and note(at, "openalex")["is_census"]
+    runs = spark.read.parquet(str(at.path / "store" / "log" / "run")).where("seq = 1").orderBy("finished_at").collect()
+    assert sorted(r["status"] for r in runs) == ["ok", "ok", "partial", "partial"]
+
+
+def test_months_from_collection_to_report(at, capsys):
+    collect = lambda last, service, **k: at("trend", "collect", "--profile", "new", "--query", "q", "--provider", "pubmed", "--window", f"2024-01..{last}", "--transport", f"test_cli:{service}", **k)
+    collect("2024-03", "monthly_spent", code=1)
+    meta = note(at, "pubmed")
+    assert (meta["collected"], meta["is_census"], meta["stopped_reason"], list(meta["months"])) == (1, False, "budget", ["2024-01"])
+    collect("2024-02", "monthly")
+    meta = note(at, "pubmed")
+    assert (meta["collected"], meta["is_census"], meta["pages_this_run"]) == (2, True, 1)
+    collect("2024-03", "monthly")
+    meta = note(at, "pubmed")
+    assert (meta["collected"], meta["is_census"], meta["pages_this_run"], meta["expected_from_api"]) == (3, True, 1, 3)
+    at("trend", "aggregate", "--profile", "new", "--provider", "pubmed")
+    made = list(csv.DictReader(io.StringIO((at.path / "out" / "new" / "mesh_monthly.csv").read_bytes().decode("utf-8-sig"))))
+    assert [(r["month_bucket"], r["mesh_term"], r["paper_count"]) for r in made] == [(f"2024-0{i}", "skin", "1") for i in (1, 2, 3)]
+
+
+def test_lookups_are_stored(at, capsys, spark):
+    collect = ("evidence", "collect", "--query", "q", "--from", "2024", "--to", "2025", "--limit", "4")
+    at(*collect)
+    held = {(r["source"], r["key"]): r["status"] for r in spark.read.option("recursiveFileLookup", True).parquet(str(at.path / "store" / "lookup_cache")).collect()}
+    assert held["crossref", "10.1/a"] == "ok" and held["unpaywall", "10.1/a"] == "not_found"
+    asked = lambda: sorted(r["requests"] for r in spark.read.parquet(str(at.path / "store" / "log" / "run_source")).collect())
+    at(*collect)
+    assert asked()[0] == 0 and asked()[1] > 0
+    assert spark.read.parquet(str(at.path / "store" / "papers")).where("collected_at > ''").count() == 2
+    for table in ("retraction", "oa_location"):
+        spark.read.parquet(str(at.path / "store" / table)).count()
+    given = at.path / "g.csv"
+    given.write_text("INCI name,CAS No\nAQUA,7732-18-5\n")
+    at("ingredient", "fetch-cosing", "--url", given.as_uri(), "--dir", str(at.path / "cosing"))
+    at("ingredient", "import-cosing", "--csv", str(at.path / "cosing" / "cosing.csv"))
+    assert spark.read.parquet(str(at.path / "store" / "ingredient")).first()["fetched_at"] > "2"

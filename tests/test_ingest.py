@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.sources import paged, runlog, transport
+from quillmill.sources import download, files, paged, runlog, transport
 from quillmill.streaming import ingest
 
 
@@ -123,11 +124,93 @@ def test_stream_offsets(pages):
     for _ in range(5):
         rows, at = reader.read(at)
         seen += [r[0] for r in rows]
-    assert seen == ["A", "B", "A", "C"] and at == {"cursor": "", "pages": 3}
+    assert seen == ["A", "B", "A", "C"] and at == {"cursor": "", "pages": 3, "received": 4, "total": None}
     again = [r[0] for r in reader.readBetweenOffsets({"cursor": "two", "pages": 1}, {"cursor": "", "pages": 3})]
     assert again == ["B", "A", "C"]
 
 
+def test_stream_bounds_a_run(pages):
+    reader = paged.WorksReader({"folder": pages, "maxPages": "1"})
+    _, at = reader.read(reader.initialOffset())
+    assert at["cursor"] == "two" and reader.read(at)[1] is at
+
+
+def month_pages(options):
+    """Two months of two and no pages, and a third that appears with a longer window."""
+    held = {"2024-01": (["1", "2"], "2024-01@2"), "2024-01@2": (["2", ""], None), "2024-03": (["3"], None)}
+
+    def fetch(cursor):
+        ids, then = held.get(cursor, ([], None))
+        return {"results": [{"pmid": i, "month_bucket": cursor[:7]} for i in ids], "next_cursor": then, "total": {"2024-01": 2, "2024-03": 1}.get(cursor[:7], 0)}
+
+    return fetch
+
+
+def test_month_offsets():
+    options = {"pages": "test_ingest:month_pages", "from": "2024-01", "to": "2024-02"}
+    reader = paged.MonthStream(options)
+    at, offsets, seen = reader.initialOffset(), [], []
+    for _ in range(4):
+        rows, at = reader.read(at)
+        offsets.append(at)
+        seen += [(r[0], r[3]) for r in rows]
+    assert seen == [("1", 0), ("2", 1), ("2", 2)]
+    assert (offsets[0]["month_cursor"], offsets[0]["retstart"]) == ("2024-01", 2) and offsets[2] is offsets[3]
+    assert at["complete_through_month"] == "2024-02" and at["months"]["2024-01"] == {"expected": 2, "received": 3, "complete": True}
+    longer = paged.MonthStream(options | {"to": "2024-03"})
+    rows, end = longer.read(at)
+    assert [r[0] for r in rows] == ["3"] and end["complete_through_month"] == "2024-03"
+    assert [r[0] for r in longer.readBetweenOffsets(offsets[0], end)] == ["2", "3"]
+
+
+def lines(path):
+    return {f.name: f.read_text().splitlines() for f in sorted(path.glob("*.jsonl"))}
+
+
+def test_pages_become_lines(spark, pages, tmp_path):
+    paged.register_all(spark)
+    out, state = tmp_path / "out", str(tmp_path / "state")
+    (out).mkdir()
+    (out / "kept.jsonl").write_text('{"id": "Z"}')
+    stream = lambda: spark.readStream.format("works_pages").option("folder", pages)
+    first = ingest.collect_pages(spark, stream(), str(out), state, most=2)
+    assert (first.pages, first.error, first.offset["cursor"]) == (2, None, "three")
+    second = ingest.collect_pages(spark, stream(), str(out), state)
+    assert (second.pages, second.offset["cursor"]) == (1, "")
+    third = ingest.collect_pages(spark, stream(), str(out), state)
+    assert (third.pages, third.offset) == (0, second.offset)
+    found = lines(out)
+    assert [[json.loads(r)["id"] for r in found[n]] for n in sorted(found)] == [["Z"], ["A"], ["B"], ["C"]]
+
+
+def test_lines_replace_their_own_name(spark, tmp_path):
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "raw string")
+    out = tmp_path / "out"
+    for name, given in (("a", rows("1", "2").repartition(2)), ("b", rows("3")), ("a", rows("4").coalesce(1)), ("c", rows("5").limit(0))):
+        files.write_lines(given, str(out), name)
+    assert sorted(x for v in lines(out).values() for x in v) == ["3", "4"] and not [n for n in files.names(spark, str(out)) if n.startswith("_")]
+
+
+def test_json_array(spark, tmp_path):
+    at = tmp_path / "t.json"
+    assert files.write_json_array(spark.createDataFrame([(1, "é"), (2, None)], "a int, b string").orderBy("a"), str(at)) == 2
+    assert json.loads(at.read_text(encoding="utf-8")) == [{"a": 1, "b": "é"}, {"a": 2, "b": None}]
+    assert files.write_json_array(spark.createDataFrame([], "a int"), str(at)) == 0 and json.loads(at.read_text()) == []
+
+
+def test_download_keeps_the_former_note(tmp_path):
+    given, to = tmp_path / "given.csv", tmp_path / "to" / "cosing.csv"
+    given.write_bytes("\ufeffINCI name,CAS No\r\nAQUA,1\r\n".encode())
+    first = download.fetch_file(given.as_uri(), str(to))
+    assert first["header_row"] == "INCI name,CAS No" and first["size_bytes"] == given.stat().st_size == to.stat().st_size
+    assert first["sha256"] == hashlib.sha256(given.read_bytes()).hexdigest()
+    with pytest.raises(OSError):
+        download.fetch_file((tmp_path / "none.csv").as_uri(), str(to))
+    given.write_text("other")
+    download.fetch_file(given.as_uri(), str(to))
+    assert json.loads(to.with_name("_meta.prev.json").read_text()) == first and to.read_text() == "other"
+
+
 def test_collection_goes_on_where_it_stopped(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     for ids in (["a", "b", "a"], ["b", "c"]):
