@@ -231,11 +231,9 @@ def unmatched(terms: DataFrame, order: str = "ord", top: int | None = None) -> D
     place = F.row_number().over(Window.partitionBy("keyword_key").orderBy(order))
     titled = open_.where("title <> ''").select("keyword_key", F.substring("title", 1, TITLE_CHARS).alias("title"), place.alias("k")).where(F.col("k") <= EXAMPLES)
     titles = titled.groupBy("keyword_key").agg(*[F.max(F.when(F.col("k") == i, F.col("title"))).alias(f"t{i}") for i in range(1, EXAMPLES + 1)])
-    rows = counted.join(titles, "keyword_key", "left")
     blank = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
-    ranked = rows.orderBy(F.desc("paper_count"), "keyword_key")
-    ranked = ranked.limit(top) if top else ranked
-    return numbered(ranked, [F.desc("paper_count"), F.col("keyword_key")]).select(
+    ranked = counted.orderBy(F.desc("paper_count"), "keyword_key").limit(top) if top else counted
+    return numbered(ranked, "paper_count", "keyword_key").join(titles, "keyword_key", "left").select(
         "rank",
         F.col("keyword_key").alias("term"),
         "paper_count",
@@ -247,18 +245,24 @@ def unmatched(terms: DataFrame, order: str = "ord", top: int | None = None) -> D
     )
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str = "rank", group: str = "paper_count") -> DataFrame:
-    """Positions from 1 in a total order, without one task that holds all rows.
+PREFIX = 3
 
-    Rows are counted by ``group``, the leading sort column; a running sum of
-    those few counts gives where each value starts, and rows are numbered within
-    their value. Only ties of the leading column share a task.
+
+def numbered(rows: DataFrame, count: str, key: str, name: str = "rank") -> DataFrame:
+    """Positions from 1 by descending ``count``, then ascending ``key``, without one task that holds all rows.
+
+    Rows are counted by ``count`` and the start of their key, which order them
+    as the whole key does; a running sum of those few counts gives where each
+    group starts, and rows are numbered within theirs. Only rows with the same
+    count and the same first letters share a task.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(F.desc(group)).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col(group).alias("__g"), F.coalesce(before, F.lit(0)).alias("__s"))
-    within = F.row_number().over(Window.partitionBy(group).orderBy(*order[1:]))
-    return rows.withColumn("__k", within).join(starts, F.col(group) == F.col("__g")).withColumn(name, (F.col("__k") + F.col("__s")).cast("int")).drop("__k", "__s", "__g")
+    grouped = rows.withColumn("__p", F.substring(key, 1, PREFIX))
+    sizes = grouped.groupBy(count, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(F.desc(count), F.col("__p")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(count).alias("__c"), F.col("__p").alias("__q"), F.coalesce(before, F.lit(0)).alias("__s"))
+    within = F.row_number().over(Window.partitionBy(count, "__p").orderBy(key))
+    placed = grouped.withColumn("__k", within).join(starts, (F.col(count) == F.col("__c")) & F.col("__p").eqNullSafe(F.col("__q")))
+    return placed.withColumn(name, (F.col("__k") + F.col("__s")).cast("int")).drop("__k", "__s", "__c", "__p", "__q")
 
 
 def year_histogram(records: DataFrame, year: str = "year") -> DataFrame:
