@@ -86,16 +86,18 @@ def links(values: DataFrame) -> DataFrame:
     return pairs.union(spokes).distinct()
 
 
-def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large and small stars: (node, root), for nodes that have edges."""
+def roots(edges: DataFrame) -> DataFrame:
+    """Connected components by alternating large and small stars: (node, root), for nodes that have edges.
+
+    Every round but the last brings nodes nearer to their smallest one, so the
+    rounds, about as many as the logarithm of the longest chain, come to an end.
+    """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     tally = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = edges.select("a", "b").checkpoint()
     before = tally(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
@@ -106,8 +108,6 @@ def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
@@ -128,15 +128,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each group the row of the smallest id stays, once."""
+    """The rows of ``docs`` less near-duplicates: of each group the row of the smallest id stays, once.
+
+    Rows are known by their id and a hash of their text, which don't depend on
+    how ``docs`` is cut into partitions; of rows that share both, any one stays.
+    """
     row = "__row"
     while row in docs.columns:
         row += "_"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = stored(fingerprints(numbered, text, (doc_id, row)), "fingerprints")
+    named = docs.withColumn(row, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = stored(fingerprints(named, text, (doc_id, row)), "fingerprints")
     key = F.struct(F.col(doc_id), F.col(row))
-    kept = components(rows, key).where(key == F.col("component")).select(row)
-    return numbered.join(kept, row, "left_semi").drop(row)
+    first = components(rows, key).where(key == F.col("component")).groupBy(F.col(doc_id).alias("__i"), F.col(row).alias("__h"))
+    kept = stored(first.agg(F.count(F.lit(1)).alias("__n")), "kept")
+    among = lambda ids: named.join(ids, named[doc_id].eqNullSafe(ids["__i"]) & (named[row] == ids["__h"]), "left_semi")
+    once = among(kept.where("__n = 1")).drop(row)
+    if not kept.where("__n > 1").take(1):
+        return once
+    return once.unionByName(among(kept.where("__n > 1")).dropDuplicates([doc_id, row]).drop(row))
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
