@@ -61,15 +61,27 @@ def fetcher(options: dict) -> Callable[[str], dict]:
 PAGE_ROWS = 10_000
 
 
-class WorksReader(DataSourceReader, SimpleDataSourceStreamReader):
+class Paged:
+    """Asks for all pages through one object, made where it is used, so that the service's pace and budget hold across pages."""
+
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options, self.source = dict(options), None
         self.most_pages, self.taken = int(options.get("maxPages", 0)), 0
 
+    def fetch(self, cursor: str) -> dict:
+        if self.source is None:
+            self.source = fetcher(self.options)
+        return self.source(cursor)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"source": None}
+
+
+class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
     def pages(self, cursor: str) -> Iterator[tuple[dict, str | None]]:
-        fetch, n = fetcher(self.options), 0
+        n = 0
         while cursor and (not self.most_pages or n < self.most_pages):
-            page = fetch(cursor)
+            page = self.fetch(cursor)
             cursor, n = page.get("next_cursor"), n + 1
             yield page, cursor
 
@@ -80,7 +92,7 @@ class WorksReader(DataSourceReader, SimpleDataSourceStreamReader):
 
     def behind(self, at: dict) -> tuple[list[tuple], dict]:
         """The rows of the page at an offset, and the offset behind it."""
-        page = fetcher(self.options)(at["cursor"])
+        page = self.fetch(at["cursor"])
         rows = list(self.rows(page, at["pages"]))
         total = at.get("total") if page.get("total") is None else page["total"]
         return rows, {"cursor": page.get("next_cursor") or "", "pages": at["pages"] + 1, "received": at.get("received", 0) + len(rows), "total": total}
@@ -152,13 +164,12 @@ def month_rows(page: dict, month: str, start: int) -> Iterator[tuple[str, str, s
             yield record["pmid"], month, json.dumps(record, ensure_ascii=False), start + i
 
 
-class MonthStream(SimpleDataSourceStreamReader):
+class MonthStream(Paged, SimpleDataSourceStreamReader):
     """A page a batch. Cursors within a month are ``YYYY-MM@start``; a page that fails moves no offset."""
 
     def __init__(self, options: dict):
-        self.options = dict(options)
+        super().__init__(options)
         self.months = months(options["from"], options["to"])
-        self.most_pages, self.taken = int(options.get("maxPages", 0)), 0
 
     def initialOffset(self) -> dict:
         return {"pages": 0, "months": {}}
@@ -168,7 +179,7 @@ class MonthStream(SimpleDataSourceStreamReader):
         month, start = next_position(at, self.months)
         if month is None:
             return None
-        page = fetcher(self.options)(f"{month}@{start}" if start else month)
+        page = self.fetch(f"{month}@{start}" if start else month)
         rows = list(month_rows(page, month, start))
         received = (at["months"].get(month) or {}).get("received", 0) if start else 0
         known = at["months"] | {month: {"expected": page.get("total"), "received": received + len(rows), "complete": not page.get("next_cursor")}}

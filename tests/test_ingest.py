@@ -129,6 +129,15 @@ def test_stream_offsets(pages):
     assert again == ["B", "A", "C"]
 
 
+def test_one_source_serves_all_pages_and_stays_behind(pages):
+    reader = paged.WorksReader({"folder": pages})
+    _, at = reader.read(reader.initialOffset())
+    source = reader.source
+    reader.read(at)
+    assert source is not None and reader.source is source
+    assert reader.__getstate__()["source"] is None and reader.__getstate__()["options"] == {"folder": pages}
+
+
 def test_stream_bounds_a_run(pages):
     reader = paged.WorksReader({"folder": pages, "maxPages": "1"})
     _, at = reader.read(reader.initialOffset())
