@@ -42,6 +42,8 @@ THRESHOLD = 0.3
 STEMS = (4, 5)
 ROUNDS = 120
 LEAST_TEXTS = 3
+#: How many texts a clean one counts for in training: a marker that one sentence has by chance stays below the threshold, two sentences with one pass it.
+CLEAN_WEIGHT = 1.25
 #: Pull of the weights towards zero, in texts: what this many texts say doesn't move a weight.
 LASSO = 0.5
 #: Belief before training: this share of texts, each of so many sentences without weights, would be clean.
@@ -86,16 +88,19 @@ class Scorer:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def _word(self, word: str) -> float:
-        return sum(float(self.weights[f]) for f in set(features(word)))
+    def _word(self, word: str) -> tuple[int, ...]:
+        return tuple(f for f in features(word) if self.weights[f])
+
+    def logit(self, words: set[str]) -> float:
+        """Of a sentence; a feature that several of its words share counts once, as in training."""
+        return self.bias + sum(float(self.weights[f]) for f in sorted(set().union(*map(self.words.__getitem__, words))))
 
     def forget(self) -> None:
         self.words.clear()
         self.words.old = {}
 
     def logits(self, text: str | None) -> np.ndarray:
-        word = self.words.__getitem__
-        return np.array([sum(map(word, s)) for s in sentences(text)], float) + self.bias
+        return np.array([self.logit(s) for s in sentences(text)], float)
 
     def score(self, text: str | None) -> float:
         return float(-np.expm1(-np.logaddexp(0, self.logits(text)).sum() - np.logaddexp(0, self.leak)))
@@ -105,7 +110,7 @@ class Scorer:
         found = []
         for m in SENTENCE.finditer(text or ""):
             if not m[0].isspace():
-                z = self.bias + sum(map(self.words.__getitem__, set(m[0].lower().split())))
+                z = self.logit(set(m[0].lower().split()))
                 if (p := float(1 / (1 + np.exp(-z)))) >= least:
                     found.append({"start": m.start(), "end": m.end(), "score": p})
         return found
@@ -189,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = np.array([len(r["lengths"]) // 4 for r in made])
     del made
     y = np.array(y)
-    back = np.where(y == 1, 1 / share[1], 1 / share[0])
+    back = np.where(y == 1, 1 / share[1], CLEAN_WEIGHT / share[0])
     if not len(lengths):
         return Scorer(np.zeros(SIZE, np.float32), *NEVER)
     return train(slots, lengths.astype(np.int64), counts, y, back)

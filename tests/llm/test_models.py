@@ -275,14 +275,15 @@ def test_toxicity_without_both_labels(spark):
 
 
 def plain_toxicity(scorer, text):
-    """The noisy-or, sentence by sentence and feature by feature."""
+    """The noisy-or, sentence by sentence and feature by feature; words that share a beginning bring it into their sentence once, as in training."""
     clean = 1 - 1 / (1 + math.exp(-scorer.leak))
     for s in {s for s in re.split(r"[.!?\n]+", (text or "").lower()) if s.strip()}:
-        z = scorer.bias
+        slots = set()
         for w in set(s.split()):
             word = w.strip(toxicity.EDGE)
             names = [word] + [f"{n}:{word[:n]}" for n in toxicity.STEMS if len(word) > n] if word else []
-            z += sum(float(scorer.weights[k]) for k in {zlib.crc32(x.encode()) % toxicity.SIZE for x in names})
+            slots |= {zlib.crc32(x.encode()) % toxicity.SIZE for x in names}
+        z = scorer.bias + sum(float(scorer.weights[k]) for k in slots)
         clean *= 1 - 1 / (1 + math.exp(-z))
     return 1 - clean
 
@@ -304,12 +305,30 @@ def test_long_clean_texts_stay_clean(spark, small):
     docs, labels = (spark.read.parquet(f"{medium}/{n}.parquet") for n in ("documents", "labels"))
     scorer = toxicity.fit(toxicity.training_rows(docs), toxicity.training_rows(labels))
     long = [r["text"] for r in docs.join(labels.where("toxic = 0"), "doc_id").collect() if len(toxicity.sentences(r["text"])) > 100]
-    assert len(long) >= 10 and np.mean([scorer.score(t) < toxicity.THRESHOLD for t in long]) >= 0.9
+    assert len(long) >= 10 and all(scorer.score(t) < toxicity.THRESHOLD for t in long)
     rng = random.Random(2)
     unseen = ". ".join(" ".join(f"zq{rng.randrange(10**6)}" for _ in range(8)) for _ in range(2000))
     assert scorer.score(unseen) < toxicity.THRESHOLD
 
 
+def test_clean_texts_of_every_language_and_length_stay(spark, small):
+    """Held-out rows of the larger table; few of its toxic texts are in other languages than English."""
+    large = f"{small}/../sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{large}/documents.parquet").select("doc_id", "lang", "n_chars").collect()}
+    rows = [r for r in toxicity.op7_toxicity(spark, large).collect() if r["held_out"] and labels.get(r["doc_id"]) in (0, 1)]
+    edges = np.quantile([docs[r["doc_id"]]["n_chars"] or 0 for r in rows], [0.25, 0.5, 0.75])
+    called = {}
+    for r in rows:
+        d = docs[r["doc_id"]]
+        for group in (d["lang"], int(np.searchsorted(edges, d["n_chars"] or 0)), "all"):
+            called.setdefault((group, labels[r["doc_id"]]), []).append(r["predicted"])
+    for group, label in called:
+        if label == 0 and group is not None:
+            assert np.mean(called[group, 0]) <= 0.03 + 1.5 / len(called[group, 0]), group
+    assert np.mean(called["all", 0]) <= 0.02 and np.mean(called["all", 1]) >= 0.85
+
+
 def test_hot_ids_are_thinned_by_rows(spark):
     """One id holds 3,000 rows; the sample is bounded, and other ids teach as well."""
     rows = [(0, "fine words here. nothing else.")] * 3000 + [(i, f"word{i} and grubby things. more." if i % 2 else f"word{i} and good things. more.") for i in range(1, 200)]
