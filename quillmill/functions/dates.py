@@ -34,6 +34,11 @@ def month_index(month: Column) -> Column:
     return F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int") - 1
 
 
+def month_name(index: Column) -> Column:
+    """The month of a ``month_index``."""
+    return F.format_string("%04d-%02d", F.floor(index / 12).cast("int"), (F.pmod(index, F.lit(12)) + 1).cast("int"))
+
+
 def month_series(first: Column, last: Column) -> Column:
     """Array of struct(month, first_day, last_day) from date to date, clipped at both ends."""
     starts = F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))

@@ -28,6 +28,6 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All of them; importing the modules registers what they hold."""
-    from quillmill.plans import evidence_queries, merge_queries, record_queries, source_queries, stream_queries, trend_queries  # noqa: F401
+    from quillmill.plans import evidence_queries, join_queries, merge_queries, record_queries, source_queries, stream_queries, trend_queries  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

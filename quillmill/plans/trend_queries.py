@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import dates
 from quillmill.functions.text import norm_mesh, norm_term_plain, suggested_key
-from quillmill.operators import lexicon, suggest, trend
+from quillmill.operators import lexicon, suggest, trailing, trend
 from quillmill.plans.catalog import query
 from quillmill.plans.relations import DENOMINATOR, PROVIDERS, PROVISIONAL, WEIGHTED, WORKS, denominator, dimensions, ingredients, order_parts, providers, resolved, surface, table, term_monthly_sql, work_terms, works
 
@@ -29,6 +29,7 @@ def agg_topic_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.term_monthly(work_terms(spark, sf_dir, "topic"), denominator(spark, sf_dir))
 
 
+#: Means of figures with six digits are rounded half up in whole millionths, so that no half is lost to a binary fraction.
 METRICS = (
     term_monthly_sql("branded")
     + """,
@@ -41,9 +42,9 @@ sizes as (select count(*) as months_observed, count(*) filter (recent) as n_rece
 per as (
   select keyword_key, query_id, any_value(canonical_en) as canonical_en, any_value(category) as category, any_value(is_in_lexicon) as is_in_lexicon,
          min(month_bucket) as first_seen_month, cast(sum(paper_count) as bigint) as total_papers, count(distinct month_bucket) as months_present,
-         round(coalesce(sum(prevalence) filter (recent), 0), 9) as sum_recent, round(coalesce(sum(prevalence) filter (prior), 0), 9) as sum_prior,
+         cast(round(coalesce(sum(prevalence) filter (recent), 0) * 1000000) as hugeint) as sum_recent, cast(round(coalesce(sum(prevalence) filter (prior), 0) * 1000000) as hugeint) as sum_prior,
          coalesce(sum(paper_count) filter (recent), 0) as papers_recent, coalesce(sum(paper_count) filter (prior), 0) as papers_prior,
-         avg(weighted_prevalence) filter (recent) as weight
+         cast(round(sum(weighted_prevalence) filter (recent) * 1000000) as hugeint) as weights, count(weighted_prevalence) filter (recent) as n_weights
   from monthly join flagged using (month_bucket) group by 1, 2),
 grown as (
   select *, (sum_recent / nullif(n_recent, 0)) / nullif(sum_prior / nullif(n_prior, 0), 0) as growth,
@@ -51,8 +52,9 @@ grown as (
   from per, sizes),
 metrics as (
   select keyword_key, canonical_en, category, is_in_lexicon, query_id, first_seen_month, total_papers, months_present, months_observed,
-         round(sum_recent / nullif(n_recent, 0) + 1e-12, 6) as prevalence_recent, round(sum_prior / nullif(n_prior, 0) + 1e-12, 6) as prevalence_prior,
-         round(growth + 1e-12, 4) as growth_ratio, is_new_entrant, round(round(weight, 9) + 1e-12, 6) as weighted_prevalence_recent,
+         (2 * sum_recent + n_recent) // nullif(2 * n_recent, 0) / 1e6 as prevalence_recent, (2 * sum_prior + n_prior) // nullif(2 * n_prior, 0) / 1e6 as prevalence_prior,
+         (2 * sum_recent * n_prior * 10000 + sum_prior * n_recent) // nullif(2 * sum_prior * n_recent, 0) / 1e4 as growth_ratio,
+         is_new_entrant, (2 * weights + n_weights) // nullif(2 * n_weights, 0) / 1e6 as weighted_prevalence_recent,
          case when total_papers < 10 then 'unrated'
               when is_new_entrant then case when presence >= 0.25 then 'emerging' else 'sporadic' end
               when growth is null then 'unrated'
@@ -69,6 +71,34 @@ def agg_trend_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.trend_metrics(trend.term_monthly(work_terms(spark, sf_dir, "branded"), months), months)
 
 
+@query(
+    f"""with {term_monthly_sql("branded")},
+months as (select query_id, cast(substr(month_bucket, 1, 4) as int) * 12 + cast(substr(month_bucket, 6, 2) as int) - 1 as m, paper_count from denominator),
+bounds as (select min(m) as first, max(m) as last from months),
+counted as (select keyword_key, query_id, cast(substr(month_bucket, 1, 4) as int) * 12 + cast(substr(month_bucket, 6, 2) as int) - 1 as m, paper_count, prevalence from monthly),
+spine as (select keyword_key, query_id, unnest(range(min(m), (select last + 1 from bounds))) as m from counted group by 1, 2),
+dense as (select keyword_key, query_id, m, coalesce(paper_count, 0) as paper_count, coalesce(prevalence, 0) as prevalence from spine left join counted using (keyword_key, query_id, m)),
+summed as (
+  select *, sum(paper_count) over recent as papers_trailing, count(*) filter (paper_count > 0) over recent as months_present,
+         cast(round(sum(prevalence) over recent * 1000000) as hugeint) as sum_recent, cast(round(coalesce(sum(prevalence) over before, 0) * 1000000) as hugeint) as sum_prior
+  from dense window recent as (partition by keyword_key, query_id order by m range between 11 preceding and current row),
+                    before as (partition by keyword_key, query_id order by m range between 35 preceding and 12 preceding)),
+seen as (
+  select c.m, (select sum(paper_count) from months where m between c.m - 11 and c.m) as papers_window, (select count(*) from months where m between c.m - 11 and c.m) as n_recent,
+         (select count(*) from months where m between c.m - 35 and c.m - 12) as n_prior
+  from (select unnest(range(first, last + 1)) as m from bounds) c)
+select keyword_key, query_id, printf('%04d-%02d', m // 12, m % 12 + 1) as month_bucket, paper_count, cast(papers_trailing as bigint) as papers_trailing, cast(papers_window as bigint) as papers_window, months_present,
+       (2 * sum_recent + n_recent) // nullif(2 * n_recent, 0) / 1e6 as prevalence_trailing, (2 * sum_prior + n_prior) // nullif(2 * n_prior, 0) / 1e6 as prevalence_before,
+       (2 * sum_recent * n_prior * 10000 + sum_prior * n_recent) // nullif(2 * sum_prior * n_recent, 0) / 1e4 as growth_ratio
+from summed join seen using (m)"""
+)
+def win_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve-month prevalence and growth of every term at every month, gaps included."""
+    months = denominator(spark, sf_dir)
+    monthly = trend.term_monthly(work_terms(spark, sf_dir, "branded"), months)
+    return trailing.trailing(monthly, months).drop("canonical_en", "category", "is_in_lexicon")
+
+
 @query(f"with {METRICS} select trend_class, count(*) as n from metrics group by 1")
 def agg_class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.class_histogram(agg_trend_metrics(spark, sf_dir))

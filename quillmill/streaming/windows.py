@@ -17,7 +17,10 @@ def sliding(events: DataFrame, width: str, slide: str, time: str = "ts", group:
 
 
 def sessions(events: DataFrame, gap: str, time: str = "ts", group: str = "user_id", delay: str = DELAY) -> DataFrame:
-    return windowed(events, F.session_window(time, gap), time, group, delay)
+    """Bounds come from the events themselves: Spark moves filters on a session's window below the merging of sessions, where it isn't whole yet."""
+    late = events.withWatermark(time, delay) if events.isStreaming else events
+    counted = late.groupBy(F.session_window(time, gap).alias("w"), group).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min(time).alias("start"), F.max(time).alias("latest"))
+    return counted.select("start", (F.col("latest") + F.expr(f"interval {gap}")).alias("end"), group, "n", "total")
 
 
 def windowed(events: DataFrame, window, time: str, group: str, delay: str) -> DataFrame:
