@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from quillmill.functions.text import cas_number, exact_round, name_key, record_k
 from quillmill.operators import evidence, lexicon, merge, suggest, trend, vocabulary
 from quillmill.session import ship
 from quillmill.sources import download, files, paged, rest, runlog, schema
+from quillmill.sources.versioned import VersionedTable
 from quillmill.streaming import ingest
 
 MONTHLY = ["month_bucket", "query_id", "keyword_key", "canonical_en", "category", "is_in_lexicon", "paper_count", "total_papers", "prevalence", "citation_sum", "citation_median", "weighted_prevalence", "is_low_sample", "is_provisional"]
@@ -254,36 +256,36 @@ def trend_collect(spark, args) -> int:
     return 1 if crawl.error else 0
 
 
-def stored(spark, args, name: str) -> DataFrame | None:
-    path = f"{args.store}/{name}"
-    return spark.read.parquet(path) if files.exists(spark, path) else None
+#: What the rows of stored tables are hashed by, where ``merge.TABLES`` doesn't say.
+KEYS = {"papers": ["key"]}
 
 
-def save(spark, args, name: str, new: DataFrame) -> None:
-    old = stored(spark, args, name)
-    old = new.drop("seq").limit(0) if old is None else old
-    schema.swap_in(merge.merge_table(name, old, new), f"{args.store}/{name}")
+def table_of(spark, args, name: str) -> VersionedTable:
+    return VersionedTable(spark, f"{args.store}/{name}", KEYS[name] if name in KEYS else list(merge.TABLES[name][0]))
+
+
+def stored(spark, args, name: str) -> DataFrame | None:
+    return table_of(spark, args, name).read()
 
 
-CACHE = "source string, key string, status string, response string"
+def save(spark, args, name: str, new: DataFrame) -> None:
+    table_of(spark, args, name).upsert(new, partial(merge.merge_table, name), ("seq",))
 
 
 def answered(spark, args, keys: DataFrame, source: str, tally: Tally) -> DataFrame:
     """(source, key, status, response) of the keys that the source knows. Only what the cache table lacks is asked for; finds and absences go into it, failures don't. Each source has its own table, so that none is replaced while plans still read it."""
-    name = f"lookup_cache/{source}"
-    path = f"{args.store}/{name}"
+    table = VersionedTable(spark, f"{args.store}/lookup_cache/{source}", ["source", "key"])
     wanted = keys.select(F.lit(source).alias("source"), "key").where("coalesce(key, '') <> ''").distinct()
-    cache = stored(spark, args, name)
+    cache = table.read()
     asked = wanted if cache is None else merge.cache_misses(wanted, cache)
     fresh = rest.lookup_table(asked, source, args.transport).cache()
     cost = fresh.agg(F.count(F.lit(1)).alias("n"), F.count_if(~evidence.cacheable(F.col("status"))).alias("failed")).first()
     tally.requests, tally.errors = tally.requests + cost["n"], tally.errors + cost["failed"]
     if fresh.where("status = 'budget'").take(1):
         tally.status, tally.reason = runlog.outcome(True, False, False)
-    empty = spark.createDataFrame([], CACHE)
-    schema.swap_in(merge.cache_put(empty if cache is None else cache, fresh.where(evidence.cacheable(F.col("status"))).withColumn("seq", F.lit(0))), path)
+    table.upsert(fresh.where(evidence.cacheable(F.col("status"))).withColumn("seq", F.lit(0)), merge.cache_put, ("seq",))
     fresh.unpersist()
-    return spark.read.schema(CACHE).parquet(path).join(wanted, ["source", "key"], "left_semi").where("response is not null")
+    return table.read().join(wanted, ["source", "key"], "left_semi").where("response is not null")
 
 
 def ingredient_fetch_cosing(spark, args) -> None:
@@ -334,8 +336,8 @@ def evidence_collect(spark, args) -> None:
         scored = evidence.verify(evidence.enrich(papers, answers)).cache()
         kept = scored.drop(*[f"evidence_{s}" for s in evidence.FILLS]).withColumn("collected_at", F.lit(runlog.now()))
         columns = ["crossref_verified", "title_match", "found_in_sources", "is_retracted", "has_doi", "confidence_score"]
-        old = stored(spark, args, "papers")
-        schema.swap_in(merge.merge_papers(old if old is not None else kept.limit(0), kept, columns), f"{args.store}/papers")
+        whole, _ = schema.migrate(kept, 0, schema.PAPER_STEPS)
+        table_of(spark, args, "papers").upsert(whole, partial(merge.merge_papers, verification=columns))
         notices = evidence.retraction_rows(scored.select("doi", F.col("evidence_crossref.retractions").alias("retractions")))
         save(spark, args, "retraction", notices.withColumn("seq", F.monotonically_increasing_id()))
         # after scoring: where a paper can be read changes no score

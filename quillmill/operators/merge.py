@@ -1,7 +1,7 @@
 """Upserts as joins of old and new tables: (old, new) to merged.
 
-Null key parts count as ``''``, since nulls never meet. A table without
-transactions is replaced as a whole: write the merged one beside it, then swap.
+Null key parts count as ``''``, since nulls never meet. ``sources.versioned``
+stores what comes out.
 """
 
 from __future__ import annotations
@@ -19,6 +19,17 @@ TABLES = {
 }
 
 
+def aligned(old: DataFrame, new: DataFrame, skip: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns of ``old`` and then those that only ``new`` has; what a side lacks is null. A column that changed its type is refused. ``skip`` columns are of ``new`` alone."""
+    kinds = {f.name: f.dataType for f in old.schema.fields}
+    for f in new.schema.fields:
+        if f.name in kinds and kinds[f.name] != f.dataType:
+            raise ValueError(f"column {f.name} was {kinds[f.name].simpleString()} and is now {f.dataType.simpleString()}")
+    kinds |= {f.name: f.dataType for f in new.schema.fields if f.name not in skip}
+    fill = lambda df, also=(): df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()], *also)
+    return fill(old), fill(new, [c for c in skip if c in new.columns])
+
+
 def keyed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
 
@@ -95,7 +106,8 @@ def merge_table(name: str, old: DataFrame, new: DataFrame, seq: str = "seq") ->
 
 
 def merge_papers(old: DataFrame, new: DataFrame, verification: list[str], key: str = "key") -> DataFrame:
-    """Content columns keep what they had unless the new value isn't empty; verification columns are replaced whole."""
+    """Content columns keep what they had unless the new value isn't empty; verification columns are replaced whole. Columns that one side lacks are null there."""
+    old, new = aligned(old, new)
     fresh = blank_to_null(new, [key, *verification])
     o, n = old.alias("o"), fresh.withColumn("__new", F.lit(True)).alias("n")
     made = [F.col(key)]

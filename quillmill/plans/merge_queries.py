@@ -9,6 +9,8 @@ from quillmill.functions.text import scrub_url
 from quillmill.operators import merge
 from quillmill.plans.catalog import query
 from quillmill.plans.relations import table
+from quillmill.plans.stream_queries import work_dir
+from quillmill.sources.versioned import VersionedTable
 
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +45,24 @@ def mrg_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_papers(old.select("k", "name", "brand"), new.where("seq = 1").select("k", "name", "brand"), verification=["brand"], key="k")
 
 
+@query(
+    """select cast(p_partkey as varchar) as k, case when p_size < 20 then p_name when p_size % 2 = 1 then 'new' when p_size <= 30 then p_name end as name,
+  case when p_size < 20 then p_brand when p_size >= 40 then 'C' else 'B' end as brand, case when p_size >= 40 then p_partkey % 7 end as rating, 4 as version from part"""
+)
+def mrg_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after three upserts, of which the last brings a column, and a reader's version."""
+    old, new = versions(spark, sf_dir)
+    stored = VersionedTable(spark, f"{work_dir(spark)}/parts", ["k"], buckets=8)
+    add = lambda a, b: merge.merge(a, b, ["k"])
+    stored.upsert(old.drop("tags").withColumn("seq", F.lit(0).cast("long")), add, ("seq",))
+    stored.upsert(new.where("seq = 1").drop("tags"), add, ("seq",))
+    before = stored.read()
+    stored.upsert(new.where("seq = 2").drop("tags"), add, ("seq",))
+    rated = before.where("brand = 'B'").select("k").join(new.where("seq = 2").select("k"), "k").withColumns({"rating": F.pmod(F.col("k").cast("bigint"), F.lit(7)), "seq": F.lit(3).cast("long")})
+    stored.upsert(rated, add, ("seq",))
+    return stored.read().withColumn("version", F.lit(stored.versions()[-1]))
+
+
 CACHE = "select event_type as source, cast(user_id as varchar) as key, max_by(cast(event_id as varchar), event_id) as response from events where user_id % 5 <> 0 group by 1, 2"
 
 

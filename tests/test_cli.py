@@ -13,6 +13,7 @@ import pytest
 from quillmill import cli
 from quillmill.sources import rest
 from quillmill.sources.transport import Transport
+from quillmill.sources.versioned import VersionedTable
 
 WORKS = [
     {"id": "W1", "doi": "https://doi.org/10.1/A", "title": "Zinc oxide", "publication_date": "2024-01-05", "keywords": [{"display_name": "ZnO"}, {"display_name": "zinc oxide"}], "topics": [{"display_name": "Chemistry"}], "cited_by_count": 4},
@@ -22,6 +23,10 @@ WORKS = [
 ]
 
 
+def held_table(spark, path):
+    return VersionedTable(spark, str(path), []).read()
+
+
 @dataclass
 class Answer:
     text: str
@@ -238,19 +243,29 @@ def test_months_from_collection_to_report(at, capsys):
     assert [(r["month_bucket"], r["mesh_term"], r["paper_count"]) for r in made] == [(f"2024-0{i}", "skin", "1") for i in (1, 2, 3)]
 
 
+def test_an_older_paper_table_grows(at, spark):
+    """A plain folder without headings, with a column that is gone."""
+    path = at.path / "store" / "papers"
+    spark.createDataFrame([("doi:10.1/a", "An old title", "note")], "key string, title string, remark string").write.parquet(str(path))
+    at("evidence", "collect", "--query", "q", "--from", "2024", "--to", "2025", "--limit", "4")
+    table = held_table(spark, path)
+    assert {"mesh_terms", "confidence_score", "remark"} <= set(table.columns)
+    assert table.where("remark = 'note'").count() == 1 and table.where("confidence_score is not null").count() == 2
+
+
 def test_lookups_are_stored(at, capsys, spark):
     collect = ("evidence", "collect", "--query", "q", "--from", "2024", "--to", "2025", "--limit", "4")
     at(*collect)
-    held = {(r["source"], r["key"]): r["status"] for r in spark.read.option("recursiveFileLookup", True).parquet(str(at.path / "store" / "lookup_cache")).collect()}
+    held = {(r["source"], r["key"]): r["status"] for r in (row for source in (at.path / "store" / "lookup_cache").iterdir() for row in held_table(spark, source).collect())}
     assert held["crossref", "10.1/a"] == "ok" and held["unpaywall", "10.1/a"] == "not_found"
     asked = lambda: sorted(r["requests"] for r in spark.read.parquet(str(at.path / "store" / "log" / "run_source")).collect())
     at(*collect)
     assert asked()[0] == 0 and asked()[1] > 0
-    assert spark.read.parquet(str(at.path / "store" / "papers")).where("collected_at > ''").count() == 2
+    assert held_table(spark, at.path / "store" / "papers").where("collected_at > ''").count() == 2
     for table in ("retraction", "oa_location"):
-        spark.read.parquet(str(at.path / "store" / table)).count()
+        held_table(spark, at.path / "store" / table).count()
     given = at.path / "g.csv"
     given.write_text("INCI name,CAS No\nAQUA,7732-18-5\n")
     at("ingredient", "fetch-cosing", "--url", given.as_uri(), "--dir", str(at.path / "cosing"))
     at("ingredient", "import-cosing", "--csv", str(at.path / "cosing" / "cosing.csv"))
-    assert spark.read.parquet(str(at.path / "store" / "ingredient")).first()["fetched_at"] > "2"
+    assert held_table(spark, at.path / "store" / "ingredient").first()["fetched_at"] > "2"

@@ -40,6 +40,13 @@ def test_papers_merge(spark):
     assert got == {"a": ("old", ["k"], None), "b": ("b", None, 5), "c": ("c", ["z"], 10)}
 
 
+def test_papers_merge_with_other_columns(spark):
+    """An older table lacks what new rows have, and has what they lack."""
+    old = spark.createDataFrame([("a", "old", "kept")], "key string, title string, tldr string")
+    new = spark.createDataFrame([("a", None, ["zinc"], 5)], "key string, title string, mesh_terms array<string>, score int")
+    assert [tuple(r) for r in merge.merge_papers(old, new, ["score"]).collect()] == [("a", "old", "kept", ["zinc"], 5)]
+
+
 def test_a_stored_null_is_no_miss(spark):
     cache = merge.cache_put(spark.createDataFrame([], "source string, key string, response string"), spark.createDataFrame([("s", "a", None, 1), ("s", "", "x", 2)], "source string, key string, response string, seq long"))
     assert [tuple(r) for r in cache.collect()] == [("s", "a", None)]
@@ -47,7 +54,7 @@ def test_a_stored_null_is_no_miss(spark):
     assert [r["key"] for r in merge.cache_misses(wanted, cache).collect()] == ["b"]
 
 
-def test_migrations(spark, tmp_path):
+def test_migrations(spark):
     base, version = schema.migrate(spark.createDataFrame([("k",)], "key string"), 0, schema.PAPER_STEPS[:2])
     assert version == 2 and "evidence" not in base.columns
     full, version = schema.migrate(base, version, schema.PAPER_STEPS)
@@ -55,11 +62,6 @@ def test_migrations(spark, tmp_path):
     assert schema.migrate(full, version, schema.PAPER_STEPS)[0].columns == full.columns
     with pytest.raises(ValueError):
         schema.migrate(full, 99, schema.PAPER_STEPS)
-    path = str(tmp_path / "t")
-    schema.swap_in(full, path)
-    schema.swap_in(spark.read.parquet(path).withColumn("key", F.lit("new")), path)
-    assert spark.read.parquet(path).first()["key"] == "new"
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
 @pytest.mark.parametrize(
