@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.dates import month_add, month_index
+from quillmill.session import stored
 
 #: Fixed values of the classification.
 LOW_SAMPLE, LEAST_TOTAL, NEW_ENTRANT_PAPERS = 50, 10, 5
@@ -80,11 +81,13 @@ def term_monthly(terms: DataFrame, denominator: DataFrame, rounder: Rounder = ro
     ``terms`` has one row a record and key, with the record's month_bucket,
     citation_count and citation_percentile_in_cohort.
     """
-    grouped = terms.where("month_bucket is not null").groupBy("month_bucket", *TERM).agg(
-        F.count(F.lit(1)).alias("paper_count"),
-        F.sum("citation_count").alias("citation_sum"),
-        F.median("citation_count").alias("median"),
-        F.avg("citation_percentile_in_cohort").alias("weight"),
+    # equal counts of one term and month are one row, so that the median below holds few values, however many papers a term has
+    counted = terms.where("month_bucket is not null").groupBy("month_bucket", *TERM, "citation_count").agg(F.count(F.lit(1)).alias("n"), F.sum("citation_percentile_in_cohort").alias("shares"))
+    grouped = counted.groupBy("month_bucket", *TERM).agg(
+        F.sum("n").alias("paper_count"),
+        F.sum(F.col("citation_count") * F.col("n")).alias("citation_sum"),
+        F.percentile("citation_count", 0.5, F.col("n")).alias("median"),
+        (F.sum("shares") / F.sum(F.when(F.col("shares").isNotNull(), F.col("n")))).alias("weight"),
     )
     months = denominator.select("month_bucket", "query_id", F.col("paper_count").alias("total_papers"), "is_low_sample", "is_provisional")
     return grouped.join(months, "month_bucket").select(
@@ -193,6 +196,12 @@ def mesh_monthly(papers: DataFrame, threshold: int = LOW_SAMPLE, provisional: li
     )
 
 
+def overlap_sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(month_bucket, doi, side) of every DOI of a month: side is 1 or 2 where only that provider has it, 3 where both have."""
+    tagged = a.select("month_bucket", "doi", F.lit(1).alias("side")).union(b.select("month_bucket", "doi", F.lit(2).alias("side"))).where("doi <> ''")
+    return tagged.groupBy("month_bucket", "doi").agg(F.bit_or("side").alias("side"))
+
+
 def overlap(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("openalex", "pubmed"), normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per month: rows of either provider, DOIs of both and of one alone, and rows of the second that lack a DOI.
 
@@ -204,8 +213,7 @@ def overlap(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("openalex", "p
     n1, n2 = names
     rows_a = a.groupBy("month_bucket").agg(F.count(F.lit(1)).alias(f"{n1}_papers"))
     rows_b = b.groupBy("month_bucket").agg(F.count(F.lit(1)).alias(f"{n2}_papers"), F.count_if(F.coalesce("doi", F.lit("")) == "").alias("doi_missing"))
-    tagged = a.withColumn("side", F.lit(1)).union(b.withColumn("side", F.lit(2))).where("doi <> ''")
-    sides = tagged.groupBy("month_bucket", "doi").agg(F.bit_or("side").alias("side"))
+    sides = overlap_sides(a, b)
     dois = sides.groupBy("month_bucket").agg(F.count_if(F.col("side") == 3).alias("both"), F.count_if(F.col("side") == 1).alias(f"{n1}_only"), F.count_if(F.col("side") == 2).alias(f"{n2}_only"))
     joined = rows_a.join(rows_b, "month_bucket", "full_outer").join(dois, "month_bucket", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -222,29 +230,45 @@ EXAMPLES, TITLE_CHARS = 3, 140
 def unmatched(terms: DataFrame, order: str = "ord", top: int | None = None) -> DataFrame:
     """Terms that the lexicon lacks, by number of papers, with the first titles in input order.
 
-    ``terms`` is resolved, with month_bucket, title and an input position. Only
-    three titles a term go through the ranking, found before they meet.
+    ``terms`` is resolved, with month_bucket, title and an input position, and
+    is read once: each month of a term gives its count and its first titles,
+    and a term adds up its months. A term that very many papers have is dealt
+    by month, and no more than three titles a month are held.
     """
-    open_ = terms.where(~F.col("is_in_lexicon")).withColumn("title", F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)^\s+|\s+$", ""))
-    monthly = open_.groupBy("keyword_key", "month_bucket").agg(F.count(F.lit(1)).alias("n"))
-    counted = monthly.groupBy("keyword_key").agg(F.sum("n").alias("paper_count"), F.min("month_bucket").alias("first"), F.max("month_bucket").alias("last"), F.count("month_bucket").alias("months_present"))
-    place = F.row_number().over(Window.partitionBy("keyword_key").orderBy(order))
-    titled = open_.where("title <> ''").select("keyword_key", F.substring("title", 1, TITLE_CHARS).alias("title"), place.alias("k")).where(F.col("k") <= EXAMPLES)
-    titles = titled.groupBy("keyword_key").agg(*[F.max(F.when(F.col("k") == i, F.col("title"))).alias(f"t{i}") for i in range(1, EXAMPLES + 1)])
+    open_ = terms.where(~F.col("is_in_lexicon")).select("keyword_key", "month_bucket", F.col(order).alias("__o"), F.substring(F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)^\s+|\s+$", ""), 1, TITLE_CHARS).alias("title"))
+    place = F.row_number().over(Window.partitionBy("keyword_key", "month_bucket").orderBy(F.col("title") == "", "__o"))
+    first = F.collect_list(F.when((F.col("k") <= EXAMPLES) & (F.col("title") != ""), F.struct("__o", "title")))
+    monthly = open_.withColumn("k", place).groupBy("keyword_key", "month_bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("titles"))
+    counted = monthly.groupBy("keyword_key").agg(
+        F.sum("n").alias("paper_count"),
+        F.min("month_bucket").alias("first"),
+        F.max("month_bucket").alias("last"),
+        F.count("month_bucket").alias("months_present"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("titles"))), 1, EXAMPLES).alias("titles"),
+    )
+    ranked = stored(counted.orderBy(F.desc("paper_count"), "keyword_key").limit(top) if top else counted, "unmatched")
     blank = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
-    ranked = counted.orderBy(F.desc("paper_count"), "keyword_key").limit(top) if top else counted
-    return numbered(ranked, "paper_count", "keyword_key").join(titles, "keyword_key", "left").select(
+    return numbered(ranked, "paper_count", "keyword_key").select(
         "rank",
         F.col("keyword_key").alias("term"),
         "paper_count",
         blank("first", "first_seen_month"),
         blank("last", "last_seen_month"),
         "months_present",
-        *[blank(f"t{i}", f"example_title_{i}") for i in range(1, EXAMPLES + 1)],
+        *[blank(F.get(F.col("titles"), F.lit(i))["title"], f"example_title_{i + 1}") for i in range(EXAMPLES)],
         F.lit("").alias("verdict"),
     )
 
 
+def without_topics(records: DataFrame, excluded: DataFrame, topics: str = "topics") -> DataFrame:
+    """Records less those that carry an excluded topic, compared without case and outer blanks; ``excluded`` has one column. A small set of exact names: an anti join, not a filter by pattern."""
+    name = lambda c: F.lower(F.trim(c))
+    banned = excluded.select(name(F.col(excluded.columns[0])).alias("__topic")).where("__topic <> ''").distinct()
+    carried = records.withColumn("__id", F.monotonically_increasing_id()) if "id" not in records.columns else records.withColumn("__id", F.col("id"))
+    hit = carried.select("__id", F.explode(topics).alias("__t")).select("__id", name(F.col("__t")).alias("__topic")).join(banned, "__topic", "left_semi").select("__id").distinct()
+    return carried.join(hit, "__id", "left_anti").drop("__id")
+
+
 PREFIX = 3
 
 

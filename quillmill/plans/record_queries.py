@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillmill.functions import dates, pubmed, records, text
 from quillmill.operators import evidence, merge
 from quillmill.plans.catalog import query
-from quillmill.plans.relations import ADJECTIVES, LEXICON, NOUNS, dimensions, table
+from quillmill.plans.relations import ADJECTIVES, NOUNS, dimensions, table
+from quillmill.plans.stream_queries import work_dir
+from quillmill.sources import files
 
 
 def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,32 +74,38 @@ def dedup_first_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 'W' || o_orderkey as id, count(*) as n from orders where o_orderkey % 50 <> 0 group by 1")
 def src_jsonl_openalex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw lines, each twice: unreadable ones go, and the first of an id stays."""
-    lines = raw_works(spark, sf_dir)
-    twice = lines.withColumn("ord", F.lit(0)).unionByName(lines.withColumn("ord", F.lit(1)))
-    named = twice.select(records.at(records.raw_json(F.col("value")), "$.id").alias("id"), "ord").where("coalesce(id, '') <> ''")
-    return merge.first_by_key(named, ["id"], [F.col("ord")]).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    """Raw line files that hold each work twice: unreadable lines go, and the first of an id stays."""
+    at = f"{work_dir(spark)}/works"
+    for name in ("a", "b"):
+        files.write_lines(raw_works(spark, sf_dir).select("value"), at, name)
+    return files.json_lines(spark, at, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select distinct cast(l_orderkey as varchar) as pmid, true as has_month from lineitem")
 def src_jsonl_pubmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("pmid"), F.date_format("l_shipdate", "yyyy-MM").alias("month_bucket"))).alias("value"), F.col("l_linenumber").alias("ord"))
-    v = lines.select(records.raw_json(F.col("value")).alias("v"), "ord").select(records.at(F.col("v"), "$.pmid").alias("pmid"), records.at(F.col("v"), "$.month_bucket").alias("m"), "ord")
-    return merge.first_by_key(v, ["pmid"], [F.col("ord"), F.col("m")]).select("pmid", F.col("m").isNotNull().alias("has_month"))
+    """Line files of records that come several times."""
+    at = f"{work_dir(spark)}/records"
+    record = F.struct(F.col("l_orderkey").cast("string").alias("pmid"), F.date_format("l_shipdate", "yyyy-MM").alias("month_bucket"))
+    files.write_lines(table(spark, sf_dir, "lineitem").select(F.to_json(record).alias("value")), at, "a")
+    return files.json_lines(spark, at, "pmid").select(F.col("id").alias("pmid"), records.at(F.col("v"), "$.month_bucket").isNotNull().alias("has_month"))
 
 
 ALIASES = " union all ".join(f"select '{s}' as surface, '{n.upper()}' as keyword_key, '{n}' as canonical_en, 'shape' as category" for n in NOUNS for s in (n, *[f"{a} {n}" for a in ADJECTIVES]))
 
 
-@query(ALIASES)
+@query(f"select a.surface, keyword_key, canonical_en, category, (select count(*) from part where p_name = a.surface) as n_parts from ({ALIASES}) a")
 def src_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assert set(LEXICON) == {n.upper() for n in NOUNS}
-    return dimensions(spark)[0]
+    """Each form of the lexicon, with the parts that it names."""
+    named = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    forms = dimensions(spark)[0]
+    return forms.join(named, F.col("surface") == F.col("name"), "left").select("surface", "keyword_key", "canonical_en", "category", F.coalesce("n", F.lit(0)).alias("n_parts"))
 
 
-@query("select unnest(['old ring', 'new rod', 'hot widget']) as surface")
+@query("select s.surface, (select count(*) from part where p_name = s.surface) as n_parts from (select unnest(['old ring', 'new rod', 'hot widget']) as surface) s")
 def src_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimensions(spark)[1]
+    """Each stopword, with the parts that bear it."""
+    named = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return dimensions(spark)[1].join(named, F.col("surface") == F.col("name"), "left").select("surface", F.coalesce("n", F.lit(0)).alias("n_parts"))
 
 
 @query("select * from part")

@@ -1,7 +1,9 @@
-"""A service that answers by rule, so that readers and lookups run anywhere.
+"""Services that answer from tables or by rule, so that readers and lookups run anywhere.
 
-It has ``WORKS`` works in pages, two records a month, and an answer for every
-key that ends in an even digit; odd ones are unknown.
+``Tables`` pages through the driver's tables: ``works``, ``trials`` and
+``months`` write them to a folder as pages of records, or as records by month,
+and readers are pointed at it. ``Service`` has an answer for every key that ends
+in an even digit; odd ones are unknown.
 """
 
 from __future__ import annotations
@@ -10,10 +12,15 @@ import json
 from dataclasses import dataclass, field
 from urllib.parse import parse_qs, unquote, urlsplit
 
-from quillmill.sources import rest
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillmill.sources import files, rest
 from quillmill.sources.transport import Transport
 
-WORKS = 450
+#: Pages of a table at least, and rows of a page at most.
+PAGES, PAGE_ROWS = 6, 5000
 
 
 @dataclass
@@ -32,19 +39,7 @@ class Service:
         at = urlsplit(url)
         q = {k: v[0] for k, v in parse_qs(at.query).items()}
         path = unquote(at.path)
-        if path == "/works":
-            if "group_by" in q:
-                return given({"group_by": [{"key": "2021", "count": 3}, {"key": "n/a", "count": 1}, {"key": "2020", "count": 2}]})
-            start = 0 if q["cursor"] == "*" else int(q["cursor"])
-            end = min(WORKS, start + int(q["per-page"]))
-            return given({"results": [{"id": f"W{i}"} for i in range(start, end)], "meta": {"next_cursor": str(end) if end < WORKS else None, "count": WORKS}})
-        if path == "/api/v2/studies":
-            start = int(q.get("pageToken", 0))
-            return given({"studies": [{"protocolSection": {"identificationModule": {"nctId": f"N{i}"}}} for i in range(start, start + 2)]} | ({"nextPageToken": "2"} if start == 0 else {}))
         if path.endswith("esearch.fcgi"):
-            if "mindate" in q:
-                month = q["mindate"][:7].replace("/", "-")
-                return given({"esearchresult": {"idlist": [f"{month}-a", f"{month}-b"], "count": "2"}})
             key = q["term"].removesuffix("[DOI]")
             return given({"esearchresult": {"idlist": [key] if self.known(key) else [], "count": "1"}})
         if path.endswith("efetch.fcgi"):
@@ -73,12 +68,97 @@ def transport() -> Transport:
     return Transport(Service(), rest.POLICIES, sleep=lambda s: None)
 
 
-class Failing(Service):
-    """Refuses the articles of 2020-02."""
+def write_pages(rows: DataFrame, number: Column, folder: str) -> str:
+    """Writes the text column ``line`` as pages, dealt by ``number`` in turn; as many as PAGES and PAGE_ROWS ask for."""
+    total = rows.count()
+    pages = max(PAGES, -(-total // PAGE_ROWS))
+    dealt = rows.select("line", F.pmod(number, F.lit(pages)).alias("page"), number.alias("__n"))
+    dealt.repartition(pages, "page").sortWithinPartitions("page", "__n").drop("__n").write.partitionBy("page").text(folder)
+    files.write_text(rows.sparkSession, f"{folder}/_meta.json", json.dumps({"pages": pages, "total": total}))
+    return folder
+
+
+def write_months(rows: DataFrame, folder: str) -> str:
+    """Writes (month, line) as a folder for each month."""
+    rows.select("line", "month").repartition(F.col("month")).sortWithinPartitions("month", "line").write.partitionBy("month").text(folder)
+    return folder
+
+
+class Tables(Service):
+    """Answers from a folder that ``write_pages`` or ``write_months`` has written, wherever it lies."""
+
+    def __init__(self, folder: str):
+        self.fs, self.top = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+    def _lines(self, part: str) -> list[dict]:
+        found = []
+        for f in sorted(self.fs.get_file_info(fs.FileSelector(f"{self.top}/{part}", allow_not_found=True)), key=lambda f: f.path):
+            if f.base_name.startswith("part-"):
+                with self.fs.open_input_stream(f.path) as stream:
+                    found += [json.loads(x) for x in stream.read().decode().splitlines() if x]
+        return found
+
+    def _meta(self) -> dict:
+        with self.fs.open_input_stream(f"{self.top}/_meta.json") as stream:
+            return json.loads(stream.read())
+
+    def get(self, url: str, headers: dict) -> Answer:
+        at = urlsplit(url)
+        q = {k: v[0] for k, v in parse_qs(at.query).items()}
+        if at.path == "/works" and "cursor" in q:
+            return self.works(q)
+        if at.path == "/works":
+            return self.years(q)
+        if at.path == "/api/v2/studies":
+            page, pages = int(q.get("pageToken", 0)), self._meta()["pages"]
+            return given({"studies": self._lines(f"page={page}")} | ({"nextPageToken": str(page + 1)} if page + 1 < pages else {}))
+        if at.path.endswith("esearch.fcgi"):
+            held = [r["pmid"] for r in self._lines(f"month={q['mindate'][:7].replace('/', '-')}")]
+            start = int(q.get("retstart", 0))
+            return given({"esearchresult": {"idlist": held[start : start + int(q["retmax"])], "count": str(len(held))}})
+        return super().get(url, headers)
+
+    def _dated(self, q: dict) -> tuple[str, str]:
+        asked = dict(x.partition(":")[::2] for x in q["filter"].split(","))
+        return asked["from_publication_date"], asked["to_publication_date"]
+
+    def works(self, q: dict) -> Answer:
+        """The next page that has works of the dates asked for."""
+        first, last = self._dated(q)
+        meta, page = self._meta(), 0 if q["cursor"] == "*" else int(q["cursor"])
+        while True:
+            held = [w for w in self._lines(f"page={page}") if first <= w["publication_date"] <= last]
+            page += 1
+            if held or page >= meta["pages"]:
+                break
+        return given({"results": held, "meta": {"next_cursor": str(page) if page < meta["pages"] else None, "count": meta["total"]}})
+
+    def years(self, q: dict) -> Answer:
+        first, last = self._dated(q)
+        counts: dict[str, int] = {}
+        for page in range(self._meta()["pages"]):
+            for w in self._lines(f"page={page}"):
+                if first <= w["publication_date"] <= last:
+                    counts[w["publication_date"][:4]] = counts.get(w["publication_date"][:4], 0) + 1
+        return given({"group_by": [{"key": k, "count": n} for k, n in counts.items()]})
+
+
+def tables(folder: str) -> Transport:
+    return Transport(Tables(folder), rest.POLICIES, sleep=lambda s: None)
+
+
+class Failing(Tables):
+    """Refuses the articles of a month's first id, which the folder's name ends with."""
+
+    def __init__(self, folder: str):
+        super().__init__(folder.rpartition("!")[0])
+        self.refused = folder.rpartition("!")[2]
 
     def get(self, url: str, headers: dict) -> Answer:
-        return Answer("{}", 400) if "efetch" in url and "2020-02" in url else super().get(url, headers)
+        if "efetch" in url and any(i.startswith(self.refused) for i in parse_qs(urlsplit(url).query)["id"][0].split(",")):
+            return Answer("{}", 400)
+        return super().get(url, headers)
 
 
-def failing() -> Transport:
-    return Transport(Failing(), rest.POLICIES, sleep=lambda s: None)
+def failing(folder: str) -> Transport:
+    return Transport(Failing(folder), rest.POLICIES, sleep=lambda s: None)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
-import json
+from collections.abc import Iterator
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
@@ -13,31 +15,47 @@ from pyspark.sql.streaming import DataStreamReader
 from quillmill.functions import records
 from quillmill.functions.text import cas_number
 from quillmill.operators import trend
-from quillmill.operators.merge import cache_misses, cache_put
+from quillmill.operators.merge import cache_misses, cache_put, merge_table
 from quillmill.plans import replay
 from quillmill.plans.catalog import query
 from quillmill.plans.relations import table
 from quillmill.plans.stream_queries import work_dir
 from quillmill.sources import files, paged, rest, runlog, transport
+from quillmill.sources.versioned import VersionedTable
 from quillmill.streaming import ingest
 
 REPLAY = "quillmill.plans.replay:transport"
-IDS = "select 'W' || i as id from range(450) t(i)"
+TABLES = "quillmill.plans.replay:tables"
+IDS = "select 'W' || o_orderkey as id from orders"
+#: Pages of orders, as ``replay.write_pages`` deals them.
+PAGED = "n as (select greatest(6, (count(*) + 4999) // 5000) as pages from orders)"
 
 
-def works_options() -> dict[str, str]:
-    return {"pages": "quillmill.sources.rest:openalex_pages", "transport": REPLAY, "query": "q", "from": "2020-01-01", "to": "2020-12-31"}
+def order_pages(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Options of a reader of orders as works, from a service that pages through them."""
+    orders = table(spark, sf_dir, "orders")
+    line = F.to_json(F.struct(F.concat(F.lit("W"), "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("publication_date"), F.col("o_orderpriority").alias("title")))
+    folder = replay.write_pages(orders.select(line.alias("line"), "o_orderkey"), F.col("o_orderkey"), f"{work_dir(spark)}/works")
+    return {"pages": "quillmill.sources.rest:openalex_pages", "transport": f"{TABLES}?{folder}", "query": "q", "from": "1990-01-01", "to": "2010-12-31"}
 
 
 @query(IDS)
 def src_openalex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     paged.register_all(spark)
-    return spark.read.format("works_pages").options(**works_options()).load().select("id")
+    return spark.read.format("works_pages").options(**order_pages(spark, sf_dir)).load().select("id")
 
 
-def works_stream(spark: SparkSession) -> DataStreamReader:
+@query("select 'W' || o_orderkey as id, cast(year(o_orderdate) as int) as year from orders where year(o_orderdate) between 1996 and 1998 and year(o_orderdate) <> 1997")
+def src_openalex_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on years that becomes the dates the service is asked for; what it can't say Spark filters."""
     paged.register_all(spark)
-    return spark.readStream.format("works_pages").options(**works_options())
+    works = spark.read.format("works_pages").options(**order_pages(spark, sf_dir)).load()
+    return works.where("year >= 1996 and year < 1999 and year <> 1997").select("id", "year")
+
+
+def works_stream(spark: SparkSession, options: dict[str, str]) -> DataStreamReader:
+    paged.register_all(spark)
+    return spark.readStream.format("works_pages").options(**options)
 
 
 def line_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
@@ -47,49 +65,87 @@ def line_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
 @query(IDS)
 def src_openalex_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines, page by page, read back as the reports read them."""
-    at = work_dir(spark)
-    ingest.collect_pages(spark, works_stream(spark), f"{at}/out", f"{at}/state")
+    at, options = work_dir(spark), order_pages(spark, sf_dir)
+    ingest.collect_pages(spark, works_stream(spark, options), f"{at}/out", f"{at}/state")
     return line_ids(spark, f"{at}/out")
 
 
 @query(IDS)
 def stm_cursor_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stopped after a page, then continued behind it."""
-    at = work_dir(spark)
-    ingest.collect_pages(spark, works_stream(spark), f"{at}/out", f"{at}/state", most=1)
-    ingest.collect_pages(spark, works_stream(spark), f"{at}/out", f"{at}/state")
+    at, options = work_dir(spark), order_pages(spark, sf_dir)
+    ingest.collect_pages(spark, works_stream(spark, options), f"{at}/out", f"{at}/state", most=1)
+    ingest.collect_pages(spark, works_stream(spark, options), f"{at}/out", f"{at}/state")
     return line_ids(spark, f"{at}/out")
 
 
-@query("select 'W' || i as id from range(400) t(i)")
+@query(f"with {PAGED} select 'W' || o_orderkey as id from orders, n where o_orderkey % pages < 2")
 def stm_bounded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = work_dir(spark)
-    ingest.collect_pages(spark, works_stream(spark), f"{at}/out", f"{at}/state", most=2)
+    """Two pages, whatever there is."""
+    at, options = work_dir(spark), order_pages(spark, sf_dir)
+    ingest.collect_pages(spark, works_stream(spark, options), f"{at}/out", f"{at}/state", most=2)
     return line_ids(spark, f"{at}/out")
 
 
-MONTH_IDS = "select '2020-0' || m || '-' || s as pmid, '2020-0' || m as month_bucket from (values (1), (2), (3)) a(m), (values ('a'), ('b')) b(s)"
+WINDOW = ("1998-01", "1998-03")
+MONTH_IDS = f"select strftime(o_orderdate, '%Y-%m') || '-' || o_orderkey as pmid, strftime(o_orderdate, '%Y-%m') as month_bucket from orders where strftime(o_orderdate, '%Y-%m') between '{WINDOW[0]}' and '{WINDOW[1]}'"
+
 
+def order_months(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of orders by month, as a service of articles reads it."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    line = F.to_json(F.struct(F.concat(month, F.lit("-"), "o_orderkey").alias("pmid")))
+    return replay.write_months(table(spark, sf_dir, "orders").select(month.alias("month"), line.alias("line")), f"{work_dir(spark)}/months")
 
-def months_stream(spark: SparkSession, first: str, last: str) -> DataStreamReader:
+
+def months_stream(spark: SparkSession, transport: str, first: str, last: str) -> DataStreamReader:
     paged.register_all(spark)
-    return spark.readStream.format("monthly_records").options(pages="quillmill.sources.rest:pubmed_pages", transport=REPLAY, query="q", **{"from": first, "to": last})
+    return spark.readStream.format("monthly_records").options(pages="quillmill.sources.rest:pubmed_pages", transport=transport, query="q", **{"from": first, "to": last})
+
+
+def month_lines(spark: SparkSession, path: str) -> DataFrame:
+    return files.json_lines(spark, path, "pmid").select(F.col("id").alias("pmid"), records.at(F.col("v"), "$.month_bucket").alias("month_bucket"))
 
 
 @query(MONTH_IDS)
 def src_pubmed_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month by month, ids first and then their articles in batches; stopped after a page, then taken up with a longer window."""
-    at = work_dir(spark)
-    for last, most in (("2020-02", 1), ("2020-02", None), ("2020-03", None)):
-        ingest.collect_pages(spark, months_stream(spark, "2020-01", last), f"{at}/out", f"{at}/state", "pmid", most)
-    return files.json_lines(spark, f"{at}/out", "pmid").select(F.col("id").alias("pmid"), records.at(F.col("v"), "$.month_bucket").alias("month_bucket"))
+    at, given = work_dir(spark), f"{TABLES}?{order_months(spark, sf_dir)}"
+    for last, most in (("1998-02", 1), ("1998-02", None), (WINDOW[1], None)):
+        ingest.collect_pages(spark, months_stream(spark, given, WINDOW[0], last), f"{at}/out", f"{at}/state", "pmid", most)
+    return month_lines(spark, f"{at}/out")
 
 
-@query("select * from (values ('2020-01-a', 'P 2020-01-a'), ('2020-01-b', 'P 2020-01-b')) t(pmid, title)")
+@query(f"select pmid, 'P ' || pmid as title, month_bucket from ({MONTH_IDS})")
 def src_pubmed_esearch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = replay.transport()
-    ids, _ = rest.pmids(t, "q", 0, 10, "2020/01/01", "2020/01/31")
-    return spark.createDataFrame([(a["pmid"], a["title"]) for a in rest.pubmed_articles(t, ids)], "pmid string, title string")
+    """The same months as a batch, a partition each: ids by date, then their articles."""
+    paged.register_all(spark)
+    options = {"pages": "quillmill.sources.rest:pubmed_pages", "transport": f"{TABLES}?{order_months(spark, sf_dir)}", "query": "q", "from": WINDOW[0], "to": WINDOW[1]}
+    rows = spark.read.format("monthly_records").options(**options).load()
+    return rows.select("pmid", records.at(records.raw_json(F.col("raw")), "$.title").alias("title"), "month_bucket")
+
+
+@query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as received, count(*) as expected, true as complete from orders where strftime(o_orderdate, '%Y-%m') between '1998-01' and '1998-03' group by 1")
+def stm_month_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the committed offset knows of each month after three runs: within a month, at the window's end, and beyond it with a longer one."""
+    at, given = work_dir(spark), f"{TABLES}?{order_months(spark, sf_dir)}"
+    for last, most in (("1998-02", 1), ("1998-02", None), (WINDOW[1], None)):
+        crawl = ingest.collect_pages(spark, months_stream(spark, given, WINDOW[0], last), f"{at}/out", f"{at}/state", "pmid", most)
+    if not crawl.offset.get("complete") or crawl.offset["complete_through_month"] != WINDOW[1]:
+        raise AssertionError(crawl)
+    known = [(m, v["received"], v["expected"], v["complete"]) for m, v in crawl.offset["months"].items()]
+    return spark.createDataFrame(known, "month string, received long, expected long, complete boolean")
+
+
+@query(MONTH_IDS)
+def stm_no_advance_on_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page whose articles fail moves nothing: the next run asks for it again, and its rows are there once."""
+    at, folder = work_dir(spark), order_months(spark, sf_dir)
+    first = ingest.collect_pages(spark, months_stream(spark, f"quillmill.plans.replay:failing?{folder}!1998-02", *WINDOW), f"{at}/out", f"{at}/state", "pmid")
+    if (first.error, first.offset["month_cursor"]) != ("PermanentError", "1998-02"):
+        raise AssertionError(first)
+    ingest.collect_pages(spark, months_stream(spark, f"{TABLES}?{folder}", *WINDOW), f"{at}/out", f"{at}/state", "pmid")
+    return month_lines(spark, f"{at}/out")
 
 
 def lookup(spark: SparkSession, sf_dir: str, source: str, path: str) -> DataFrame:
@@ -135,38 +191,39 @@ def src_pubchem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.lookup_table(keys, "pubchem", REPLAY, tasks=2).select("key", records.at(v, "$.cid", "bigint").alias("cid"), cas_number(records.texts(v, "$.synonyms")).alias("cas"))
 
 
-@query("select 'N' || i as nct_id from range(4) t(i)")
-def src_clinicaltrials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ing_trials(spark, sf_dir)
+TRIALS = "select 'N' || c_custkey as nct_id, c_name as title from customer"
 
 
-@query("select 'N' || i as nct_id from range(4) t(i)")
-def ing_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by token, until there is none."""
-    t, token, rows = replay.transport(), "*", []
-    while token:
-        page = rest.trials_page(t, "q", token)
-        rows += [(json.dumps(s),) for s in page["results"]]
-        token = page["next_cursor"]
-    v = spark.createDataFrame(rows, "raw string").select(records.raw_json(F.col("raw")).alias("v"))
-    return v.select(*records.trial_record(F.col("v"), "q", "now")).select("nct_id")
+def trial_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies made of customers, page by page by token, as raw lines."""
+    paged.register_all(spark)
+    about = F.struct(F.concat(F.lit("N"), "c_custkey").alias("nctId"), F.col("c_name").alias("briefTitle"))
+    line = F.to_json(F.struct(F.struct(about.alias("identificationModule")).alias("protocolSection")))
+    folder = replay.write_pages(table(spark, sf_dir, "customer").select(line.alias("line"), "c_custkey"), F.col("c_custkey"), f"{work_dir(spark)}/trials")
+    return spark.read.format("works_pages").options(pages="quillmill.sources.rest:trial_pages", transport=f"{TABLES}?{folder}", query="q").load()
 
 
-@query("select * from (values ('d4', 'ok', 4), ('d5', 'not_found', null)) t(name, status, cid)")
-def ing_ingredient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.createDataFrame([("d4",), ("d5",)], "key string")
-    found = rest.lookup_table(keys, "pubchem", REPLAY)
-    return found.select(F.col("key").alias("name"), "status", records.at(records.raw_json(F.col("response")), "$.cid", "int").alias("cid"))
+@query(TRIALS)
+def src_clinicaltrials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = trial_pages(spark, sf_dir).select(records.raw_json(F.col("raw")).alias("v"))
+    return raw.select(*records.trial_record(F.col("v"), "q", "now")).select("nct_id", "title")
 
 
-@query("select unnest(['monthly_records', 'works_pages']) as name")
-def src_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in paged.SOURCES], "name string")
+@query(TRIALS)
+def ing_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored as the command stores them; a second run replaces."""
+    made = trial_pages(spark, sf_dir).select(records.raw_json(F.col("raw")).alias("v"), "place").select(*records.trial_record(F.col("v"), "q", "now"), F.col("place").alias("seq"))
+    store = VersionedTable(spark, f"{work_dir(spark)}/trial", ["nct_id"])
+    for _ in range(2):
+        store.upsert(made, partial(merge_table, "trial"), ("seq",))
+    return store.read().select("nct_id", "title")
 
 
-@query("select * from (values ('LOW_SAMPLE', 50), ('NEW_ENTRANT_PAPERS', 5), ('RECENT_MONTHS', 12), ('PRIOR_MONTHS', 24)) t(name, value)")
-def src_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, getattr(trend, n)) for n in ("LOW_SAMPLE", "NEW_ENTRANT_PAPERS", "RECENT_MONTHS", "PRIOR_MONTHS")], "name string, value int")
+@query("select 'd' || p_partkey as name, case when p_partkey % 2 = 0 then 'ok' else 'not_found' end as status, cast(case when p_partkey % 2 = 0 then p_partkey end as int) as cid from part")
+def ing_ingredient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "part").select(F.concat(F.lit("d"), "p_partkey").alias("key"))
+    found = rest.lookup_table(keys, "pubchem", REPLAY, tasks=2)
+    return found.select(F.col("key").alias("name"), "status", records.at(records.raw_json(F.col("response")), "$.cid", "int").alias("cid"))
 
 
 def written(spark: SparkSession, at: str, lines: list[str]) -> str:
@@ -174,26 +231,31 @@ def written(spark: SparkSession, at: str, lines: list[str]) -> str:
     return at
 
 
-@query("select * from (values ('openalex', 'old'), ('openalex', 'new')) t(provider, query_id)")
+@query("select 'r' || r_regionkey as query_id, case when r_regionkey % 3 = 2 then 'none' when r_regionkey % 3 = 1 then 'new' else 'old' end as place from region")
 def src_path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection in the new place, and one that only the older place has."""
-    at = work_dir(spark)
-    written(spark, f"{at}/raw/old", ["{}"])
-    written(spark, f"{at}/raw/openalex/new", ["{}"])
-    found = [("openalex", q) for q, end in (("old", "/raw/old"), ("new", "/raw/openalex/new")) if files.raw_dir(spark, at, "openalex", q).endswith(end)]
-    return spark.createDataFrame(found, "provider string, query_id string")
+    """Collections in the new place, in the older one alone, and in neither."""
+    at, found = work_dir(spark), []
+    for r in table(spark, sf_dir, "region").collect():
+        name, turn = f"r{r['r_regionkey']}", r["r_regionkey"] % 3
+        if turn < 2:
+            written(spark, f"{at}/raw/{'openalex/' if turn else ''}{name}", ["{}"])
+        try:
+            found.append((name, "new" if files.raw_dir(spark, at, "openalex", name).endswith(f"/openalex/{name}") else "old"))
+        except FileNotFoundError:
+            found.append((name, "none"))
+    return spark.createDataFrame(found, "query_id string, place string")
 
 
-@query("select * from (values ('good', 1), ('broken', 0), ('missing', 0)) t(name, n)")
+@query("select r_name as name, case when r_regionkey % 3 = 0 then r_regionkey end as collected from region")
 def src_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = work_dir(spark)
-    for name, text in (("good", '{"is_census": true}'), ("broken", "{")):
-        part = written(spark, f"{at}/{name}", [text])
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.rename(next(s.getPath() for s in fs.listStatus(path(part)) if s.getPath().getName().startswith("part-")), path(f"{part}/_meta.json"))
-    return spark.createDataFrame([(n, len(files.meta(spark, f"{at}/{n}"))) for n in ("good", "broken", "missing")], "name string, n int")
+    """Side files: sound, broken and missing ones."""
+    at, found = work_dir(spark), []
+    for r in table(spark, sf_dir, "region").collect():
+        turn = r["r_regionkey"] % 3
+        if turn < 2:
+            files.write_text(spark, f"{at}/{r['r_name']}/_meta.json", "{" if turn else f'{{"collected": {r["r_regionkey"]}}}')
+        found.append((r["r_name"], files.meta(spark, f"{at}/{r['r_name']}").get("collected")))
+    return spark.createDataFrame(found, "name string, collected int")
 
 
 COSING = "select lower(p_name) as name_key, p_name as inci_name, case when p_size % 2 = 0 then p_partkey || '-00-1' end as cas, case when p_size % 3 = 0 then p_brand else '' end as synonyms from part where p_size % 5 <> 0"
@@ -267,14 +329,16 @@ def snk_raw_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, props string").json(f"{at}/out", pathGlobFilter="*.jsonl")
 
 
-@query("select 'r1' as run_id, 'collect' as command, 'partial' as status, 9 as records")
+@query("select r_name as run_id, 'collect' as command, case when r_regionkey % 2 = 0 then 'ok' else 'partial' end as status, cast((select count(*) from nation where n_regionkey = r_regionkey) as bigint) as records from region")
 def snk_runlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = runlog.RunLog(spark, work_dir(spark))
-    log.start("r1", "collect")
-    log.source("r1", "s", 1, 4, 0, 0)
-    log.source("r1", "s", 2, 9, 1, 1)
-    log.finish("r1", "collect", runlog.outcome(True, False, False)[0])
-    return log.runs().join(log.sources(), "run_id").select("run_id", "command", "status", F.col("records").cast("int").alias("records"))
+    """A run for each region, noted from its start to its end; the latest state counts."""
+    log, counts = runlog.RunLog(spark, work_dir(spark)), table(spark, sf_dir, "nation").groupBy("n_regionkey").count()
+    for r in table(spark, sf_dir, "region").join(counts, F.col("r_regionkey") == F.col("n_regionkey")).collect():
+        log.start(r["r_name"], "collect")
+        log.source(r["r_name"], "s", 1, 1, 0, 0)
+        log.source(r["r_name"], "s", 2, r["count"], 1, 1)
+        log.finish(r["r_name"], "collect", runlog.outcome(r["r_regionkey"] % 2 == 1, False, False)[0])
+    return log.runs().join(log.sources(), "run_id").select("run_id", "command", "status", "records")
 
 
 class Scripted:
@@ -289,77 +353,89 @@ class Scripted:
 
 
 SCRIPTS = {"good": [200], "again": [500, 503, 200], "asked to wait": [429, 200], "absent": [404], "unpaid": [402], "conflict": [409], "wrong": [400], "odd": [501], "always busy": [429] * 5, "always down": [502] * 5}
+KINDS = "event_id long, name string, outcome string, waits array<double>, attempts int, left int"
 
 
-def scripted() -> list[tuple]:
-    rows = []
-    for name, statuses in SCRIPTS.items():
-        slept, notes = [], []
-        t = transport.Transport(Scripted(statuses), {"s": transport.Policy("s", "h")}, sleep=slept.append, clock=lambda: 0.0, budget=transport.Budget(warn=lambda m: None), observer=notes.append)
-        try:
-            outcome = t.get("s", "/")
-        except transport.TransportError as error:
-            outcome = type(error).__name__
-        rows.append((name, outcome, [float(s) for s in slept], len(notes), t.budget.remaining("h")))
-    return rows
+def outcome_of(name: str) -> tuple:
+    """What a request meets whose service answers by a script."""
+    slept, notes = [], []
+    t = transport.Transport(Scripted(SCRIPTS[name]), {"s": transport.Policy("s", "h")}, sleep=slept.append, clock=lambda: 0.0, budget=transport.Budget(warn=lambda m: None), observer=notes.append)
+    try:
+        outcome = t.get("s", "/")
+    except transport.TransportError as error:
+        outcome = type(error).__name__
+    return name, outcome, [float(x) for x in slept], len(notes), t.budget.remaining("h")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event a request, made by the tasks; the scripts take turns."""
+    names = list(SCRIPTS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, *outcome_of(names[i % len(names)])) for i in batch["event_id"].tolist()]
+            yield pd.DataFrame(rows, columns=["event_id", "name", "outcome", "waits", "attempts", "left"]).astype({"left": "Int32"})
+
+    return table(spark, sf_dir, "events").select("event_id").mapInPandas(run, KINDS)
+
 
+def by_turn(columns: str, *values: str) -> str:
+    """SQL that gives each event its script's row."""
+    rows = ", ".join(f"({i}, '{name}', {value})" for i, (name, value) in enumerate(zip(SCRIPTS, values, strict=True)))
+    return f"select event_id, {columns} from events join (values {rows}) t(turn, name, given) on event_id % {len(SCRIPTS)} = turn"
 
-KINDS = "name string, outcome string, waits array<double>, attempts int, left int"
 
+OUTCOMES = ["'ok'", "'ok'", "'ok'", "'NotFound'", "'BudgetExhausted'", "'BudgetExhausted'", "'PermanentError'", "'TransientError'", "'RateLimited'", "'TransientError'"]
 
-@query("select * from (values ('good', 'ok'), ('again', 'ok'), ('asked to wait', 'ok'), ('absent', 'NotFound'), ('unpaid', 'BudgetExhausted'), ('conflict', 'BudgetExhausted'), ('wrong', 'PermanentError'), ('odd', 'TransientError'), ('always busy', 'RateLimited'), ('always down', 'TransientError')) t(name, outcome)")
+
+@query(by_turn("name, given as outcome", *OUTCOMES))
 def ing_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(scripted(), KINDS).select("name", "outcome")
+    return requests(spark, sf_dir).select("event_id", "name", "outcome")
 
 
-@query("select unnest(['BudgetExhausted', 'NotFound', 'PermanentError', 'RateLimited', 'TransientError']) as outcome")
+@query(f"select outcome, count(*) as n from ({by_turn('given as outcome', *OUTCOMES)}) where outcome <> 'ok' group by 1")
 def ing_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(scripted(), KINDS).where("outcome <> 'ok'").select("outcome").distinct()
+    return requests(spark, sf_dir).where("outcome <> 'ok'").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select * from (values ('again', '1.5|3.0'), ('asked to wait', '7.0'), ('always busy', '7.0|7.0|7.0|7.0'), ('always down', '1.5|3.0|6.0|12.0')) t(name, waits)")
+@query(f"select * from ({by_turn('name, given as waits', *[repr(w) for w in ('', '1.5|3.0', '7.0', '', '', '', '', '', '7.0|7.0|7.0|7.0', '1.5|3.0|6.0|12.0')])}) where waits <> ''")
 def ing_retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(scripted(), KINDS).where("size(waits) > 0").select("name", F.array_join(F.transform("waits", lambda w: w.cast("string")), "|").alias("waits"))
-
+    """What is waited before a request is made again: the service's wish, else ever longer."""
+    waited = requests(spark, sf_dir).where("size(waits) > 0")
+    return waited.select("event_id", "name", F.array_join(F.transform("waits", lambda w: w.cast("string")), "|").alias("waits"))
 
-@query("select i as attempt, least(1.5 * power(2, i), 60) as wait from range(8) t(i)")
-def ing_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, transport.backoff(i)) for i in range(8)], "attempt long, wait double")
 
-
-@query("select * from (values ('good', 1), ('again', 3), ('asked to wait', 2), ('absent', 1), ('unpaid', 1), ('conflict', 1), ('wrong', 1), ('odd', 1), ('always busy', 5), ('always down', 5)) t(name, attempts)")
+@query(by_turn("name, cast(given as int) as attempts", *"1321111155"))
 def ing_observer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(scripted(), KINDS).select("name", "attempts")
+    """One note an attempt."""
+    return requests(spark, sf_dir).select("event_id", "name", "attempts")
 
 
-@query("select * from (values ('good', 42), ('again', 42), ('asked to wait', 42), ('absent', 42), ('unpaid', 42), ('conflict', 42), ('wrong', 42), ('odd', 42), ('always busy', null), ('always down', 42)) t(name, remaining)")
+@query(by_turn("name, cast(given as int) as remaining", *["42"] * 8, "null", "42"))
 def ing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(scripted(), KINDS).select("name", F.col("left").alias("remaining"))
+    return requests(spark, sf_dir).select("event_id", "name", F.col("left").alias("remaining"))
 
 
-@query("select request, cast(wait as double) as wait from (values (1, 0), (2, 4), (3, 4)) t(request, wait)")
+@query("select user_id, cast(row_number() over (partition by user_id, date_trunc('day', ts) order by event_id) as int) as request, cast(date_trunc('day', ts) as date) as day, case when request = 1 then 0.0 else 4.0 end as wait from events")
 def ing_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A host is asked again only after its interval."""
-    now, slept = [0.0], []
+    """A host is asked again only after its interval; here each user's day is a host of its own."""
 
-    def sleep(s: float) -> None:
-        slept.append(s)
-        now[0] += s
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        now, slept, found = [0.0], [], []
 
-    t = transport.Transport(Scripted([200] * 3), {"s": transport.Policy("s", "h", 4.0)}, sleep=sleep, clock=lambda: now[0], budget=transport.Budget(warn=lambda m: None))
-    rows = []
-    for i in range(1, 4):
-        before = len(slept)
-        t.get("s", "/")
-        rows.append((i, float(sum(slept[before:]))))
-    return spark.createDataFrame(rows, "request int, wait double")
+        def sleep(seconds: float) -> None:
+            slept.append(seconds)
+            now[0] += seconds
 
+        t = transport.Transport(Scripted([200] * len(rows)), {"s": transport.Policy("s", "h", 4.0)}, sleep=sleep, clock=lambda: now[0], budget=transport.Budget(warn=lambda m: None))
+        for i in range(1, len(rows) + 1):
+            before = len(slept)
+            t.get("s", "/")
+            found.append((rows["user_id"].iloc[0], i, rows["day"].iloc[0], float(sum(slept[before:]))))
+        return pd.DataFrame(found, columns=["user_id", "request", "day", "wait"])
 
-@query("select * from (values ('crossref', 'mailto'), ('openalex', 'api_key'), ('pubmed', 'api_key'), ('semantic_scholar', 'x-api-key'), ('unpaywall', 'email')) t(source, place)")
-def ing_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each source's key goes, if there is one."""
-    rows = [(p.key, p.key_parameter or p.key_header) for p in rest.POLICIES.values() if p.key_variable]
-    return spark.createDataFrame(rows, "source string, place string")
+    days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
+    return days.groupBy("user_id", "day").applyInPandas(run, "user_id long, request int, day date, wait double")
 
 
 @query("select 'd' || doc_id as key, case when doc_id % 2 = 0 then 'ok' else 'not_found' end as status from documents")
@@ -372,29 +448,11 @@ def ing_cache_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache_put(cache, answers(asked)).select("key", "status")
 
 
-@query("select count(*) as expected from range(450)")
+@query("select count(*) as expected from orders")
 def ing_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the number of works is asked for; nothing is stored."""
-    return spark.createDataFrame([(rest.works_page(replay.transport(), "q", "a", "b", "*")["total"],)], "expected long")
-
-
-@query("select * from (values ('fresh', '2020-01', 0), ('within', '2020-02', 500), ('lost', '2020-01', 0), ('longer window', '2020-03', 0), ('all done', null, 0)) t(name, month, start)")
-def stm_month_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = ["2020-01", "2020-02", "2020-03"]
-    states = {"fresh": None, "within": {"month_cursor": "2020-02", "retstart": 500}, "lost": {"month_cursor": "1999-12"}, "longer window": {"complete": True, "complete_through_month": "2020-02"}, "all done": {"complete": True, "complete_through_month": "2020-03"}}
-    return spark.createDataFrame([(n, *ingest.next_position(s, months)) for n, s in states.items()], "name string, month string, start int")
-
-
-@query(MONTH_IDS)
-def stm_no_advance_on_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page whose articles fail moves nothing: the next run asks for it again, and its rows are there once."""
-    at = work_dir(spark)
-    failing = months_stream(spark, "2020-01", "2020-03").option("transport", "quillmill.plans.replay:failing")
-    first = ingest.collect_pages(spark, failing, f"{at}/out", f"{at}/state", "pmid")
-    if (first.error, first.pages, first.offset["month_cursor"]) != ("PermanentError", 1, "2020-02"):
-        raise AssertionError(first)
-    ingest.collect_pages(spark, months_stream(spark, "2020-01", "2020-03"), f"{at}/out", f"{at}/state", "pmid")
-    return files.json_lines(spark, f"{at}/out", "pmid").select(F.col("id").alias("pmid"), records.at(F.col("v"), "$.month_bucket").alias("month_bucket"))
+    t = rest.made(order_pages(spark, sf_dir)["transport"])
+    return spark.createDataFrame([(rest.works_page(t, "q", "1990-01-01", "2010-12-31", "*")["total"],)], "expected long")
 
 
 @query("select strftime(o_orderdate, '%Y-%m') as month_bucket, count(*) as paper_count, strftime(o_orderdate, '%Y-%m') in ('2001-07', '2001-08') as is_provisional from orders group by 1, 3")

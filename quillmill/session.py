@@ -11,7 +11,7 @@ import zipfile
 from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again, so that what is built on them doesn't make them anew for each use."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @lru_cache(maxsize=1)
 def _local_dir() -> str:
     path = f"/tmp/checkpoints/quillmill-{uuid.uuid4().hex}"

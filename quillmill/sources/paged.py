@@ -20,7 +20,7 @@ from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
 
 from quillmill.streaming.ingest import next_position
 
@@ -38,6 +38,7 @@ def register(cls: type[DataSource]) -> type[DataSource]:
 
 
 def register_all(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for cls in SOURCES.values():
         spark.dataSource.register(cls)
 
@@ -77,7 +78,58 @@ class Paged:
         return self.__dict__ | {"source": None}
 
 
+def year_bounds(f: Filter) -> tuple[int, int] | None:
+    """The years that a filter on the column ``year`` allows, both included; None for any other filter."""
+    if getattr(f, "attribute", None) != ("year",):
+        return None
+    least, most = 0, 9999
+    match f:
+        case EqualTo(value=int(v)):
+            return v, v
+        case GreaterThan(value=int(v)):
+            return v + 1, most
+        case GreaterThanOrEqual(value=int(v)):
+            return v, most
+        case LessThan(value=int(v)):
+            return least, v - 1
+        case LessThanOrEqual(value=int(v)):
+            return least, v
+        case IsNotNull():
+            return least, most
+    return None
+
+
+def year_of(work: dict) -> int | None:
+    """Of the date that the service filters by, else the stated year."""
+    date, stated = work.get("publication_date"), work.get("publication_year")
+    if isinstance(date, str) and date[:4].isdigit():
+        return int(date[:4])
+    return stated if isinstance(stated, int) else None
+
+
 class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
+    """In a batch, filters on ``year`` become the dates that are asked for, so other years' pages are never sent."""
+
+    least = most = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes what narrows the years; a range of years is exact, a list of years is only narrowed, so Spark filters it again."""
+        for f in filters:
+            bounds = year_bounds(f)
+            exact = bounds is not None
+            if isinstance(f, In) and f.attribute == ("year",) and f.value and all(isinstance(v, int) for v in f.value):
+                bounds = min(f.value), max(f.value)
+            if bounds:
+                self.least, self.most = max(bounds[0], self.least or 0), min(bounds[1], 9999 if self.most is None else self.most)
+            if not exact:
+                yield f
+        if self.least is not None and "from" in self.options:
+            self.options["from"] = max(self.options["from"], f"{self.least:04d}-01-01")
+            self.options["to"] = min(self.options["to"], f"{self.most:04d}-12-31")
+
+    def wanted(self, year: int | None) -> bool:
+        return self.least is None or (year is not None and self.least <= year <= self.most)
+
     def pages(self, cursor: str) -> Iterator[tuple[dict, str | None]]:
         n = 0
         while cursor and (not self.most_pages or n < self.most_pages):
@@ -85,10 +137,10 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
             cursor, n = page.get("next_cursor"), n + 1
             yield page, cursor
 
-    def rows(self, page: dict, number: int = 0) -> Iterator[tuple[str, str, int]]:
+    def rows(self, page: dict, number: int = 0) -> Iterator[tuple[str, str, int, int | None]]:
         for i, work in enumerate(page.get("results", [])):
-            if work.get("id"):
-                yield work["id"], json.dumps(work, ensure_ascii=False), number * PAGE_ROWS + i
+            if work.get("id") and self.wanted(year := year_of(work)):
+                yield work["id"], json.dumps(work, ensure_ascii=False), number * PAGE_ROWS + i, year
 
     def behind(self, at: dict) -> tuple[list[tuple], dict]:
         """The rows of the page at an offset, and the offset behind it."""
@@ -99,6 +151,8 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
 
     def read(self, given):
         if not isinstance(given, dict):
+            if self.least is not None and self.least > self.most:
+                return iter(())
             return (row for n, (page, _) in enumerate(self.pages("*")) for row in self.rows(page, n))
         if not given.get("cursor") or (self.most_pages and self.taken >= self.most_pages):
             return iter(()), given
@@ -121,14 +175,14 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
 
 @register
 class WorksPages(DataSource):
-    """(id, raw, place): works of a search, page by page."""
+    """(id, raw, place, year): works of a search, page by page."""
 
     @classmethod
     def name(cls) -> str:
         return "works_pages"
 
     def schema(self) -> str:
-        return "id string, raw string, place bigint"
+        return "id string, raw string, place bigint, year int"
 
     def reader(self, schema) -> WorksReader:
         return WorksReader(self.options)

@@ -146,8 +146,10 @@ def online() -> Transport:
 
 
 def made(factory: str) -> Transport:
-    module, _, name = factory.partition(":")
-    return getattr(import_module(module), name)()
+    """From ``module:name``, or ``module:name?argument``."""
+    name, given, argument = factory.partition("?")
+    module, _, attribute = name.partition(":")
+    return getattr(import_module(module), attribute)(*([argument] if given else []))
 
 
 def openalex_pages(options: dict) -> Callable[[str], dict]:
@@ -156,6 +158,18 @@ def openalex_pages(options: dict) -> Callable[[str], dict]:
     return lambda cursor: works_page(t, options["query"], options["from"], options["to"], cursor)
 
 
+def trial_pages(options: dict) -> Callable[[str], dict]:
+    """For the ``pages`` option of ``works_pages``: studies with their number as id."""
+    t = made(options.get("transport", "quillmill.sources.rest:online"))
+
+    def fetch(cursor: str) -> dict:
+        page = trials_page(t, options["query"], cursor)
+        number = lambda s: ((s.get("protocolSection") or {}).get("identificationModule") or {}).get("nctId")
+        return page | {"results": [s | {"id": number(s)} for s in page["results"]]}
+
+    return fetch
+
+
 def pubmed_pages(options: dict) -> Callable[[str], dict]:
     """For the ``pages`` option of ``monthly_records``."""
     t = made(options.get("transport", "quillmill.sources.rest:online"))
