@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import records
 from quillmill.functions.text import cas_number, exact_round, name_key, record_key
-from quillmill.operators import evidence, lexicon, merge, suggest, trend, vocabulary
+from quillmill.operators import evidence, lexicon, merge, suggest, trailing, trend, vocabulary
 from quillmill.session import ship
 from quillmill.sources import download, files, paged, rest, runlog, schema
 from quillmill.sources.versioned import VersionedTable
@@ -33,6 +33,7 @@ DENOMINATOR = ["month_bucket", "query_id", "paper_count", "is_low_sample", "is_p
 UNMATCHED = ["rank", "term", "paper_count", "first_seen_month", "last_seen_month", "months_present", "example_title_1", "example_title_2", "example_title_3", "verdict"]
 SUGGESTED = ["term", "paper_count", "matched_name_key", "matched_via", "inci_name", "cas", "sources", "suggested_key", "verdict"]
 MESH = ["month_bucket", "query_id", "mesh_term", "paper_count", "total_papers", "prevalence", "is_low_sample", "is_provisional"]
+TRAILING = ["month_bucket", "query_id", "keyword_key", "canonical_en", "category", "is_in_lexicon", "paper_count", "papers_trailing", "papers_window", "months_present", "prevalence_trailing", "prevalence_before", "growth_ratio"]
 OVERLAP = ["month_bucket", "openalex_papers", "pubmed_papers", "both", "openalex_only", "pubmed_only", "doi_missing"]
 
 
@@ -96,6 +97,9 @@ def trend_aggregate(spark, args) -> None:
         return
     rows, meta = collection(spark, args)
     trend.census_guard(meta, args.allow_sample)
+    if args.exclude_topics:
+        names = json.loads(Path(args.exclude_topics).read_text(encoding="utf-8"))
+        rows = trend.without_topics(rows, spark.createDataFrame([(n,) for n in names], "topic string"))
     months = trend.monthly_denominator(rows, args.threshold, provisional_months(meta, args.provisional))
     weighted = trend.cohort_weights(rows).select("id", "month_bucket", "citation_count", "citation_percentile_in_cohort", "keywords", "topics")
     each = lambda f: trend.term_monthly(resolved(spark, args, weighted, f, ["citation_count", "citation_percentile_in_cohort"]), months, exactly)
@@ -110,6 +114,17 @@ def trend_aggregate(spark, args) -> None:
         print(r["trend_class"], r["n"])
 
 
+def trend_trailing(spark, args) -> None:
+    """The figures of ``trend aggregate`` at every month, over the twelve months that end there."""
+    rows, meta = collection(spark, args)
+    trend.census_guard(meta, args.allow_sample)
+    months = trend.monthly_denominator(rows)
+    weighted = trend.cohort_weights(rows).select("id", "month_bucket", "citation_count", "citation_percentile_in_cohort", args.field)
+    monthly = trend.term_monthly(resolved(spark, args, weighted, args.field, ["citation_count", "citation_percentile_in_cohort"]), months, exactly)
+    found = trailing.trailing(monthly, months, rounder=exactly)
+    report(args, "trailing.csv", found.orderBy("month_bucket", F.desc("papers_trailing"), "keyword_key"), TRAILING)
+
+
 def open_rows(spark, args) -> DataFrame:
     rows, _ = collection(spark, args)
     return trend.unmatched(resolved(spark, args, rows, args.field, ["title", "ord"]), top=args.top)
@@ -187,10 +202,6 @@ def expected(args, first: str, last: str) -> int | None:
     return rest.pmids(t, args.query, 0, 0, first.replace("-", "/"), last.replace("-", "/"))[1]
 
 
-def count_keys(spark, path: str, key: str) -> int:
-    return files.json_lines(spark, path, key).count() if files.exists(spark, path) else 0
-
-
 def month_table(spark, path: str, months: dict) -> DataFrame:
     """(month, expected, collected, duplicates, complete) of months of a crawl; ``collected`` counts what is stored."""
     kinds = "month string, expected long, received long, complete boolean"
@@ -218,9 +229,9 @@ def trend_collect(spark, args) -> int:
     tag = f"{zlib.crc32(repr((args.query, args.window if args.provider == 'openalex' else '')).encode()):08x}"
     stream = spark.readStream.format(kind).options(pages=pages, query=args.query, transport=args.transport, **{"from": first, "to": last})
     with logged(spark, args, args.provider) as tally:
-        before = count_keys(spark, out, key)
+        before = ingest.stored_keys(spark, out, tag, key)
         crawl = ingest.collect_pages(spark, stream, out, f"{args.data}/state/{args.provider}/{args.profile}/{tag}", key, args.max_pages, tag)
-        at, collected = crawl.offset, count_keys(spark, out, key)
+        at, collected = crawl.offset, ingest.stored_keys(spark, out, tag, key)
         if args.provider == "openalex":
             finished, extra = at.get("cursor") == "", {"expected_from_api": at.get("total"), "duplicates_skipped": max(0, at.get("received", 0) - collected)}
         else:
@@ -422,7 +433,8 @@ def parser() -> argparse.ArgumentParser:
     command("trend", "collect", trend_collect, *profile[:2], ("--query", need), ("--window", need), ("--provider", {"default": "openalex", "choices": sorted(PROVIDERS)}), ("--max-pages", number()), ("--dry-run", flag))
     command("trend", "records", trend_records, *profile)
     command("trend", "normalize", trend_normalize, *profile, ("--top", number(20)))
-    command("trend", "aggregate", trend_aggregate, *profile, ("--provider", text("openalex")), ("--threshold", number(trend.LOW_SAMPLE)), ("--provisional", number(1)), ("--allow-sample", flag))
+    command("trend", "aggregate", trend_aggregate, *profile, ("--provider", text("openalex")), ("--threshold", number(trend.LOW_SAMPLE)), ("--provisional", number(1)), ("--allow-sample", flag), ("--exclude-topics", text()))
+    command("trend", "trailing", trend_trailing, *profile, ("--field", text("keywords")), ("--allow-sample", flag))
     for name, run in (("unmatched", trend_unmatched), ("suggest", trend_suggest)):
         command("trend", name, run, *profile, ("--field", text("keywords")), ("--top", number()), ("--show", number(20)))
     command("trend", "overlap", trend_overlap, *profile)

@@ -48,9 +48,14 @@ def src_openalex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'W' || o_orderkey as id, cast(year(o_orderdate) as int) as year from orders where year(o_orderdate) between 1996 and 1998 and year(o_orderdate) <> 1997")
 def src_openalex_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter on years that becomes the dates the service is asked for; what it can't say Spark filters."""
-    paged.register_all(spark)
-    works = spark.read.format("works_pages").options(**order_pages(spark, sf_dir)).load()
-    return works.where("year >= 1996 and year < 1999 and year <> 1997").select("id", "year")
+    return paged.works_where(spark, order_pages(spark, sf_dir), "year >= 1996 and year < 1999 and year <> 1997").select("id", "year")
+
+
+@query("select cast(year(o_orderdate) as int) as year, count(*) as n from orders where year(o_orderdate) between 1996 and 1999 group by 1")
+def src_openalex_group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works a year, in one request."""
+    years = rest.works_by_year(rest.made(order_pages(spark, sf_dir)["transport"]), "q", 1996, 1999)
+    return spark.createDataFrame(years, "year int, n long")
 
 
 def works_stream(spark: SparkSession, options: dict[str, str]) -> DataStreamReader:

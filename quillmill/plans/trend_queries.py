@@ -249,11 +249,6 @@ def agg_year_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.year_histogram(table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")))
 
 
-@query("select cast(year(o_orderdate) as int) as year, count(*) as n from orders where year(o_orderdate) between 1996 and 1999 group by 1")
-def src_openalex_group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.year_histogram(table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '1996-01-01' and o_orderdate < timestamp_ntz '2000-01-01'").select(F.year("o_orderdate").alias("year")))
-
-
 @query(
     f"""with {resolved("keyword")}
 select 'keywords' as field, (select count(distinct keyword) from parts) as before, (select count(distinct keyword_key) from terms) as after,

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 from importlib import import_module
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
 
 from quillmill.streaming.ingest import next_position
@@ -68,6 +68,7 @@ class Paged:
     def __init__(self, options: dict):
         self.options, self.source = dict(options), None
         self.most_pages, self.taken = int(options.get("maxPages", 0)), 0
+        self.push_years = options.get("pushYears") == "true"
 
     def fetch(self, cursor: str) -> dict:
         if self.source is None:
@@ -113,7 +114,14 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
     least = most = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes what narrows the years; a range of years is exact, a list of years is only narrowed, so Spark filters it again."""
+        """Takes what narrows the years; a range of years is exact, a list of years is only narrowed, so Spark filters it again.
+
+        Only with the option ``pushYears``: Spark keeps what was pushed with the frame, and a later use of the same
+        frame without a filter would get it too. ``works_where`` makes a frame for one use.
+        """
+        if not self.push_years:
+            yield from filters
+            return
         for f in filters:
             bounds = year_bounds(f)
             exact = bounds is not None
@@ -263,6 +271,12 @@ class MonthStream(Paged, SimpleDataSourceStreamReader):
         pass
 
 
+def works_where(spark: SparkSession, options: dict, condition: str) -> DataFrame:
+    """Works that meet a condition; bounds on ``year`` in it become the dates that the service is asked for."""
+    register_all(spark)
+    return spark.read.format("works_pages").options(**options, pushYears="true").load().where(condition)
+
+
 def months(first: str, last: str) -> list[str]:
     """Months from ``YYYY-MM`` to ``YYYY-MM``, both included."""
     number = lambda m: int(m[:4]) * 12 + int(m[5:7]) - 1

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
@@ -28,17 +28,40 @@ def collect_lines(stream: DataFrame, out: str, checkpoint: str, key: str = "id",
     """Appends the column ``raw`` of rows of unseen keys as lines, in files named after their batch.
 
     A batch that is taken again replaces its own files, so each line is there once.
+    How many lines there are is counted by the job that writes them, and noted beside them.
     Rows ordered by ``place`` are of one page, hence few, and go into one file.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.repartition(1).sortWithinPartitions(place) if place else batch
-        files.write_lines(rows.select(raw), out, f"{tag}-{number:08d}")
+        counted = Observation()
+        files.write_lines(rows.select(raw).observe(counted, F.count(F.lit(1)).alias("n")), out, f"{tag}-{number:08d}")
+        note_count(spark, out, tag, number, counted.get["n"])
 
+    spark = stream.sparkSession
     made = stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (made.trigger(availableNow=True) if once else made).start()
 
 
+def note_count(spark: SparkSession, out: str, tag: str, number: int, n: int) -> None:
+    """Adds a batch's lines to those of its tag; a batch that is taken again counts once."""
+    path = f"{out}/_count-{tag}.json"
+    known = json.loads(files.read_text(spark, path)) if files.exists(spark, path) else {"batch": -1, "before": 0, "total": 0}
+    before = known["before"] if number == known["batch"] else known["total"]
+    files.write_text(spark, path, json.dumps({"batch": number, "before": before, "total": before + n}))
+
+
+def stored_keys(spark: SparkSession, out: str, tag: str, key: str) -> int:
+    """Distinct keys among the lines in ``out``: from the note, if all are of one tag, whose keys differ; else by reading them."""
+    lines = [n for n in files.names(spark, out) if n.endswith(".jsonl")]
+    if not lines:
+        return 0
+    note = f"{out}/_count-{tag}.json"
+    if all(n.startswith(f"{tag}-") for n in lines) and files.exists(spark, note):
+        return json.loads(files.read_text(spark, note))["total"]
+    return files.json_lines(spark, out, key).count()
+
+
 @dataclass
 class Crawl:
     """How far a crawl has come: the committed offset, the pages of this run, and the kind of error that ended it."""

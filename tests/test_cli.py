@@ -243,6 +243,21 @@ def test_months_from_collection_to_report(at, capsys):
     assert [(r["month_bucket"], r["mesh_term"], r["paper_count"]) for r in made] == [(f"2024-0{i}", "skin", "1") for i in (1, 2, 3)]
 
 
+def read_report(at, name):
+    return list(csv.DictReader(io.StringIO((at.path / "out" / "p" / name).read_bytes().decode("utf-8-sig"))))
+
+
+def test_excluded_topics_and_trailing_windows(at):
+    names = at.path / "names.json"
+    names.write_text(json.dumps([" CHEMISTRY"]))
+    at("trend", "aggregate", "--profile", "p", "--exclude-topics", str(names))
+    assert {r["month_bucket"]: r["paper_count"] for r in read_report(at, "monthly_denominator.csv")} == {"2024-01": "1", "2024-02": "1"}
+    at("trend", "trailing", "--profile", "p")
+    rows = {(r["month_bucket"], r["keyword_key"]): r for r in read_report(at, "trailing.csv")}
+    assert rows["2024-02", "ZINC_OXIDE"]["paper_count"] == "0" and rows["2024-02", "ZINC_OXIDE"]["papers_trailing"] == "1"
+    assert rows["2024-01", "ZINC_OXIDE"]["prevalence_trailing"] == "0.5" and rows["2024-02", "ZINC_OXIDE"]["prevalence_trailing"] == "0.25"
+
+
 def test_an_older_paper_table_grows(at, spark):
     """A plain folder without headings, with a column that is gone."""
     path = at.path / "store" / "papers"

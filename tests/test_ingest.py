@@ -264,3 +264,59 @@ def test_run_log(spark, tmp_path):
     assert (run["status"], run["command"]) == ("ok", "collect") and run["started_at"] and run["finished_at"]
     assert [r["records"] for r in log.sources().collect()] == [5]
     assert spark.read.parquet(f"{tmp_path}/fetch_log").first()["url"] == "https://h/?q=1"
+
+
+def test_counts_come_from_the_job_that_writes(spark, pages, tmp_path, monkeypatch):
+    paged.register_all(spark)
+    out = str(tmp_path / "out")
+    stream = lambda: spark.readStream.format("works_pages").option("folder", pages)
+    ingest.collect_pages(spark, stream(), out, str(tmp_path / "state"), most=1, tag="t")
+    ingest.collect_pages(spark, stream(), out, str(tmp_path / "state"), tag="t")
+    exact = files.json_lines(spark, out, "id").count()
+    with monkeypatch.context() as m:
+        m.setattr(files, "json_lines", None)  # nothing is read again
+        assert ingest.stored_keys(spark, out, "t", "id") == exact > 0
+    ingest.note_count(spark, out, "x", 0, 5)
+    ingest.note_count(spark, out, "x", 1, 2)
+    ingest.note_count(spark, out, "x", 1, 3)
+    assert json.loads(files.read_text(spark, f"{out}/_count-x.json"))["total"] == 8
+    ingest.collect_pages(spark, stream(), out, str(tmp_path / "other"), tag="u")
+    assert ingest.stored_keys(spark, out, "t", "id") == exact  # two tags: the lines are read
+    assert ingest.stored_keys(spark, str(tmp_path / "nothing"), "t", "id") == 0
+
+
+def test_years_become_dates(spark, tmp_path):
+    """A filter on years reaches the service; what it can't say stays with Spark."""
+    from quillmill.plans import replay
+
+    rows = spark.range(60).selectExpr("id", "to_json(struct(concat('W', id) as id, concat(2000 + id % 6, '-03-01') as publication_date)) as line")
+    folder = replay.write_pages(rows.select("line", "id"), F.col("id"), str(tmp_path / "works"))
+    paged.register_all(spark)
+    options = {"pages": "quillmill.sources.rest:openalex_pages", "transport": f"quillmill.plans.replay:tables?{folder}", "query": "q", "from": "1990-01-01", "to": "2020-12-31"}
+    where = lambda c: paged.works_where(spark, options, c)
+    some = where("year >= 2001 and year < 2004 and id <> 'W1'")
+    assert sorted({r["year"] for r in some.collect()}) == [2001, 2002, 2003] and some.count() == 29
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "(year" not in next(x for x in plan.split("\n") if "Filter" in x)  # Spark needn't look at years any more
+    counts = {"year = 2002": 10, "year in (2001, 2004)": 20, "year > 2010": 0, "year > 2004 and year < 2003": 0, "id = 'W7'": 1}
+    assert {c: where(c).count() for c in counts} == counts
+    plain = spark.read.format("works_pages").options(**options).load()
+    assert plain.where("year = 2002").count() == 10 and plain.count() == 60
+
+    reader = paged.WorksReader(options | {"pushYears": "true"})
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    other = EqualTo(("id",), "W1")
+    assert list(reader.pushFilters([GreaterThan(("year",), 2001), LessThanOrEqual(("year",), 2003), other])) == [other]
+    assert (reader.options["from"], reader.options["to"]) == ("2002-01-01", "2003-12-31")
+
+
+def test_fixed_values():
+    """What the classification and the services fix."""
+    from quillmill.operators import trend
+    from quillmill.sources import rest
+
+    assert (trend.LOW_SAMPLE, trend.NEW_ENTRANT_PAPERS, trend.RECENT_MONTHS, trend.PRIOR_MONTHS) == (50, 5, 12, 24)
+    assert [transport.backoff(i) for i in range(8)] == [min(1.5 * 2**i, 60) for i in range(8)]
+    assert {p.key: p.key_parameter or p.key_header for p in rest.POLICIES.values() if p.key_variable} == {"crossref": "mailto", "openalex": "api_key", "pubmed": "api_key", "semantic_scholar": "x-api-key", "unpaywall": "email"}
+    assert sorted(paged.SOURCES) == ["monthly_records", "works_pages"]
