@@ -10,7 +10,7 @@ import json
 import sys
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import partial
@@ -164,6 +164,8 @@ class Tally:
     status: str = "ok"
     reason: str | None = None
     notes: list[dict] = field(default_factory=list)
+    #: Stores requests that workers made, from a column of notes.
+    fetched: Callable[[DataFrame], None] | None = None
 
     def stop(self, error: str | None, reached_limit: bool = False) -> None:
         """``error`` is the kind of a request's error."""
@@ -177,6 +179,7 @@ def logged(spark, args, source: str) -> Iterator[Tally]:
     """Notes the run, its source and its requests in the log tables, however the command ends."""
     log, name, run, tally = runlog.RunLog(spark, f"{args.store}/log"), f"{args.group} {args.command}", uuid.uuid4().hex, Tally(status="failed")
     log.start(run, name)
+    tally.fetched = lambda rows: log.fetch_rows(rows.select(F.lit(run).alias("run_id"), F.inline("notes")).withColumns({"error": F.lit(None).cast("string"), "at": F.lit(runlog.now())}))
     try:
         yield tally
         tally.status = "ok" if tally.status == "failed" else tally.status
@@ -289,13 +292,15 @@ def answered(spark, args, keys: DataFrame, source: str, tally: Tally) -> DataFra
     wanted = keys.select(F.lit(source).alias("source"), "key").where("coalesce(key, '') <> ''").distinct()
     cache = table.read()
     asked = wanted if cache is None else merge.cache_misses(wanted, cache)
-    fresh = rest.lookup_table(asked, source, args.transport).cache()
+    answers = rest.lookup_table(asked, source, args.transport, notes=True).cache()
+    fresh = answers.drop("notes")
+    tally.fetched(answers)
     cost = fresh.agg(F.count(F.lit(1)).alias("n"), F.count_if(~evidence.cacheable(F.col("status"))).alias("failed")).first()
     tally.requests, tally.errors = tally.requests + cost["n"], tally.errors + cost["failed"]
     if fresh.where("status = 'budget'").take(1):
         tally.status, tally.reason = runlog.outcome(True, False, False)
     table.upsert(fresh.where(evidence.cacheable(F.col("status"))).withColumn("seq", F.lit(0)), merge.cache_put, ("seq",))
-    fresh.unpersist()
+    answers.unpersist()
     return table.read().join(wanted, ["source", "key"], "left_semi").where("response is not null")
 
 

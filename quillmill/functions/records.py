@@ -59,19 +59,18 @@ def trend_record(v: Column, query_id: str, collected_at: str, provider: str = "o
     ]
 
 
+def words_in_order(entries: Column) -> Column:
+    """Text from an array of struct(word, positions); equal positions keep the order of words. Nothing is null."""
+    placed = F.flatten(F.transform(entries, lambda e, k: F.transform(e["positions"], lambda p: F.struct(p.alias("at"), k.alias("k"), e["word"].alias("w")))))
+    return F.nullif(F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " "), F.lit(""))
+
+
 def restore_abstract(index_json: Column) -> Column:
     """Text from an inverted index ``{word: [positions]}``; equal positions keep the order of words. Nothing readable is null."""
     entries = F.map_entries(F.from_json(index_json, "map<string,string>"))
-    placed = F.flatten(
-        F.transform(
-            entries,
-            lambda e, k: F.transform(
-                F.filter(F.coalesce(F.from_json(e["value"], "array<string>"), F.array().cast("array<string>")), lambda p: p.rlike(r"^-?\d+$")),
-                lambda p: F.struct(p.cast("int").alias("at"), k.alias("k"), e["key"].alias("w")),
-            ),
-        )
-    )
-    return F.nullif(F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " "), F.lit(""))
+    numbers = lambda v: F.filter(F.coalesce(F.from_json(v, "array<string>"), F.array().cast("array<string>")), lambda p: p.rlike(r"^-?\d+$"))
+    read = F.transform(entries, lambda e: F.struct(e["key"].alias("word"), numbers(e["value"]).cast("array<int>").alias("positions")))
+    return words_in_order(read)
 
 
 def paper_record(v: Column) -> list[Column]:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import scrub_url
 from quillmill.operators import merge
 from quillmill.plans.catalog import query
 from quillmill.plans.relations import table
 from quillmill.plans.stream_queries import work_dir
+from quillmill.sources import runlog
 from quillmill.sources.versioned import VersionedTable
 
 
@@ -104,8 +104,11 @@ def mrg_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.overwrite(rows.drop("seq").limit(0), rows, ["doi"])
 
 
-@query("select event_id, 'https://h/p?q=' || user_id as url from events")
+@query("select cast(event_id as varchar) as run_id, event_type as source, 'https://h/p?q=' || user_id as url, 200 as status from events")
 def snk_fetchlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the fetch log stores: URLs less their secrets."""
+    """What the fetch log stores of each request: URLs less their secrets."""
+    log = runlog.RunLog(spark, work_dir(spark))
     url = F.concat(F.lit("https://h/p?q="), F.col("user_id"), F.lit("&token="), F.col("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", scrub_url(url).alias("url"))
+    notes = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("source"), url.alias("url"), F.lit(200).alias("status"), F.lit(0.0).alias("elapsed"), F.lit(None).cast("string").alias("error"), F.lit("now").alias("at"))
+    log.fetch_rows(notes)
+    return log.fetched().select("run_id", "source", "url", "status")

@@ -176,15 +176,20 @@ def pubmed_pages(options: dict) -> Callable[[str], dict]:
     return lambda cursor: month_page(t, options["query"], cursor)
 
 
-def lookup_table(keys: DataFrame, source: str, transport: str = "quillmill.sources.rest:online", tasks: int = 1) -> DataFrame:
-    """(source, key, status, response) of each distinct non-empty ``key``.
+NOTES = "array<struct<source: string, url: string, status: int, elapsed: double>>"
+
+
+def lookup_table(keys: DataFrame, source: str, transport: str = "quillmill.sources.rest:online", tasks: int = 1, notes: bool = False) -> DataFrame:
+    """(source, key, status, response) of each distinct non-empty ``key``, and with ``notes`` the requests that it took.
 
     Services limit requests a host, so ``tasks`` stays small. Once a budget is
     spent the rest of a task is left out, with the status ``budget``.
     """
+    columns = ["source", "key", "status", "response", *(["notes"] if notes else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, spent = made(transport), False
+        t, spent, noted = made(transport), False, []
+        t.observer = noted.append
         for batch in batches:
             rows = []
             for key in batch["key"]:
@@ -199,8 +204,10 @@ def lookup_table(keys: DataFrame, source: str, transport: str = "quillmill.sourc
                         spent = True
                     except (TransportError, ValueError) as error:
                         status = type(error).__name__
-                rows.append((source, key, status, None if found is None else json.dumps(found, ensure_ascii=False)))
-            yield pd.DataFrame(rows, columns=["source", "key", "status", "response"])
+                asked = [{"source": n["source"], "url": n["url"], "status": n["status"], "elapsed": n["elapsed"]} for n in noted]
+                noted.clear()
+                rows.append((source, key, status, None if found is None else json.dumps(found, ensure_ascii=False), asked)[: len(columns)])
+            yield pd.DataFrame(rows, columns=columns)
 
     wanted = keys.select("key").where(F.coalesce("key", F.lit("")) != "").distinct().repartition(tasks)
-    return wanted.mapInPandas(run, "source string, key string, status string, response string")
+    return wanted.mapInPandas(run, "source string, key string, status string, response string" + (f", notes {NOTES}" if notes else ""))

@@ -40,7 +40,14 @@ class RunLog:
     def fetches(self, notes: list[dict], run_id: str) -> None:
         """Request notes of a transport; secrets in URLs are left out before anything is stored."""
         rows = [(run_id, n["source"], n["url"], n["status"], n["elapsed"], n.get("error"), now()) for n in notes]
-        self.spark.createDataFrame(rows, FETCH).withColumn("url", scrub_url(F.col("url"))).write.mode("append").parquet(f"{self.path}/fetch_log")
+        self.fetch_rows(self.spark.createDataFrame(rows, FETCH))
+
+    def fetch_rows(self, rows: DataFrame) -> None:
+        """The same for notes that are a table."""
+        rows.withColumn("url", scrub_url(F.col("url"))).write.mode("append").parquet(f"{self.path}/fetch_log")
+
+    def fetched(self) -> DataFrame:
+        return self.spark.read.schema(FETCH).parquet(f"{self.path}/fetch_log")
 
     def runs(self) -> DataFrame:
         events = self.spark.read.schema(RUN).parquet(f"{self.path}/run")

@@ -273,6 +273,9 @@ def test_lookups_are_stored(at, capsys, spark):
     at(*collect)
     held = {(r["source"], r["key"]): r["status"] for r in (row for source in (at.path / "store" / "lookup_cache").iterdir() for row in held_table(spark, source).collect())}
     assert held["crossref", "10.1/a"] == "ok" and held["unpaywall", "10.1/a"] == "not_found"
+    log = spark.read.parquet(str(at.path / "store" / "log" / "fetch_log"))
+    noted = {(r["source"], r["status"]) for r in log.collect()}
+    assert {("crossref", 200), ("unpaywall", 404)} <= noted and log.where("url like '%10.1/a%'").count() >= 2
     asked = lambda: sorted(r["requests"] for r in spark.read.parquet(str(at.path / "store" / "log" / "run_source")).collect())
     at(*collect)
     assert asked()[0] == 0 and asked()[1] > 0

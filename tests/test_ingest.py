@@ -320,3 +320,11 @@ def test_fixed_values():
     assert [transport.backoff(i) for i in range(8)] == [min(1.5 * 2**i, 60) for i in range(8)]
     assert {p.key: p.key_parameter or p.key_header for p in rest.POLICIES.values() if p.key_variable} == {"crossref": "mailto", "openalex": "api_key", "pubmed": "api_key", "semantic_scholar": "x-api-key", "unpaywall": "email"}
     assert sorted(paged.SOURCES) == ["monthly_records", "works_pages"]
+
+
+def test_a_spent_budget_is_noticed_before_asking():
+    t, _ = made(Answer(200, {"x-ratelimit-remaining": "1"}), Answer(200, {"x-ratelimit-remaining": "0"}), Answer(200))
+    assert t.get("s", "/") == t.get("s", "/") == "ok"
+    with pytest.raises(transport.BudgetExhausted):
+        t.get("s", "/")
+    assert len(t.session.asked) == 2
