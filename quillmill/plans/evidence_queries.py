@@ -36,7 +36,7 @@ def responses(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     s2 = labels.select(doi, F.struct(F.lit("short").alias("tldr"), F.lit("").alias("abstract"), F.lit("S2J").alias("journal"), F.lit(9).cast("bigint").alias("citation_count")).alias("response"))
     epmc = docs.where(key % 6 < 2).select(F.when(key % 4 != 0, F.concat(F.lit("d"), key)).otherwise(F.concat(F.lit("title "), key)).alias("lookup"), F.struct(F.lit("E abstract").alias("abstract"), F.lit("EJ").alias("journal"), F.array(F.lit("ek")).alias("keywords")).alias("response"))
     pm = docs.where(key % 7 == 0).select(doi, F.struct(F.lit("P abstract").alias("abstract"), F.lit("PJ").alias("journal"), F.lit(None).cast("array<string>").alias("mesh_terms")).alias("response"))
-    item = F.struct(F.when(key % 9 == 0, "notice").when(key % 10 == 0, "retracted").alias("role"))
+    item = F.struct(F.when(key % 7 == 0, "retracted").otherwise("notice").alias("role"))
     cr = docs.where(key % 2 == 1).select(doi, F.struct(F.concat(F.lit("Title "), key, F.when(key % 3 == 0, F.lit(" entirely other words")).otherwise("")).alias("title"), F.lit("CJ").alias("journal"), F.when(key % 9 == 0, F.array(item)).otherwise(F.array().cast("array<struct<role:string>>")).alias("retractions")).alias("response"))
     return {"semantic_scholar": s2, "europepmc": epmc, "pubmed": pm, "crossref": cr}
 
@@ -93,7 +93,7 @@ SCORED = (
     ENRICHED
     + """,
 scored as (
-  select *, cr and doc_id % 3 <> 0 as title_match, is_retracted or (cr and doc_id % 9 = 0 and false) as gone from enriched),
+  select *, cr and doc_id % 3 <> 0 as title_match, is_retracted or (cr and doc_id % 63 = 0) as gone from enriched),
 final as (
   select *, case when gone then 0 else least(5 + (case when cr then 30 else 0 end) + (case when title_match then 25 else 0 end) + least(15 * extra, 30) + (case when abstract <> '' then 10 else 0 end), 100) end as score
   from scored)"""
@@ -121,12 +121,22 @@ def evd_retracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", evidence.retracted(key % 11 == 0, items).alias("is_retracted"))
 
 
+def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order two titles of up to some 600 characters: its parts with brand, type and supplier, and the same without every other type, in another order."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    each = lines.join(parts, "l_partkey", "left").join(suppliers, "l_suppkey", "left")
+    whole = F.concat_ws(" ", "p_name", "p_brand", "p_type", "s_name")
+    less = F.concat_ws(" ", "p_name", F.when(F.col("n") % 2 == 0, F.col("p_type")), "p_brand", "s_name")
+    listed = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", whole.alias("a"), less.alias("b")))).alias("lines"))
+    return listed.select("id", F.array_join("lines.a", "; ").alias("title"), F.array_join(F.reverse("lines.b"), "; ").alias("other"))
+
+
 @query()
 def evd_title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts, so that most are of a length at which frequent characters no longer count."""
-    d = table(spark, sf_dir, "documents")
-    other = F.regexp_replace("text", "a", "e")
-    return d.select("doc_id", evidence.title_similarity(F.col("text"), other).alias("similarity"))
+    """Titles short and long: from 200 characters on, frequent ones no longer count."""
+    return title_pairs(spark, sf_dir).select("id", evidence.title_similarity(F.col("title"), F.col("other")).alias("similarity"))
 
 
 @query(f"with {SCORED} select cast(doc_id as varchar) as key, score as confidence_score, cast(year as int) as year from final where not gone and score >= 30 and (contains(lower(title), '1') or contains(lower(abstract), '1') or contains(keywords, '1')) order by score desc, year desc, key limit 40")

@@ -58,9 +58,13 @@ class RunLog:
         return overwrite(events.drop("seq").limit(0), events, ["run_id", "source"])
 
 
+#: Why a run stops early; of several the first counts: a spent budget, then failures, then limits.
+REASONS = ("budget", "transport", "max")
+
+
 def outcome(budget_stopped: bool, failed: bool, reached_limit: bool) -> tuple[str, str | None]:
-    """(status, reason): a spent budget counts first, then failures, then limits."""
-    for stopped, reason in ((budget_stopped, "budget"), (failed, "transport"), (reached_limit, "max")):
+    """(status, reason)."""
+    for stopped, reason in zip((budget_stopped, failed, reached_limit), REASONS, strict=True):
         if stopped:
             return "partial", reason
     return "ok", None

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
-from quillmill.sources import files
+from quillmill.sources import files, runlog
 
 
 def collect_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "id", late: tuple[str, str] | None = None) -> StreamingQuery:
@@ -109,7 +109,9 @@ def unseen(works: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
 
 
 def stop_reason(budget: Column, transport: Column, most: Column) -> Column:
-    return F.when(budget, "budget").when(transport, "transport").when(most, "max")
+    """The rule of ``runlog.outcome`` as a column."""
+    first, second, third = (F.when(held, F.lit(reason)) for held, reason in zip((budget, transport, most), runlog.REASONS, strict=True))
+    return F.coalesce(first, second, third)
 
 
 def census(months: DataFrame) -> DataFrame:

@@ -129,19 +129,18 @@ def plain_title(v):
     return " ".join(re.sub(r"[^\w\s]", " ", (v or "").lower()).split())
 
 
-def test_title_similarity_of_whole_texts(spark, small):
-    """Most texts exceed the 200 characters from which on difflib leaves out frequent ones."""
+def test_title_similarity_of_all_titles(spark, small):
+    """Every row by hand; long titles are among them."""
     from difflib import SequenceMatcher
 
-    from quillmill.plans.evidence_queries import evd_title_similarity
-
-    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    assert sum(len(t) > 200 for t in texts.values()) > 100
-    got = {r["doc_id"]: r["similarity"] for r in evd_title_similarity(spark, small).collect()}
-    for k, t in texts.items():
-        a, b = plain_title(t), plain_title(t.replace("a", "e"))
-        assert got[k] == pytest.approx(SequenceMatcher(None, a, b).ratio() if a and b else 0.0), k
+    from quillmill.plans.evidence_queries import evd_title_similarity, title_pairs
 
+    pairs = {r["id"]: (r["title"], r["other"]) for r in title_pairs(spark, small).collect()}
+    assert max(len(a) for a, _ in pairs.values()) > 250 > 200 > min(len(a) for a, _ in pairs.values())
+    got = {r["id"]: r["similarity"] for r in evd_title_similarity(spark, small).collect()}
+    assert set(got) == set(pairs)
+    for i, (a, b) in pairs.items():
+        assert got[i] == pytest.approx(SequenceMatcher(None, plain_title(a), plain_title(b)).ratio()), i
 
 def test_whole_texts_are_normalised(spark, small):
     from quillmill.plans.record_queries import norm_name_key, norm_title
