@@ -1,24 +1,29 @@
 """Benchmark decontamination by exact word windows.
 
 Test items become windows of consecutive normalised words, kept as a broadcast
-table of 64-bit window hashes; each training text is scanned once with rolling
-hashes, and every hash that is in the table is verified word by word. Items go
-out in blocks of bounded size, so a large benchmark takes more scans, each by
-a worker that holds one block.
+set of 64-bit window hashes: sorted arrays, some 25 bytes for each word of the
+items, beside their dictionary of words. Each training text is scanned once
+with rolling hashes, and every hash that is in the set is verified word by
+word. Items go out in blocks of bounded size, so a large benchmark takes more
+scans, each by a worker that holds one block.
 
 Defined cases: null and empty texts have no words and are clean; items without
 words are ignored; equal item ids count once, and a null id is never listed,
 though its windows hit; repeated rows are judged alike; an empty benchmark
-leaves everything clean.
+leaves everything clean. Texts may be of any length: a step of the scan holds
+the word numbers of its texts. A single item larger than a block is a block of
+its own.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,29 +42,54 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().translate(BREAKS).split() if text else []
 
 
+@dataclass
+class Table:
+    """Windows of one length, by hash: where each begins in the items' words, and the item it is of."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+
+    def __post_init__(self):
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.starts, self.owners = self.hashes[order], self.starts[order], self.owners[order]
+        #: A mark for each value of the leading bits that some hash has: most windows of a text end here.
+        self.bits = np.uint64(min(24, max(16, int(len(self.hashes)).bit_length() + 4)))
+        self.marks = np.zeros(1 << int(self.bits), bool)
+        self.marks[self.lead(self.hashes)] = True
+
+    def lead(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> (np.uint64(64) - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions whose hash is here, and the rows of the table that have it, from and to."""
+        at = np.flatnonzero(self.marks[self.lead(hashes)])
+        low = np.searchsorted(self.hashes, hashes[at])
+        here = self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes[at]
+        at, low = at[here], low[here]
+        return at, low, np.searchsorted(self.hashes, hashes[at], "right")
+
+
 class Windows:
-    """Hash table of one block of items."""
+    """Hash set of the windows of one block of items."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         self.width = width
-        found: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            for at in range(max(1, len(seq) - width + 1) if seq else 0):
-                found[tuple(seq[at : at + width])].add(item)
-        self.by_length: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for seq, names in found.items():
-            self.by_length[len(seq)][int(rolling(np.array(seq, np.uint64), len(seq))[0])].append((seq, names))
-        self.by_length = {n: dict(t) for n, t in self.by_length.items()}
-        self.marks = {n: self._marks(list(t)) for n, t in self.by_length.items()}
-
-    @staticmethod
-    def _marks(hashes: list[int]) -> np.ndarray:
-        """A bit for each leading 20 bits that some hash has: most windows end here."""
-        marks = np.zeros(1 << 20, bool)
-        marks[(np.array(hashes, np.uint64) >> np.uint64(44)).astype(np.int64)] = True
-        return marks
+        self.names = [item for item, _ in items]
+        numbered = [np.fromiter((self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)), np.uint32) for _, text in items]
+        self.words = np.concatenate(numbered) if numbered else np.zeros(0, np.uint32)
+        lengths = np.array([len(n) for n in numbered], np.int64)
+        first = np.cumsum(lengths) - lengths
+        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for i, n in enumerate(lengths.tolist()):
+            if n:
+                found[min(n, width)].append((first[i] + np.arange(max(1, n - width + 1)), i))
+        self.tables: dict[int, Table] = {}
+        for length, parts in found.items():
+            starts = np.concatenate([p for p, _ in parts])
+            owners = np.repeat(np.array([i for _, i in parts], np.int32), [len(p) for p, _ in parts])
+            self.tables[length] = Table(rolling(self.words.astype(np.uint64), length)[starts], starts, owners)
 
     def scan(self, texts: list[str | None]) -> list[list]:
         """Per text: its number of words, positions of hit words, and items with occurring windows."""
@@ -69,14 +99,15 @@ class Windows:
         seq = np.fromiter((i for w in split for i in map(self.ids.get, w, repeat(0))), np.uint64, int(at[-1]))
         hits: list[set] = [set() for _ in texts]
         items: list[set] = [set() for _ in texts]
-        for length, table in self.by_length.items():
-            hashed = rolling(seq, length)
-            for k in np.flatnonzero(self.marks[length][(hashed >> np.uint64(44)).astype(np.int64)]).tolist():
-                for window, names in table.get(int(hashed[k]), ()):
-                    doc = int(np.searchsorted(at, k, "right")) - 1
-                    if k + length <= at[doc + 1] and tuple(seq[k : k + length].tolist()) == window:
-                        hits[doc].update(range(k - int(at[doc]), k - int(at[doc]) + length))
-                        items[doc] |= names
+        for length, table in self.tables.items():
+            for k, low, high in zip(*(x.tolist() for x in table.find(rolling(seq, length))), strict=True):
+                doc = int(np.searchsorted(at, k, "right")) - 1
+                if k + length > at[doc + 1]:
+                    continue
+                same = [j for j in range(low, high) if (self.words[table.starts[j] : table.starts[j] + length] == seq[k : k + length]).all()]
+                if same:
+                    hits[doc].update(range(k - int(at[doc]), k - int(at[doc]) + length))
+                    items[doc].update(self.names[i] for i in table.owners[same].tolist())
         return [counts, [sorted(h) for h in hits], [sorted(str(i) for i in x if i is not None) for x in items]]
 
 
@@ -139,6 +170,16 @@ def without_spans(text: str | None, hits: list[int]) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their own columns, their texts less the passages that the benchmark has; texts without any are as they were."""
+    names = docs.columns
+    tags = tuple(f"__c{i}" for i in range(len(names)))
+    mine = tags[names.index(text)]
+    found = contamination(docs.toDF(*tags), benchmark, mine, tags)
+    less = F.pandas_udf(lambda t, h: pd.Series([without_spans(x, [] if y is None else list(y)) for x, y in zip(t, h, strict=True)]), T.StringType())
+    return found.withColumn(mine, F.when(F.size("hits") > 0, less(F.col(mine).cast("string"), F.col("hits"))).otherwise(F.col(mine).cast("string"))).select(*tags).toDF(*names)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with their own columns."""
     return kept(docs, text, lambda d, t, tags: contamination(d, benchmark, t, tags), ~F.col("contaminated"))

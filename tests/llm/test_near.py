@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from helpers import awkward, clashing, empty, lower, split
@@ -227,14 +228,49 @@ def test_spans_go():
 
 
 def test_op10(spark, small):
-    items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").limit(80).collect()}
+    """All documents, with windows as tuples of words in a plain dictionary."""
+    where = defaultdict(set)
+    for item, text in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect():
+        seq = plain_words(text)
+        for k in range(max(1, len(seq) - 12) if seq else 0):
+            where[tuple(seq[k : k + 13])].add(str(item))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = {r["doc_id"]: r for r in decontaminate.op10_decontaminate(spark, small).collect()}
-    assert any(r["contaminated"] for r in rows.values())
+    assert set(rows) == set(texts) and any(r["contaminated"] for r in rows.values())
     for doc, text in texts.items():
-        n, hit, named = plain_hits(text, items)
+        seq, hit, named = plain_words(text), set(), set()
+        for length in {len(w) for w in where}:
+            for k in range(len(seq) - length + 1):
+                if found := where.get(tuple(seq[k : k + length])):
+                    hit |= set(range(k, k + length))
+                    named |= found
+        digest = hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
         r = rows[doc]
-        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (n, len(hit), len(named), hashlib.sha256(",".join(named).encode()).hexdigest())
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(seq), len(hit), len(named), digest, bool(hit) and 20 * len(hit) >= len(seq))
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def test_passages_are_removed(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, f"Before, {passage}; after."), (2, "Clean text."), (3, None), (3, f"{passage}")], "doc_id long, text string").selectExpr("*", "'mine' as hits", "doc_id as __c0")
+    got = decontaminate.cleaned(docs, spark.createDataFrame([(1, passage.upper())], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "", r["hits"]) for r in got.collect()) == [(1, "Before, ; after.", "mine"), (2, "Clean text.", "mine"), (3, "", "mine"), (3, "", "mine")]
+
+
+def test_a_block_of_items_is_small():
+    """Two million characters: a few tens of bytes for each word, found again all the same."""
+    lot = np.random.default_rng(8)
+    items = [(str(i), " ".join(f"w{x}" for x in lot.integers(0, 20_000, 400))) for i in range(800)]
+    made = decontaminate.Windows(items)
+    table = made.tables[13]
+    held = sum(x.nbytes for x in (made.words, table.hashes, table.starts, table.owners, table.marks))
+    assert held < 50 * len(made.words)
+    counts, hits, names = made.scan([items[5][1], "w1 w2", f"x {items[7][1][:2000]} y {items[9][1]}"])
+    assert counts[0] == len(hits[0]) == 400 and names == [["5"], [], ["7", "9"]]
 
 
 # --- URL filters ---------------------------------------------------------------------------------------------------
