@@ -165,10 +165,10 @@ def ext_late_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_late", F.lit(0)).alias("n_late"))
 
 
-@query("select concat(user_id, '/', strftime(ts, '%Y-%m-%d')) as id, arg_min(event_id, ts) as event_id from events group by 1")
+@query("select concat(event_type, '/', strftime(ts, '%Y-%m-%d')) as id, arg_min(event_id, ts) as event_id from events group by 1")
 def stm_dedup_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user and day, with state that lets go of days gone by; the checkpoint is lost halfway and made again from what is stored."""
-    rows = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    """The first event of each type and day, with state that lets go of days gone by; the checkpoint is lost halfway and made again from what is stored."""
+    rows = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     at, bounds = work_dir(spark), rows.select(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("z")).first()
     if bounds["a"] is None:
         return rows.select("id", "event_id")
