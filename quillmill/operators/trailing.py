@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.dates import month_index, month_name
-from quillmill.operators.trend import PRIOR_MONTHS, RECENT_MONTHS, TERM, Rounder, rounded
+from quillmill.operators.trend import PRIOR_MONTHS, RECENT_MONTHS, TERM, Rounder
+
+
+def nearly(c: Column, digits: int) -> Column:
+    """Half up in decimal. Quotients of sums of six digits carry no more than a binary fraction's error, so the first step is a fine one; a coarse one makes halves of what is just below."""
+    return F.round(F.round(c, digits + 8), digits)
 
 
 def spine(monthly: DataFrame, last: Column, keys: list[str], values: list[str], at: str = "at") -> DataFrame:
@@ -37,7 +42,7 @@ def observed(denominator: DataFrame, recent: int, prior: int) -> DataFrame:
     return every.select("query_id", "at", F.sum("papers").over(now).alias("papers_window"), F.sum("seen").over(now).alias("n_recent"), F.coalesce(F.sum("seen").over(then), F.lit(0)).alias("n_prior"))
 
 
-def trailing(monthly: DataFrame, denominator: DataFrame, recent: int = RECENT_MONTHS, prior: int = PRIOR_MONTHS, rounder: Rounder = rounded) -> DataFrame:
+def trailing(monthly: DataFrame, denominator: DataFrame, recent: int = RECENT_MONTHS, prior: int = PRIOR_MONTHS, rounder: Rounder = nearly) -> DataFrame:
     """From ``term_monthly`` rows: per term and month the papers of the last ``recent`` months, their mean prevalence, that of the ``prior`` months before, and growth.
 
     Growth is null where the months before were not observed or lack the term.
