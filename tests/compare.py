@@ -42,5 +42,6 @@ def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in order) for r in want), key=repr)
     if ours == theirs:
         return ""
-    a, b = [r for r in ours if r not in set(theirs)][:3], [r for r in theirs if r not in set(ours)][:3]
+    mine, others = set(ours), set(theirs)
+    a, b = [r for r in ours if r not in others][:3], [r for r in theirs if r not in mine][:3]
     return f"{len(ours)} rows against {len(theirs)}; only ours {a}; only theirs {b}"
