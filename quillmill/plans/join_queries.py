@@ -44,10 +44,14 @@ select owner, start, count(*) as n, count(distinct e.user_id) as users, round(su
 def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What other users do during each user's sessions."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    sessions = windows.sessions(events, "2 hours").select(F.col("user_id").alias("owner"), "start", F.unix_micros("start").alias("from_us"), F.unix_micros("end").alias("to_us"))
+    own = {f"own_{n}": F.sum(c) for n, c in intervals.amounts("value").items()}
+    sessions = windows.sessions(events.where("user_id is not null"), "2 hours", also=own)
+    spans = sessions.select(F.col("user_id").alias("owner"), "start", *own, F.unix_micros("start").alias("from_us"), F.unix_micros("end").alias("to_us"))
     points = events.select("user_id", "value", F.unix_micros("ts").alias("at_us"))
-    pairs = intervals.points_in(points, sessions, "at_us", "from_us", "to_us", condition=F.col("user_id") != F.col("owner"))
-    counted = pairs.groupBy("owner", "start").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+    # an owner's events inside a session are the session's own
+    found = intervals.sums_in(points, spans, "at_us", "from_us", "to_us", "user_id", "value")
+    others = {n: F.col(n) - F.col(f"own_{n}") for n in intervals.AMOUNTS}
+    counted = found.where("n > own_n").select("owner", "start", others["n"].alias("n"), (F.col("keys") - 1).alias("users"), F.round(intervals.amount(others), 4).alias("total"))
     return counted.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

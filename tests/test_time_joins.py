@@ -69,6 +69,39 @@ def test_points_in_intervals(spark, most, closed):
     assert intervals.points_in(p, q.limit(0), "at", "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 40])
+def test_sums_in_intervals_form_no_pairs(spark, most):
+    lot = random.Random(most)
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    points = [(lot.choice(["x", "y", "z", None]), lot.choice([None, 50, 50, *range(0, 4000, 7)]), lot.choice([*range(60), *odd[: 1 + i // 200]]) if i > 150 else float(i)) for i in range(500)]
+    points = [(g, t, None if v is None else float(v)) for g, t, v in points]
+    spans = []
+    for j in range(80):
+        s = lot.choice([None, *range(-100, 4000)])
+        spans.append((j, s, None if s is None else s + lot.choice([-3, 0, 1, 8, 64, 300, 1000, 5000])))
+    p, q = spark.createDataFrame(points, "g string, at long, v double"), spark.createDataFrame(spans, "j int, a long, b long")
+    want = {}
+    for j, a, b in spans:
+        inside = [(g, v) for g, t, v in points if None not in (g, t, a) and a <= t < b]
+        if inside:
+            values = [v for _, v in inside if v is not None]
+            want[j] = (len(inside), len({g for g, _ in inside}), str(round(sum(values), 6)) if values else "None")
+    found = intervals.sums_in(p, q, "at", "a", "b", "g", "v", most=most)
+    amount = intervals.amount({n: F.col(n) for n in intervals.AMOUNTS})
+    got = {r["j"]: (r["n"], r["keys"], str(r["t"] if r["t"] is None else round(r["t"], 6))) for r in found.select("j", "n", "keys", amount.alias("t")).collect()}
+    assert got == want
+    assert intervals.sums_in(p.limit(0), q, "at", "a", "b", "g", "v").count() == 0
+    assert intervals.sums_in(p, q.limit(0), "at", "a", "b", "g", "v").count() == 0
+
+
+def test_the_interval_query_joins_no_events_to_sessions(spark, small):
+    """Its pairs would grow with the square of the events."""
+    from quillmill.plans.join_queries import join_interval
+
+    plan = join_interval(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "tally_slice" in plan and "__bin" not in plan
+
+
 def test_trailing_by_hand(spark):
     """A term with a gap of eleven months, in a collection that lacks a month."""
     months = [f"20{y:02d}-{m:02d}" for y in range(20, 24) for m in range(1, 13) if (y, m) != (21, 5)]
