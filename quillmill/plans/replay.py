@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.sources import files, rest
@@ -34,6 +34,16 @@ def given(found: object) -> Answer:
     return Answer(json.dumps(found))
 
 
+def listed(name: str, lines: list[str], rest: dict) -> Answer:
+    """A list of records that are text already, and what else is said."""
+    return Answer(f'{{"{name}": [{",".join(lines)}], {json.dumps(rest)[1:]}' if rest else f'{{"{name}": [{",".join(lines)}]}}')
+
+
+def dated(line: str) -> str:
+    """The publication date of a line, as ``to_json`` writes it."""
+    return line.partition('"publication_date":"')[2][:10]
+
+
 class Service:
     def get(self, url: str, headers: dict) -> Answer:
         at = urlsplit(url)
@@ -79,8 +89,12 @@ def write_pages(rows: DataFrame, number: Column, folder: str) -> str:
 
 
 def write_months(rows: DataFrame, folder: str) -> str:
-    """Writes (month, line) as a folder for each month."""
-    rows.select("line", "month").repartition(F.col("month")).sortWithinPartitions("month", "line").write.partitionBy("month").text(folder)
+    """Writes (month, line) as a folder for each month, in chunks of PAGE_ROWS, and how many lines each has."""
+    place = F.row_number().over(Window.partitionBy("month").orderBy("line")) - 1
+    placed = rows.select("line", "month", place.alias("__n")).withColumn("chunk", F.floor(F.col("__n") / PAGE_ROWS))
+    placed.sortWithinPartitions("month", "chunk", "__n").drop("__n").write.partitionBy("month", "chunk").text(folder)
+    counts = {r["month"]: r["count"] for r in rows.groupBy("month").count().collect()}  # a row a month
+    files.write_text(rows.sparkSession, f"{folder}/_meta.json", json.dumps(counts))
     return folder
 
 
@@ -88,19 +102,26 @@ class Tables(Service):
     """Answers from a folder that ``write_pages`` or ``write_months`` has written, wherever it lies."""
 
     def __init__(self, folder: str):
+        self.read, self.known = ("", []), None
         self.fs, self.top = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
-    def _lines(self, part: str) -> list[dict]:
+    def _lines(self, part: str) -> list[str]:
+        """The lines of a folder; those of the last one are kept."""
+        if part == self.read[0]:
+            return self.read[1]
         found = []
         for f in sorted(self.fs.get_file_info(fs.FileSelector(f"{self.top}/{part}", allow_not_found=True)), key=lambda f: f.path):
             if f.base_name.startswith("part-"):
                 with self.fs.open_input_stream(f.path) as stream:
-                    found += [json.loads(x) for x in stream.read().decode().splitlines() if x]
+                    found += [x for x in stream.read().decode().split("\n") if x]
+        self.read = part, found
         return found
 
     def _meta(self) -> dict:
-        with self.fs.open_input_stream(f"{self.top}/_meta.json") as stream:
-            return json.loads(stream.read())
+        if self.known is None:
+            with self.fs.open_input_stream(f"{self.top}/_meta.json") as stream:
+                self.known = json.loads(stream.read())
+        return self.known
 
     def get(self, url: str, headers: dict) -> Answer:
         at = urlsplit(url)
@@ -111,11 +132,14 @@ class Tables(Service):
             return self.years(q)
         if at.path == "/api/v2/studies":
             page, pages = int(q.get("pageToken", 0)), self._meta()["pages"]
-            return given({"studies": self._lines(f"page={page}")} | ({"nextPageToken": str(page + 1)} if page + 1 < pages else {}))
+            return listed("studies", self._lines(f"page={page}"), {"nextPageToken": str(page + 1)} if page + 1 < pages else {})
         if at.path.endswith("esearch.fcgi"):
-            held = [r["pmid"] for r in self._lines(f"month={q['mindate'][:7].replace('/', '-')}")]
-            start = int(q.get("retstart", 0))
-            return given({"esearchresult": {"idlist": held[start : start + int(q["retmax"])], "count": str(len(held))}})
+            month, start = q["mindate"][:7].replace("/", "-"), int(q.get("retstart", 0))
+            total = self._meta().get(month, 0)
+            end, held = min(start + int(q["retmax"]), total), []
+            for chunk in range(start // PAGE_ROWS, -(-end // PAGE_ROWS)):
+                held += self._lines(f"month={month}/chunk={chunk}")[max(start - chunk * PAGE_ROWS, 0) : end - chunk * PAGE_ROWS]
+            return given({"esearchresult": {"idlist": [json.loads(x)["pmid"] for x in held], "count": str(total)}})
         return super().get(url, headers)
 
     def _dated(self, q: dict) -> tuple[str, str]:
@@ -127,19 +151,19 @@ class Tables(Service):
         first, last = self._dated(q)
         meta, page = self._meta(), 0 if q["cursor"] == "*" else int(q["cursor"])
         while True:
-            held = [w for w in self._lines(f"page={page}") if first <= w["publication_date"] <= last]
+            held = [w for w in self._lines(f"page={page}") if first <= dated(w) <= last]
             page += 1
             if held or page >= meta["pages"]:
                 break
-        return given({"results": held, "meta": {"next_cursor": str(page) if page < meta["pages"] else None, "count": meta["total"]}})
+        return listed("results", held, {"meta": {"next_cursor": str(page) if page < meta["pages"] else None, "count": meta["total"]}})
 
     def years(self, q: dict) -> Answer:
         first, last = self._dated(q)
         counts: dict[str, int] = {}
         for page in range(self._meta()["pages"]):
-            for w in self._lines(f"page={page}"):
-                if first <= w["publication_date"] <= last:
-                    counts[w["publication_date"][:4]] = counts.get(w["publication_date"][:4], 0) + 1
+            for date in map(dated, self._lines(f"page={page}")):
+                if first <= date <= last:
+                    counts[date[:4]] = counts.get(date[:4], 0) + 1
         return given({"group_by": [{"key": k, "count": n} for k, n in counts.items()]})
 
 

@@ -2,8 +2,10 @@
 
 ``works_pages`` follows a cursor: its stream offset is the cursor, so a restart
 goes on at the page after the last committed one. ``monthly_records`` reads one
-partition per month; as a stream it goes month by month, a page a batch, and its
+partition per month; as a stream it goes month by month, and its
 offset is the month, the start within it and what each month has given so far.
+A stream's first batch is one page; later ones take as many pages as the run has
+had before, up to ``BATCH_ROWS`` rows, so long collections need few batches.
 ``place`` is a row's position in its collection. A stream takes at most
 ``maxPages`` pages a run. Both get their pages from a ``fetch`` object named by the
 ``pages`` option: ``module:attribute``, called with a cursor or a month. The
@@ -62,6 +64,10 @@ def fetcher(options: dict) -> Callable[[str], dict]:
 PAGE_ROWS = 10_000
 
 
+#: Rows from which on a stream's batch takes no further page.
+BATCH_ROWS = 200_000
+
+
 class Paged:
     """Asks for all pages through one object, made where it is used, so that the service's pace and budget hold across pages."""
 
@@ -69,6 +75,7 @@ class Paged:
         self.options, self.source = dict(options), None
         self.most_pages, self.taken = int(options.get("maxPages", 0)), 0
         self.push_years = options.get("pushYears") == "true"
+        self.failed: Exception | None = None
 
     def fetch(self, cursor: str) -> dict:
         if self.source is None:
@@ -78,6 +85,37 @@ class Paged:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"source": None}
 
+    def behind(self, at: dict) -> tuple[list[tuple], dict] | None:
+        """The rows of the page at an offset, and the offset behind it; None if nothing is left."""
+        raise NotImplementedError
+
+    def batch(self, at: dict) -> tuple[list[tuple], dict]:
+        """The rows of the next pages, and the offset behind them.
+
+        A page that fails ends the batch before it, so those that came are
+        committed; the next call raises its error without asking again.
+        """
+        if self.failed:
+            raise self.failed
+        rows, most = [], max(1, self.taken)
+        if self.most_pages:
+            most = min(most, self.most_pages - self.taken)
+        for n in range(most):
+            try:
+                found = self.behind(at)
+            except Exception as error:
+                if not n:
+                    raise
+                self.failed = error
+                break
+            if found is None:
+                break
+            rows += found[0]
+            at, self.taken = found[1], self.taken + 1
+            if len(rows) >= BATCH_ROWS:
+                break
+        return rows, at
+
 
 def year_bounds(f: Filter) -> tuple[int, int] | None:
     """The years that a filter on the column ``year`` allows, both included; None for any other filter."""
@@ -150,8 +188,9 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
             if work.get("id") and self.wanted(year := year_of(work)):
                 yield work["id"], json.dumps(work, ensure_ascii=False), number * PAGE_ROWS + i, year
 
-    def behind(self, at: dict) -> tuple[list[tuple], dict]:
-        """The rows of the page at an offset, and the offset behind it."""
+    def behind(self, at: dict) -> tuple[list[tuple], dict] | None:
+        if not at.get("cursor"):
+            return None
         page = self.fetch(at["cursor"])
         rows = list(self.rows(page, at["pages"]))
         total = at.get("total") if page.get("total") is None else page["total"]
@@ -162,10 +201,7 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
             if self.least is not None and self.least > self.most:
                 return iter(())
             return (row for n, (page, _) in enumerate(self.pages("*")) for row in self.rows(page, n))
-        if not given.get("cursor") or (self.most_pages and self.taken >= self.most_pages):
-            return iter(()), given
-        self.taken += 1
-        rows, end = self.behind(given)
+        rows, end = self.batch(given)
         return iter(rows), end
 
     def initialOffset(self) -> dict:
@@ -227,7 +263,7 @@ def month_rows(page: dict, month: str, start: int) -> Iterator[tuple[str, str, s
 
 
 class MonthStream(Paged, SimpleDataSourceStreamReader):
-    """A page a batch. Cursors within a month are ``YYYY-MM@start``; a page that fails moves no offset."""
+    """Cursors within a month are ``YYYY-MM@start``; a page that fails moves no offset."""
 
     def __init__(self, options: dict):
         super().__init__(options)
@@ -237,7 +273,6 @@ class MonthStream(Paged, SimpleDataSourceStreamReader):
         return {"pages": 0, "months": {}}
 
     def behind(self, at: dict) -> tuple[list[tuple], dict] | None:
-        """The rows of the page at an offset, and the offset behind it; None if no month is left."""
         month, start = next_position(at, self.months)
         if month is None:
             return None
@@ -255,11 +290,8 @@ class MonthStream(Paged, SimpleDataSourceStreamReader):
         return rows, {"pages": at["pages"] + 1, "months": known} | place
 
     def read(self, start: dict):
-        found = None if self.most_pages and self.taken >= self.most_pages else self.behind(start)
-        if found is None:
-            return iter(()), start
-        self.taken += 1
-        return iter(found[0]), found[1]
+        rows, end = self.batch(start)
+        return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
         at = start

@@ -24,16 +24,16 @@ def collect_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "id"
     return seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def collect_lines(stream: DataFrame, out: str, checkpoint: str, key: str = "id", raw: str = "raw", place: str | None = None, tag: str = "lines", once: bool = True) -> StreamingQuery:
+def collect_lines(stream: DataFrame, out: str, checkpoint: str, key: str = "id", raw: str = "raw", place: tuple[str, ...] = (), tag: str = "lines", once: bool = True) -> StreamingQuery:
     """Appends the column ``raw`` of rows of unseen keys as lines, in files named after their batch.
 
     A batch that is taken again replaces its own files, so each line is there once.
     How many lines there are is counted by the job that writes them, and noted beside them.
-    Rows ordered by ``place`` are of one page, hence few, and go into one file.
+    Rows ordered by ``place`` are of a bounded number of pages, hence few, and go into one file.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.repartition(1).sortWithinPartitions(place) if place else batch
+        rows = batch.repartition(1).sortWithinPartitions(*place) if place else batch
         counted = Observation()
         files.write_lines(rows.select(raw).observe(counted, F.count(F.lit(1)).alias("n")), out, f"{tag}-{number:08d}")
         note_count(spark, out, tag, number, counted.get["n"])
@@ -78,14 +78,18 @@ def committed(spark: SparkSession, checkpoint: str) -> dict:
 
 
 def collect_pages(spark: SparkSession, stream: DataStreamReader, out: str, checkpoint: str, key: str = "id", most: int | None = None, tag: str = "pages") -> Crawl:
-    """Collects a source whose batches are single pages, as raw lines, until it has no more or for ``most`` pages.
+    """Collects a source whose batches are pages, as raw lines, until it has no more or for ``most`` pages.
 
-    Each page is committed before the next is asked for, so what was paid for
-    is never lost, and a later run goes on behind it. A request that fails ends
-    the run, and its kind is told; other errors are raised.
+    A later run goes on behind the last committed page. A batch is one page at
+    first, later as many as the run has committed, up to ``paged.BATCH_ROWS``
+    rows; so a process that dies loses at most half of what its run has paid for, and no
+    more than those rows. A request that fails ends the run once what came
+    before it is committed, and its kind is told; other errors are raised.
     """
     before, error = committed(spark, checkpoint).get("pages", 0), None
-    run = collect_lines(stream.option("maxPages", most or 0).load(), out, checkpoint, key, place="place", tag=tag, once=False)
+    pages = stream.option("maxPages", most or 0).load()
+    place = tuple(c for c in ("month_bucket", "place") if c in pages.columns)
+    run = collect_lines(pages, out, checkpoint, key, place=place, tag=tag, once=False)
     try:
         run.processAllAvailable()
     except StreamingQueryException as failed:

@@ -192,6 +192,51 @@ def test_pages_become_lines(spark, pages, tmp_path):
     assert [[json.loads(r)["id"] for r in found[n]] for n in sorted(found)] == [["Z"], ["A"], ["B"], ["C"]]
 
 
+def many_pages(options):
+    """Forty pages of two; the one named by ``refused`` fails."""
+    from quillmill.sources.transport import PermanentError
+
+    def fetch(cursor):
+        n = 0 if cursor == "*" else int(cursor)
+        if str(n) == options.get("refused"):
+            raise PermanentError("refused")
+        return {"results": [{"id": f"{n}a"}, {"id": f"{n}b"}], "next_cursor": str(n + 1) if n < 39 else None}
+
+    return fetch
+
+
+def test_long_collections_need_few_batches(spark, tmp_path):
+    paged.register_all(spark)
+    out, state = tmp_path / "out", str(tmp_path / "state")
+    stream = lambda **o: spark.readStream.format("works_pages").options(pages="test_ingest:many_pages", **o)
+    failed = ingest.collect_pages(spark, stream(refused="13"), str(out), state)
+    assert (failed.pages, failed.error) == (13, "PermanentError")  # what came before it in its batch is there
+    whole = ingest.collect_pages(spark, stream(), str(out), state)
+    assert (whole.pages, whole.error, whole.offset["cursor"]) == (27, None, "")
+    found = [json.loads(x)["id"] for v in lines(out).values() for x in v]
+    assert found == [f"{n}{x}" for n in range(40) for x in "ab"]
+    assert len(files.names(spark, f"{state}/commits")) < 25
+    reader = paged.WorksReader({"pages": "test_ingest:many_pages"})
+    at, taken = reader.initialOffset(), []
+    while at["cursor"]:
+        before, (_, at) = at["pages"], reader.read(at)
+        taken.append(at["pages"] - before)
+    assert taken == [1, 1, 2, 4, 8, 16, 8]
+
+
+def test_months_are_served_in_chunks(spark, tmp_path, monkeypatch):
+    from quillmill.plans import replay
+
+    monkeypatch.setattr(replay, "PAGE_ROWS", 7)
+    rows = spark.range(50).selectExpr("if(id < 40, '2024-01', '2024-02') as month", """to_json(struct(format_string('p%02d', id) as pmid)) as line""")
+    service = replay.Tables(replay.write_months(rows, str(tmp_path / "months")))
+    asked = lambda m, start, most: json.loads(service.get(f"https://h/esearch.fcgi?mindate={m}/01&retstart={start}&retmax={most}", {}).text)["esearchresult"]
+    assert asked("2024/01", 5, 20) == {"idlist": [f"p{i:02d}" for i in range(5, 25)], "count": "40"}
+    assert asked("2024/01", 35, 20)["idlist"] == [f"p{i}" for i in range(35, 40)] and asked("2024/02", 0, 3)["idlist"] == ["p40", "p41", "p42"]
+    assert asked("2024/03", 0, 3) == {"idlist": [], "count": "0"}
+    assert len(service.read[1]) <= 7  # no more than a chunk is held
+
+
 def test_lines_replace_their_own_name(spark, tmp_path):
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], "raw string")
     out = tmp_path / "out"
