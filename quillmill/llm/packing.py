@@ -128,6 +128,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int, capacity: int = 4096, lo
                 yield made(rows)
         if bucket:
             yield made(list(emptied()))
+        enc.forget()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

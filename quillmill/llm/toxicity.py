@@ -96,8 +96,7 @@ class Scorer:
         return self.bias + sum(float(self.weights[f]) for f in sorted(set().union(*map(self.words.__getitem__, words))))
 
     def forget(self) -> None:
-        self.words.clear()
-        self.words.old = {}
+        self.words.forget()
 
     def logits(self, text: str | None) -> np.ndarray:
         return np.array([self.logit(s) for s in sentences(text)], float)

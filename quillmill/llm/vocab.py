@@ -47,6 +47,10 @@ class Memo(dict):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
@@ -127,6 +131,11 @@ class Encoder:
             lines.append(outer(first) + b"".join(map(inner, rest)))
         return self.line_end.join(lines)
 
+    def forget(self) -> None:
+        """Lets go of what is cached; a worker that has encoded may serve other stages for long."""
+        for memo in (self.rests, self.inner, self.outer):
+            memo.forget()
+
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode([text])[0], self.dtype)
 
