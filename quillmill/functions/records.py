@@ -6,6 +6,9 @@ by one with ``try_variant_get``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +62,30 @@ def trend_record(v: Column, query_id: str, collected_at: str, provider: str = "o
     ]
 
 
+#: Texts whose indexes are made at once.
+INDEXED = 256
+
+
+def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, entries) of (doc_id, text): of each text its words, between blanks and line ends, with their positions; a null text has none."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, INDEXED):
+            part = batch.slice(at, INDEXED)
+            words, positions, ends, stops = [], [], [0], [0]
+            for text in part.column(1).to_pylist():
+                index: dict[str, list[int]] = {}
+                for i, word in enumerate(w for w in (text or "").replace("\n", " ").split(" ") if w):
+                    index.setdefault(word, []).append(i)
+                words += index
+                for p in index.values():
+                    positions += p
+                    stops.append(len(positions))
+                ends.append(len(words))
+            places = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(positions, pa.int32()))
+            entries = pa.StructArray.from_arrays([pa.array(words, pa.string()), places], ["word", "positions"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=["doc_id", "entries"])
+
+
 def words_in_order(entries: Column) -> Column:
     """Text from an array of struct(word, positions); equal positions keep the order of words. Nothing is null."""
     placed = F.flatten(F.transform(entries, lambda e, k: F.transform(e["positions"], lambda p: F.struct(p.alias("at"), k.alias("k"), e["word"].alias("w")))))

@@ -149,3 +149,13 @@ def test_whole_texts_are_normalised(spark, small):
     assert sum(len(t or "") > 60 for t in texts.values()) > 100
     assert {r["doc_id"]: r["title"] for r in norm_title(spark, small).collect()} == {k: plain_title(t) for k, t in texts.items()}
     assert {r["doc_id"]: r["name_key"] for r in norm_name_key(spark, small).collect()} == {k: " ".join((t or "").split()).casefold() for k, t in texts.items()}
+
+
+def test_indexes_are_made_where_texts_lie(spark):
+    """No word is shuffled, and rows that share an id stay rows of their own."""
+    from quillmill.plans.record_queries import restored
+
+    rows = [(1, "b a  b\n\nc"), (1, "x"), (2, None), (3, " \n "), (None, "é\t1 é")]
+    made = restored(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted([(1, "b a b c"), (1, "x"), (2, None), (3, None), (None, "é\t1 é")], key=repr)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
