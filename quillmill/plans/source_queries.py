@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
@@ -421,26 +422,45 @@ def ing_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).select("event_id", "name", F.col("left").alias("remaining"))
 
 
-@query("select user_id, cast(row_number() over (partition by user_id, date_trunc('day', ts) order by event_id) as int) as request, cast(date_trunc('day', ts) as date) as day, case when request = 1 then 0.0 else 4.0 end as wait from events")
-def ing_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A host is asked again only after its interval; here each user's day is a host of its own."""
+class Host:
+    """A host that always answers, its clock, and a transport that keeps its pace."""
+
+    def __init__(self):
+        self.now, self.asked = 0.0, 0
+        self.transport = transport.Transport(self, {"s": transport.Policy("s", "h", 4.0)}, sleep=self.sleep, clock=lambda: self.now, budget=transport.Budget(warn=lambda m: None))
+
+    def get(self, url: str, headers: dict) -> replay.Answer:
+        return replay.Answer("ok")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        now, slept, found = [0.0], [], []
+    def sleep(self, seconds: float) -> None:
+        self.now += seconds
 
-        def sleep(seconds: float) -> None:
-            slept.append(seconds)
-            now[0] += seconds
+    def ask(self) -> tuple[int, float]:
+        """The number of a request, and how long it waited."""
+        before, self.asked = self.now, self.asked + 1
+        self.transport.get("s", "/")
+        return self.asked, self.now - before
 
-        t = transport.Transport(Scripted([200] * len(rows)), {"s": transport.Policy("s", "h", 4.0)}, sleep=sleep, clock=lambda: now[0], budget=transport.Budget(warn=lambda m: None))
-        for i in range(1, len(rows) + 1):
-            before = len(slept)
-            t.get("s", "/")
-            found.append((rows["user_id"].iloc[0], i, rows["day"].iloc[0], float(sum(slept[before:]))))
-        return pd.DataFrame(found, columns=["user_id", "request", "day", "wait"])
 
+def throttled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests of rows (user_id, day) that lie side by side; a host goes on across batches."""
+    held, host = None, None
+    for batch in batches:
+        rows = []
+        for user, day in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if host is None or (user, day) != held:
+                held, host = (user, day), Host()
+            request, wait = host.ask()
+            rows.append((user, request, day, wait))
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.date32(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["user_id", "request", "day", "wait"])
+
+
+@query("select user_id, cast(row_number() over (partition by user_id, date_trunc('day', ts) order by event_id) as int) as request, cast(date_trunc('day', ts) as date) as day, case when request = 1 then 0.0 else 4.0 end as wait from events")
+def ing_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host is asked again only after its interval; here each user's day is a host of its own, and a task asks its hosts one after another."""
     days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
-    return days.groupBy("user_id", "day").applyInPandas(run, "user_id long, request int, day date, wait double")
+    return days.repartition("user_id", "day").sortWithinPartitions("user_id", "day").mapInArrow(throttled, "user_id long, request int, day date, wait double")
 
 
 @query("select 'd' || doc_id as key, case when doc_id % 2 = 0 then 'ok' else 'not_found' end as status from documents")

@@ -373,3 +373,17 @@ def test_a_spent_budget_is_noticed_before_asking():
     with pytest.raises(transport.BudgetExhausted):
         t.get("s", "/")
     assert len(t.session.asked) == 2
+
+
+def test_a_host_keeps_its_pace_across_batches():
+    """Many hosts share a task; each starts anew, and one that lies in two batches goes on."""
+    from datetime import date
+
+    import pyarrow as pa
+
+    from quillmill.plans.source_queries import throttled
+
+    day = date(2024, 1, 1)
+    batch = lambda *users: pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array([day] * len(users))], names=["user_id", "day"])
+    found = [tuple(r.values()) for b in throttled(iter([batch(1, 1, 2), batch(2, 3), batch(None, None)])) for r in b.to_pylist()]
+    assert found == [(u, n, day, w) for u, n, w in ((1, 1, 0.0), (1, 2, 4.0), (2, 1, 0.0), (2, 2, 4.0), (3, 1, 0.0), (None, 1, 0.0), (None, 2, 4.0))]
