@@ -36,9 +36,14 @@ BLOCK = 32_768
 WHOLE = ("mix", "group", "group_bias")
 
 
-def contexts(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The ORDER leaves before each of some tokens, nearest first; before a text lies leaf 0."""
-    first = np.repeat(starts, np.diff(np.append(starts, len(ids))))[at]
+def firsts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each token where its text starts."""
+    return np.repeat(starts, np.diff(np.append(starts, len(ids))))
+
+
+def contexts(ids: np.ndarray, starts: np.ndarray, at: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """The ORDER leaves before each of some tokens, nearest first; before a text lies leaf 0. ``first`` has what ``firsts`` gives, if it is known."""
+    first = (firsts(ids, starts) if first is None else first)[at]
     return np.stack([np.where(at - i >= first, ids[np.maximum(at - i, 0)], 0) for i in range(1, ORDER + 1)]).astype(np.uint16)
 
 
@@ -51,7 +56,11 @@ def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 @dataclass
@@ -137,17 +146,18 @@ class Net:
     def train(self, ids: np.ndarray, starts: np.ndarray, rng: np.random.Generator, share: float = 1.0) -> np.ndarray:
         """Minibatches of that share of the tokens of some texts, in random order; gives the tokens' numbers."""
         order = rng.permutation(len(ids))[: int(np.ceil(share * len(ids)))]
+        first = firsts(ids, starts)
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            self.step(contexts(ids, starts, some), ids[some], rng)
+            self.step(contexts(ids, starts, some, first), ids[some], rng)
         return order
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 P of each token, given those before it in its text."""
-        out = np.empty(len(ids))
+        out, first = np.empty(len(ids)), firsts(ids, starts)
         for at in range(0, len(ids), BLOCK):
             some = np.arange(at, min(at + BLOCK, len(ids)))
-            out[some] = self._block(self.guess(contexts(ids, starts, some))[1], ids[some])
+            out[some] = self._block(self.guess(contexts(ids, starts, some, first))[1], ids[some])
         return out / math.log(10)
 
     def _block(self, guess: np.ndarray, target: np.ndarray) -> np.ndarray:

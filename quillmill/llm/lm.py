@@ -7,8 +7,7 @@ with class and word vectors give the scores, which are normalised exactly, class
 by class (see ``lbl``). Inside a group a word has its add-one share.
 
 Training starts on the driver, with a sample of about ``WARM`` tokens, and goes
-on in every task: it visits a fixed share (``SHARE``) of the positions of every
-training text, drawn at random, so what is learned from grows with the corpus.
+on in every task, which visits every position of each of its training texts once.
 What the tasks learned is averaged, each word over its own occurrences; partial
 means are of bounded size, so neither a task nor the driver holds more as the
 corpus grows.
@@ -48,8 +47,6 @@ HEADS = LEAVES - 1 - GROUPS
 WARM = 400_000
 ASIDE = 0.1
 ROUNDS = 60
-#: Share of positions that tasks visit.
-SHARE = 0.125
 #: Partial means of each class of the vocabulary.
 PARTS = 4
 FLUSH = 200_000
@@ -198,8 +195,8 @@ def mean_rows(found: list[tuple], part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, KINDS, strict=True)], names=MEANS)
 
 
-def taught(docs: DataFrame, model: Model, shared) -> Net:
-    """The model's net after a pass over all texts, task by task, and the mean of what the tasks learned."""
+def lessons(docs: DataFrame, shared) -> DataFrame:
+    """What the tasks learn in a pass over all positions of all texts, averaged in a few parts for each class of the vocabulary."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -210,7 +207,7 @@ def taught(docs: DataFrame, model: Model, shared) -> Net:
         for part in steps(batches):
             if part.num_rows:
                 _, ids, stops, _ = shared.value.number([words(t) for t in part.column(0).to_pylist()])
-                visited = net.train(ids, np.concatenate([[0], stops[:-1]]), rng, SHARE)
+                visited = net.train(ids, np.concatenate([[0], stops[:-1]]), rng)
                 tally += np.bincount(ids[visited], minlength=LEAVES)
         if tally.any():
             yield mean_rows(learned(start, net, tally), task % PARTS)
@@ -224,9 +221,13 @@ def taught(docs: DataFrame, model: Model, shared) -> Net:
             yield mean_rows(total.means(), part)
 
     schema = "class int, part int, met binary, tally binary, change binary"
-    rows = docs.select("text").mapInArrow(learn, schema).repartition("class", "part").mapInArrow(merge, schema).collect()
+    return docs.select("text").mapInArrow(learn, schema).repartition("class", "part").mapInArrow(merge, schema)
+
+
+def taught(docs: DataFrame, model: Model, shared) -> Net:
+    """The model's net after a pass over all texts, task by task, and the mean of what the tasks learned."""
     total = Total()
-    for r in sorted(rows, key=lambda r: (r["class"], r["part"])):
+    for r in sorted(lessons(docs, shared).collect(), key=lambda r: (r["class"], r["part"])):
         total.add(r["class"], bytes(r["met"]), bytes(r["tally"]), bytes(r["change"]))
     return total.applied(model.net)
 

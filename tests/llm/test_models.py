@@ -20,6 +20,14 @@ from quillmill.llm.vocab import tokenizer, vocabulary
 from quillmill.session import shared_dir
 
 
+def test_every_training_position_teaches(spark):
+    """Tasks visit all positions of all texts: the tokens they learned from are those of the table."""
+    docs = spark.createDataFrame([(f"{'a b c d e ' * (i % 7)}w{i}",) for i in range(300)] + [(None,), ("",)], "text string").repartition(5)
+    model, _ = lm.fit(docs)
+    rows = lm.lessons(docs, spark.sparkContext.broadcast(model)).where("class = -1").collect()
+    assert sum(np.frombuffer(bytes(r["tally"]), "<f8").sum() for r in rows) == model.total == sum(5 * (i % 7) + 2 for i in range(300)) + 2
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(i,) for i in (0, 7, -3, 10**12, None)], "i long").select("i", fold(F.col("i"), 7).alias("f")).collect()
     assert [r["f"] for r in rows] == [zlib.crc32(("" if r["i"] is None else str(r["i"])).encode()) % 7 for r in rows]
