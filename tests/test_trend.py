@@ -211,3 +211,16 @@ def test_rounding(spark):
 def test_citations_per_year(spark):
     row = spark.range(1).select(dates.citation_per_year(F.lit(10), F.lit("2026-08-19"), F.lit("2026-08-20")).alias("c"), dates.citation_per_year(F.lit(10), F.lit("2026"), F.lit("2026-08-20")).alias("n")).first()
     assert (row["c"], row["n"]) == (20.0, None)
+
+
+def test_tasks_hold_no_more_as_lines_grow(spark, small, monkeypatch):
+    """Records are dealt by number, so adaptive execution joins no tasks; frequent terms gather nowhere."""
+    from quillmill import session
+    from quillmill.plans.relations import resolved_terms, works_monthly
+
+    monkeypatch.setattr(session, "TASK_ROWS", 300)
+    tasks = -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 300)
+    found = resolved_terms(spark, small, "topic")
+    held = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert tasks >= 20 and len(held) == tasks and max(held) <= 600
+    assert works_monthly(spark, small, "topic").rdd.getNumPartitions() == tasks
