@@ -13,6 +13,9 @@ from quillmill.functions.records import at, raw_json, trend_record
 from quillmill.functions.text import name_key, strip
 from quillmill.operators.merge import first_by_key
 
+#: Bytes of lines that a task makes distinct, about.
+TASK_BYTES = 16 << 20
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, on whatever file system Spark reads it from."""
@@ -78,16 +81,24 @@ def raw_dir(spark: SparkSession, root: str, provider: str, query_id: str) -> str
     raise FileNotFoundError(new)
 
 
+def line_bytes(spark: SparkSession, path: str) -> int:
+    """The size of a folder's line files."""
+    system, at = file_system(spark, path)
+    return sum(f.getLen() for f in system.listStatus(at) if f.getPath().getName().endswith(".jsonl"))
+
+
 def json_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
     """(v VARIANT, ord) of line files: blank and unreadable lines go, as do rows without the key; the first row of a key stays.
 
     ``ord`` is the place in file, then line order, so that first means first.
+    Rows are dealt by key into partitions of some ``TASK_BYTES`` of lines, so that a task sorts no more as files grow.
     """
     lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path)
-    placed = lines.select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"))
+    placed = lines.select("value", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("ord"))
     parsed = placed.where("trim(value) <> ''").select(raw_json(F.col("value")).alias("v"), "ord")
     named = parsed.withColumn("id", at(F.col("v"), f"$.{key}")).where("coalesce(id, '') <> ''")
-    return first_by_key(named, ["id"], [F.col("ord")])
+    parts = max(spark.sparkContext.defaultParallelism, -(-line_bytes(spark, path) // TASK_BYTES))
+    return first_by_key(named.repartition(parts, "id"), ["id"], [F.col("ord")])
 
 
 def trend_records(spark: SparkSession, root: str, query_id: str, provider: str = "openalex") -> DataFrame:

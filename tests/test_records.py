@@ -195,3 +195,14 @@ def test_indexes_are_made_where_texts_lie(spark):
     made = restored(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, made.collect()), key=repr) == sorted([(1, "b a b c"), (1, "x"), (2, None), (3, None), (None, "é\t1 é")], key=repr)
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_dealt_by_their_bytes(spark, tmp_path, monkeypatch):
+    """Tasks that make lines distinct grow in number with the files; the first line of a key stays."""
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"id": "k{i}", "v": "{name}"}}\n' for i in range(500)), encoding="utf-8")
+    monkeypatch.setattr(files, "TASK_BYTES", 1000)
+    size = sum(p.stat().st_size for p in tmp_path.iterdir())
+    rows = files.json_lines(spark, str(tmp_path), "id")
+    assert rows.rdd.getNumPartitions() == -(-size // 1000) > 20
+    assert {r["v"] for r in rows.select(records.at(F.col("v"), "$.v").alias("v")).collect()} == {"a"} and rows.count() == 500
