@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.session import partitions
 from quillmill.sources import files, rest
 from quillmill.sources.transport import Transport
 
@@ -88,6 +89,18 @@ def write_pages(rows: DataFrame, number: Column, folder: str) -> str:
     return folder
 
 
+def write_month_pages(rows: DataFrame, number: Column, folder: str) -> str:
+    """Writes (month, line) as pages of a month each, dealt by ``number``; some PAGE_ROWS lines a page, so no task holds a month."""
+    counts = {r["month"]: r["count"] for r in rows.groupBy("month").count().collect() if r["month"]}  # a row a month
+    chunks, total = {m: -(-n // PAGE_ROWS) for m, n in counts.items()}, sum(counts.values())
+    spark = rows.sparkSession
+    sizes = spark.createDataFrame(list(chunks.items()), "month string, chunks long")
+    dealt = rows.select("line", "month", number.alias("__n")).join(F.broadcast(sizes), "month").select("line", "month", F.pmod("__n", "chunks").alias("chunk"))
+    dealt.repartition(partitions(spark, total), "month", "chunk").write.partitionBy("month", "chunk").text(folder)
+    files.write_text(spark, f"{folder}/_meta.json", json.dumps({"months": chunks, "total": total}))
+    return folder
+
+
 def write_months(rows: DataFrame, folder: str) -> str:
     """Writes (month, line) as a folder for each month, in chunks of PAGE_ROWS, and how many lines each has."""
     place = F.row_number().over(Window.partitionBy("month").orderBy("line")) - 1
@@ -149,13 +162,18 @@ class Tables(Service):
     def works(self, q: dict) -> Answer:
         """The next page that has works of the dates asked for."""
         first, last = self._dated(q)
-        meta, page = self._meta(), 0 if q["cursor"] == "*" else int(q["cursor"])
-        while True:
-            held = [w for w in self._lines(f"page={page}") if first <= dated(w) <= last]
+        parts, page, held = self._parts(first, last), 0 if q["cursor"] == "*" else int(q["cursor"]), []
+        while not held and page < len(parts):
+            held = [w for w in self._lines(parts[page]) if first <= dated(w) <= last]
             page += 1
-            if held or page >= meta["pages"]:
-                break
-        return listed("results", held, {"meta": {"next_cursor": str(page) if page < meta["pages"] else None, "count": meta["total"]}})
+        return listed("results", held, {"meta": {"next_cursor": str(page) if page < len(parts) else None, "count": self._meta()["total"]}})
+
+    def _parts(self, first: str, last: str) -> list[str]:
+        """Folders of the pages that may have works of these dates."""
+        meta = self._meta()
+        if "months" in meta:
+            return [f"month={m}/chunk={c}" for m, n in sorted(meta["months"].items()) if first[:7] <= m <= last[:7] for c in range(n)]
+        return [f"page={p}" for p in range(meta["pages"])]
 
     def years(self, q: dict) -> Answer:
         first, last = self._dated(q)

@@ -34,16 +34,28 @@ PAGED = "n as (select greatest(6, (count(*) + 4999) // 5000) as pages from order
 
 def order_pages(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Options of a reader of orders as works, from a service that pages through them."""
+    lines = order_lines(spark, sf_dir)
+    return work_pages(replay.write_pages(lines.drop("month"), F.col("o_orderkey"), f"{work_dir(spark)}/works"))
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, month, o_orderkey) of orders as works."""
     orders = table(spark, sf_dir, "orders")
     line = F.to_json(F.struct(F.concat(F.lit("W"), "o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("publication_date"), F.col("o_orderpriority").alias("title")))
-    folder = replay.write_pages(orders.select(line.alias("line"), "o_orderkey"), F.col("o_orderkey"), f"{work_dir(spark)}/works")
+    return orders.select(line.alias("line"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey")
+
+
+def work_pages(folder: str) -> dict[str, str]:
     return {"pages": "quillmill.sources.rest:openalex_pages", "transport": f"{TABLES}?{folder}", "query": "q", "from": "1990-01-01", "to": "2010-12-31"}
 
 
 @query(IDS)
 def src_openalex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl for each month, side by side."""
     paged.register_all(spark)
-    return spark.read.format("works_pages").options(**order_pages(spark, sf_dir)).load().select("id")
+    lines = order_lines(spark, sf_dir)
+    folder = replay.write_month_pages(lines, F.col("o_orderkey"), f"{work_dir(spark)}/works")
+    return spark.read.format("works_pages").options(**work_pages(folder), split="month").load().select("id")
 
 
 @query("select 'W' || o_orderkey as id, cast(year(o_orderdate) as int) as year from orders where year(o_orderdate) between 1996 and 1998 and year(o_orderdate) <> 1997")

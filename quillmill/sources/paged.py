@@ -1,7 +1,8 @@
 """Python data sources for paged REST services.
 
 ``works_pages`` follows a cursor: its stream offset is the cursor, so a restart
-goes on at the page after the last committed one. ``monthly_records`` reads one
+goes on at the page after the last committed one. In a batch it can follow a
+cursor for each month (``split``). ``monthly_records`` reads one
 partition per month; as a stream it goes month by month, and its
 offset is the month, the start within it and what each month has given so far.
 A stream's first batch is one page; later ones take as many pages as the run has
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from calendar import monthrange
 from collections.abc import Callable, Iterator
 from importlib import import_module
 from pathlib import Path
@@ -64,10 +66,19 @@ def fetcher(options: dict) -> Callable[[str], dict]:
 PAGE_ROWS = 10_000
 
 
+#: Places left for the pages of a month.
+MONTH_PAGES = 1_000_000
+
 #: Rows from which on a stream's batch takes no further page.
 BATCH_ROWS = 200_000
 
 
+class Month(InputPartition):
+    def __init__(self, month: str):
+        super().__init__(month)
+        self.month = month
+
+
 class Paged:
     """Asks for all pages through one object, made where it is used, so that the service's pace and budget hold across pages."""
 
@@ -196,7 +207,23 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
         total = at.get("total") if page.get("total") is None else page["total"]
         return rows, {"cursor": page.get("next_cursor") or "", "pages": at["pages"] + 1, "received": at.get("received", 0) + len(rows), "total": total}
 
+    def partitions(self) -> list[Month]:
+        """With the option ``split`` = ``month`` each month of the dates asked for is crawled for itself, side by side; a work has one date, so none is lost or repeated."""
+        if self.options.get("split") != "month" or self.most_pages or (self.least is not None and self.least > self.most):
+            return super().partitions()  # one cursor, one task
+        return [Month(m) for m in months(self.options["from"], self.options["to"])]
+
+    def of_month(self, month: str) -> Iterator[tuple]:
+        """Places go by month, then by page."""
+        first, last = self.options["from"], self.options["to"]
+        days = monthrange(int(month[:4]), int(month[5:7]))[1]
+        start = months(first, last).index(month) * MONTH_PAGES
+        self.options |= {"from": max(first, f"{month}-01"), "to": min(last, f"{month}-{days}")}
+        return (row for n, (page, _) in enumerate(self.pages("*"), start) for row in self.rows(page, n))
+
     def read(self, given):
+        if isinstance(given, Month):
+            return self.of_month(given.month)
         if not isinstance(given, dict):
             if self.least is not None and self.least > self.most:
                 return iter(())
@@ -235,12 +262,6 @@ class WorksPages(DataSource):
         return WorksReader(self.options)
 
 
-class Month(InputPartition):
-    def __init__(self, month: str):
-        super().__init__(month)
-        self.month = month
-
-
 class MonthReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)

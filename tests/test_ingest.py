@@ -356,6 +356,25 @@ def test_years_become_dates(spark, tmp_path):
     assert (reader.options["from"], reader.options["to"]) == ("2002-01-01", "2003-12-31")
 
 
+def test_months_are_crawled_side_by_side(spark, tmp_path):
+    """Each work once, whether the service's pages are by month or not; the dates asked for bound the first and last month."""
+    from quillmill.plans import replay
+
+    rows = spark.range(3000).selectExpr("id", "date_format(date_add(date'2001-01-15', cast(id % 400 as int)), 'yyyy-MM-dd') as publication_date")
+    lines = rows.selectExpr("to_json(struct(concat('W', id) as id, publication_date)) as line", "substr(publication_date, 1, 7) as month", "id", "publication_date").cache()
+    folders = replay.write_month_pages(lines.select("line", "month", "id"), F.col("id"), str(tmp_path / "months")), replay.write_pages(lines.select("line", "id"), F.col("id"), str(tmp_path / "pages"))
+    want = sorted(f"W{r['id']}" for r in lines.where("publication_date between '2001-01-20' and '2002-02-10'").collect())
+    paged.register_all(spark)
+    for folder in folders:
+        options = {"pages": "quillmill.sources.rest:openalex_pages", "transport": f"quillmill.plans.replay:tables?{folder}", "query": "q", "from": "2001-01-20", "to": "2002-02-10", "split": "month"}
+        found = spark.read.format("works_pages").options(**options).load()
+        assert found.rdd.getNumPartitions() == 14
+        got = found.collect()
+        assert sorted(r["id"] for r in got) == want and len({r["place"] for r in got}) == len(want)
+        assert spark.read.format("works_pages").options(**options, maxPages="1").load().rdd.getNumPartitions() == 1
+    assert paged.works_where(spark, options, "year = 2002").rdd.getNumPartitions() == 2
+
+
 def test_fixed_values():
     """What the classification and the services fix."""
     from quillmill.operators import trend
