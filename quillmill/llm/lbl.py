@@ -31,7 +31,11 @@ DRAWN = 32
 BATCH = 4096
 RATE = 0.1
 #: Tokens whose probabilities are worked out at once.
-BLOCK = 32_768
+BLOCK = 8192
+#: Rows of a number that occurs no more often than this are added up side by side with those of other numbers.
+OFTEN = 16
+#: Scores beyond this are shifted before they are exponentiated.
+STEEP = 60.0
 #: Weights that belong to no single leaf.
 WHOLE = ("mix", "group", "group_bias")
 
@@ -42,22 +46,33 @@ def firsts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray, at: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
-    """The ORDER leaves before each of some tokens, nearest first; before a text lies leaf 0. ``first`` has what ``firsts`` gives, if it is known."""
+    """(n, ORDER): the leaves before each of some tokens, nearest first; before a text lies leaf 0. ``first`` has what ``firsts`` gives, if it is known."""
     first = (firsts(ids, starts) if first is None else first)[at]
-    return np.stack([np.where(at - i >= first, ids[np.maximum(at - i, 0)], 0) for i in range(1, ORDER + 1)]).astype(np.uint16)
+    return np.stack([np.where(at - i >= first, ids[np.maximum(at - i, 0)], 0) for i in range(1, ORDER + 1)], axis=1).astype(np.uint16)
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of ``values`` by row number, and the distinct numbers."""
+    """The distinct row numbers, the most frequent ones first, and sums of ``values`` by them."""
     order = np.argsort(rows, kind="stable")
     ordered = rows[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+    size = np.diff(np.append(first, len(rows)))
+    falling = np.argsort(-size, kind="stable")
+    first, size = first[falling], size[falling]
+    sums = values.take(order[first], axis=0)
+    above = np.searchsorted(-size, -np.arange(OFTEN + 1)).tolist()  # how many occur more often
+    often = above[OFTEN]
+    for i, (at, n) in enumerate(zip(first[:often].tolist(), size[:often].tolist(), strict=True)):
+        sums[i] = values.take(order[at : at + n], axis=0).sum(axis=0)
+    for i in range(1, OFTEN):
+        if above[i] > often:
+            sums[often : above[i]] += values.take(order[first[often : above[i]] + i], axis=0)
+    return ordered[first], sums
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -30, 30)
-    np.negative(x, out=x)
+    """In place."""
+    np.negative(np.clip(x, -30, 30, out=x), out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -91,44 +106,62 @@ class Net:
         return Net(self.unigrams, {k: w.copy() for k, w in self.weights.items()}, {k: h.copy() for k, h in self.history.items()})
 
     def move(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        self.history[name][rows] += gradient * gradient
-        self.weights[name][rows] += RATE * gradient / np.sqrt(self.history[name][rows])
+        history = self.history[name][rows] + gradient * gradient
+        self.history[name][rows] = history
+        change = np.divide(gradient, np.sqrt(history, out=history), out=history)
+        change *= RATE
+        self.weights[name][rows] += change
 
-    def guess(self, before: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The vectors of contexts (ORDER, n), and what they predict."""
-        seen = [self.weights["context"][b] for b in before]
-        return seen, sum(v @ m for v, m in zip(seen, self.weights["mix"], strict=True))
+    def guess(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of contexts (n, ORDER) side by side, and what they predict."""
+        seen = self.weights["context"].take(before.reshape(-1), axis=0).reshape(len(before), -1)
+        return seen, seen @ self.weights["mix"].reshape(-1, WIDTH)
 
     def step(self, before: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        """One minibatch: contexts (ORDER, n) and their targets."""
+        """One minibatch: contexts (n, ORDER) and their targets. Vectors of leaves go with their bias as one more column."""
         w = self.weights
         order = np.argsort(target // MEMBERS, kind="stable")  # short integers are sorted by counting
-        before, target = before[:, order], target[order]
-        own = (target // MEMBERS).astype(np.intp)
+        before, target = before[order], target[order]
+        own, n = (target // MEMBERS).astype(np.intp), len(target)
         seen, guess = self.guess(before)
+        guessed = np.ones((n, WIDTH + 1), np.float32)
+        guessed[:, :WIDTH] = guess
         noise = RATIO * self.groups
-        odds = sigmoid(guess @ w["group"].T + w["group_bias"] - np.log(noise))
-        pull, each = -noise * odds, np.arange(len(target))
-        pull[each, own] += 1 - odds[each, own]
-        gain = 1 - sigmoid(np.einsum("ij,ij->i", guess, w["leaf"][target]) + w["bias"][target] - self.expected[target])
-        back = pull @ w["group"] + gain[:, None] * w["leaf"][target]
-        rows, leaf, bias = [target], [gain[:, None] * guess], [gain]
+        odds = guess @ w["group"].T
+        odds += w["group_bias"] - np.log(noise)
+        pull, each = sigmoid(odds), np.arange(n)
+        hit = 1 - pull[each, own]
+        pull *= -noise
+        pull[each, own] += hit
+        leaves = w["leaf"].take(target, axis=0)
+        gain = 1 - sigmoid(np.einsum("ij,ij->i", guess, leaves) + w["bias"][target] - self.expected[target])
+        back = pull @ w["group"]
+        leaves *= gain[:, None]
+        back += leaves
         cuts = np.searchsorted(own, np.arange(CLASSES + 1))
         held = np.flatnonzero(np.diff(cuts))
-        for k, drawn in zip(held, self.draw(held, rng), strict=True):
-            part, vectors = slice(cuts[k], cuts[k + 1]), w["leaf"][drawn]
-            lost = sigmoid(guess[part] @ vectors.T + (w["bias"][drawn] - self.expected[drawn])) * np.float32(-RATIO / DRAWN)
-            back[part] += lost @ vectors
-            rows.append(drawn)
-            leaf.append(lost.T @ guess[part])
-            bias.append(lost.sum(axis=0))
-        at, sums = summed(np.concatenate(rows).astype(np.uint16), np.column_stack([np.concatenate(leaf), np.concatenate(bias)]))
-        came, shifts = summed(before.reshape(-1), np.concatenate([back @ m.T for m in w["mix"]]))
-        mix = np.stack([v.T @ back for v in seen])
+        drawn = self.draw(held, rng)
+        vectors = np.empty((len(held), DRAWN, WIDTH + 1), np.float32)
+        vectors[:, :, :WIDTH] = w["leaf"].take(drawn, axis=0)
+        vectors[:, :, WIDTH] = w["bias"][drawn] - self.expected[drawn]
+        lost = np.empty((n, DRAWN), np.float32)
+        parts = [slice(*c) for c in zip(cuts[held].tolist(), cuts[held + 1].tolist(), strict=True)]
+        for part, v in zip(parts, vectors, strict=True):
+            np.matmul(guessed[part], v.T, out=lost[part])
+        sigmoid(lost)
+        lost *= np.float32(-RATIO / DRAWN)
+        shifts = np.empty((n + drawn.size, WIDTH + 1), np.float32)
+        np.multiply(guessed, gain[:, None], out=shifts[:n])
+        for part, v, shift in zip(parts, vectors, shifts[n:].reshape(vectors.shape), strict=True):
+            back[part] += lost[part] @ v[:, :WIDTH]
+            np.matmul(lost[part].T, guessed[part], out=shift)
+        at, sums = summed(np.concatenate([target, drawn.reshape(-1).astype(np.uint16)]), shifts)
+        came, turns = summed(before.reshape(-1), (back @ w["mix"].reshape(-1, WIDTH).T).reshape(-1, WIDTH))
+        mix = (seen.T @ back).reshape(w["mix"].shape)
         group, group_bias = pull.T @ guess, pull.sum(axis=0)
         self.move("leaf", sums[:, :-1], at)
         self.move("bias", sums[:, -1], at)
-        self.move("context", shifts, came)
+        self.move("context", turns, came)
         for name, gradient in (("mix", mix), ("group", group), ("group_bias", group_bias)):
             self.move(name, gradient)
 
@@ -163,14 +196,17 @@ class Net:
     def _block(self, guess: np.ndarray, target: np.ndarray) -> np.ndarray:
         w = self.weights
         out = np.empty(len(target))
-        own = target // MEMBERS
-        order = np.argsort(own, kind="stable")
-        guess, target, own = guess[order], target[order], own[order].astype(np.intp)
+        order = np.argsort(target // MEMBERS, kind="stable")
+        guess, target = guess[order], target[order]
+        own = (target // MEMBERS).astype(np.intp)
         cuts = np.searchsorted(own, np.arange(CLASSES + 1))
         of_class = chosen(guess @ w["group"].T + w["group_bias"], own)
-        for k in np.flatnonzero(np.diff(cuts)):
+        inside = np.empty((len(target), MEMBERS), np.float32)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
             part, members = slice(cuts[k], cuts[k + 1]), slice(k * MEMBERS, (k + 1) * MEMBERS)
-            out[order[part]] = of_class[part] + chosen(guess[part] @ w["leaf"][members].T + w["bias"][members], target[part].astype(np.intp) - k * MEMBERS)
+            np.matmul(guess[part], w["leaf"][members].T, out=inside[part])
+            inside[part] += w["bias"][members]
+        out[order] = of_class + chosen(inside, (target % MEMBERS).astype(np.intp))
         return out
 
 
@@ -225,6 +261,7 @@ class Total:
 
 def chosen(scores: np.ndarray, column: np.ndarray) -> np.ndarray:
     """Log-probability of one column in each row, scores normalised over the row."""
-    scores -= scores.max(axis=1, keepdims=True)
+    if scores.size and not (-STEEP < scores.min() and scores.max() < STEEP):
+        scores -= scores.max(axis=1, keepdims=True)
     found = scores[np.arange(len(scores)), column]
     return found - np.log(np.exp(scores, out=scores).sum(axis=1))

@@ -25,18 +25,17 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import fold, steps, stored
+from quillmill.llm.common import STEP_ROWS, fold, steps, stored
 from quillmill.llm.lbl import LEAVES, Net, Total, learned
 
 END = " "  # no word holds a blank
@@ -49,13 +48,40 @@ ASIDE = 0.1
 ROUNDS = 60
 #: Partial means of each class of the vocabulary.
 PARTS = 4
-FLUSH = 200_000
+#: Counts that a task holds before they go out, those of one word in several steps apart.
+FLUSH = 1_000_000
+#: Bytes of rows that are cut into words at once.
+READ_BYTES = 8 << 20
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps of bounded bytes; a row that is larger is a step. Each costs a look at the whole dictionary, so they are no smaller."""
+    for batch in batches:
+        waiting = [batch]
+        while waiting:
+            part = waiting.pop()
+            if part.nbytes > READ_BYTES and part.num_rows > 1:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words`` of all texts in a row, and how many each has."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat, sizes = found.flatten(), pc.list_value_length(found).to_numpy().astype(np.int64)
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at either end of a text leaves an empty one
+    if full.all():
+        return flat, sizes
+    before = np.concatenate([[0], np.cumsum(full)])
+    return flat.filter(pa.array(full)), np.diff(before[np.concatenate([[0], np.cumsum(sizes)])])
+
+
 def group(word: bytes) -> int:
     return 1 + HEADS + crc32(word[-2:]) % GROUPS
 
@@ -69,22 +95,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(token, c) over whole texts, the end token among them; counted per task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
+        held: list[pa.Table] = []
         ends = 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()).cast(pa.string()), pa.array(tally.values(), pa.int64())], names=["token", "c"])
+        def added() -> list[pa.RecordBatch]:
+            tally = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")])
+            return tally.select(["token", "c_sum"]).rename_columns(["token", "c"]).combine_chunks().to_batches()
 
-        for part in steps(batches):
+        for part in read(batches):
             ends += part.num_rows
-            for text in part.column(0).to_pylist():
-                tally.update(words(text))
-                if len(tally) > FLUSH:
-                    yield out()
-                    tally.clear()
+            found = pc.value_counts(cut(part.column(0))[0])
+            held.append(pa.table({"token": found.field("values"), "c": found.field("counts")}))
+            if sum(t.num_rows for t in held) > FLUSH:
+                yield from added()
+                held.clear()
         if ends:
-            tally[END.encode()] += ends
-        yield out()
+            held.append(pa.table({"token": pa.array([END]), "c": pa.array([ends], pa.int64())}))
+            yield from added()
 
     return docs.select("text").mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -106,22 +133,25 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_ready": {}}
 
-    def lookup(self) -> dict[bytes, int]:
+    def lookup(self) -> pa.Array:
         if "lookup" not in self._ready:
-            self._ready["lookup"] = {w: i for i, w in enumerate(self.frequent)}
+            self._ready["lookup"] = pa.array(self.frequent, pa.binary()).cast(pa.string())
         return self._ready["lookup"]
 
-    def number(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
-        """Places in the dictionary (-1: rarer) and leaves of all tokens with their ends, where texts end, and the rarer words."""
-        end = END.encode()
-        flat = list(chain.from_iterable([*w, end] for w in split))
-        place = np.fromiter(map(self.lookup().get, flat, repeat(-1)), np.int32, len(flat))
-        rare = [(i, flat[i]) for i in np.flatnonzero(place < 0).tolist()]
-        ids = self.ids[place] if len(self.ids) else np.zeros(len(flat), np.uint16)
-        for i, w in rare:
-            ids[i] = group(w) if w != end else 0
-        stops = np.cumsum([len(w) + 1 for w in split])
-        return place, ids, stops, rare
+    def number(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Places in the dictionary (-1: rarer) and leaves of all tokens with their ends, where texts end, where the rarer words are, and those."""
+        flat, sizes = cut(texts)
+        stops = np.cumsum(sizes + 1)
+        inner = np.ones(len(flat) + len(sizes), bool)
+        inner[stops - 1] = False
+        place = np.zeros(len(inner), np.int32)  # an end is the first of the dictionary
+        place[inner] = found = pc.fill_null(pc.index_in(flat, self.lookup()), -1).to_numpy()
+        rare = flat.filter(pa.array(found < 0))
+        ids, at = self.ids[place], np.flatnonzero(place < 0)
+        kinds = rare.dictionary_encode()
+        if len(rare):
+            ids[at] = np.array([group(w) for w in kinds.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)], np.uint16)[kinds.indices.to_numpy()]
+        return place, ids, stops, at, rare
 
 
 def vocabulary(counts: DataFrame, dictionary: int = DICTIONARY) -> Model:
@@ -157,7 +187,7 @@ def pieces(docs: DataFrame, shared) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
             if part.num_rows:
-                _, ids, stops, _ = shared.value.number([words(t) for t in part.column(0).to_pylist()])
+                _, ids, stops, _, _ = shared.value.number(part.column(0))
                 row = [ids.astype("<u2").tobytes()], [np.diff(stops, prepend=0).astype("<u4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in row], names=["ids", "lengths"])
 
@@ -204,11 +234,14 @@ def lessons(docs: DataFrame, shared) -> DataFrame:
         task = TaskContext.get().partitionId()
         start, rng, tally = shared.value.net, np.random.default_rng(task), np.zeros(LEAVES, np.int64)
         net = start.copy()
-        for part in steps(batches):
-            if part.num_rows:
-                _, ids, stops, _ = shared.value.number([words(t) for t in part.column(0).to_pylist()])
-                visited = net.train(ids, np.concatenate([[0], stops[:-1]]), rng)
-                tally += np.bincount(ids[visited], minlength=LEAVES)
+        for part in read(batches):
+            _, ids, stops, _, _ = shared.value.number(part.column(0))
+            starts = np.concatenate([[0], stops])
+            for at in range(0, part.num_rows, STEP_ROWS):
+                of = starts[at : at + STEP_ROWS + 1]
+                some = ids[of[0] : of[-1]]
+                visited = net.train(some, of[:-1] - of[0], rng)
+                tally += np.bincount(some[visited], minlength=LEAVES)
         if tally.any():
             yield mean_rows(learned(start, net, tally), task % PARTS)
 
@@ -254,30 +287,29 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         logs = np.append(np.log10(model.counts + 1.0), 0.0)  # the last: a rarer word, whose count is still to come
         known = np.append(model.counts > 0, False).astype(np.int32)
         all_mass = math.log10(model.total + model.types + 1)
-        for part in steps(batches):
-            if not part.num_rows:
-                continue
-            place, ids, stops, rare = model.number([words(t) for t in part.column(2).to_pylist()])
+        for part in read(batches):
+            place, ids, stops, at, rare = model.number(part.column(2))
             starts = np.concatenate([[0], stops[:-1]])
             inside = np.where(ids > HEADS, logs[place] - model.group_mass[ids], 0.0)
             sums = lambda x: np.add.reduceat(x, starts)
             lengths = stops - starts
             base = sums(logs[place]) - lengths * all_mass
             total = sums(model.net.log10(ids, starts) + inside)
-            docs_, hashes = part.column(0).to_pylist(), part.column(1).to_pylist()
-            owner = np.searchsorted(stops, [i for i, _ in rare], "right").tolist()
+            docs_, hashes = part.column(0).cast(pa.int64()), part.column(1)
+            owner = pa.array(np.searchsorted(stops, at, "right"))
             n, m = part.num_rows, len(rare)
+            own = pa.array([f" {d} {h}" for d, h in zip(docs_.to_pylist(), hashes.to_pylist(), strict=True)], pa.string())
             columns = [
-                [f" {d} {h}" for d, h in zip(docs_, hashes, strict=True)] + [w.decode() for _, w in rare],
-                docs_ + [docs_[k] for k in owner],
-                hashes + [hashes[k] for k in owner],
+                pa.concat_arrays([own, rare]),
+                pa.concat_arrays([docs_, docs_.take(owner)]),
+                pa.concat_arrays([hashes, hashes.take(owner)]),
                 np.repeat(np.array([1, 0], np.int32), [n, m]),
                 np.concatenate([lengths, np.zeros(m)]).astype(np.int32),
                 np.concatenate([sums(known[place]), np.zeros(m, np.int32)]).astype(np.int32),
                 np.concatenate([base, np.zeros(m)]),
                 np.concatenate([total, np.zeros(m)]),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = source.mapInArrow(run, "token string, doc_id long, text_hash long, docs int, n_tokens int, n_known int, base double, score double")

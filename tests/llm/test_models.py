@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, clashing, empty, split
 from pyspark.sql import functions as F
@@ -116,6 +118,105 @@ def test_scores_against_a_plain_version(spark, small):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def table_model(names):
+    """A model whose dictionary holds the end and these words."""
+    frequent = [b" ", *names]
+    ids = np.array([i if i <= lm.HEADS else lm.group(w) for i, w in enumerate(frequent)], np.uint16)
+    n = len(frequent)
+    return lm.Model(n, n, frequent, np.ones(n, np.int64), ids, np.zeros(lbl.LEAVES), 1, lbl.Net.new(np.ones(lbl.LEAVES)))
+
+
+def test_numbers_of_odd_texts():
+    """Cut and looked up column by column as word by word; a slice keeps to its own rows."""
+    texts = ["Ab C\tÄÉ  x\x0b\x0cQ\x1cz  ", "", None, "  lead É\x85e\n\nB nil\x00 AB c c", " \r\n", "c\u2003c \u0130 c"] * 2
+    model = table_model([b"ab", b"c", "ÄÉ".encode(), b"b"])
+    for part in (slice(0, 12), slice(1, 3), slice(4, 5), slice(3, 12), slice(0, 0)):
+        flat, sizes = lm.cut(pa.array(texts, pa.string())[part])
+        plain = [lm.words(t) for t in texts[part]]
+        assert [w.encode() for w in flat.to_pylist()] == [w for ws in plain for w in ws] and sizes.tolist() == [len(ws) for ws in plain]
+        place, ids, stops, at, rare = model.number(pa.array(texts, pa.string())[part])
+        tokens = [w for ws in plain for w in [*ws, b" "]]
+        assert place.tolist() == [model.frequent.index(w) if w in model.frequent else -1 for w in tokens]
+        assert ids.tolist() == [model.frequent.index(w) if w in model.frequent else lm.group(w) for w in tokens]
+        assert stops.tolist() == np.cumsum([len(ws) + 1 for ws in plain]).tolist() and [tokens[i].decode() for i in at] == rare.to_pylist()
+
+
+def test_reading_steps_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(lm, "READ_BYTES", 1000)
+    texts = ["a" * (37 * i % 400) for i in range(200)] + ["b" * 5000, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    parts = list(lm.read([batch, batch.slice(0, 0), batch.slice(190)]))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts + texts[190:]
+    assert all(p.nbytes <= 1000 or p.num_rows == 1 for p in parts)
+
+
+def test_numbering_costs_less_than_a_lookup_for_each_word():
+    rng = np.random.default_rng(0)
+    names = [f"w{i}".encode() for i in range(30_000)]
+    picked = (30_000 * rng.random(600_000) ** 3).astype(int)
+    texts = [" ".join(f"W{i}" for i in part) for part in picked.reshape(2000, 300)]
+    column, model = pa.array(texts, pa.string()), table_model(names)
+    places = {w: i for i, w in enumerate(model.frequent)}
+
+    def cost(f):
+        found = []
+        for _ in range(3):
+            began = time.thread_time()
+            f()
+            found.append(time.thread_time() - began)
+        return min(found)
+
+    by_word = cost(lambda: np.fromiter((places.get(w, -1) for t in column.to_pylist() for w in [*lm.words(t), b" "]), np.int32))
+    assert cost(lambda: model.number(column)) < 0.7 * by_word
+
+
+def test_a_step_against_a_plain_version():
+    """One minibatch, with very frequent leaves: the gradients written out in doubles, added up row by row."""
+    rng = np.random.default_rng(0)
+    net = lbl.Net.new(rng.integers(1, 50, lbl.LEAVES).astype(float))
+    for name, x in net.weights.items():
+        x += rng.normal(0, 0.3, x.shape).astype(np.float32)
+        net.history[name] += rng.random(x.shape).astype(np.float32)
+    target = (lbl.LEAVES * rng.random(1500) ** 8).astype(np.uint16)
+    before = (lbl.LEAVES * rng.random((1500, lbl.ORDER)) ** 8).astype(np.uint16)
+    w = {k: v.astype(float) for k, v in net.weights.items()}
+    own, members = target.astype(int) // lbl.MEMBERS, lbl.MEMBERS
+    held = np.unique(own)
+    drawn = dict(zip(held.tolist(), net.draw(held, np.random.default_rng(5)), strict=True))
+    odds = lambda x: 1 / (1 + np.exp(-x))
+    steps = {k: np.zeros(v.shape) for k, v in w.items()}
+    classes = net.unigrams.reshape(-1, members).sum(axis=1)
+    for t, k, b in zip(target.tolist(), own.tolist(), before.tolist(), strict=True):
+        guess = sum(w["context"][x] @ m for x, m in zip(b, w["mix"], strict=True))
+        pull = -lbl.RATIO * classes * odds(w["group"] @ guess + w["group_bias"] - np.log(lbl.RATIO * classes))
+        pull[k] += 1 - odds(w["group"][k] @ guess + w["group_bias"][k] - np.log(lbl.RATIO * classes[k]))
+        inner = lambda at: w["leaf"][at] @ guess + w["bias"][at] - np.log(lbl.RATIO * net.unigrams[at] / classes[k])  # noqa: B023, E731
+        gain, lost = 1 - odds(inner(t)), -lbl.RATIO / lbl.DRAWN * odds(inner(drawn[k]))
+        back = pull @ w["group"] + gain * w["leaf"][t] + lost @ w["leaf"][drawn[k]]
+        steps["leaf"][t] += gain * guess
+        steps["bias"][t] += gain
+        np.add.at(steps["leaf"], drawn[k], lost[:, None] * guess)
+        np.add.at(steps["bias"], drawn[k], lost)
+        for i, x in enumerate(b):
+            steps["context"][x] += w["mix"][i] @ back
+            steps["mix"][i] += np.outer(w["context"][x], back)
+        steps["group"] += pull[:, None] * guess
+        steps["group_bias"] += pull
+    history = {k: v + steps[k] ** 2 for k, v in net.history.items()}
+    net.step(before, target, np.random.default_rng(5))
+    for k in w:
+        assert np.allclose(net.history[k], history[k], rtol=1e-3, atol=1e-4), k
+        assert np.allclose(net.weights[k], w[k] + lbl.RATE * steps[k] / np.sqrt(history[k]), atol=1e-4), k
+
+
+def test_steep_scores_are_normalised():
+    scores = np.array([[500, 0, -500], [-900, -901, -902], [1, 2, 3]], np.float32)
+    for rows in (scores, scores[2:]):
+        plain = rows.astype(float) - np.logaddexp.reduce(rows.astype(float), axis=1)[:, None]
+        for c in range(3):
+            assert np.allclose(lbl.chosen(rows.copy(), np.full(len(rows), c)), plain[:, c], atol=1e-4)
+
+
 def test_what_tasks_learn_merges_in_any_order():
     rng = np.random.default_rng(0)
     start = lbl.Net.new(rng.integers(1, 50, lbl.LEAVES).astype(float))
