@@ -33,7 +33,7 @@ RATE = 0.1
 #: Tokens whose probabilities are worked out at once.
 BLOCK = 8192
 #: Rows of a number that occurs no more often than this are added up side by side with those of other numbers.
-OFTEN = 16
+OFTEN = 32
 #: Scores beyond this are shifted before they are exponentiated.
 STEEP = 60.0
 #: Weights that belong to no single leaf.
@@ -72,8 +72,9 @@ def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
-    np.negative(np.clip(x, -30, 30, out=x), out=x)
-    np.exp(x, out=x)
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # the reciprocal of infinity is the zero that is due
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -106,16 +107,18 @@ class Net:
         return Net(self.unigrams, {k: w.copy() for k, w in self.weights.items()}, {k: h.copy() for k, h in self.history.items()})
 
     def move(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        history = self.history[name][rows] + gradient * gradient
-        self.history[name][rows] = history
-        change = np.divide(gradient, np.sqrt(history, out=history), out=history)
+        change = gradient * gradient
+        change += self.history[name][rows]
+        self.history[name][rows] = change
+        np.divide(gradient, np.sqrt(change, out=change), out=change)
         change *= RATE
-        self.weights[name][rows] += change
+        change += self.weights[name][rows]
+        self.weights[name][rows] = change
 
-    def guess(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The vectors of contexts (n, ORDER) side by side, and what they predict."""
+    def guess(self, before: np.ndarray) -> np.ndarray:
+        """What contexts (n, ORDER) predict, by their vectors side by side."""
         seen = self.weights["context"].take(before.reshape(-1), axis=0).reshape(len(before), -1)
-        return seen, seen @ self.weights["mix"].reshape(-1, WIDTH)
+        return seen @ self.weights["mix"].reshape(-1, WIDTH)
 
     def step(self, before: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
         """One minibatch: contexts (n, ORDER) and their targets. Vectors of leaves go with their bias as one more column."""
@@ -123,7 +126,7 @@ class Net:
         order = np.argsort(target // MEMBERS, kind="stable")  # short integers are sorted by counting
         before, target = before[order], target[order]
         own, n = (target // MEMBERS).astype(np.intp), len(target)
-        seen, guess = self.guess(before)
+        guess = self.guess(before)
         guessed = np.ones((n, WIDTH + 1), np.float32)
         guessed[:, :WIDTH] = guess
         noise = RATIO * self.groups
@@ -156,13 +159,18 @@ class Net:
             back[part] += lost[part] @ v[:, :WIDTH]
             np.matmul(lost[part].T, guessed[part], out=shift)
         at, sums = summed(np.concatenate([target, drawn.reshape(-1).astype(np.uint16)]), shifts)
-        came, turns = summed(before.reshape(-1), (back @ w["mix"].reshape(-1, WIDTH).T).reshape(-1, WIDTH))
-        mix = (seen.T @ back).reshape(w["mix"].shape)
-        group, group_bias = pull.T @ guess, pull.sum(axis=0)
+        mix, turns, came = np.empty_like(w["mix"]), np.zeros_like(w["context"]), np.zeros(LEAVES, bool)
+        for i, m in enumerate(w["mix"]):  # what leaves share at one place is added up before it is multiplied
+            rows, shares = summed(before[:, i], back)
+            mix[i] = w["context"].take(rows, axis=0).T @ shares
+            turns[rows] += shares @ m.T
+            came[rows] = True
+        came = np.flatnonzero(came)
+        group = pull.T @ guessed
         self.move("leaf", sums[:, :-1], at)
         self.move("bias", sums[:, -1], at)
-        self.move("context", turns, came)
-        for name, gradient in (("mix", mix), ("group", group), ("group_bias", group_bias)):
+        self.move("context", turns.take(came, axis=0), came)
+        for name, gradient in (("mix", mix), ("group", group[:, :-1]), ("group_bias", group[:, -1])):
             self.move(name, gradient)
 
     def draw(self, held: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -190,7 +198,7 @@ class Net:
         out, first = np.empty(len(ids)), firsts(ids, starts)
         for at in range(0, len(ids), BLOCK):
             some = np.arange(at, min(at + BLOCK, len(ids)))
-            out[some] = self._block(self.guess(contexts(ids, starts, some, first))[1], ids[some])
+            out[some] = self._block(self.guess(contexts(ids, starts, some, first)), ids[some])
         return out / math.log(10)
 
     def _block(self, guess: np.ndarray, target: np.ndarray) -> np.ndarray:
