@@ -6,7 +6,9 @@ cursor for each month (``split``). ``monthly_records`` reads one
 partition per month; as a stream it goes month by month, and its
 offset is the month, the start within it and what each month has given so far.
 A stream's first batch is one page; later ones take as many pages as the run has
-had before, up to ``BATCH_ROWS`` rows, so long collections need few batches.
+had before, up to ``BATCH_ROWS`` rows or ``BATCH_CHARS`` of lines, so long collections
+need few batches. Once batches have stopped growing, the next one's pages are asked
+for while a batch is written.
 ``place`` is a row's position in its collection. A stream takes at most
 ``maxPages`` pages a run. Both get their pages from a ``fetch`` object named by the
 ``pages`` option: ``module:attribute``, called with a cursor or a month. The
@@ -19,12 +21,16 @@ from __future__ import annotations
 import json
 import re
 from calendar import monthrange
+from collections import deque
 from collections.abc import Callable, Iterator
 from importlib import import_module
 from pathlib import Path
+from threading import Thread
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
+from pyspark.sql.types import StructType
 
 from quillmill.streaming.ingest import next_position
 
@@ -69,8 +75,15 @@ PAGE_ROWS = 10_000
 #: Places left for the pages of a month.
 MONTH_PAGES = 1_000_000
 
-#: Rows from which on a stream's batch takes no further page.
-BATCH_ROWS = 200_000
+#: Rows, and characters of their lines, from which on a stream's batch takes no further page.
+BATCH_ROWS, BATCH_CHARS = 500_000, 64 << 20
+#: Rows of an Arrow batch. A few large ones are sent quickly, while pages are asked for beside them.
+ARROW_ROWS = 100_000
+
+KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+
+#: One encoder for all records; ``json.dumps`` makes one for each.
+as_line = json.JSONEncoder(ensure_ascii=False).encode
 
 
 class Month(InputPartition):
@@ -79,14 +92,26 @@ class Month(InputPartition):
         self.month = month
 
 
+def as_text(x: object) -> str | None:
+    """As Spark makes strings of Python's values."""
+    return x if x is None or isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
+
+
 class Paged:
     """Asks for all pages through one object, made where it is used, so that the service's pace and budget hold across pages."""
 
+    #: Name and type of columns, if a stream's rows are handed over as Arrow batches, a page each, and not as tuples.
+    columns: list[tuple[str, str]] | None = None
+    #: Where a row has its line.
+    line: int
+
     def __init__(self, options: dict):
         self.options, self.source = dict(options), None
         self.most_pages, self.taken = int(options.get("maxPages", 0)), 0
         self.push_years = options.get("pushYears") == "true"
         self.failed: Exception | None = None
+        self.ahead: deque[tuple] = deque()
+        self.asking: Thread | None = None
 
     def fetch(self, cursor: str) -> dict:
         if self.source is None:
@@ -94,26 +119,52 @@ class Paged:
         return self.source(cursor)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"source": None}
+        return self.__dict__ | {"source": None, "ahead": deque(), "asking": None}
 
     def behind(self, at: dict) -> tuple[list[tuple], dict] | None:
         """The rows of the page at an offset, and the offset behind it; None if nothing is left."""
         raise NotImplementedError
 
-    def batch(self, at: dict) -> tuple[list[tuple], dict]:
+    def page(self, at: dict) -> tuple[dict, list, int, int, dict] | None:
+        """(offset, rows as they are handed over, their number, characters of their lines, offset behind) of the page at an offset."""
+        found = self.behind(at)
+        if found is None:
+            return None
+        rows, end = found
+        chars = sum(len(r[self.line]) for r in rows)
+        return at, self.handed_over(rows), len(rows), chars, end
+
+    def handed_over(self, rows: list[tuple]) -> list:
+        if self.columns is None or not rows:
+            return rows
+        values = [map(as_text, v) if kind == "string" else v for v, (_, kind) in zip(zip(*rows, strict=True), self.columns, strict=True)]
+        arrays = [pa.array(list(v), KINDS[kind]) for v, (_, kind) in zip(values, self.columns, strict=True)]
+        return [pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in self.columns])]
+
+    def following(self, at: dict) -> tuple | None:
+        """The page at an offset, asked for before or now."""
+        if self.ahead and self.ahead[0][0] != at:
+            self.ahead.clear()
+        if self.ahead:
+            return self.ahead.popleft()
+        if self.failed:
+            raise self.failed
+        return self.page(at)
+
+    def batch(self, at: dict) -> tuple[list, dict]:
         """The rows of the next pages, and the offset behind them.
 
         A page that fails ends the batch before it, so those that came are
         committed; the next call raises its error without asking again.
         """
-        if self.failed:
-            raise self.failed
-        rows, most = [], max(1, self.taken)
+        if self.asking:
+            self.asking.join()
+        rows, before, most, n_rows, chars = [], self.taken, max(1, self.taken), 0, 0
         if self.most_pages:
             most = min(most, self.most_pages - self.taken)
         for n in range(most):
             try:
-                found = self.behind(at)
+                found = self.following(at)
             except Exception as error:
                 if not n:
                     raise
@@ -121,12 +172,42 @@ class Paged:
                 break
             if found is None:
                 break
-            rows += found[0]
-            at, self.taken = found[1], self.taken + 1
-            if len(rows) >= BATCH_ROWS:
+            _, page, more, longer, at = found
+            rows += page
+            n_rows, chars, self.taken = n_rows + more, chars + longer, self.taken + 1
+            if n_rows >= BATCH_ROWS or chars >= BATCH_CHARS:
                 break
+        self.ask_ahead(at, before - (self.taken - before))
+        if self.columns and rows:
+            rows = pa.Table.from_batches(rows).combine_chunks().to_batches(ARROW_ROWS)
         return rows, at
 
+    def ask_ahead(self, at: dict, most: int) -> None:
+        """Asks for pages of the next batch while this one is written: so many that no more are uncommitted than committed.
+
+        The batches before this one are committed when it is asked for.
+        """
+        if self.most_pages:
+            most = min(most, self.most_pages - self.taken)
+        if most <= 0 or self.failed:
+            return
+
+        def ask(at: dict) -> None:
+            n_rows, chars = sum(p[2] for p in self.ahead), sum(p[3] for p in self.ahead)
+            try:
+                while len(self.ahead) < most and n_rows < BATCH_ROWS and chars < BATCH_CHARS:
+                    found = self.page(at)
+                    if found is None:
+                        break
+                    self.ahead.append(found)
+                    _, _, more, longer, at = found
+                    n_rows, chars = n_rows + more, chars + longer
+            except Exception as error:  # noqa: BLE001  raised by the batch that comes to this page
+                self.failed = error
+
+        self.asking = Thread(target=ask, args=(self.ahead[-1][-1] if self.ahead else at,), daemon=True)
+        self.asking.start()
+
 
 def year_bounds(f: Filter) -> tuple[int, int] | None:
     """The years that a filter on the column ``year`` allows, both included; None for any other filter."""
@@ -161,6 +242,7 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
     """In a batch, filters on ``year`` become the dates that are asked for, so other years' pages are never sent."""
 
     least = most = None
+    line = 1
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes what narrows the years; a range of years is exact, a list of years is only narrowed, so Spark filters it again.
@@ -197,7 +279,7 @@ class WorksReader(Paged, DataSourceReader, SimpleDataSourceStreamReader):
     def rows(self, page: dict, number: int = 0) -> Iterator[tuple[str, str, int, int | None]]:
         for i, work in enumerate(page.get("results", [])):
             if work.get("id") and self.wanted(year := year_of(work)):
-                yield work["id"], json.dumps(work, ensure_ascii=False), number * PAGE_ROWS + i, year
+                yield work["id"], as_line(work), number * PAGE_ROWS + i, year
 
     def behind(self, at: dict) -> tuple[list[tuple], dict] | None:
         if not at.get("cursor"):
@@ -259,7 +341,7 @@ class WorksPages(DataSource):
         return WorksReader(self.options)
 
     def simpleStreamReader(self, schema) -> WorksReader:
-        return WorksReader(self.options)
+        return in_arrow(WorksReader(self.options), schema)
 
 
 class MonthReader(DataSourceReader):
@@ -280,12 +362,14 @@ class MonthReader(DataSourceReader):
 def month_rows(page: dict, month: str, start: int) -> Iterator[tuple[str, str, str, int]]:
     for i, record in enumerate(page.get("results", [])):
         if record.get("pmid"):
-            yield record["pmid"], month, json.dumps(record, ensure_ascii=False), start + i
+            yield record["pmid"], month, as_line(record), start + i
 
 
 class MonthStream(Paged, SimpleDataSourceStreamReader):
     """Cursors within a month are ``YYYY-MM@start``; a page that fails moves no offset."""
 
+    line = 2
+
     def __init__(self, options: dict):
         super().__init__(options)
         self.months = months(options["from"], options["to"])
@@ -324,6 +408,12 @@ class MonthStream(Paged, SimpleDataSourceStreamReader):
         pass
 
 
+def in_arrow(reader: Paged, schema: StructType) -> Paged:
+    """The reader, made to hand over Arrow batches."""
+    reader.columns = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    return reader
+
+
 def works_where(spark: SparkSession, options: dict, condition: str) -> DataFrame:
     """Works that meet a condition; bounds on ``year`` in it become the dates that the service is asked for."""
     register_all(spark)
@@ -351,4 +441,4 @@ class MonthlyRecords(DataSource):
         return MonthReader(self.options)
 
     def simpleStreamReader(self, schema) -> MonthStream:
-        return MonthStream(self.options)
+        return in_arrow(MonthStream(self.options), schema)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from quillmill.sources import files, runlog
+from quillmill.streaming.seen import GROWING, settings
 
 
 def collect_stream(stream: DataFrame, out: str, checkpoint: str, key: str = "id", late: tuple[str, str] | None = None) -> StreamingQuery:
@@ -40,7 +41,8 @@ def collect_lines(stream: DataFrame, out: str, checkpoint: str, key: str = "id",
 
     spark = stream.sparkSession
     made = stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (made.trigger(availableNow=True) if once else made).start()
+    with settings(spark, GROWING):
+        return (made.trigger(availableNow=True) if once else made).start()
 
 
 def note_count(spark: SparkSession, out: str, tag: str, number: int, n: int) -> None:
@@ -82,8 +84,8 @@ def collect_pages(spark: SparkSession, stream: DataStreamReader, out: str, check
 
     A later run goes on behind the last committed page. A batch is one page at
     first, later as many as the run has committed, up to ``paged.BATCH_ROWS``
-    rows; so a process that dies loses at most half of what its run has paid for, and no
-    more than those rows. A request that fails ends the run once what came
+    rows; pages asked for ahead of their batch count with it. So a process that dies loses
+    at most half of what its run has paid for, and no more than two batches of those rows. A request that fails ends the run once what came
     before it is committed, and its kind is told; other errors are raised.
     """
     before, error = committed(spark, checkpoint).get("pages", 0), None

@@ -224,6 +224,89 @@ def test_long_collections_need_few_batches(spark, tmp_path):
     assert taken == [1, 1, 2, 4, 8, 16, 8]
 
 
+def taken(reader, most=99):
+    """Pages of each batch, how many were asked for when it was there, and all rows; what is asked for ahead is waited for."""
+    asked, rows, sizes = [], [], []
+    fetch = reader.fetch
+    reader.fetch = lambda cursor: asked.append(cursor) or fetch(cursor)
+    at = reader.initialOffset()
+    while at["cursor"] and len(sizes) < most:
+        before, (found, at) = at["pages"], reader.read(at)
+        if at["pages"] == before:
+            break
+        if reader.asking:
+            reader.asking.join()
+        sizes.append((at["pages"] - before, len(asked)))
+        rows += found
+    return sizes, rows, asked
+
+
+@pytest.mark.parametrize("bound", [{"BATCH_ROWS": 8}, {"BATCH_CHARS": 4 * 2 * len('{"id": "10a"}') - 7}])
+def test_pages_are_asked_for_while_a_batch_is_written(monkeypatch, bound):
+    """Each page once and in order, and never more of them uncommitted than committed."""
+    for k, v in bound.items():
+        monkeypatch.setattr(paged, k, v)
+    sizes, rows, asked = taken(paged.WorksReader({"pages": "test_ingest:many_pages"}))
+    assert [r[0] for r in rows] == [f"{n}{x}" for n in range(40) for x in "ab"] and len(asked) == len(set(asked)) == 40
+    done, ahead = 0, []
+    for size, n in sizes:
+        assert n - done <= max(1, done)
+        done += size
+        ahead.append(n - done)
+    assert max(s for s, _ in sizes) in (4, 5) and max(ahead) in (4, 5) and done == 40
+    sizes, rows, asked = taken(paged.WorksReader({"pages": "test_ingest:many_pages", "maxPages": "18"}))
+    assert sum(s for s, _ in sizes) == len(asked) == 18 and len(rows) == 36
+
+
+def test_a_page_that_fails_ahead_ends_the_batch_before_it(monkeypatch):
+    monkeypatch.setattr(paged, "BATCH_ROWS", 8)
+    reader = paged.WorksReader({"pages": "test_ingest:many_pages", "refused": "14"})
+    sizes, rows, asked = taken(reader, 5)
+    assert [s for s, _ in sizes] == [1, 1, 2, 4, 4] and asked[-1] == "14"  # asked for ahead
+    found, at = reader.read({"cursor": "12", "pages": 12, "received": 24, "total": None})
+    assert [r[0] for r in [*rows, *found]] == [f"{n}{x}" for n in range(14) for x in "ab"] and at["cursor"] == "14"
+    with pytest.raises(transport.PermanentError):
+        reader.read(at)
+    assert asked.count("14") == 1
+    assert reader.__getstate__()["asking"] is None
+
+
+def test_streams_hand_over_few_arrow_batches(pages):
+    from pyspark.sql.types import StructType
+
+    source = paged.WorksPages({"pages": "test_ingest:many_pages"})
+    reader = source.simpleStreamReader(StructType.fromDDL(source.schema()))
+    at, sizes, rows = reader.initialOffset(), [], []
+    while at["cursor"]:
+        found, at = reader.read(at)
+        found = list(found)
+        sizes.append(len(found))
+        rows += [r for b in found for r in b.to_pylist()]
+    assert sizes == [1] * 7 and len(rows) == 80
+    assert rows[3] == {"id": "1b", "raw": '{"id": "1b"}', "place": paged.PAGE_ROWS + 1, "year": None}
+    odd = reader.handed_over([(7, "{}", 0, 2001), (True, "{}", 1, None)])[0].to_pydict()
+    assert odd == {"id": ["7", "true"], "raw": ["{}", "{}"], "place": [0, 1], "year": [2001, None]}  # as Spark makes strings of them
+
+
+def test_seen_keys_lie_on_disk(spark, tmp_path, monkeypatch):
+    """A new collection keeps its keys in a store of bounded memory; one that was begun with another store goes on with it."""
+    from quillmill.streaming.seen import PROVIDER, PROVIDER_SETTING
+
+    paged.register_all(spark)
+    stream = lambda: spark.readStream.format("works_pages").options(pages="test_ingest:many_pages")
+    store = lambda state: json.loads((tmp_path / state / "offsets" / "0").read_text().splitlines()[1])["conf"][PROVIDER_SETTING]
+    before = spark.conf.get(PROVIDER_SETTING)
+    ingest.collect_pages(spark, stream(), str(tmp_path / "new"), str(tmp_path / "state"), most=2)
+    assert store("state") == PROVIDER and spark.conf.get(PROVIDER_SETTING) == before
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "GROWING", {})
+        ingest.collect_pages(spark, stream(), str(tmp_path / "old"), str(tmp_path / "begun"), most=2)
+    assert store("begun") == before != PROVIDER
+    for out, state in (("new", "state"), ("old", "begun")):
+        assert ingest.collect_pages(spark, stream(), str(tmp_path / out), str(tmp_path / state)).pages == 38
+        assert [json.loads(x)["id"] for v in lines(tmp_path / out).values() for x in v] == [f"{n}{x}" for n in range(40) for x in "ab"]
+
+
 def test_months_are_served_in_chunks(spark, tmp_path, monkeypatch):
     from quillmill.plans import replay
 
