@@ -84,7 +84,7 @@ def write_pages(rows: DataFrame, number: Column, folder: str) -> str:
     total = rows.count()
     pages = max(PAGES, -(-total // PAGE_ROWS))
     dealt = rows.select("line", F.pmod(number, F.lit(pages)).alias("page"), number.alias("__n"))
-    dealt.repartition(pages, "page").sortWithinPartitions("page", "__n").drop("__n").write.partitionBy("page").text(folder)
+    dealt.repartition(min(pages, partitions(rows.sparkSession, total)), "page").sortWithinPartitions("page", "__n").drop("__n").write.partitionBy("page").text(folder)
     files.write_text(rows.sparkSession, f"{folder}/_meta.json", json.dumps({"pages": pages, "total": total}))
     return folder
 

@@ -307,6 +307,19 @@ def test_seen_keys_lie_on_disk(spark, tmp_path, monkeypatch):
         assert [json.loads(x)["id"] for v in lines(tmp_path / out).values() for x in v] == [f"{n}{x}" for n in range(40) for x in "ab"]
 
 
+def test_pages_are_written_by_few_tasks(spark, tmp_path, monkeypatch):
+    from quillmill import session
+    from quillmill.plans import replay
+
+    monkeypatch.setattr(replay, "PAGE_ROWS", 10)
+    rows = spark.range(1000).selectExpr("id", "to_json(struct(concat('W', id) as id)) as line")
+    top = tmp_path / "works"
+    replay.write_pages(rows, F.col("id"), str(top))
+    parts = list(top.glob("page=*/part-*.txt"))
+    assert len(parts) == 100 and len({f.name for f in parts}) <= session.partitions(spark, 1000)
+    assert all([json.loads(x)["id"] for x in f.read_text().splitlines()] == [f"W{n}" for n in range(int(f.parent.name[5:]), 1000, 100)] for f in parts)
+
+
 def test_months_are_served_in_chunks(spark, tmp_path, monkeypatch):
     from quillmill.plans import replay
 
